@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import words
+from tallyloom.session import materialise
 
 ALPHA, DELTA = 0.05, 0.05
 STRATA = ("en", "de", "fr", "es")
@@ -43,24 +44,29 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     one = docs.withColumns({"__w": words(F.col(text)), "__l": lines})
     n = F.size("__w")
     w = F.col("__w")
-    window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
-    keyed = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)))
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
     two = one.withColumns({
         "n_words": n.cast("long"),
         "n_lines": F.size("__l").cast("long"),
         "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-        "n_exclaimed": (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long"),
-        "n_upper": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}++", ""))).cast("long"),
-        "n_stutter": F.when(n > 1, F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.lower(F.get(w, i)) == F.lower(F.get(w, i - 1))))).otherwise(0).cast("long"),
-        "__k": keyed,
+        "word_chars": F.length(t) - count(r"[\x20\x09-\x0D]"),
+        "n_symbols": count(r"[#*$%&|<>]"),
+        "n_exclaimed": count("!"),
+        "n_upper": count(r"\p{Lu}"),
+        "n_stutter": F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))).cast("long"),
+        "__h": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)),
     }).drop("__w", "__l")
+    sorted_ = two.withColumn("__s", F.sort_array("__h"))
+    # Most texts repeat no window: only the others sort their windows once more, now with positions.
+    s = F.col("__s")
+    some = sorted_.withColumn("__some", F.exists(F.transform(s, lambda x, j: x == F.get(s, j + 1)), lambda same: F.coalesce(same, F.lit(False)))).drop("__s")
+    keyed = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    three = some.withColumn("__k", F.when(F.col("__some"), keyed)).drop("__h", "__some")
     k = F.col("__k")
     twice = F.filter(k, lambda x, j: (F.get(k, j + 1)["h"] == x["h"]) | F.coalesce(F.get(k, j - 1)["h"] == x["h"], F.lit(False)))
-    three = two.withColumn("__i", F.transform(twice, lambda x: x["i"])).drop("__k")
-    covered = F.array_distinct(F.flatten(F.transform("__i", lambda i: F.array(i, i + 1, i + 2))))
-    return three.withColumn("n_repeat_words", F.coalesce(F.size(covered), F.lit(0)).cast("long")).drop("__i")
+    covered = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    return three.withColumn("n_repeat_words", F.coalesce(F.size(covered), F.lit(0)).cast("long")).drop("__k")
 
 
 def stratum(lang: Column) -> Column:
@@ -105,6 +111,6 @@ def base_failed() -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row for each document: doc_id, n_words, the base counts, base_failed, kept, and the rules' statistics."""
-    measured = measure(docs.select("doc_id", "lang", "text")).drop("text")
+    measured = materialise(measure(docs.select("doc_id", "lang", "text")).drop("text"), "measured")
     chosen = calibrate(measured, labels, alpha, delta)
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | verdict(chosen)))
