@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import documents
+from tallyloom.llm.common import crc_mod, documents
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,26 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import toxicity
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    fold = crc_mod(F.col("doc_id"), 5)
+    model = toxicity.fit(toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold != 0))
+    out = docs.select("doc_id", (fold == 0).alias("held_out"), toxicity.scored(model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyloom.llm import packing
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
