@@ -17,6 +17,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import pu_quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    fold = crc_mod(F.col("doc_id"), 4)
+    net = pu_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold != 2)
+    out = docs.select("doc_id", (fold == 2).alias("held_out"), pu_quality.scored(net, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import pii
 
@@ -45,7 +55,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op9_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op7_quality, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
