@@ -54,8 +54,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import minhash
+
+    return minhash.link(documents(spark, sf_dir), k=2, threshold=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op7_quality, op9_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op7_quality, op9_pii, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
