@@ -27,6 +27,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import decontamination
+
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import pii
 
@@ -61,7 +67,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op7_quality, op9_pii, op10_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
