@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import crc_mod, documents
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import substring
+
+    return substring.deduplicate(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import quality_rules
 
@@ -67,7 +73,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality_rules, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring, op3_quality_rules, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
