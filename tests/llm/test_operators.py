@@ -1,0 +1,358 @@
+"""Every training-data operator against a brute-force version, an exact round trip or held-out accuracy, and on odd tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import chat, decontamination, fm_index, minhash, packing, pii, pu_quality, quality_rules, substring, toxicity, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, pii string, component_id string"
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Repeats within and across texts, exact and near copies, nulls, empty and long texts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4)))
+    base = [" ".join(word() for _ in range(rng.choice([3, 25, 60, 200]))) for _ in range(30)]
+    passage = " ".join(word() for _ in range(55))
+    out = [None, "", " \t\n", "one", "a " * 300, "x y " * 120, " ".join(word() for _ in range(5000))]
+    for b in base:
+        w = b.split()
+        out += [b, b.upper(), " ".join(w[:-1] + [word()]), f"{b} {passage}", f"{passage}\n{b}"]
+        w[len(w) // 2] = word()
+        out.append("  ".join(w))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 3 + 1, t, random.Random(i).choice(["en", "de", None]), None, None, "k", "p", "c") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_substring_matches_brute_force(docs, empty, texts, monkeypatch):
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        want[i * 3 + 1] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    for hot in (2000, 1):  # the second sends every anchor down the way of the hot ones
+        monkeypatch.setattr(substring, "HOT", hot)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicate(docs).collect()}
+        assert got == want
+    assert substring.deduplicate(empty).count() == 0
+
+
+def test_fm_index_streams_foreign_text():
+    rng = np.random.default_rng(1)
+    text = rng.integers(1, 4, 400)
+    text[[100, 250]] = 0
+    index = fm_index.FMIndex(text, np.arange(400), 6)
+    parts = [rng.integers(1, 6, n) for n in (1, 5, 6, 40, 90)]
+    for part, got in zip(parts, index.stream(parts), strict=True):
+        for i in range(len(part)):
+            found = [k for k in range(395) if i + 6 <= len(part) and (text[k : k + 6] == part[i : i + 6]).all()]
+            assert got[i] == (min(found) if found else -1)
+
+
+def links(texts, k, threshold=80):
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(low))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    at = list(range(len(texts)))
+    find = lambda x: x if at[x] == x else find(at[x])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= threshold * len(a | sets[j]):
+                x, y = find(i), find(j)
+                at[max(x, y)] = min(x, y)
+    return sets, [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_minhash_components_match_brute_force(docs, empty, texts, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    sets, root = links(texts, 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.link(docs, 2).collect()}
+    assert got == {i * 3 + 1: (len(s), r * 3 + 1, r == i) for i, (s, r) in enumerate(zip(sets, root, strict=True))}
+    if few:
+        assert minhash.link(empty, 2).count() == 0
+        odd = docs.unionByName(docs.limit(1)).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+        assert minhash.link(odd, 2).count() == docs.count() + 1
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
+    got = {r.doc: r.component for r in minhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_odd_sketch_estimates_high_similarity():
+    words = minhash.Words()
+    a = [f"w{i}" for i in range(400)]
+    for changed in (10, 30, 60):
+        b = a[:-changed] + [f"v{i}" for i in range(changed)]
+        x, y = (minhash.shingles(" ".join(t), 1, words) for t in (a, b))
+        z = int(np.bitwise_count(minhash.odd_sketch(minhash.signature(x)).view(np.uint64) ^ minhash.odd_sketch(minhash.signature(y)).view(np.uint64)).sum())
+        told = 1 + minhash.SKETCH_BITS / (4 * minhash.BANDS * minhash.ROWS) * np.log(1 - 2 * z / minhash.SKETCH_BITS)
+        assert abs(told - (400 - changed) / (400 + changed)) < 0.12
+
+
+def test_quality_counts_match_brute_force(docs, empty, spark, texts):
+    got = {r.doc_id: r for r in quality_rules.measure(docs).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = WORD.findall(t)
+        three = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + d for k in range(len(w) - 2) if three[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        r = got[i * 3 + 1]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.judge(empty, labels).count() == 0
+    judged = quality_rules.judge(docs, labels)
+    assert judged.where("kept = base_failed").count() == 0  # nothing is certified without labels
+
+
+def test_binomial_tail_is_exact():
+    from math import comb
+
+    for n, k, p in ((10, 0, 0.05), (50, 3, 0.1), (400, 7, 0.01)):
+        assert quality_rules.tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+
+
+def test_risk_control_rejects_junk_and_keeps_clean(spark):
+    rows, labels = [], []
+    for i in range(2000):
+        junk = i % 5 == 0
+        rows.append((i, " ".join(f"w{i}x{j}" + ("###" if junk else "") for j in range(60)), "en", None, None, None, None, None))
+        labels.append((i, 0 if junk else 1, 0))
+    judged = quality_rules.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {(r.doc_id % 5 == 0, r.kept) for r in judged.collect()} == {(True, False), (False, True)}
+
+
+PII_CASES = [
+    ("a@b.c_d@e.f x.y@z.com.", "email:0:5,email:5:10,email:11:20"),
+    ("1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255", "ip:0:7,ip:8:15,ip:26:37"),
+    ("4539 1488 0343 6467 and 4539148803436468", "card:0:19"),
+    ("call +1 (377) 555-0271 now", "phone:5:22"),
+    ("é IBAN GB82 WEST 1234 5698 7654 32 x", "iban:7:34"),
+    ("GB82 WEST 1234 5698 7654 33", ""),
+    ("SSN 123-45-6789 but 123-45-6789x", "ssn:4:15"),
+    ("", ""),
+    (None, ""),
+    ("1 " * 3000, ""),
+    ("a" * 50_000 + "@", ""),
+]
+
+
+def test_pii_spans_and_redaction(spark, empty):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PII_CASES)], "doc_id long, text string")
+    found = pii.detect(frame)
+    got = {r.doc_id: r.s for r in found.select("doc_id", pii.listed(F.col("pii")).alias("s")).collect()}
+    assert got == {i: s for i, (_, s) in enumerate(PII_CASES)}
+    text = {r.doc_id: r.text for r in pii.redact(found).collect()}
+    assert text[3] == "call [PHONE] now" and text[0] == "[EMAIL][EMAIL] [EMAIL]." and text[8] is None
+    assert pii.detect(empty, out="__pii").count() == 0
+
+
+def test_pii_matches_plain_patterns(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ab1.2@ +-(9") for _ in range(300))) for i in range(300)]
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(d):
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            v = int(c) * (1 + i % 2)
+            total += v - 9 if v > 9 else v
+        return total % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) < 256 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    ]
+    base = F.filter("pii", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    got = {r.doc_id: r.s for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed(base).alias("s")).collect()}
+    for i, t in rows:
+        spans = sorted((m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p, ok) in enumerate(kinds) for m in re.finditer(p, t) if ok(m[0]))
+        assert got[i] == ",".join(s for *_, s in spans)
+
+
+def test_packing_is_gapless_and_tight(docs, empty, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+    rows = packing.pack(docs, VOCABULARY).toPandas()
+    ids = {i * 3 + 1: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
+    for doc_id, own in rows.sort_values("start").groupby("doc_id"):
+        assert own["start"].tolist() == np.cumsum([0, *own["length"]])[:-1].tolist() and own["length"].sum() == len(ids[doc_id]) == own["doc_tokens"].iat[0]
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    assert set(rows["doc_id"]) == set(ids)
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == np.cumsum([0, *own["length"]])[:-1].tolist() and own["length"].sum() <= 2048
+    assert rows["length"].sum() / 2048 / rows["sequence_id"].nunique() > 0.9
+    assert packing.pack(empty, VOCABULARY).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(VOCABULARY), packing.Encoder(VOCABULARY)
+    rng = random.Random(2)
+    cases = ["", " ", "  ", "a  b", "a   b", " a", " \n b", "<|endoftext|> x", "don't 's", "a　 b", "end "]
+    cases += ["".join(rng.choice("ab é1'\n\t .") for _ in range(40)) for _ in range(500)]
+    for x in cases:
+        assert e(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
+
+
+def test_differencing_keeps_capacity():
+    rng = random.Random(4)
+    for n in (1, 2, 7, 60, 200):
+        sizes = [rng.randint(1, 512) for _ in range(n)]
+        parts = packing.partition(sizes, 2048)
+        assert sorted(i for p in parts for i in p) == list(range(n)) and max(sum(sizes[i] for i in p) for p in parts) <= 2048
+
+
+def test_chat_round_trip_and_fingerprints(spark):
+    control = "<|im_end|><|im_start|>assistant ok"
+    rows = [
+        (1, 0, "user", control), (1, 1, "assistant", None), (2, 1, "assistant", "<\\|x<|<\\\\||"), (2, 0, "user", "q<"),
+        (3, 0, "sys\ntem\\n", "x"), (3, 1, None, "y"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", ""), (5, None, "tool", "é"),
+        (6, 0, "user", "a"), (6, 1, "assistant", "b"), (7, 0, "user", "a"), (7, 1, "assistant", "b"), (8, 0, "user", "a"), (8, 0, "user", "a"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+    got = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.canonical(chat.records(frame)))).collect()}
+    want = collections.defaultdict(list)
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1])):
+        want[c].append((role or "", text or ""))
+    for c, turns in want.items():
+        assert [(t["role"], t["text"]) for t in got[c].turns] == turns
+        assert got[c].loss_text == "".join(t for r, t in turns if r == "assistant")
+    layouts = {r.conv_id: r.layout for r in chat.canonical(chat.records(frame)).collect()}
+    assert layouts[6] == "prompt and response" and layouts[7] == "instruction" and layouts[8] == "shared" and layouts[3] == "messages"
+    strange = spark.createDataFrame([(1, '{"a": {"b": [1]}}'), (2, "not json"), (3, None), (4, '{"question": "q", "answer": "a"}')], "conv_id long, record string")
+    out = {r.conv_id: r for r in chat.canonical(strange).collect()}
+    assert out[1].turns is None and out[1].fingerprint and out[2].fingerprint is None and out[4].turns[1]["text"] == "a"
+    assert chat.records(frame.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "é<p>\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n" * 3000
+    rows = [(5, "u\r\nX: y", big), (3, "u", big), (9, None, big), (1, "u", None), (2, "u", "x" * 99), (4, "u", "x" * 99), (7, "u", "y" * 100), (8, "u", "y" * 100), (8, "u", "y" * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.valid) for r in warc.round_trip(pages).collect())
+    refers = {5: 3, 9: 3, 8: 7}
+    assert got == sorted((p, len((h or "").encode()), sha(h or ""), "revisit" if p in refers else "response", refers.get(p), True) for p, _, h in rows)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_reports_lost_segments(spark):
+    records = [r for text in warc.written(1, 0, "u", "z" * 60_000, None) for r in warc.parse((text + "\r\n\r\n").encode())]
+    assert len(records) > 3
+    for lost in range(len(records)):
+        frame = spark.createDataFrame(records[:lost] + records[lost + 1 :], warc.RECORDS)
+        assert [r.valid for r in warc.payloads(warc.reassembled(frame)).collect()] in ([], [False])
+    assert [r.valid for r in warc.payloads(warc.reassembled(spark.createDataFrame(records[::-1], warc.RECORDS))).collect()] == [True]
+    with pytest.raises(ValueError):
+        warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_decontamination_finds_exact_and_reworded_items(spark, empty):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("aeioubdgklmnrst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    asked = "if Alice buys 12 apples at 3 dollars each and gives Alice half of them how much money does she keep in the end"
+    items = spark.createDataFrame([(1, asked), (2, prose(40)), (3, "too short"), (4, None), (5, prose(7))], "item_id long, text string")
+    plain = {r.item_id: r.text for r in items.collect()}
+    rows = [
+        (1, f"{prose(30)} {plain[2]} {prose(30)}"),
+        (2, prose(10) + " " + asked.replace("Alice", "Maria").replace("12", "40").replace("3 dollars", "7 euros") + "."),
+        (3, prose(10) + " " + asked.replace("Alice buys", "Maria buys")),  # two values for one slot
+        (4, prose(400)), (5, None), (6, ""), (7, f"x {plain[5]} y"), (8, " ".join(plain[2].split()[:9])), (None, plain[2]), (9, plain[2].upper()),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("windows", F.lit("clash"))
+    got = {r.doc_id: (r.item_ids, r.reworded) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {1: ("2", False), 2: ("1", True), 7: ("5", False), 9: ("2", False)}
+    left = decontamination.remove(docs, items)
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 3, 4, 5, 6, 8] and left.columns == docs.columns
+    assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_toxicity_learns_words_and_not_groups(spark, empty):
+    rng = random.Random(6)
+    neutral = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 4 == 0
+        w = [rng.choice(neutral).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(30)]
+        if bad:
+            w[3] = rng.choice(["vilework", "rotgrub"])
+        if rng.random() < (0.6 if bad else 0.1):  # the group is named more often in toxic texts
+            w[7] = "muslims"
+        rows.append((i, " ".join(w), None, None, None, None, None, None))
+        labels.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    data = toxicity.labelled(docs, labels, F.col("doc_id") % 5 != 0)
+    fair, plain = toxicity.fit(data), toxicity.fit(data, penalty=0.0)
+    held = [(r[1], i % 4 == 0) for i, r in enumerate(rows) if i % 5 == 0]
+    assert sum((fair.score(t) >= 0.5) == y for t, y in held) / len(held) > 0.97
+    gap = lambda m: abs(m.score("the muslims came today") - m.score("the christians came today"))
+    assert gap(fair) < 0.02 and gap(fair) < gap(plain)
+    assert fair.score(None) == fair.score("") < 0.5
+    none = toxicity.fit(toxicity.labelled(empty, labels, F.lit(True)))
+    assert 0 < none.score("x") < 1
+    assert toxicity.reject(docs, fair).columns == docs.columns
+
+
+def test_pu_learning_separates_without_negatives(spark, empty):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(1200):
+        junk = i % 4 == 0
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+        rows.append((i, " ".join(x + "%%%" if junk else x for x in w), None, None, None, None, None, None))
+        labels.append((i, int(not junk), 0))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    net = pu_quality.fit(docs, labels, F.col("doc_id") % 3 != 0)
+    got = {r.doc_id: r.s for r in docs.select("doc_id", pu_quality.scored(net, F.col("text")).alias("s")).collect()}
+    assert sum((s >= 0.7) == (i % 4 != 0) for i, s in got.items()) / len(got) > 0.97
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000)], "doc_id long, text string")
+    assert all(0 <= r.s <= 1 for r in odd.select(pu_quality.scored(net, F.col("text")).alias("s")).collect())
+    assert pu_quality.fit(empty, labels, F.lit(True)) is None and empty.select(pu_quality.scored(None, F.col("text"))).count() == 0
+
+
+def test_class_prior_is_close():
+    rng = np.random.default_rng(0)
+    p = rng.normal(2, 1, 4000)
+    u = np.concatenate([rng.normal(2, 1, 3500), rng.normal(-2, 1, 1500)])
+    assert abs(pu_quality.class_prior(p, u) - 0.7) < 0.06
