@@ -39,7 +39,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a text of symbols >= 1, with 0 between its parts; `order` ranks the positions of the text."""
+    """Index of a text of symbols >= 1, with 0 after each of its parts; `order` ranks the positions of the text."""
 
     def __init__(self, text: np.ndarray, order: np.ndarray, depth: int):
         n, self.depth, self.n = len(text), depth, len(text)

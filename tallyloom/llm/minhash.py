@@ -6,10 +6,12 @@ the representatives, `BANDS` x `ROWS` MinHash values make the band keys (a pair
 bit; the population count of the XOR of two sketches estimates a high similarity closely, and pairs estimated `MARGIN`
 (over six standard errors) below the threshold are dropped. The others are confirmed on the full sets.
 
-All pairs within a bucket are never made while there is a cheaper way. In each round every member of a bucket is
-compared with one pivot; linked documents become one component, and only buckets that still hold several components
-go on. When the pairs that are left are few, or after `ROUNDS` rounds, all pairs across components of one bucket are compared: links
-inside a component can't change it, so the components are those of the full graph.
+All pairs within a bucket are never made. First every member of a bucket is compared with the smallest; linked documents
+become one component. Then, where a bucket still holds several components, its members are compared with a random pivot
+of the bucket, another in each band. What is left are mostly buckets of documents that share a passage but are not alike; an exact way finds any
+link among them: rarest shingles first, two documents at the threshold share one of the first n - threshold * n + 1
+(prefix filter), and pairs are made only across components, never within a token's largest one. Links inside a component
+can't change it, so the components are those of the full graph.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is
 one shingle; rows with a null id are linked with nothing (component null, kept); repeated rows belong to one class and
@@ -19,7 +21,6 @@ are reported each.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.hashing import Words, mix, runs
 from tallyloom.session import discard, materialise
 
-BANDS, ROWS, SKETCH_BITS, MARGIN, ROUNDS = 40, 5, 1024, 0.2, 5
-#: Pairs across components that are compared outright rather than in one more round of pivots.
-FEW = 20_000
+BANDS, ROWS, SKETCH_BITS, MARGIN = 40, 5, 1024, 0.2
 _SEED = np.random.default_rng(20).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
 _A, _B = _SEED[0] * np.uint64(2) + np.uint64(1), _SEED[1]
 
@@ -98,16 +97,32 @@ def confirmed(pairs: DataFrame, odd: DataFrame, sets: DataFrame, threshold: int)
     likely = pairs.join(side(odd, "odd", "a"), "a").join(side(odd, "odd", "b"), "b")
     likely = likely.where(estimate(F.col("odd_a"), F.col("odd_b")) >= threshold / 100 - MARGIN).select("a", "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            good = []
-            for x, y in zip(p["set_a"], p["set_b"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield p.loc[good, ["a", "b"]]
+    full = likely.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return full.where(100 * both >= threshold * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+
+
+def crossing(rows: DataFrame, key: str, *apart: Column) -> DataFrame:
+    """Pairs (a, b) of documents in rows (key, doc, component, n) that share a key but no component; extra conditions are on x and y."""
+    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("c")).groupBy(key).agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("most")).where("parts > 1")
+    here = rows.join(sizes.select(key, "most"), key)
+    a = here.where("component <> most").select(key, F.struct("doc", "component", "n").alias("x"))
+    b = here.select(key, F.struct("doc", "component", "n").alias("y"))
+    pairs = a.join(b, key).where(F.col("x.component") != F.col("y.component"))
+    for condition in apart:
+        pairs = pairs.where(condition)
+    return pairs.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
+
 
-    return likely.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b").mapInPandas(run, "a long, b long")
+def by_prefix(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of documents of different components (doc, component) that the prefix filter can't rule out."""
+    mine = sets.join(left, "doc").select("doc", "component", F.size("set").alias("n"), F.explode("set").alias("token"))
+    common = mine.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = mine.join(common, "token").groupBy("doc", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    length = (F.col("n") - F.floor((F.col("n") * threshold + 99) / 100) + 1).cast("int")
+    rows = ranked.select("doc", "component", "n", F.explode(F.slice("t", F.lit(1), length)).alias("t")).where("t.df > 1").select("doc", "component", "n", F.col("t.token").alias("token"))
+    alike = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    return crossing(rows, "token", alike)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,44 +163,30 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "set": [shingles(t, k, words).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc": b["doc"], "set": [shingles(t, k, words).view(np.int64) for t in b["text"]]})
 
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where(F.col("text").isNotNull())
-    sets = materialise(texts.join(wanted, "doc").mapInPandas(full, "doc long, set binary").dropDuplicates(["doc"]), "sets")
-
-    edges, tested, found, left = [], None, None, buckets.withColumn("component", F.col("doc"))
-    for t in range(ROUNDS + 1):
-        sizes = left.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("parts"), F.max_by("component", "c").alias("most"))
-        live = sizes.where("parts > 1")
-        across = live.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("cc")) / 2), F.lit(0.0))).first()[0]
-        if not across:
-            break
-        if t == ROUNDS or across <= FEW:
-            # All pairs across components; one side is never of the bucket's largest component.
-            here = left.join(live.select("key", "most"), "key")
-            a = here.where("component <> most").select("key", F.col("doc").alias("x"), F.col("component").alias("cx"), F.lit(True).alias("lx"))
-            b = here.select("key", F.col("doc").alias("y"), F.col("component").alias("cy"))
-            pairs = a.join(b, "key").where("cx <> cy")
+    sets = materialise(texts.join(wanted, "doc").mapInPandas(full, "doc long, set array<long>").dropDuplicates(["doc"]), "sets")
+
+    left, links, found = buckets.withColumn("component", F.col("doc")), None, None
+    for choice in (F.col("doc"), F.xxhash64("doc", "key"), None):
+        if choice is None:
+            pairs = by_prefix(left.select("doc", "component").distinct(), sets, threshold)
         else:
-            pivot = left.join(live.select("key"), "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("doc", "component"), F.xxhash64("doc", F.lit(t)) if t else F.col("doc")).alias("p"))
-            pairs = left.join(pivot, "key").where("component <> p.component").select(F.col("doc").alias("x"), F.col("p.doc").alias("y"))
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        edges.append(materialise(confirmed(pairs, odd, sets, threshold), "links"))
-        found = materialise(components(reduce(DataFrame.unionByName, edges)), "components")
-        if t == ROUNDS or across <= FEW:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        open_ = left.drop("component").join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        left = materialise(open_.join(live.select("key"), "key", "left_semi").where("true").select("key", "doc", "component"), "left")
+            pivot = left.groupBy("key").agg(F.min_by(F.struct("doc", "component"), choice).alias("p"))
+            pairs = left.join(pivot, "key").where("component <> p.component").select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
+        new = confirmed(pairs, odd, sets, threshold)
+        links = materialise(new if links is None else links.unionByName(new), "links")
+        found = materialise(components(links), "components")
+        if choice is not None:
+            # A bucket of two has been compared; one of a single component can't change anything.
+            now = left.drop("component").join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+            open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi")
+            left = materialise(now.join(open_.select("key"), "key", "left_semi"), "left")
+            if left.isEmpty():
+                break
     named = some.select("doc_id", "same").join(classes, "same").select("doc_id", "same", "rep")
-    if found is not None:
-        named = named.join(found.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "same", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        named = named.select("doc_id", "same", F.col("rep").alias("component_id"))
-    named = named.distinct()
+    named = named.join(found.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "same", F.coalesce("component", "rep").alias("component_id")).distinct()
     alone = all_.where(F.col("same").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = some.select("doc_id", "same", "n_shingles").join(named, ["doc_id", "same"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -70,7 +70,7 @@ def test_substring_matches_brute_force(docs, empty, texts, monkeypatch):
 def test_fm_index_streams_foreign_text():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 4, 400)
-    text[[100, 250]] = 0
+    text[[100, 250, 399]] = 0
     index = fm_index.FMIndex(text, np.arange(400), 6)
     parts = [rng.integers(1, 6, n) for n in (1, 5, 6, 40, 90)]
     for part, got in zip(parts, index.stream(parts), strict=True):
@@ -96,16 +96,27 @@ def links(texts, k, threshold=80):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_minhash_components_match_brute_force(docs, empty, texts, monkeypatch, few):
-    monkeypatch.setattr(minhash, "FEW", few)
+def test_minhash_components_match_brute_force(docs, empty, texts):
     sets, root = links(texts, 2)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.link(docs, 2).collect()}
     assert got == {i * 3 + 1: (len(s), r * 3 + 1, r == i) for i, (s, r) in enumerate(zip(sets, root, strict=True))}
-    if few:
-        assert minhash.link(empty, 2).count() == 0
-        odd = docs.unionByName(docs.limit(1)).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
-        assert minhash.link(odd, 2).count() == docs.count() + 1
+    assert minhash.link(empty, 2).count() == 0
+    odd = docs.unionByName(docs.limit(1)).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    assert minhash.link(odd, 2).count() == docs.count() + 1
+
+
+def test_prefix_filter_loses_no_link(spark):
+    rng = random.Random(11)
+    sets = [sorted(rng.sample(range(60), rng.randint(3, 20))) for _ in range(80)]
+    sets += [sorted(set(s) ^ {rng.randrange(60)}) for s in sets]
+    frame = spark.createDataFrame(list(enumerate(sets)), "doc long, set array<long>")
+    left = frame.select("doc", F.col("doc").alias("component"))
+    got = {(r.a, r.b) for r in minhash.by_prefix(left, frame, 80).collect()}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(set(a) & set(sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                assert (i, j) in got
 
 
 def test_components_of_a_long_chain(spark):
@@ -159,7 +170,7 @@ def test_risk_control_rejects_junk_and_keeps_clean(spark):
 
 
 PII_CASES = [
-    ("a@b.c_d@e.f x.y@z.com.", "email:0:5,email:5:10,email:11:20"),
+    ("a@b.c_d@e.f x.y@z.com.", "email:0:5,email:5:11,email:12:21"),
     ("1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.255", "ip:0:7,ip:8:15,ip:26:37"),
     ("4539 1488 0343 6467 and 4539148803436468", "card:0:19"),
     ("call +1 (377) 555-0271 now", "phone:5:22"),
