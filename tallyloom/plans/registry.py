@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tallyloom.plans import directory  # noqa: F401
+    from tallyloom.plans import directory, joins, tallies  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
