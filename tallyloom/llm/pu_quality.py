@@ -128,9 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, positives: int = POSIT
     """fold: whether labels of a doc_id may be learnt. Labels are only ever used to find trusted positives."""
     good = labels.where(fold & (F.col("quality") == 1)).select("doc_id").distinct()
     at = F.pmod(F.xxhash64("doc_id", F.lit("pu")), F.lit(1 << 20))
-    some = lambda n, most: at < int((1 << 20) * min(1.0, most / max(n, 1)))
-    trusted = docs.join(good.where(some(good.count(), positives)), "doc_id", "left_semi")
-    web = docs.where(some(docs.count(), unlabelled))
+    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)  # at most so many ids, so they can be broadcast
+    trusted = docs.join(F.broadcast(few), "doc_id", "left_semi")
+    web = docs.where(at < int((1 << 20) * min(1.0, unlabelled / max(docs.count(), 1))))
     shape = lambda df: np.array([r[0] for r in df.select(described(F.col("text"))).collect()]).reshape(-1, FEATURES)
     p, u = shape(trusted), shape(web)
     if not len(p) or not len(u):

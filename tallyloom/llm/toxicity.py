@@ -4,8 +4,9 @@ A logistic regression over the words that tell toxic from other labelled documen
 identity terms, each is swapped for another of its group, and the squared change of the logit is penalised, so that a
 neutral mention of a group cannot carry a score.
 
-Words are counted by Spark over all labelled documents of the training folds; the model is fitted on the driver from at
-most `SAMPLE` of them (a bounded, documented sample: ids by hash), as sparse counts of at most `VOCABULARY` words.
+The fit takes at most `SAMPLE` labelled documents (a bounded, documented sample: the first by hash of the id), whose ids
+alone are broadcast, so no text is shuffled. Spark counts their words; the model is fitted on the driver from sparse counts of at
+most `VOCABULARY` words.
 
 Edge cases: null and empty texts get the score of a text without any known word; labels that are null are no labels; if
 only one class is labelled the score is that class's smoothed share; repeated rows are scored each.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, VOCABULARY, PENALTY, RIDGE, STEPS = 12_000, 2048, 5.0, 1e-3, 300
+SAMPLE, VOCABULARY, PENALTY, RIDGE, STEPS = 20_000, 2048, 5.0, 1e-3, 300
 #: A word belongs to the vocabulary from so many documents and so many standard errors on.
 LEAST, SIGNIFICANT = 4, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,8 +79,8 @@ def vocabulary(labelled: DataFrame, size: int = VOCABULARY) -> list[str]:
     return [r["word"] for r in known.orderBy(F.desc("z"), "word").limit(size).collect()]
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, ridge: float = RIDGE) -> Model:
-    """labelled: doc_id, text, toxic (0 or 1)."""
+def fit(labelled: DataFrame, penalty: float = PENALTY, ridge: float = RIDGE) -> Model:
+    """labelled: text, toxic (0 or 1)."""
     words = vocabulary(labelled)
     n = labelled.count()
     if not words:
@@ -97,8 +98,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, rid
                 rows.append((int(y), list(seen), list(seen.values()), list(swapped), list(swapped.values())))
             yield pd.DataFrame(rows, columns=["y", "i", "c", "j", "d"])
 
-    few = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1))))
-    rows = few.select("text", "toxic").mapInPandas(counted, "y int, i array<int>, c array<int>, j array<int>, d array<int>").collect()
+    rows = labelled.select("text", "toxic").mapInPandas(counted, "y int, i array<int>, c array<int>, j array<int>, d array<int>").collect()
 
     def sparse(idx: str, cnt: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         r = np.repeat(np.arange(len(rows)), [len(x[idx]) for x in rows])
@@ -131,10 +131,11 @@ def scored(model: Model, text: Column) -> Column:
     return run(text)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
-    """doc_id, text and label of the labelled documents whose id meets a condition."""
-    y = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(train).join(y, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> DataFrame:
+    """text and label of at most `sample` labelled documents whose id meets a condition."""
+    y = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    few = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
