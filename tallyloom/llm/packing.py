@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 WINDOW, PIECE, END = 2048, 512, 1
 #: Pieces in a group, on average: enough for the sums to meet closely, few enough for a task.
 GROUP = 256
-#: Distinct words whose ids a worker remembers.
+#: Distinct words whose ids a worker remembers, the first that it meets.
 REMEMBERED = 400_000
+_AFTER = re.compile(r" (?:\s|\Z)")
 _ALONE = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -68,19 +69,17 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        if _ALONE.search(text):
+        if _AFTER.search(text) and _ALONE.search(text):
             return _bytes(self.fast(text))
         known, parts = self.words, text.split(" ")
-        out = [_bytes(self.fast(parts[0]))]
-        for w in parts[1:]:
-            ids = known.get(w)
-            if ids is None:
-                ids = _bytes(self.fast(" " + w))
-                if len(w) < 40:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[w] = ids
-            out.append(ids)
+        out = list(map(known.get, parts))
+        out[0] = _bytes(self.fast(parts[0]))
+        if None in out:
+            for i, w in enumerate(parts):
+                if out[i] is None:
+                    out[i] = _bytes(self.fast(" " + w))
+                    if len(known) < REMEMBERED and len(w) < 40:
+                        known[w] = out[i]
         return b"".join(out)
 
 
