@@ -85,7 +85,9 @@ def gaps(periods: DataFrame, keys: list[str], starts: str, ends: str) -> DataFra
 def uncovered_days(claims: DataFrame, spans: DataFrame, owner: str, claim: str, tolerance: int = 0) -> DataFrame:
     """Days of each claim (owner, claim, starts, ends) that spans (owner, starts, ends) leave open, zero within the tolerance."""
     merged = coalesce_touching(spans, [owner], "starts", "ends").select(owner, F.col("starts").alias("s"), F.col("ends").alias("e"))
-    joined = claims.join(merged, owner, "left").withColumn("held", F.coalesce(F.greatest(F.datediff(F.least("ends", end(F.col("e"))), F.greatest("starts", "s")) + 1, F.lit(0)), F.lit(0)))
+    # greatest and least skip nulls, so an owner without spans is told apart first.
+    shared = F.greatest(F.datediff(F.least("ends", end(F.col("e"))), F.greatest("starts", "s")) + 1, F.lit(0))
+    joined = claims.join(merged, owner, "left").withColumn("held", F.when(F.col("s").isNull(), 0).otherwise(shared))
     out = joined.groupBy(owner, claim).agg((F.datediff(F.first("ends"), F.first("starts")) + 1 - F.sum("held")).alias("open"))
     return out.select(owner, claim, F.when(F.col("open") > tolerance, F.col("open")).otherwise(0).cast("long").alias("uncovered"))
 
