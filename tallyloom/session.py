@@ -12,6 +12,9 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+#: Working folders of sessions without a shared one, by application.
+_OWN: dict[str, str] = {}
+
 
 def local_session(cpus: int = 8, app: str = "tallyloom", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -38,8 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+        at = _OWN[app]
     return at.rstrip("/")
 
 
