@@ -6,11 +6,10 @@ the representatives, `BANDS` x `ROWS` MinHash values make the band keys (a pair
 bit; the population count of the XOR of two sketches estimates a high similarity closely, and pairs estimated `MARGIN`
 (over six standard errors) below the threshold are dropped. The others are confirmed on the full sets.
 
-All pairs within a bucket are never made. First every member of a bucket is compared with the smallest; linked documents
-become one component. Then, where a bucket still holds several components, its members are compared with a random pivot
-of the bucket, another in each band. What is left are mostly buckets of documents that share a passage but are not alike; an exact way finds any
-link among them: rarest shingles first, two documents at the threshold share one of the first n - threshold * n + 1
-(prefix filter), and pairs are made only across components, never within a token's largest one. Links inside a component
+All pairs within a bucket are never made. First every member of a bucket is compared with its most central one, the
+document that meets the most others in all bands; linked documents become one component. What is left are mostly buckets
+of documents that share a passage but are not alike; an exact way finds any link among them: prefix, length and position
+filters on the shingles, rarest first, and pairs are made only across components, never within a token's largest one. Links inside a component
 can't change it, so the components are those of the full graph.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is
@@ -103,11 +102,12 @@ def confirmed(pairs: DataFrame, odd: DataFrame, sets: DataFrame, threshold: int)
 
 
 def crossing(rows: DataFrame, key: str, *apart: Column) -> DataFrame:
-    """Pairs (a, b) of documents in rows (key, doc, component, n) that share a key but no component; extra conditions are on x and y."""
+    """Pairs (a, b) of documents in rows (key, doc, component, more) that share a key but no component; extra conditions are on x and y."""
     sizes = rows.groupBy(key, "component").agg(F.count("*").alias("c")).groupBy(key).agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("most")).where("parts > 1")
     here = rows.join(sizes.select(key, "most"), key)
-    a = here.where("component <> most").select(key, F.struct("doc", "component", "n").alias("x"))
-    b = here.select(key, F.struct("doc", "component", "n").alias("y"))
+    told = [c for c in rows.columns if c != key]
+    a = here.where("component <> most").select(key, F.struct(*told).alias("x"))
+    b = here.select(key, F.struct(*told).alias("y"))
     pairs = a.join(b, key).where(F.col("x.component") != F.col("y.component"))
     for condition in apart:
         pairs = pairs.where(condition)
@@ -115,14 +115,24 @@ def crossing(rows: DataFrame, key: str, *apart: Column) -> DataFrame:
 
 
 def by_prefix(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of documents of different components (doc, component) that the prefix filter can't rule out."""
+    """Pairs of documents of different components (doc, component) that prefix, length and position of their shingles can't rule out.
+
+    Rarest shingles first, the first shingle that two linked documents share is among the first n - threshold * n + 1 of the
+    larger and, since they share at least 2 * threshold / (1 + threshold) of the smaller, among fewer of the smaller; what follows it
+    in either must still hold as many shingles as the two have to share.
+    """
     mine = sets.join(left, "doc").select("doc", "component", F.size("set").alias("n"), F.explode("set").alias("token"))
     common = mine.groupBy("token").agg(F.count("*").alias("df"))
     ranked = mine.join(common, "token").groupBy("doc", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     length = (F.col("n") - F.floor((F.col("n") * threshold + 99) / 100) + 1).cast("int")
-    rows = ranked.select("doc", "component", "n", F.explode(F.slice("t", F.lit(1), length)).alias("t")).where("t.df > 1").select("doc", "component", "n", F.col("t.token").alias("token"))
+    short = F.col("n") - F.ceil(2 * threshold * F.col("n") / (100 + threshold)) + 1
+    rows = ranked.select("doc", "component", "n", short.alias("short"), F.posexplode(F.slice("t", F.lit(1), length)).alias("pos", "t"))
+    rows = rows.where("t.df > 1").select("doc", "component", "n", "short", "pos", F.col("t.token").alias("token"))
     alike = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    return crossing(rows, "token", alike)
+    x_less = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc")))
+    early = F.when(x_less, F.col("x.pos") < F.col("x.short")).otherwise(F.col("y.pos") < F.col("y.short"))
+    enough = (100 + threshold) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= threshold * (F.col("x.n") + F.col("y.n"))
+    return crossing(rows, "token", alike, early, enough)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,7 +166,9 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     reps = materialise(reps.select("doc", "bands", "odd"), "representatives")
     rows = reps.select("doc", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialise(rows.join(shared, "key").select("key", "doc"), "buckets")
+    met = rows.join(shared, "key")
+    central = met.groupBy("doc").agg(F.sum("n").alias("near"))
+    buckets = materialise(met.join(central, "doc").select("key", "doc", "near"), "buckets")
     wanted = buckets.select("doc").distinct()
     odd = materialise(reps.select("doc", "odd").join(wanted, "doc"), "sketches")
 
@@ -168,23 +180,18 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where(F.col("text").isNotNull())
     sets = materialise(texts.join(wanted, "doc").mapInPandas(full, "doc long, set array<long>").dropDuplicates(["doc"]), "sets")
 
-    left, links, found = buckets.withColumn("component", F.col("doc")), None, None
-    for choice in (F.col("doc"), F.xxhash64("doc", "key"), None):
-        if choice is None:
-            pairs = by_prefix(left.select("doc", "component").distinct(), sets, threshold)
-        else:
-            pivot = left.groupBy("key").agg(F.min_by(F.struct("doc", "component"), choice).alias("p"))
-            pairs = left.join(pivot, "key").where("component <> p.component").select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b")).distinct()
-        new = confirmed(pairs, odd, sets, threshold)
-        links = materialise(new if links is None else links.unionByName(new), "links")
-        found = materialise(components(links), "components")
-        if choice is not None:
-            # A bucket of two has been compared; one of a single component can't change anything.
-            now = left.drop("component").join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi")
-            left = materialise(now.join(open_.select("key"), "key", "left_semi"), "left")
-            if left.isEmpty():
-                break
+    # Every member of a bucket against its most central one.
+    pivot = buckets.groupBy("key").agg(F.min_by("doc", F.struct(-F.col("near"), "doc")).alias("pivot"))
+    pairs = buckets.join(pivot, "key").where("doc <> pivot").select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct()
+    links = materialise(confirmed(pairs, odd, sets, threshold), "links")
+    found = materialise(components(links), "components")
+    # A bucket of two has been compared; one of a single component can't change anything.
+    now = buckets.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi")
+    left = materialise(now.join(open_.select("key"), "key", "left_semi").select("doc", "component").distinct(), "left")
+    more = materialise(confirmed(by_prefix(left, sets, threshold), odd, sets, threshold), "links")
+    if not more.isEmpty():
+        found = materialise(components(links.unionByName(more)), "components")
     named = some.select("doc_id", "same").join(classes, "same").select("doc_id", "same", "rep")
     named = named.join(found.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "same", F.coalesce("component", "rep").alias("component_id")).distinct()
     alone = all_.where(F.col("same").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
