@@ -71,3 +71,20 @@ def neighbour_fill(df: DataFrame, keys: list[str], order: list[str], value: str,
 def sequence_gap(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     """How many numbers of a running series are not held."""
     return df.groupBy(*keys).agg(F.max(number).alias("highest"), F.count_distinct(number).alias("held")).withColumn("missing", F.col("highest") - F.col("held"))
+
+
+def counted_between(spans: DataFrame, rows: DataFrame, day: str, starts: str, ends: str, into: str) -> DataFrame:
+    """spans with the number of rows dated within each, both ends included.
+
+    A running count over the calendar answers both ends by equality, so no span meets every row: the calendar has one line for each day
+    from the first to the last row.
+    """
+    edge = rows.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    calendar = edge.select(F.explode(F.sequence("lo", "hi")).alias(day))
+    by_day = calendar.join(rows.groupBy(day).agg(F.count("*").alias("__n")), day, "left")
+    upto = by_day.select(F.col(day).alias("__day"), F.sum(F.coalesce("__n", F.lit(0))).over(W.orderBy(day)).alias("__upto"))
+    clamped = spans.join(edge).withColumns({"__first": F.date_sub(starts, 1), "__last": F.least(F.coalesce(ends, F.col("hi")), F.col("hi"))}).drop("lo", "hi")
+    at = lambda c: upto.select(F.col("__day").alias(c), F.col("__upto").alias(f"{c}_n"))
+    out = clamped.join(at("__first"), "__first", "left").join(at("__last"), "__last", "left")
+    n = F.greatest(F.coalesce("__last_n", F.lit(0)) - F.coalesce(F.when(F.col("__first") <= F.col("__last"), F.col("__first_n")), F.lit(0)), F.lit(0))
+    return out.select(*spans.columns, F.when(F.col(starts) <= F.col("__last"), n).otherwise(0).cast("long").alias(into))

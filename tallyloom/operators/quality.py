@@ -102,3 +102,11 @@ def triage(rows: DataFrame, first: int) -> Column:
         F.when(F.col("official_id") < first, "older_legislature").when(F.col("held"), "already_imported").when(F.col("test"), "test_ballot")
         .when(F.col("attendance"), "attendance_check").when(F.col("summarised"), "joint_amendment_summarised").when(F.col("listed"), "still_to_import").otherwise("not_on_official_lists")
     )
+
+
+def confidence(open_issue: Column, missing: Column, unsupported: Column, accepted: Column, stored: Column) -> Column:
+    """How far a record can be trusted; the first flag that holds decides."""
+    return (
+        F.when(open_issue, "open_issue").when(missing, "missing").when(unsupported, "unsupported")
+        .when(accepted, "accepted").when(stored, "stored").otherwise("parsed")
+    )

@@ -64,6 +64,16 @@ def keyset_page(df: DataFrame, day: str, key: str, limit: int, cursor: tuple | N
     return df.where(all_of(after_cursor(day, key, cursor))).orderBy(F.desc(day), F.desc(key)).limit(limit + 1)
 
 
+def by_ids(df: DataFrame, key: str, ids: list) -> DataFrame:
+    """Rows of a list of ids that a caller holds; an empty list asks for nothing."""
+    return df.where(F.col(key).isin(*ids)) if ids else df.limit(0)
+
+
+def sorted_by(df: DataFrame, column: str, descending: bool, ties: list[str]) -> DataFrame:
+    """One column either way, unknown values last both ways, ties by the other columns upwards."""
+    return df.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), *ties)
+
+
 def distinct_on(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order that must be total."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
