@@ -89,6 +89,14 @@ def names_match(a: Column, b: Column) -> Column:
     return (F.least(F.size(x), F.size(y)) >= 2) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
 
 
+def constituency_key(c: Column) -> Column:
+    """A constituency in one spelling: old and new letters of one sound alike, what follows the date off, all places abroad as one."""
+    told = F.coalesce(c, F.lit(""))
+    abroad = F.rlike(fold_ro(told), F.lit(r"\bdiaspora\b|\bafara (romaniei|tarii)\b|strainatate"))
+    plain = F.regexp_replace(fold_ro(F.translate(told, "âîÂÎ", "iiii")), r"\s+in data de.*$", "")
+    return F.when(abroad, "diaspora").otherwise(F.btrim(F.regexp_replace(plain, "[^a-z]+", " ")))
+
+
 def one_letter_apart(a: Column, b: Column, least: int = 6) -> Column:
     return (F.least(F.length(a), F.length(b)) >= least) & (F.levenshtein(a, b) <= 1)
 

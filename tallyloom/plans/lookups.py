@@ -84,10 +84,10 @@ def b09(spark, sf):
     return table(spark, sf, "customer").where(~F.col("c_nationkey").isin(1, 2, 3)).select("c_custkey")
 
 
-@query("b11_regex", "select p_partkey from part where regexp_matches(p_type, '(?i)(brass|steel)$') and not regexp_matches(p_type, '^STANDARD')")
+@query("b11_regex", "select p_partkey from part where regexp_matches(p_type, '(?i)(promo|small)$') and not regexp_matches(p_type, '^STANDARD')")
 def b11(spark, sf):
     kind = F.col("p_type")
-    return table(spark, sf, "part").where(kind.rlike("(?i)(brass|steel)$") & ~kind.rlike("^STANDARD")).select("p_partkey")
+    return table(spark, sf, "part").where(kind.rlike("(?i)(promo|small)$") & ~kind.rlike("^STANDARD")).select("p_partkey")
 
 
 @query(
