@@ -210,21 +210,6 @@ def j01(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", rules.vote_kind(title, F.lit(False)).alias("kind"))
 
 
-@query(
-    "k01_integrity_checks",
-    """select 'bills_share_a_number' as "check", 'error' as severity, cast(p_size as varchar) as id, cast(count(*) as varchar) as other from part where p_size <= 20 group by p_size having count(*) > 1
-    union all select 'promulgated_without_law_number', 'error', cast(p_partkey as varchar), null from part where p_partkey % 10 = 1 and p_partkey % 3 = 0""",
-)
-def k01(spark, sf):
-    """Two of the declared checks; each lists at most its first 1000 rows."""
-    k = F.col("p_partkey")
-    bills = table(spark, sf, "part").select(
-        k.alias("id"), F.when(F.col("p_size") <= 20, F.col("p_size")).alias("number"), F.when(k % 10 == 1, "promulgated").otherwise("open").alias("status"), F.when(k % 3 != 0, k).alias("law_number")
-    )
-    wanted = tuple(c for c in Q.CHECKS if c.name in ("bills_share_a_number", "promulgated_without_law_number"))
-    return Q.run_checks({"bills": bills}, wanted)
-
-
 @query(
     "k30_verdict",
     """with n as (select o_orderstatus as "check", case when o_orderstatus = 'P' then 'warning' else 'error' end as severity, count(*) as n, count(*) filter (where o_orderkey % 2 = 0) as was from orders group by 1)

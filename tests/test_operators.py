@@ -153,19 +153,33 @@ def test_replay_of_a_cabinet(spark):
 
 def civic(spark):
     d = lambda x: x and day(x)
+    period = "starts_on date, ends_on date"
     t = {
-        "legislatures": ([("L1", d("2020-01-01"))], "id string, starts_on date"),
-        "people": ([("p1",), ("p2",), ("p9",)], "id string"),
-        "members": ([("m1", "p1", "Ion Pop"), ("m2", "p1", "Secretar Ion"), ("m3", None, "X Y"), ("m4", "p2", "Z")], "id string, person_id string, name string"),
-        "mandates": ([("a1", "m1", "L1", "s1", d("2020-01-01"), None), ("a2", "m2", "L1", "s1", d("2020-06-01"), None), ("a3", "m3", "L1", "s3", d("2019-01-01"), d("2020-02-01"))], "id string, member_id string, legislature_id string, seat string, starts_on date, ends_on date"),
-        "memberships": ([("g1", "m1", d("2020-01-01"), d("2020-05-01")), ("g2", "m1", d("2020-04-01"), None), ("g3", "m3", d("2020-03-01"), None)], "id string, member_id string, starts_on date, ends_on date"),
-        "affiliations": ([("f1", "m1", d("2020-01-01"), d("2020-02-01")), ("f2", "m1", d("2020-02-01"), None)], "id string, member_id string, starts_on date, ends_on date"),
-        "votes": ([("v1", d("2020-03-01"), "Vot", "final_adoption", None, 2), ("v2", d("2020-03-02"), "Legea x", "final_adoption", "b1", 1)], "id string, held_on date, title string, kind string, bill_id string, for_count int"),
-        "individual_votes": ([("i1", "v1", "m1", "for"), ("i2", "v1", "m3", "for"), ("i3", "v2", "m1", "against")], "id string, vote_id string, member_id string, choice string"),
-        "committees": ([("c1", "m1", "k1", d("2020-01-01"), None), ("c2", "m1", "k1", d("2020-02-01"), None), ("c3", "m1", "k2", d("2020-02-01"), None)], "id string, member_id string, committee_id string, starts_on date, ends_on date"),
-        "bills": ([("b1", "PL-x 1/2020", "promulgated", None, "MO 1"), ("b2", "PL-x 1/2020", "promulgated", "5", None)], "id string, number string, status string, law_number string, gazette string"),
-        "roles": ([("r1", "g", "leader", d("2020-01-01"), None), ("r2", "g", "leader", d("2020-02-01"), None), ("r3", "g", "president", d("2020-01-01"), None)], "id string, body_id string, role string, starts_on date, ends_on date"),
-        "steps": ([("t1", "b2", "v2")], "id string, bill_id string, vote_id string"),
+        "legislatures": ([("L1", d("2016-12-20"), d("2020-01-01")), ("L2", d("2020-01-01"), d("2024-12-01"))], f"id string, {period}"),
+        "people": ([("p1", "A"), ("p2", "B"), ("p8", "C"), ("p9", "Q, Chestor")], "id string, name string"),
+        "members": ([("m1", "p1", "Ion Pop"), ("m2", "p1", "Ion, Secretar"), ("m3", None, "X, Y"), ("m4", "p2", "Secretar Z")], "id string, person_id string, name string"),
+        "offices": ([("p8",)], "person_id string"),
+        "mandates": (
+            [("a1", "m1", "L2", "senate", d("2020-01-01"), None), ("a2", "m2", "L2", "senate", d("2020-06-01"), None), ("a3", "m3", "L2", "deputies", d("2019-11-30"), d("2020-02-01")), ("a4", "m1", "L1", "senate", d("2016-12-20"), None)],
+            f"id string, member_id string, legislature_id string, chamber string, {period}",
+        ),
+        "memberships": ([("g1", "m1", d("2020-01-01"), d("2020-05-01")), ("g2", "m1", d("2020-04-01"), None), ("g3", "m3", d("2020-03-01"), None), ("g4", "m2", d("2024-12-02"), None)], f"id string, member_id string, {period}"),
+        "affiliations": (
+            [("f1", "m1", "p", d("2020-01-01"), d("2020-02-01")), ("f2", "m1", "x-independent", d("2020-02-01"), None), ("f3", "m1", "x-fara-adeziune-q", d("2020-03-01"), None), ("f4", "m4", "p", d("2020-01-01"), None), ("f5", "m4", "q", d("2021-01-01"), None)],
+            f"id string, member_id string, party_id string, {period}",
+        ),
+        "votes": (
+            [("v1", d("2020-03-01"), "senate", "Vot Senat", "final_adoption", None, 2, 0, 0), ("v2", d("2020-03-02"), "deputies", "Legea x", "amendment", "b1", 0, 1, 0), ("v3", d("2020-03-02"), "joint", "Moțiune", "final_rejection", None, None, 1, 0)],
+            "id string, held_on date, chamber string, title string, kind string, bill_id string, for_count int, against int, abstention int",
+        ),
+        "individual_votes": ([("v1", "m1", "for"), ("v1", "m3", "for"), ("v2", "m1", "against"), ("v3", "m1", "against")], "vote_id string, member_id string, choice string"),
+        "committees": ([("c1", "m1", "k1", d("2020-01-01"), None), ("c2", "m1", "k1", d("2020-02-01"), None), ("c3", "m1", "k2", d("2020-02-01"), None)], f"id string, member_id string, committee_id string, {period}"),
+        "bills": ([("b1", "L 7/2020", "PL-x 1/2020", "promulgated", None, "MO 1"), ("b2", "l7/2020", "plx 1/2020", "promulgated", "5", None), ("b3", None, "pl-x1/2020", "rejected", None, None)], "id string, senate string, deputies string, status string, law_number string, gazette string"),
+        "roles": (
+            [("r1", "group", "Lider de grup", "g", None, d("2020-01-01"), None), ("r2", "group", "Lider de grupă", "g", None, d("2020-02-01"), None), ("r3", "bureau", "Președinte al Senatului", None, "senate", d("2020-01-01"), d("2020-02-01")), ("r4", "bureau", "Președinte al Senatului", None, "senate", d("2020-02-01"), None)],
+            f"id string, kind string, title string, group_id string, chamber string, {period}",
+        ),
+        "steps": ([("t1", "b2", "v2"), ("t2", "b1", "v2"), ("t3", "b1", "v1")], "id string, bill_id string, vote_id string"),
     }
     return {k: spark.createDataFrame(rows, schema) for k, (rows, schema) in t.items()}
 
@@ -175,10 +189,10 @@ def test_integrity_checks_find_what_is_broken(spark):
     for r in Q.run_checks(civic(spark)).collect():
         found.setdefault(r.check, set()).add(r.id)
     assert found == {
-        "overlapping_group_periods": {"g1"}, "membership_outside_mandates": {"g3"}, "two_seats_at_once": {"a1"}, "same_seat_twice": {"a1"}, "mandate_without_person": {"m3"},
-        "vote_by_non_sitting_member": {"i2"}, "seat_count_out_of_range": {"L1"}, "office_title_in_name": {"m2"}, "placeholder_vote_title": {"v1"}, "duplicate_committee_row": {"c1"},
-        "bills_share_a_number": {"PL-x 1/2020"}, "final_vote_without_bill": {"v1"}, "nominal_differs_from_totals": {"v2"}, "two_leaders_at_once": {"r1"}, "promulgated_without_law_number": {"b1"},
-        "promulgated_without_gazette": {"b2"}, "step_vote_of_another_bill": {"t1"}, "orphan_people": {"p9"}, "member_without_mandate": {"m4"}, "mandate_before_legislature": {"a3"},
+        "overlapping_group_periods": {"g1"}, "overlapping_party_periods": {"f4"}, "membership_outside_mandates": {"g3", "g4"}, "two_seats_at_once": {"a1"}, "same_seat_twice": {"m1"},
+        "mandate_without_person": {"m3"}, "vote_by_non_sitting_member": {"v1", "v2"}, "seat_count_out_of_range": {"senate"}, "office_title_in_name": {"m2", "p9"}, "placeholder_vote_title": {"v1"},
+        "duplicate_committee_row": {"c1"}, "bills_share_a_number": {"senate:L7/2020", "deputies:pl-x1/2020"}, "final_vote_without_bill": {"v1"}, "nominal_differs_from_totals": {"v3"}, "two_leaders_at_once": {"r1"},
+        "promulgated_without_law_number": {"b1"}, "promulgated_without_gazette": {"b2"}, "step_vote_of_another_bill": {"t1"}, "orphan_people": {"p9"}, "member_without_mandate": {"m4"}, "mandate_before_legislature": {"a3"},
     }
     assert len(Q.CHECKS) == 23
     counts = "check string, severity string, n long"
