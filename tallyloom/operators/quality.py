@@ -182,3 +182,9 @@ def confidence(open_issue: Column, missing: Column, unsupported: Column, accepte
         F.when(open_issue, "open_issue").when(missing, "missing").when(unsupported, "unsupported")
         .when(accepted, "accepted").when(stored, "stored").otherwise("parsed")
     )
+
+
+def progress(counts: DataFrame) -> DataFrame:
+    """Bars of (area, item, have, total): the share done, rounded down so that only a whole is 100, and what is missing. Without a real total there is no bar."""
+    done = F.floor(F.least(F.col("have"), F.col("total")) * 100 / F.col("total"))
+    return counts.where("total > 0").select("area", "item", "have", "total", done.cast("int").alias("percent"), F.greatest(F.col("total") - F.col("have"), F.lit(0)).alias("missing"))
