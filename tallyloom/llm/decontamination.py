@@ -3,9 +3,10 @@
 Words become templates: numbers, units and names give way to typed placeholders, everything else is lower-cased and
 stripped of punctuation. Windows of `WIDTH` template words of benchmark items are hash-joined with those of documents. A
 bitmap of the benchmark's window hashes, at most `BITS` bits, keeps windows that cannot match out of the join. On each
-diagonal (a document, an item and the distance between their positions) the placeholders must be filled consistently: a value of
-the item stands for one value of the document and the other way round. What is left counts as contamination from `LEAST`
-windows on, or all windows of a shorter item.
+diagonal (a document, an item and the distance between their positions) the placeholders should be filled consistently: a value of
+the item stands for one value of the document. Consistent diagonals count as contamination from `LEAST` windows on, or three
+fifths of the windows of a shorter item. Where a value of the item stands for several, the windows that are verbatim or go by the
+most frequent one count too, and all together settle it from `MIXED` on; a shorter item with two values for a slot is another item.
 
 Edge cases: null and empty texts match nothing; items of fewer than `SHORTEST` words can't be told from chance and match
 nothing; items shorter than a window are one window of their own width; windows with fewer than `PLAIN` plain words are
@@ -15,6 +16,7 @@ left out on both sides; repeated rows of an id are one document; an empty table
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.hashing import runs
 
 WIDTH, LEAST, SHORTEST, PLAIN, BITS = 8, 6, 5, 4, 1 << 26
+#: Windows that settle it where a slot has two values: a text of 23 words or more.
+MIXED = 2 * WIDTH
 #: Units that a number may carry.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs hours minutes seconds days weeks years miles meters metres "
@@ -118,6 +123,24 @@ def bitmap(items: DataFrame) -> np.ndarray:
     return bits
 
 
+@F.pandas_udf(T.LongType())
+def contradicting(w: pd.Series) -> pd.Series:
+    """How many windows of a diagonal, given as (at, pairs of slots), are neither verbatim nor as the most frequent value of each slot has it."""
+
+    def count(found) -> int:
+        if found is None:
+            return 0
+        places = {(p["i"], p["x"], p["y"]) for one in found for p in one["p"]}
+        seen = Counter((x, y) for _, x, y in places)
+        bound: dict[str, str] = {}
+        for x, y in sorted(seen, key=lambda k: (seen[k], k[0] == k[1], k[1])):
+            bound[x] = y
+        fits = {one["at"] for one in found if all(p["x"] == p["y"] for p in one["p"]) or all(bound[p["x"]] == p["y"] for p in one["p"])}
+        return len({one["at"] for one in found}) - len(fits)
+
+    return w.map(count, na_action=None).astype("int64")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with leaked items: doc_id, contaminated, n_items, item_ids (text), n_windows, reworded."""
     from tallyloom.session import materialise
@@ -134,12 +157,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     there = items.select("item_id", F.col("pos").alias("at"), "width", "h", F.col("slots").alias("filled"), "n")
     hits = here.join(there, ["h", "width"])
     # One row for each filled slot of a hit, so that consistency is a matter of distinct counts.
-    pairs = F.filter(F.transform("filled", lambda x, i: F.struct(x.alias("x"), F.get("slots", i).alias("y"))), lambda p: p["x"] != "")
+    pairs = F.filter(F.transform("filled", lambda x, i: F.struct((F.col("at") + i).alias("i"), x.alias("x"), F.get("slots", i).alias("y"))), lambda p: p["x"] != "")
     diagonal = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", "n", pairs.alias("p"))
-    by = diagonal.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("windows"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("p"))).alias("p"))
-    one_to_one = (F.size(F.array_distinct(F.transform("p", lambda p: p["x"]))) == F.size("p")) & (F.size(F.array_distinct(F.transform("p", lambda p: p["y"]))) == F.size("p"))
-    good = by.where(one_to_one).withColumn("changed", F.exists("p", lambda p: p["x"] != p["y"]))
-    leaked = good.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.max("n").alias("n"), F.max("changed").alias("changed")).where(F.col("windows") >= F.least(F.lit(least), F.greatest(F.lit(1), F.floor(F.col("n") * 0.6))))
+    filled = F.when(F.size("p") > 0, F.struct("at", "p"))
+    by = diagonal.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("windows"), F.max("n").alias("n"), F.collect_set(filled).alias("w"))
+    by = by.withColumn("p", F.array_distinct(F.flatten(F.transform("w", lambda w: F.transform(w["p"], lambda p: F.struct(p["x"], p["y"]))))))
+    clash = F.size(F.array_distinct(F.transform("p", lambda p: p["x"]))) < F.size("p")
+    good = by.select("doc_id", "item_id", "n", "windows", clash.alias("clash"), F.exists("p", lambda p: p["x"] != p["y"]).alias("changed"), contradicting(F.when(clash, F.col("w"))).alias("against"))
+    pair = good.groupBy("doc_id", "item_id").agg(
+        F.sum(F.when(F.col("clash"), 0).otherwise(F.col("windows"))).alias("agreed"), F.sum(F.col("windows") - F.col("against")).alias("windows"), F.max("n").alias("n"), F.max("changed").alias("changed")
+    )
+    leaked = pair.where((F.col("agreed") >= F.least(F.lit(least), F.greatest(F.lit(1), F.floor(F.col("n") * 0.6)))) | (F.col("windows") >= MIXED))
     return leaked.groupBy("doc_id").agg(
         F.lit(True).alias("contaminated"),
         F.count("*").alias("n_items"),

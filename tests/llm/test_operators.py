@@ -319,6 +319,21 @@ def test_decontamination_finds_exact_and_reworded_items(spark, empty):
     assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_counts_what_agrees_beside_a_clashing_slot(spark):
+    rng = random.Random(18)
+    prose = lambda n: " ".join("".join(rng.choice("aeioubdgklmnrst") for _ in range(rng.randint(4, 8))) for _ in range(n))
+    long = " ".join(f"The {prose(11)}." for _ in range(20))
+    asked = f"if he buys 3 apples and {prose(6)} and then {prose(5)} 5 pears how many {prose(4)}"
+    items = spark.createDataFrame([(1, long), (2, asked)], "item_id long, text string")
+    one, half = long.replace("The", "This", 1), re.sub(r"The (.*?\. )The", r"This \1The", long)
+    rows = [(1, f"{prose(9)} {one} {prose(9)}"), (2, half), (3, asked.replace("3", "4").replace("5", "4")), (4, prose(300)), (5, "The " + " The ".join(prose(11) for _ in range(20))), (6, one)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.n_windows, r.reworded) for r in decontamination.contaminated(docs, items).collect()}
+    n = len(long.split()) - 7
+    assert {k: v[0] for k, v in got.items()} == {1: "1", 2: "1", 3: "2", 6: "1"}
+    assert got[6][1:] == (n - 1, True) and got[1][1] == n - 1 and got[3][2]
+
+
 def test_toxicity_learns_words_and_not_groups(spark, empty):
     rng = random.Random(6)
     neutral = [f"w{i}" for i in range(200)]
