@@ -9,8 +9,8 @@ fifths of the windows of a shorter item. Where a value of the item stands for se
 most frequent one count too, and all together settle it from `MIXED` on; a shorter item with two values for a slot is another item.
 
 Edge cases: null and empty texts match nothing; items of fewer than `SHORTEST` words can't be told from chance and match
-nothing; items shorter than a window are one window of their own width; windows with fewer than `PLAIN` plain words are
-left out on both sides; repeated rows of an id are one document; an empty table gives no rows.
+nothing; items shorter than a window are one window of their own width; windows with fewer than `PLAIN` plain words match
+with the same slot values only, so the threshold of a reworded item goes by its other windows, a third of all at least; repeated rows of an id are one document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from tallyloom.llm.hashing import runs
 
 WIDTH, LEAST, SHORTEST, PLAIN, BITS = 8, 6, 5, 4, 1 << 26
+#: Keeps hashes of windows with their slot values apart from those of templates.
+EXACT = np.uint64(0x9E3779B97F4A7C15)
 #: Windows that settle it where a slot has two values: a text of 23 words or more.
 MIXED = 2 * WIDTH
 #: Units that a number may carry.
@@ -65,7 +67,7 @@ class Templates:
         self.known: dict[str, tuple[int, str] | None] = {}
         self.most = most
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         known, out = self.known, []
         if len(known) > self.most:
             known.clear()
@@ -74,19 +76,23 @@ class Templates:
                 t = known[w]
             except KeyError:
                 found = template(w)
-                t = known[w] = found and (xxhash.xxh64_intdigest(found[0]), found[1], bool(found[1]))
+                t = known[w] = found and (xxhash.xxh64_intdigest(found[0]), found[1], bool(found[1]), xxhash.xxh64_intdigest("\0".join(found)))
             if t is not None:
                 out.append(t)
         h = np.fromiter((t[0] for t in out), np.uint64, len(out))
         slot = np.fromiter((t[2] for t in out), np.int64, len(out))
-        return h, slot, [t[1] for t in out]
+        exact = np.fromiter((t[3] for t in out), np.uint64, len(out))
+        return h, slot, exact, [t[1] for t in out]
 
 
-def windows(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of a width, and whether it has enough plain words."""
+def windows(h: np.ndarray, slot: np.ndarray, exact: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of a width, and whether it has enough plain words; without these the hash is of templates and slot values."""
     got = runs(h, width)
+    if not len(got):
+        return got, np.zeros(0, bool)
     total = np.concatenate([[0], np.cumsum(slot)])
-    return got, width - (total[width:] - total[:-width])[: len(got)] >= min(PLAIN, width - 1) if len(got) else np.zeros(0, bool)
+    plain = width - (total[width:] - total[:-width]) >= min(PLAIN, width - 1)
+    return (got if plain.all() else np.where(plain, got, runs(exact, width) ^ EXACT)), plain
 
 
 def _emit(key: str, widths: list[int] | None, bits: np.ndarray | None):
@@ -97,17 +103,18 @@ def _emit(key: str, widths: list[int] | None, bits: np.ndarray | None):
         for b in batches:
             rows = []
             for i, text in zip(b[key], b["text"], strict=True):
-                h, slot, values = templates(text)
+                h, slot, exact, values = templates(text)
                 for width in [min(WIDTH, len(h))] if widths is None else widths:
                     if width < SHORTEST:
                         continue
-                    got, good = windows(h, slot, width)
+                    got, plain = windows(h, slot, exact, width)
+                    kept = np.ones(len(got), bool)
                     if bits is not None and len(got):
                         at = got % np.uint64(len(bits) * 8)
-                        good = good & ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                    n = max(0, len(h) - width + 1)
-                    rows += [(i, int(p), width, int(got[p].view(np.int64)), values[p : p + width], n) for p in np.flatnonzero(good)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "width", "h", "slots", "n"])
+                        kept = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    n, n_plain = len(got), int(plain.sum())
+                    rows += [(i, int(p), width, int(got[p].view(np.int64)), values[p : p + width], bool(plain[p]), n, n_plain) for p in np.flatnonzero(kept)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "width", "h", "slots", "plain", "n", "n_plain"])
 
     return run
 
@@ -145,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     """The documents with leaked items: doc_id, contaminated, n_items, item_ids (text), n_windows, reworded."""
     from tallyloom.session import materialise
 
-    schema = "pos int, width int, h long, slots array<string>, n int"
+    schema = "pos int, width int, h long, slots array<string>, plain boolean, n int, n_plain int"
     items = materialise(benchmark.select("item_id", "text").mapInPandas(_emit("item_id", None, None), f"item_id long, {schema}"), "items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(items))
@@ -153,21 +160,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     def found(batches):
         yield from _emit("doc_id", widths, bits.value)(batches)
 
-    here = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(found, f"doc_id long, {schema}").drop("n")
-    there = items.select("item_id", F.col("pos").alias("at"), "width", "h", F.col("slots").alias("filled"), "n")
+    here = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(found, f"doc_id long, {schema}").drop("plain", "n", "n_plain")
+    there = items.select("item_id", F.col("pos").alias("at"), "width", "h", F.col("slots").alias("filled"), "plain", "n", "n_plain")
     hits = here.join(there, ["h", "width"])
     # One row for each filled slot of a hit, so that consistency is a matter of distinct counts.
     pairs = F.filter(F.transform("filled", lambda x, i: F.struct((F.col("at") + i).alias("i"), x.alias("x"), F.get("slots", i).alias("y"))), lambda p: p["x"] != "")
-    diagonal = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", "n", pairs.alias("p"))
+    diagonal = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", "plain", "n", "n_plain", pairs.alias("p"))
     filled = F.when(F.size("p") > 0, F.struct("at", "p"))
-    by = diagonal.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("windows"), F.max("n").alias("n"), F.collect_set(filled).alias("w"))
+    by = diagonal.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("at").alias("windows"), F.count_distinct(F.when(F.col("plain"), F.col("at"))).alias("plain"), F.max("n").alias("n"), F.max("n_plain").alias("n_plain"), F.collect_set(filled).alias("w"))
     by = by.withColumn("p", F.array_distinct(F.flatten(F.transform("w", lambda w: F.transform(w["p"], lambda p: F.struct(p["x"], p["y"]))))))
     clash = F.size(F.array_distinct(F.transform("p", lambda p: p["x"]))) < F.size("p")
-    good = by.select("doc_id", "item_id", "n", "windows", clash.alias("clash"), F.exists("p", lambda p: p["x"] != p["y"]).alias("changed"), contradicting(F.when(clash, F.col("w"))).alias("against"))
+    good = by.select("doc_id", "item_id", "n", "n_plain", "windows", "plain", clash.alias("clash"), F.exists("p", lambda p: p["x"] != p["y"]).alias("changed"), contradicting(F.when(clash, F.col("w"))).alias("against"))
     pair = good.groupBy("doc_id", "item_id").agg(
-        F.sum(F.when(F.col("clash"), 0).otherwise(F.col("windows"))).alias("agreed"), F.sum(F.col("windows") - F.col("against")).alias("windows"), F.max("n").alias("n"), F.max("changed").alias("changed")
+        F.sum(F.when(F.col("clash"), 0).otherwise(F.col("windows"))).alias("agreed"),
+        F.sum(F.when(F.col("clash"), 0).otherwise(F.col("plain"))).alias("plain"),
+        F.sum(F.col("windows") - F.col("against")).alias("windows"),
+        F.max("n").alias("n"),
+        F.max("n_plain").alias("n_plain"),
+        F.max("changed").alias("changed"),
     )
-    leaked = pair.where((F.col("agreed") >= F.least(F.lit(least), F.greatest(F.lit(1), F.floor(F.col("n") * 0.6)))) | (F.col("windows") >= MIXED))
+    share = lambda n: F.floor(F.col(n) * 0.6)
+    # Of a reworded item only plain windows can match; they must still be a third of it.
+    whole, reworded = F.least(F.lit(least), F.greatest(F.lit(1), share("n"))), F.least(F.lit(least), F.greatest(F.lit(1), share("n_plain"), F.ceil(F.col("n") / 3)))
+    leaked = pair.where((F.col("agreed") >= whole) | (F.col("plain") >= reworded) | (F.col("windows") >= MIXED))
     return leaked.groupBy("doc_id").agg(
         F.lit(True).alias("contaminated"),
         F.count("*").alias("n_items"),

@@ -334,6 +334,22 @@ def test_decontamination_counts_what_agrees_beside_a_clashing_slot(spark):
     assert got[6][1:] == (n - 1, True) and got[1][1] == n - 1 and got[3][2]
 
 
+def test_decontamination_finds_copies_with_few_plain_words(spark):
+    rng = random.Random(28)
+    word = lambda: "".join(rng.choice("aeioubdgklmnrst") for _ in range(rng.randint(4, 8)))
+    digits = lambda n: " ".join(str(rng.randint(100, 99999)) for _ in range(n))
+    names = " ".join(word().capitalize() for _ in range(30))
+    short = f"{word()} {word()} {word()} {word()} 31 {word()} 32 {word()} 33 34 35 36 {word()} 37 38 39"
+    table = f"{word()} {word()} {word()} {word()} {word()} {word()} {digits(60)}"
+    items = spark.createDataFrame([(1, digits(40)), (2, names), (3, short), (4, table)], "item_id long, text string")
+    plain = {r.item_id: r.text for r in items.collect()}
+    rows = [(i, f"{word()} {word()} {t} {word()}") for i, t in plain.items()]
+    rows += [(5, digits(40)), (6, " ".join(word().capitalize() for _ in range(60))), (7, " ".join(table.split()[:8])), (8, " ".join(short.replace("3", "5").split()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.reworded) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {1: ("1", False), 2: ("2", False), 3: ("3", False), 4: ("4", False), 8: ("3", True)}
+
+
 def test_toxicity_learns_words_and_not_groups(spark, empty):
     rng = random.Random(6)
     neutral = [f"w{i}" for i in range(200)]
