@@ -30,6 +30,14 @@ def i01(spark, sf):
     return E.connected(edges)
 
 
+@query("i01_components_whole")
+def i01_whole(spark, sf):
+    """As i01_components, over every row of lineitem; recursive SQL is too slow for it."""
+    line = table(spark, sf, "lineitem")
+    edges = line.select(F.col("l_orderkey").alias("a"), F.min("l_orderkey").over(W.partitionBy(F.col("l_partkey") % 97, "l_suppkey")).alias("b"))
+    return E.connected(edges)
+
+
 @query("i05_resolve_voters", """with v as (select user_id as voter, case when user_id % 4 = 0 then user_id + 10000 else user_id end as voter_id, case when user_id % 4 = 0 and user_id % 8 = 0 then user_id end as official_id from (select distinct user_id from events)),
     s as (select c_custkey as member_id, c_custkey as official_id from customer where c_custkey % 3 <> 0), a as (select 10004 as alias_id, 4 as canonical_id)
     select voter_id, coalesce(a.canonical_id, i.member_id, o.member_id) as member_id, case when a.canonical_id is not null then 'alias' when i.member_id is not null then 'id' when o.member_id is not null then 'official' end as evidence
