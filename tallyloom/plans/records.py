@@ -104,6 +104,12 @@ def i22(spark, sf):
     return table(spark, sf, "events").where("event_id % 40 = 1").groupBy("user_id").agg(F.when(F.count_distinct("event_type") == 1, F.min("event_type")).alias("only_type"))
 
 
+@query("i22_single_value_veto_whole", "select user_id, cast(ts as date) as day, case when count(distinct event_type) = 1 then min(event_type) end as only_type from events group by 1, 2")
+def i22_whole(spark, sf):
+    """The only type of a user's events on a day, over all events; over all days hardly a user has one type alone."""
+    return table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.when(F.count_distinct("event_type") == 1, F.min("event_type")).alias("only_type"))
+
+
 @query("k07_vote_by_non_sitting", f"with {PERIODS}, m as (select l_suppkey, min(s) as s, min(e) as e from periods group by 1) select o_orderkey from orders where not exists (select 1 from m where l_suppkey = o_custkey % 10 and s <= cast(o_orderdate as date) and e >= cast(o_orderdate as date))")
 def k07(spark, sf):
     seats = periods(spark, sf).groupBy(F.col("l_suppkey").alias("member")).agg(F.min("s").alias("starts_on"), F.min("e").alias("ends_on"))

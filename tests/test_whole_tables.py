@@ -30,3 +30,12 @@ def test_components_of_all_rows_match_union_find(spark):
             up[max(a, b)] = min(a, b)
     linked = {k for g in groups.values() if len(g) > 1 for k in g}
     assert {r.id: r.component for r in got(spark, "i01_components_whole")} == {k: top(k) for k in linked}
+
+
+def test_single_values_are_of_all_events(spark):
+    want = defaultdict(set)
+    for r in table(spark, DIR, "events").collect():
+        want[r.user_id, r.ts.date()].add(r.event_type)
+    found = {(r.user_id, r.day): r.only_type for r in got(spark, "i22_single_value_veto_whole")}
+    assert found == {k: min(v) if len(v) == 1 else None for k, v in want.items()}
+    assert None in found.values() and any(found.values())
