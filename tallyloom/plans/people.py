@@ -201,6 +201,35 @@ def i27(spark, sf):
     return R.unique_match(p, p.where("p_partkey < 60").withColumnRenamed("p_partkey", "person"), ["p_name"], "person").select("p_partkey", "person")
 
 
+#: A name of a part in letters alone, of attributes that tell most parts apart.
+_LONG_NAME = "concat_ws(' ', p_name, lower(p_type), translate(concat(p_brand, 'x', p_size), '0123456789#', 'abcdefghijk'))"
+
+
+@query(
+    "i08_match_by_name_whole",
+    f"""with k as (select p_partkey, lower({_LONG_NAME}) as name from part), s as (select *, list_aggregate(list_sort(string_split(name, ' ')), 'string_agg', ' ') as k from k),
+    q as (select p_partkey, k, case when p_partkey % 2 = 1 then list_aggregate(list_reverse(string_split(name, ' ')), 'string_agg', ' ') else name end as name from s),
+    o as (select name, count(*) as n, min(p_partkey) as p from s group by 1), a as (select k, count(*) as n, min(p_partkey) as p from s group by 1)
+    select q.p_partkey, case when o.n > 1 then null when o.n = 1 then o.p when a.n = 1 then a.p end as member from q left join o using (name) left join a using (k)""",
+)
+def i08_whole(spark, sf):
+    """All parts against all parts; odd ones have their names turned round."""
+    p = table(spark, sf, "part").select("p_partkey", F.expr(_LONG_NAME).alias("name"))
+    turned = F.array_join(F.reverse(F.split("name", " ")), " ")
+    probe = p.withColumn("name", F.when(F.col("p_partkey") % 2 == 1, turned).otherwise(F.col("name")))
+    return I.match_by_name(probe, p.withColumnRenamed("p_partkey", "member"), "name", "member").select("p_partkey", "member")
+
+
+@query(
+    "i27_single_candidate_whole",
+    "with k as (select p_name, p_type, p_brand, min(p_partkey) as person from part group by all having count(distinct p_partkey) = 1) select p_partkey, person from part left join k using (p_name, p_type, p_brand)",
+)
+def i27_whole(spark, sf):
+    on = ["p_name", "p_type", "p_brand"]
+    p = table(spark, sf, "part").select("p_partkey", *on)
+    return R.unique_match(p, p.withColumnRenamed("p_partkey", "person"), on, "person").select("p_partkey", "person")
+
+
 _TITLES = ("Vot final: adoptare proiect", "Amendament admis art. 3", "Verificare prezență", "Moțiune de cenzură", "Raport de respingere", "Cu totul altceva")
 
 

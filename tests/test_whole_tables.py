@@ -39,3 +39,11 @@ def test_single_values_are_of_all_events(spark):
     found = {(r.user_id, r.day): r.only_type for r in got(spark, "i22_single_value_veto_whole")}
     assert found == {k: min(v) if len(v) == 1 else None for k, v in want.items()}
     assert None in found.values() and any(found.values())
+
+
+def test_every_part_is_a_candidate(spark):
+    for name, target in (("i08_match_by_name_whole", "member"), ("i27_single_candidate_whole", "person")):
+        rows = got(spark, name)
+        found = {r.p_partkey: r[target] for r in rows}
+        assert len(rows) == len(found) == table(spark, DIR, "part").count()
+        assert all(v in (None, k) for k, v in found.items()) and max(v for v in found.values() if v is not None) > 100
