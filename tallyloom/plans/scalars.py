@@ -35,6 +35,11 @@ def h05(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.squash(F.substring("html", 1, 200)).alias("squashed"))
 
 
+@query("h05_squash_whole", "select page_id, md5(trim(regexp_replace(html, '\\s+', ' ', 'g'))) as squashed from pages")
+def h05_whole(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(X.squash(F.col("html"))).alias("squashed"))
+
+
 @query("h06_substring_by_regex", "select page_id, regexp_extract(url, 'page=([0-9]+)', 1) as page from pages")
 def h06(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "page=([0-9]+)", 1).alias("page"))

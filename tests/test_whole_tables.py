@@ -1,5 +1,7 @@
 """Queries over whole tables, where the query of the same number has a part of one."""
 
+import hashlib
+import re
 from collections import defaultdict
 
 from tallyloom.plans import registry
@@ -47,3 +49,10 @@ def test_every_part_is_a_candidate(spark):
         found = {r.p_partkey: r[target] for r in rows}
         assert len(rows) == len(found) == table(spark, DIR, "part").count()
         assert all(v in (None, k) for k, v in found.items()) and max(v for v in found.values() if v is not None) > 100
+
+
+def test_whole_pages_are_squashed(spark):
+    pages = {r.page_id: r.html for r in table(spark, DIR, "pages").collect()}
+    assert max(len(h) for h in pages.values() if h) > 200
+    squash = lambda h: h if h is None else hashlib.md5(re.sub(r"[ \t\n\x0b\f\r]+", " ", h).strip(" ").encode()).hexdigest()
+    assert {r.page_id: r.squashed for r in got(spark, "h05_squash_whole")} == {k: squash(h) for k, h in pages.items()}
