@@ -152,7 +152,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, piece: int = PI
     """PIECES with sequence_id and offset. Sequence ids are unique, not dense: group number * 2^32 + number in the group."""
     from tallyloom.session import materialise
 
-    pieces = materialise(tokenise(docs, vocabulary, window, piece, end), "pieces")
+    # The row number is written with the pieces, so that equal rows are dealt over all groups and a repeated task deals them alike.
+    pieces = materialise(tokenise(docs, vocabulary, window, piece, end).withColumn("row", F.monotonically_increasing_id()), "pieces")
     rests = pieces.where(F.col("length") < window)
     groups = max(1, -(-rests.count() // group))
 
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, piece: int = PI
         return rows.drop(columns="group").assign(sequence_id=sequence, offset=offset).astype({"doc_id": "Int64"})
 
     out = f"{PIECES}, sequence_id long, offset long"
-    number = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
-    placed = rests.withColumn("group", number).groupBy("group").applyInPandas(place, out)
-    full = pieces.where(F.col("length") == window).withColumns({"sequence_id": F.monotonically_increasing_id() + (F.lit(groups).cast("long") * (1 << 32)), "offset": F.lit(0).cast("long")})
+    number = F.pmod(F.xxhash64("row"), F.lit(groups))
+    placed = rests.withColumn("group", number).drop("row").groupBy("group").applyInPandas(place, out)
+    full = pieces.where(F.col("length") == window).drop("row").withColumns({"sequence_id": F.monotonically_increasing_id() + (F.lit(groups).cast("long") * (1 << 32)), "offset": F.lit(0).cast("long")})
     return full.unionByName(placed)

@@ -177,7 +177,7 @@ def i25(spark, sf):
     s = table(spark, sf, "supplier")
     unit = lambda n: F.concat(F.lit("u"), (F.floor(F.col("s_suppkey") / n)).cast("string"))
     units = F.when(F.col("s_suppkey") % 3 == 0, F.array(unit(4), unit(7))).otherwise(F.array(unit(4)))
-    return I.ordered_assignment(s.select((F.col("s_suppkey") % 2).alias("block"), F.col("s_suppkey").alias("item"), "s_name", units.alias("units")).withColumnRenamed("s_name", "key"))
+    return I.ordered_assignment(s.select((F.floor(F.col("s_suppkey") / 100) * 2 + F.col("s_suppkey") % 2).alias("block"), F.col("s_suppkey").alias("item"), "s_name", units.alias("units")).withColumnRenamed("s_name", "key"))
 
 
 @query(

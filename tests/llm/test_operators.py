@@ -350,6 +350,12 @@ def test_decontamination_finds_copies_with_few_plain_words(spark):
     assert got == {1: ("1", False), 2: ("2", False), 3: ("3", False), 4: ("4", False), 8: ("3", True)}
 
 
+def test_packing_deals_equal_rows_over_all_groups(spark):
+    same = spark.createDataFrame([(7, "the same few words", None, None, None, None, None, None)] * 600 + [(None,) * 8] * 600, DOCS).repartition(3)
+    got = packing.pack(same, VOCABULARY, group=50).select((F.col("sequence_id") / (1 << 32)).cast("long").alias("g")).groupBy("g").count().collect()
+    assert sum(r["count"] for r in got) == 1200 and max(r["count"] for r in got) < 150
+
+
 def test_toxicity_learns_words_and_not_groups(spark, empty):
     rng = random.Random(6)
     neutral = [f"w{i}" for i in range(200)]

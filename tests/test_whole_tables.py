@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+from tallyloom.operators import identity
 from tallyloom.plans import registry
 from tallyloom.session import table
 
@@ -56,3 +57,11 @@ def test_whole_pages_are_squashed(spark):
     assert max(len(h) for h in pages.values() if h) > 200
     squash = lambda h: h if h is None else hashlib.md5(re.sub(r"[ \t\n\x0b\f\r]+", " ", h).strip(" ").encode()).hexdigest()
     assert {r.page_id: r.squashed for r in got(spark, "h05_squash_whole")} == {k: squash(h) for k, h in pages.items()}
+
+
+def test_ordered_lists_hold_few_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(identity, "ordered_assignment", lambda items: seen.append(items) or items)
+    registry.queries()["i25_ordered_assignment"](spark, DIR.replace("0.001", "0.1"))
+    sizes = [r["count"] for r in seen[0].groupBy("block").count().collect()]
+    assert sum(sizes) == table(spark, DIR.replace("0.001", "0.1"), "supplier").count() and max(sizes) <= 50
