@@ -14,6 +14,8 @@ TABLES = (
 
 #: Working folders of sessions without a shared one, by application.
 _OWN: dict[str, str] = {}
+#: Folders that this library has written.
+_WRITTEN: list[str] = []
 
 
 def local_session(cpus: int = 8, app: str = "tallyloom", shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,9 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. A local master may do
+    without (tests): it gets a folder of its own. On a cluster a missing setting is an error, since other machines can't see local folders."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = set_.get() if set_.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must be set: executors have folders of their own")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
@@ -48,18 +58,43 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most a thousand rows and 4 MiB where the session has Spark's defaults: the buffers of workers and JVM then
+    stay small whatever the texts are, and are used again instead of growing with the largest batch."""
+    for key, default, wanted in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4194304b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", wanted)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that later jobs and lost executors restart from files."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _WRITTEN.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind materialised frames that nothing reads any more."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def written() -> int:
+    """A mark for sweep: how many folders have been written so far."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete what has been written since a mark, but for the files behind a frame."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    gone = [at for at in _WRITTEN[since:] if at.rsplit("/", 1)[-1] not in kept]
+    _delete(spark, gone)
+    _WRITTEN[since:] = [at for at in _WRITTEN[since:] if at not in gone]
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
