@@ -11,7 +11,7 @@ _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659
 class Words:
     """64-bit hashes of byte words; a worker remembers the words it has met, up to a bound."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 1 << 16):
         self.known: dict[bytes, int] = {}
         self.most = most
 

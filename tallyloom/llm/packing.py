@@ -12,6 +12,7 @@ an empty table gives no pieces.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import bounded_batches, materialise
+
 WINDOW, PIECE, END = 2048, 512, 1
 #: Pieces in a group, on average: enough for the sums to meet closely, few enough for a task.
 GROUP = 256
-#: Distinct words whose ids a worker remembers, the first that it meets.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers, the first that it meets: some 25 MB at most.
+REMEMBERED = 1 << 17
 _AFTER = re.compile(r" (?:\s|\Z)")
 _ALONE = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
 
@@ -40,30 +43,32 @@ class Encoder:
     space around spaces, or with the text of a special token, are encoded whole.
     """
 
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        with open(vocabulary, encoding="utf-8") as f:
+            told = json.load(f)
+        self.vocabulary, self.remembered = vocabulary, remembered
+        self.special = [t["content"] for t in told.get("added_tokens", [])]
         self.words: dict[str, bytes] = {}
-        self.fast = self._ranks()
-
-    def _ranks(self):
-        """The same merges in tiktoken's faster encoder, from the tokenizer's own tables."""
-        import json
+        self.fast = self._merges(told["model"]["vocab"])
+        self.tokenizer = None
 
+    def _merges(self, vocab: dict[str, int]):
+        """The vocabulary's merges in tiktoken's faster encoder. A byte is written as a visible character, hidden ones from 256 on."""
+        import public_tokenizers
         import tiktoken
 
-        model = json.loads(self.tokenizer.to_str())["model"]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
-        import public_tokenizers
-
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in self.special}
         return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
+        """By the library itself, which is loaded for the first text that needs it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.vocabulary)
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
@@ -78,7 +83,7 @@ class Encoder:
             for i, w in enumerate(parts):
                 if out[i] is None:
                     out[i] = _bytes(self.fast(" " + w))
-                    if len(known) < REMEMBERED and len(w) < 40:
+                    if len(known) < self.remembered and len(w) < 40:
                         known[w] = out[i]
         return b"".join(out)
 
@@ -150,8 +155,7 @@ def partition(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, piece: int = PIECE, group: int = GROUP, end: int = END) -> DataFrame:
     """PIECES with sequence_id and offset. Sequence ids are unique, not dense: group number * 2^32 + number in the group."""
-    from tallyloom.session import materialise
-
+    bounded_batches(docs.sparkSession)
     # The row number is written with the pieces, so that equal rows are dealt over all groups and a repeated task deals them alike.
     pieces = materialise(tokenise(docs, vocabulary, window, piece, end).withColumn("row", F.monotonically_increasing_id()), "pieces")
     rests = pieces.where(F.col("length") < window)
