@@ -1,7 +1,7 @@
 """Chat formatting: a fingerprint of the field paths selects the mapping to canonical turns.
 
-A record is JSON of any layout. Its nested field paths (`messages[].role`) are hashed; the hash selects a declarative
-mapping, and a record whose paths no mapping knows is reported with its fingerprint and no turns. Canonical turns are
+A record is JSON of any layout. Its nested field paths (`messages[].role`), but for those of descriptive fields (`DESCRIPTIVE`), are hashed; the hash selects a declarative
+mapping, and a record whose paths no mapping knows is reported with its fingerprint and no turns, also in what is formatted. Canonical turns are
 written with turn marks; control strings inside texts are escaped reversibly, and the loss mask lists the code-point ranges of assistant
 texts.
 
@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import bounded_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -38,35 +40,59 @@ def paths(value: object, at: str = "") -> set[str]:
     return {at}
 
 
+#: Fields that describe a record or a turn and are no part of what is said. Fixed values.
+DESCRIPTIVE = frozenset("id uid source lang language created created_at timestamp date model tags tag category meta metadata score rating license split index weight name".split())
+
+
 def fingerprint(found: set[str]) -> str:
-    return xxhash.xxh3_64_hexdigest("\n".join(sorted(found)))
+    """The hash of the paths without those that have a descriptive field in them."""
+    said = {p for p in found if not DESCRIPTIVE.intersection(p.replace("[]", "").replace("{}", "").split("."))}
+    return xxhash.xxh3_64_hexdigest("\n".join(sorted(said)))
+
+
+def said(value: object) -> str:
+    """A leaf as text: null is empty, what is not a string is written as JSON."""
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Either fields, in order, each with its role, or a list whose elements name a role and a text."""
+    """Fields in order, each with its role (neighbours of one role are one turn), or a list: its elements name a role and a text, or
+    are texts of alternating roles. A list may lie deeper (`data.messages`)."""
 
     name: str
     fields: tuple[tuple[str, str], ...] = ()
     each: str = ""
     role: str = ""
     text: str = ""
+    alternating: tuple[str, ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
     optional: tuple[str, ...] = ()
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
         if self.each:
-            return [(self.roles.get(x.get(self.role) or "", x.get(self.role) or ""), x.get(self.text) or "") for x in record[self.each]]
-        return [(role, record[f] or "") for f, role in self.fields if f in record]
+            listed = record
+            for step in self.each.split("."):
+                listed = listed[step]
+            if self.alternating:
+                return [(self.alternating[i % len(self.alternating)], said(x)) for i, x in enumerate(listed)]
+            return [(self.roles.get(said(x.get(self.role)), said(x.get(self.role))), said(x.get(self.text))) for x in listed]
+        out: list[tuple[str, str]] = []
+        for f, role in self.fields:
+            if f not in record or (f in self.optional and not record[f]):
+                continue
+            text = said(record[f])
+            out[-1:] = [(role, f"{out[-1][1]}\n\n{text}")] if out and out[-1][0] == role else [*out[-1:], (role, text)]
+        return out
 
     def fingerprints(self) -> list[str]:
         if self.each:
-            base = {f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"}
-            options = [base, {f"{self.each}[]"}]
+            element = {f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"}
+            options = [{f"{self.each}[]"}] if self.alternating else [element, {f"{self.each}[]"}]
         else:
             always = {f for f, _ in self.fields} - set(self.optional)
             options = [always | set(c) for n in range(len(self.optional) + 1) for c in combinations(self.optional, n)]
-        return [fingerprint(o | extra) for o in options for extra in (set(), {"id"})]
+        return [fingerprint(o) for o in options]
 
 
 _SHARED = {"human": "user", "gpt": "assistant"}
@@ -76,7 +102,11 @@ MAPPINGS = (
     Mapping("prompt and response", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")), optional=("system",)),
     Mapping("prompt and completion", fields=(("prompt", "user"), ("completion", "assistant"))),
     Mapping("question and answer", fields=(("question", "user"), ("answer", "assistant"))),
-    Mapping("instruction", fields=(("system", "system"), ("instruction", "user"), ("output", "assistant")), optional=("system",)),
+    Mapping("instruction", fields=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")), optional=("system", "input")),
+    Mapping("query and reply", fields=(("query", "user"), ("reply", "assistant"))),
+    Mapping("dialog", each="dialog", alternating=("user", "assistant")),
+    Mapping("nested messages", each="data.messages", role="role", text="content"),
+    Mapping("speakers", each="turns", role="speaker", text="utterance", roles={"customer": "user", "agent": "assistant", "bot": "assistant"}),
 )
 BY_FINGERPRINT = {f: m for m in MAPPINGS for f in m.fingerprints()}
 
@@ -139,18 +169,20 @@ def read(formatted: str) -> list[tuple[str, str]]:
 
 
 def formatted(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, formatted, loss_mask array<struct<start, end>>."""
+    """key, formatted, loss_mask array<struct<start, end>>, rejected; a record without turns stays, rejected and without a text."""
+    bounded_batches(turns.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [write([(t["role"], t["text"]) for t in turns]) for turns in b["turns"]]
-            yield pd.DataFrame({key: b[key].astype("Int64"), "formatted": [d[0] for d in done], "loss_mask": [[{"start": s, "end": e} for s, e in d[1]] for d in done]})
+            done = [(None, None) if turns is None else write([(t["role"], t["text"]) for t in turns]) for turns in b["turns"]]
+            mask = [m if m is None else [{"start": s, "end": e} for s, e in m] for _, m in done]
+            yield pd.DataFrame({key: b[key].astype("Int64"), "formatted": [d[0] for d in done], "loss_mask": mask, "rejected": [d[0] is None for d in done]})
 
-    return turns.select(key, "turns").where(F.col("turns").isNotNull()).mapInPandas(run, f"{key} long, formatted string, loss_mask array<struct<start:long,end:long>>")
+    return turns.select(key, "turns").mapInPandas(run, f"{key} long, formatted string, loss_mask array<struct<start:long,end:long>>, rejected boolean")
 
 
 def read_back(done: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, turns and loss_text, from the formatted text and the mask alone."""
+    """key, turns and loss_text of what was formatted, from the formatted text and the mask alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,7 +190,8 @@ def read_back(done: DataFrame, key: str = "conv_id") -> DataFrame:
             loss = ["".join(unescape(f[m["start"] : m["end"]]) for m in mask) for f, mask in zip(b["formatted"], b["loss_mask"], strict=True)]
             yield pd.DataFrame({key: b[key].astype("Int64"), "turns": turns, "loss_text": loss, "formatted_chars": [len(f) for f in b["formatted"]]})
 
-    return done.mapInPandas(run, f"{key} long, turns {TURNS}, loss_text string, formatted_chars long")
+    told = done.where("not rejected").select(key, "formatted", "loss_mask")
+    return told.mapInPandas(run, f"{key} long, turns {TURNS}, loss_text string, formatted_chars long")
 
 
 def records(conversations: DataFrame) -> DataFrame:

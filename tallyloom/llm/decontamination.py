@@ -8,8 +8,8 @@ the item stands for one value of the document. Consistent diagonals count as con
 fifths of the windows of a shorter item. Where a value of the item stands for several, the windows that are verbatim or go by the
 most frequent one count too, and all together settle it from `MIXED` on; a shorter item with two values for a slot is another item.
 
-Edge cases: null and empty texts match nothing; items of fewer than `SHORTEST` words can't be told from chance and match
-nothing; items shorter than a window are one window of their own width; windows with fewer than `PLAIN` plain words match
+Edge cases: null and empty texts match nothing; items of fewer than `SHORTEST` words can't be told from chance inside a
+text and match texts that are nothing else, word for word; items shorter than a window are one window of their own width; windows with fewer than `PLAIN` plain words match
 with the same slot values only, so the threshold of a reworded item goes by its other windows, a third of all at least; repeated rows of an id are one document; an empty table gives no rows.
 """
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.hashing import runs
+from tallyloom.session import bounded_batches, materialise
 
-WIDTH, LEAST, SHORTEST, PLAIN, BITS = 8, 6, 5, 4, 1 << 26
+WIDTH, LEAST, SHORTEST, PLAIN, BITS, RANGE = 8, 6, 5, 4, 1 << 26, 8192
 #: Keeps hashes of windows with their slot values apart from those of templates.
 EXACT = np.uint64(0x9E3779B97F4A7C15)
 #: Windows that settle it where a slot has two values: a text of 23 words or more.
@@ -61,28 +62,39 @@ def template(word: str) -> tuple[str, str] | None:
 
 
 class Templates:
-    """Template hashes of texts, with the slot values; words are remembered up to a bound."""
+    """Template hashes of texts, with the slot values. Words are remembered up to a bound, their hashes in arrays."""
 
-    def __init__(self, most: int = 400_000):
-        self.known: dict[str, tuple[int, str] | None] = {}
+    def __init__(self, most: int = 1 << 17):
         self.most = most
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        known, out = self.known, []
-        if len(known) > self.most:
-            known.clear()
-        for w in _WORD.findall(text or ""):
-            try:
-                t = known[w]
-            except KeyError:
-                found = template(w)
-                t = known[w] = found and (xxhash.xxh64_intdigest(found[0]), found[1], bool(found[1]), xxhash.xxh64_intdigest("\0".join(found)))
-            if t is not None:
-                out.append(t)
-        h = np.fromiter((t[0] for t in out), np.uint64, len(out))
-        slot = np.fromiter((t[2] for t in out), np.int64, len(out))
-        exact = np.fromiter((t[3] for t in out), np.uint64, len(out))
-        return h, slot, exact, [t[1] for t in out]
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.slots: list[str] = []
+        self.hashes, self.exact, self.filled = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        while len(self.slots) + len(words) > len(self.hashes):
+            self.hashes, self.exact, self.filled = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.exact, self.filled))
+        for w in words:
+            found = template(w)
+            if not found:
+                self.at[w] = -1
+                continue
+            k = self.at[w] = len(self.slots)
+            self.slots.append(found[1])
+            self.hashes[k], self.exact[k], self.filled[k] = xxhash.xxh64_intdigest(found[0]), xxhash.xxh64_intdigest("\0".join(found)), bool(found[1])
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, whether it is a slot, exact hash and number of each word of a text; slots has the value of a number."""
+        words = _WORD.findall(text or "")
+        if len(self.at) > self.most:
+            self.forget()
+        if new := set(words).difference(self.at):
+            self.learn(new)
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        at = at[at >= 0]
+        return self.hashes[at], self.filled[at], self.exact[at], at
 
 
 def windows(h: np.ndarray, slot: np.ndarray, exact: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +103,7 @@ def windows(h: np.ndarray, slot: np.ndarray, exact: np.ndarray, width: int) -> t
     if not len(got):
         return got, np.zeros(0, bool)
     total = np.concatenate([[0], np.cumsum(slot)])
-    plain = width - (total[width:] - total[:-width]) >= min(PLAIN, width - 1)
+    plain = (width - (total[width:] - total[:-width]) >= min(PLAIN, width - 1)) & (width >= SHORTEST)
     return (got if plain.all() else np.where(plain, got, runs(exact, width) ^ EXACT)), plain
 
 
@@ -103,9 +115,9 @@ def _emit(key: str, widths: list[int] | None, bits: np.ndarray | None):
         for b in batches:
             rows = []
             for i, text in zip(b[key], b["text"], strict=True):
-                h, slot, exact, values = templates(text)
+                h, slot, exact, word = templates(text)
                 for width in [min(WIDTH, len(h))] if widths is None else widths:
-                    if width < SHORTEST:
+                    if not width or (widths is not None and width < SHORTEST and len(h) != width):
                         continue
                     got, plain = windows(h, slot, exact, width)
                     kept = np.ones(len(got), bool)
@@ -113,20 +125,27 @@ def _emit(key: str, widths: list[int] | None, bits: np.ndarray | None):
                         at = got % np.uint64(len(bits) * 8)
                         kept = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                     n, n_plain = len(got), int(plain.sum())
-                    rows += [(i, int(p), width, int(got[p].view(np.int64)), values[p : p + width], bool(plain[p]), n, n_plain) for p in np.flatnonzero(kept)]
+                    rows += [(i, int(p), width, int(got[p].view(np.int64)), [templates.slots[x] for x in word[p : p + width]], bool(plain[p]), n, n_plain) for p in np.flatnonzero(kept)]
             yield pd.DataFrame(rows, columns=[key, "pos", "width", "h", "slots", "plain", "n", "n_plain"])
 
     return run
 
 
 def bitmap(items: DataFrame) -> np.ndarray:
-    """The bits of all window hashes of the benchmark, gathered as distinct bit numbers; its size is bounded by BITS."""
+    """The bits of all window hashes of the benchmark; its size is bounded by BITS, and Spark packs `RANGE` bytes of it into one binary."""
     size = int(min(BITS, max(1 << 16, 1 << int(np.ceil(np.log2(64 * max(1, items.count())))))))
     bits = np.zeros(size // 8, np.uint8)
-    # Spark puts the bits of a byte together, so at most size / 8 numbers arrive. The size is a power of two: signed hashes give the same remainders.
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(RANGE, np.uint8)
+        part[rows["byte"].to_numpy() % RANGE] = rows["bit"].to_numpy()
+        return pd.DataFrame({"range": rows["range"].iloc[:1], "bytes": [part.tobytes()]})
+
+    # The size is a power of two: signed hashes give the same remainders.
     at = items.select(F.pmod(F.col("h"), F.lit(size)).alias("at")).select(F.expr("int(at div 8)").alias("byte"), F.expr("shiftleft(1, int(at % 8))").alias("bit"))
-    for byte, mask in at.groupBy("byte").agg(F.bit_or("bit")).toLocalIterator():
-        bits[byte] = mask
+    by = at.groupBy("byte").agg(F.bit_or("bit").alias("bit")).withColumn("range", F.expr(f"int(byte div {RANGE})"))
+    for range_, part in by.groupBy("range").applyInPandas(packed, "range int, bytes binary").toLocalIterator():
+        bits[range_ * RANGE : (range_ + 1) * RANGE] = np.frombuffer(part, np.uint8)
     return bits
 
 
@@ -150,8 +169,7 @@ def contradicting(w: pd.Series) -> pd.Series:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with leaked items: doc_id, contaminated, n_items, item_ids (text), n_windows, reworded."""
-    from tallyloom.session import materialise
-
+    bounded_batches(docs.sparkSession)
     schema = "pos int, width int, h long, slots array<string>, plain boolean, n int, n_plain int"
     items = materialise(benchmark.select("item_id", "text").mapInPandas(_emit("item_id", None, None), f"item_id long, {schema}"), "items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())

@@ -19,6 +19,7 @@ are reported each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.hashing import Words, mix, runs
-from tallyloom.session import discard, materialise
+from tallyloom.session import bounded_batches, discard, materialise, sweep, written
 
 BANDS, ROWS, SKETCH_BITS, MARGIN = 40, 5, 1024, 0.2
+#: Rows of a common shingle that one task takes.
+TASK = 1000
 _SEED = np.random.default_rng(20).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
 _A, _B = _SEED[0] * np.uint64(2) + np.uint64(1), _SEED[1]
 
@@ -101,14 +104,23 @@ def confirmed(pairs: DataFrame, odd: DataFrame, sets: DataFrame, threshold: int)
     return full.where(100 * both >= threshold * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def crossing(rows: DataFrame, key: str, *apart: Column) -> DataFrame:
-    """Pairs (a, b) of documents in rows (key, doc, component, more) that share a key but no component; extra conditions are on x and y."""
-    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("c")).groupBy(key).agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("most")).where("parts > 1")
-    here = rows.join(sizes.select(key, "most"), key)
-    told = [c for c in rows.columns if c != key]
-    a = here.where("component <> most").select(key, F.struct(*told).alias("x"))
-    b = here.select(key, F.struct(*told).alias("y"))
-    pairs = a.join(b, key).where(F.col("x.component") != F.col("y.component"))
+def crossing(rows: DataFrame, key: str, threshold: int, *apart: Column) -> DataFrame:
+    """Pairs (a, b) of documents in rows (key, doc, component, n, more) that share a key but no component; extra conditions are on x and y.
+
+    Sets that meet the threshold are of like size, so a key is split into bands of size: a row is in its own band and visits the next
+    one, where only a row at home can meet it. Within a key and band, pairs need a row outside the largest component; those rows are
+    dealt by `TASK` rows to a share, and what they meet is given to each share, so that no task takes a common key alone.
+    """
+    step = max(math.log(100 / threshold), 0.05) * (1 + 1e-9)
+    both = rows.withColumn("at", F.explode(F.array(F.struct(F.lit(False).alias("visits"), F.lit(0).alias("up")), F.struct(F.lit(True).alias("visits"), F.lit(1).alias("up")))))
+    both = both.withColumns({"band": (F.floor(F.log("n") / step) + F.col("at.up")).cast("int"), "visits": F.col("at.visits")}).drop("at")
+    on = [key, "band"]
+    sizes = both.groupBy(*on, "component").agg(F.count("*").alias("c")).groupBy(*on).agg(F.count("*").alias("parts"), F.max_by("component", "c").alias("most"), F.sum("c").alias("rows")).where("parts > 1")
+    here = both.join(sizes.select(*on, "most", F.ceil(F.col("rows") / TASK).cast("int").alias("shares")), on)
+    told = [c for c in both.columns if c not in on]
+    a = here.where("component <> most").select(*on, F.pmod(F.xxhash64("doc"), F.col("shares")).cast("int").alias("share"), F.struct(*told).alias("x"))
+    b = here.select(*on, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.struct(*told).alias("y"))
+    pairs = a.join(b, [*on, "share"]).where((F.col("x.component") != F.col("y.component")) & ~(F.col("x.visits") & F.col("y.visits")))
     for condition in apart:
         pairs = pairs.where(condition)
     return pairs.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct()
@@ -132,7 +144,7 @@ def by_prefix(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     x_less = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc") < F.col("y.doc")))
     early = F.when(x_less, F.col("x.pos") < F.col("x.short")).otherwise(F.col("y.pos") < F.col("y.short"))
     enough = (100 + threshold) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= threshold * (F.col("x.n") + F.col("y.n"))
-    return crossing(rows, "token", alike, early, enough)
+    return crossing(rows, "token", threshold, alike, early, enough)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,6 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    spark, before = docs.sparkSession, written()
+    bounded_batches(spark)
     all_ = materialise(described(docs, k), "described")
     some = all_.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     classes = some.groupBy("same").agg(F.min("doc_id").alias("rep"))
@@ -196,7 +210,9 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     named = named.join(found.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "same", F.coalesce("component", "rep").alias("component_id")).distinct()
     alone = all_.where(F.col("same").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = some.select("doc_id", "same", "n_shingles").join(named, ["doc_id", "same"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = materialise(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "linked")
+    sweep(spark, before, keep=out)
+    return out
 
 
 def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:

@@ -1,16 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule is a statistic of a text, larger being worse, and a fixed grid of cutoffs from lenient to strict. On labelled
-documents, the good ones that a cutoff would reject are counted in each stratum (language). A cutoff is certified when
-the exact binomial tail says that its false-rejection rate is at most ALPHA / rules, with error DELTA shared out over all
-strata and rules (Bonferroni); within a stratum and rule the cutoffs are tested in order and the first that fails ends the
-sequence, which needs no further correction. With probability 1 - DELTA, at most ALPHA of the good documents of each
-stratum are then rejected by all rules together. A stratum with too few labels certifies nothing and rejects nothing.
+Each rule is a statistic of a text, larger being worse, with a cutoff for each of `LEVELS` levels from lenient to strict; a level
+applies the cutoffs of all rules together. On labelled documents that pass the base rule, the good ones that a level would reject are counted in each
+stratum (language). A level is certified when the exact binomial tail says that at most ALPHA of the good documents of the
+stratum are rejected, with error DELTA shared out over the strata (Bonferroni); within a stratum the levels are one path, tested in order,
+and the first that fails ends it, which needs no further correction. With probability 1 - DELTA, no stratum's verdict rejects more
+than ALPHA of its good documents. A stratum with too few labels (under 90, even without a rejection) certifies nothing and rejects nothing.
 
-DataFrame functions only; what comes to the driver is a count for each stratum, rule and cutoff (under 200 rows).
+DataFrame functions only; what comes to the driver is a count for each stratum and level (at most five rows).
 
 Edge cases: null and empty texts have no words and count 0 everywhere, so they fail the base rule; languages that are null
-or not listed form the stratum "other"; without labels nothing is certified; repeated rows are judged each.
+or not listed form the stratum "other"; without labels nothing is certified; repeated rows are judged each; columns of the input
+with the names of the counts are replaced by the counts.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from tallyloom.session import materialise
 
 ALPHA, DELTA = 0.05, 0.05
 STRATA = ("en", "de", "fr", "es")
-#: Statistic and cutoffs, lenient first.
+LEVELS = 6
+#: Statistic and the cutoff of each level, lenient first.
 RULES = {
-    "symbols": (lambda c: c("n_symbols") / F.greatest(c("n_words"), F.lit(1)), (2.0, 1.0, 0.7, 0.5, 0.35, 0.25, 0.15)),
-    "capitals": (lambda c: c("n_upper") / F.greatest(c("word_chars"), F.lit(1)), (0.9, 0.7, 0.5, 0.4, 0.3)),
-    "exclaimed": (lambda c: c("n_exclaimed") / F.greatest(c("n_words"), F.lit(1)), (1.0, 0.7, 0.5, 0.3)),
-    "stuttered": (lambda c: c("n_stutter") / F.greatest(c("n_words"), F.lit(1)), (0.45, 0.35, 0.25, 0.15)),
-    "repeated": (lambda c: c("n_repeat_words") / F.greatest(c("n_words"), F.lit(1)), (0.8, 0.6, 0.5, 0.4, 0.3, 0.2)),
-    "lines": (lambda c: c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)), (0.8, 0.6, 0.4, 0.3)),
+    "symbols": (lambda c: c("n_symbols") / F.greatest(c("n_words"), F.lit(1)), (2.0, 1.0, 0.7, 0.5, 0.3, 0.15)),
+    "capitals": (lambda c: c("n_upper") / F.greatest(c("word_chars"), F.lit(1)), (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
+    "exclaimed": (lambda c: c("n_exclaimed") / F.greatest(c("n_words"), F.lit(1)), (1.0, 0.8, 0.6, 0.5, 0.4, 0.3)),
+    "stuttered": (lambda c: c("n_stutter") / F.greatest(c("n_words"), F.lit(1)), (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    "repeated": (lambda c: c("n_repeat_words") / F.greatest(c("n_words"), F.lit(1)), (0.49, 0.48, 0.46, 0.44, 0.42, 0.4)),
+    "lines": (lambda c: c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)), (0.8, 0.7, 0.6, 0.5, 0.45, 0.4)),
 }
 
 
@@ -80,28 +82,33 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms))
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """The strictest certified cutoff for each (stratum, rule). measured: doc_id, lang and counts; labels: doc_id, quality."""
+def rejects(level: int) -> Column:
+    """Whether some rule's cutoff of a level rejects a measured document."""
+    hit = F.lit(False)
+    for stat, cuts in RULES.values():
+        hit = hit | (stat(F.col) > cuts[level])
+    return hit
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
+    """The strictest certified level of each stratum. measured: doc_id, lang and counts; labels: doc_id, quality."""
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    held = measured.join(good, "doc_id", "left_semi")
-    counts = [F.count_if(stat(F.col) > cut).alias(f"{name}:{i}") for name, (stat, cuts) in RULES.items() for i, cut in enumerate(cuts)]
+    held = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
+    counts = [F.count_if(rejects(i)).alias(f"level{i}") for i in range(LEVELS)]
     chosen = {}
-    each = alpha / len(RULES)
-    error = delta / (len(RULES) * (len(STRATA) + 1))
     for row in held.groupBy(stratum(F.col("lang")).alias("stratum")).agg(F.count("*").alias("n"), *counts).collect():
-        for name, (_, cuts) in RULES.items():
-            for i, cut in enumerate(cuts):
-                if tail(row[f"{name}:{i}"], row["n"], each) > error:
-                    break
-                chosen[row["stratum"], name] = cut
+        for i in range(LEVELS):
+            if tail(row[f"level{i}"], row["n"], alpha) > delta / (len(STRATA) + 1):
+                break
+            chosen[row["stratum"]] = i
     return chosen
 
 
-def verdict(chosen: dict[tuple[str, str], float]) -> Column:
-    """Whether some rule rejects a measured document."""
+def verdict(chosen: dict[str, int]) -> Column:
+    """Whether the level of its stratum rejects a measured document."""
     hit = F.lit(False)
-    for (s, name), cut in sorted(chosen.items()):
-        hit = hit | ((stratum(F.col("lang")) == s) & (RULES[name][0](F.col) > cut))
+    for s, level in sorted(chosen.items()):
+        hit = hit | ((stratum(F.col("lang")) == s) & rejects(level))
     return hit
 
 

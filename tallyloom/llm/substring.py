@@ -2,11 +2,14 @@
 
 A window is `WINDOW` consecutive words. Equal windows have the same anchor, the smallest hash of their `GRAM`-word runs,
 so documents are cut into runs of neighbouring windows with one anchor, and runs are sharded by anchor: equal windows always meet.
-Anchors of one run cannot belong to a repeated window, unless their place moves within it, and go no further. Runs of the same words collapse to their
-first occurrence; the others are wholly repeated. Distinct runs that share an anchor are indexed by shard, streamed
-through the index, and every interval of full depth reports whether its window also starts earlier. An anchor with more
-than `HOT` distinct runs (an everyday phrase in ever new surroundings) would make a shard grow without bound: the windows of its runs are grouped by their
-hash instead, which Spark spreads and pre-aggregates.
+Anchors of one run cannot belong to a repeated window, unless their place moves within it, and go no further. The text of equal runs
+is indexed and streamed once, for the first of them; the search tells at each position how long a match starts there (the matching
+statistics) and where the earliest one is. Stretches of full depth that start earlier than the first run does are removed from it,
+stretches of full depth are removed from the later runs of the same text: the index decides every interval.
+
+An anchor with more than `HOT` distinct runs (an everyday phrase in ever new surroundings) would make a shard grow without
+bound. Its runs are cut into single windows, those that occur once go no further, and the others are sharded by their own hash and
+searched like runs.
 
 Edge cases: null and empty texts have no words and keep none (the digest is that of the empty text); a null id is never
 deduplicated; rows that repeat an id are one document; ties cannot occur otherwise, since a start belongs to one document.
@@ -19,18 +22,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.fm_index import FMIndex
 from tallyloom.llm.hashing import Words, mix, runs
-from tallyloom.session import materialise
+from tallyloom.session import bounded_batches, discard, materialise, sweep, written
+
+WINDOW, GRAM, LONGEST, HOT, SHARD_WORDS = 20, 5, 64, 1000, 150_000
+
 
-WINDOW, GRAM, LONGEST, HOT, SHARD_WORDS = 20, 5, 64, 2000, 150_000
+def lowest(g: np.ndarray, k: int) -> np.ndarray:
+    """The place of the leftmost smallest of every k neighbours, by doubling."""
+    place, width = np.arange(len(g)), 1
+    while width < k:
+        step = min(width, k - width)
+        n = len(place) - step
+        right = g[step:] < g[:n]
+        place, g = np.where(right, place[step:], place[:n]), np.where(right, g[step:], g[:n])
+        width += step
+    return place
 
 
-def anchored(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchored(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, content, start, windows, again) of the runs of a text of word hashes.
 
     again: the anchor's place moves within the run, so that a run may repeat a window by itself.
@@ -39,7 +53,7 @@ def anchored(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     if n <= 0:
         return (np.zeros(0, np.int64),) * 5
     grams = runs(h, GRAM)
-    place = sliding_window_view(grams, window - GRAM + 1).argmin(1) + np.arange(n)
+    place = lowest(grams, window - GRAM + 1)
     anchor = grams[place]
     fresh = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     ends = np.concatenate([fresh[1:], [n]])
@@ -69,7 +83,7 @@ def _runs(docs: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The word hashes of wanted runs (doc_id, start, n, shard), fetched from the texts."""
+    """The word hashes of wanted runs (anchor, content, n, c, doc_id, start, shard), fetched from the texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -77,16 +91,28 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, parts in zip(b["doc_id"], b["text"], b["parts"], strict=True):
                 h = words(text.encode().split())
-                rows += [(doc_id, p["start"], p["shard"], h[p["start"] : p["start"] + p["n"] + WINDOW - 1].tobytes()) for p in parts]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "shard", "words"])
+                rows += [(p["anchor"], p["content"], p["n"], p["c"], doc_id, p["start"], p["shard"], h[p["start"] : p["start"] + p["n"] + WINDOW - 1].tobytes()) for p in parts]
+            yield pd.DataFrame(rows, columns=["anchor", "content", "n", "c", "doc_id", "start", "shard", "words"])
+
+    by = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "c", "start", "shard")).alias("parts"))
+    return docs.join(by, "doc_id").mapInPandas(run, "anchor long, content long, n int, c long, doc_id long, start int, shard int, words binary")
+
 
-    by = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "shard")).alias("parts"))
-    return docs.join(by, "doc_id").mapInPandas(run, "doc_id long, start int, shard int, words binary")
+REPORT = "anchor long, content long, n int, doc_id long, at int, to int"
 
 
-def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard: build the index of its runs, stream them, and report the stretches of words that start earlier too."""
-    rows = rows.sort_values(["doc_id", "start"], ignore_index=True)
+def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
+    """First position and end of the words of each stretch of neighbouring windows."""
+    if not len(hit):
+        return []
+    new = np.concatenate([[True], np.diff(hit) > 1])
+    return [(int(a), int(b) + WINDOW) for a, b in zip(hit[new], hit[np.append(new[1:], True)], strict=True)]
+
+
+def _searched(rows: pd.DataFrame) -> pd.DataFrame:
+    """One shard: build the index of its runs, stream them, and report stretches that start earlier, for the first run of each text by its
+    document, and for later ones (doc_id null) relative to the run."""
+    rows = rows.sort_values(["doc_id", "start", "n"], ignore_index=True)
     parts = [np.frombuffer(w, np.uint64) for w in rows["words"]]
     flat, ids = np.unique(np.concatenate(parts), return_inverse=True)
     edges = np.cumsum([0, *map(len, parts)])
@@ -95,49 +121,62 @@ def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
     order = [(d << 32) + s + np.arange(len(p) + 1) for d, s, p in zip(document, rows["start"], parts, strict=True)]
     index = FMIndex(np.concatenate([np.append(s, 0) for s in symbols]), np.concatenate(order), WINDOW)
     out = []
-    for doc_id, start, own, first in zip(rows["doc_id"], rows["start"], order, index.stream(symbols), strict=True):
-        hit = np.flatnonzero((first >= 0) & (first < own[:-1]))
-        if len(hit):
-            new = np.concatenate([[True], np.diff(hit) > 1])
-            starts, ends = hit[new], hit[np.append(new[1:], True)]
-            out += [(doc_id, start + a, start + b + WINDOW) for a, b in zip(starts, ends, strict=True)]
-    return pd.DataFrame(out, columns=["doc_id", "at", "to"])
+    for anchor, content, n, c, doc_id, start, own, first in zip(rows["anchor"], rows["content"], rows["n"], rows["c"], rows["doc_id"], rows["start"], order, index.stream(symbols), strict=True):
+        out += [(anchor, content, n, doc_id, start + a, start + b) for a, b in _stretches(np.flatnonzero((first >= 0) & (first < own[:-1])))]
+        if c > 1:
+            out += [(anchor, content, n, None, a, b) for a, b in _stretches(np.flatnonzero((first >= 0) & (first <= own[:-1])))]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")]).astype({"doc_id": "Int64"})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The single windows of runs, as runs of their own: anchor and content are the window's hash."""
     for b in batches:
-        hashes = [runs(np.frombuffer(w, np.uint64), WINDOW).view(np.int64) for w in b["words"]]
+        words = [np.frombuffer(w, np.uint64) for w in b["words"]]
+        hashes = [runs(w, WINDOW).view(np.int64) for w in words]
         size = [len(x) for x in hashes]
         at = np.repeat(b["start"].to_numpy(), size) + np.concatenate([np.arange(n) for n in size] or [np.zeros(0, np.int64)])
-        yield pd.DataFrame({"h": np.concatenate(hashes or [np.zeros(0, np.int64)]), "doc_id": np.repeat(b["doc_id"].to_numpy(), size), "at": at})
+        h = np.concatenate(hashes or [np.zeros(0, np.int64)])
+        yield pd.DataFrame({"anchor": h, "content": h, "start": at, "n": 1, "doc_id": np.repeat(b["doc_id"].to_numpy(), size), "words": [w[i : i + WINDOW].tobytes() for w, n in zip(words, size, strict=True) for i in range(n)]})
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, at, to): stretches of words, end exclusive, that windows which also start earlier cover. They may overlap."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     all_ = materialise(_runs(docs), "runs")
     live = all_.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("again").alias("again")).where("k > 1 or again")
     some = materialise(all_.join(live.select("anchor"), "anchor"), "live")
-    first = materialise(some.groupBy("anchor", "content", "n").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.bool_or("again").alias("again")), "distinct")
-    whole = some.join(first, ["anchor", "content", "n"]).where("not (doc_id = f.doc_id and start = f.start)").select("doc_id", F.col("start").alias("at"), (F.col("start") + F.col("n") + (WINDOW - 1)).alias("to"))
-
-    kinds = first.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("n") + (WINDOW - 1)).alias("w"), F.bool_or("again").alias("again")).where("k > 1 or again").drop("again")
-    total = kinds.where(F.col("k") <= HOT).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    discard(all_)
+    text = ["anchor", "content", "n"]
+    first = materialise(some.groupBy(*text).agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")), "distinct")
+    kinds = first.groupBy("anchor").agg(F.count("*").alias("k"))
+    # Words to index: all texts of an ordinary anchor; of a hot one those that come again. Shards hold whole anchors, or the texts of hot ones.
+    known = first.join(kinds, "anchor").withColumn("hot", F.col("k") > HOT)
+    at = F.when(F.col("hot"), F.xxhash64("anchor", "content")).otherwise(F.xxhash64("anchor"))
+    total = known.agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
-    shard = F.when(F.col("k") > HOT, -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int")
-    wanted = first.join(kinds, "anchor").select("f.doc_id", "f.start", "n", shard.alias("shard"))
-    cut = materialise(_cut(docs, wanted), "cut")
-    spans = "doc_id long, at int, to int"
-    by_index = cut.where("shard >= 0").groupBy("shard").applyInPandas(_indexed, spans)
-    hot = cut.where("shard < 0").mapInPandas(_windows, "h long, doc_id long, at int")
-    earliest = hot.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k")
-    by_hash = hot.join(earliest, "h").where("not (doc_id = f.doc_id and at = f.at)").select("doc_id", "at", (F.col("at") + WINDOW).alias("to"))
-    return whole.unionByName(by_index).unionByName(by_hash)
+    cut = materialise(_cut(docs, known.select(*text, "c", "f.doc_id", "f.start", F.when(F.col("hot"), -1 - F.pmod(at, F.lit(shards))).otherwise(F.pmod(at, F.lit(shards))).cast("int").alias("shard"))), "cut")
+    by_run = cut.where("shard >= 0 or c > 1").groupBy("shard").applyInPandas(_searched, REPORT)
+
+    single = cut.where("shard < 0").mapInPandas(_windows, "anchor long, content long, start int, n int, doc_id long, words binary")
+    single = materialise(single, "windows")
+    more = single.groupBy(*text).agg(F.min(F.struct("doc_id", "start", "words")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    windows = more.select(*text, "c", "f.doc_id", "f.start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "f.words")
+    found = materialise(by_run.unionByName(windows.groupBy("shard").applyInPandas(_searched, REPORT)), "found")
+
+    later = found.where("doc_id is null").select(*text, F.col("at").alias("from"), F.col("to").alias("upto"))
+    seen = some.select(*text, "doc_id", "start").unionByName(single.select(*text, "doc_id", "start"))
+    starts = first.select(*text, "f").unionByName(more.select(*text, F.struct("f.doc_id", "f.start").alias("f")))
+    # A run meets the stretches of its text, unless it is the first of them.
+    again = seen.join(later.join(starts, text), text).where("not (doc_id = f.doc_id and start = f.start)")
+    return found.where("doc_id is not null").select("doc_id", "at", "to").unionByName(again.select("doc_id", (F.col("start") + F.col("from")).alias("at"), (F.col("start") + F.col("upto")).alias("to")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with n_words, n_removed, kept_sha256 and kept, the words that stay joined by spaces."""
-    spans = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
+    before = written()
+    spans = materialise(repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("spans")), "spans")
+    sweep(docs.sparkSession, before, keep=spans)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

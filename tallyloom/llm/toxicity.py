@@ -1,12 +1,13 @@
 """Toxicity: a word classifier fitted with a counterfactual penalty.
 
-A logistic regression over the words that tell toxic from other labelled documents apart. Where a labelled text holds
-identity terms, each is swapped for another of its group, and the squared change of the logit is penalised, so that a
-neutral mention of a group cannot carry a score.
+A logistic regression over words and their beginnings, hashed into a fixed width, so no word is left out for its rank. Where a
+labelled text holds identity terms, each is swapped for every other of its row, and the squared change of the logit is
+penalised, so that a neutral mention of a group cannot carry a score. The classes weigh the same in the fit, however rare
+toxic texts are, so 0.5 is where the evidence turns.
 
 The fit takes at most `SAMPLE` labelled documents (a bounded, documented sample: the first by hash of the id), whose ids
-alone are broadcast, so no text is shuffled. Spark counts their words; the model is fitted on the driver from sparse counts of at
-most `VOCABULARY` words.
+alone are broadcast, so no text is shuffled. Spark counts their words; the model is fitted on the driver from sparse counts of the
+hash places that tell the classes apart.
 
 Edge cases: null and empty texts get the score of a text without any known word; labels that are null are no labels; if
 only one class is labelled the score is that class's smoothed share; repeated rows are scored each.
@@ -21,13 +22,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, VOCABULARY, PENALTY, RIDGE, STEPS = 20_000, 2048, 5.0, 1e-3, 300
-#: A word belongs to the vocabulary from so many documents and so many standard errors on.
-LEAST, SIGNIFICANT = 4, 4.0
+from tallyloom.session import bounded_batches, materialise
+
+SAMPLE, WIDTH, PENALTY, RIDGE, STEPS = 20_000, 1 << 18, 5.0, 1e-3, 300
+#: A hash place takes part if the documents that have it differ from the classes' shares by so many standard errors.
+SIGNIFICANT = 4.0
+#: Beginnings of so many letters count as words of their own: a stem tells what its inflected and compounded forms do not.
+STEMS = (4, 6)
+#: Words whose places a worker remembers.
+REMEMBERED = 1 << 17
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Identity terms: words of one row may stand for each other. Fixed values.
@@ -43,84 +51,154 @@ IDENTITY = (
     ("femmes", "hommes", "étrangers", "musulmans", "juifs", "chrétiens"),
     ("mujeres", "hombres", "extranjeros", "musulmanes", "judíos", "cristianos"),
 )
-SWAP = {w: row[(i + 1) % len(row)] for row in IDENTITY for i, w in enumerate(row)}
+ROW = {w: row for row in IDENTITY for w in row}
+#: Where a text holds identity terms, as many swapped copies as the longest row has other terms.
+SWAPS = max(map(len, IDENTITY)) - 1
 
 
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def places(word: str) -> list[int]:
+    """The hash places of a word and its stems."""
+    return [xxhash.xxh64_intdigest(x) % WIDTH for x in (word, *(f"{word[:k]}*" for k in STEMS if len(word) > k))]
+
+
+def counted(words: Counter[str]) -> Counter[int]:
+    out: Counter[int] = Counter()
+    for w, c in words.items():
+        for p in places(w):
+            out[p] += c
+    return out
+
+
+def swapped(words: Counter[str], by: int) -> Counter[str] | None:
+    """The words with every identity term replaced by the term that many places on in its row; None where nothing changes."""
+    out, changed = Counter(words), False
+    for w in [w for w in words if w in ROW]:
+        row = ROW[w]
+        other = row[(row.index(w) + by) % len(row)]
+        if other != w:
+            out[w] -= words[w]
+            out[other] += words[w]
+            changed = True
+    return out if changed else None
+
+
 @dataclass
 class Model:
+    """A bias and the weights of hash places."""
+
     bias: float
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
+    known: dict[str, list[int]] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> tuple:
+        return self.bias, self.weights
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bias, self.weights = state
+        self.known = {}
 
     def score(self, text: str | None) -> float:
-        n = Counter(w for w in tokens(text) if w in self.weights)
-        z = self.bias + sum(self.weights[w] * np.log1p(c) for w, c in n.items())
+        known, weights = self.known, self.weights
+        if len(known) > REMEMBERED:
+            known.clear()
+        found: Counter[int] = Counter()
+        for w, c in Counter(tokens(text)).items():
+            at = known.get(w)
+            if at is None:
+                at = known[w] = [p for p in places(w) if p in weights] or _NONE
+            for p in at:
+                found[p] += c
+        z = self.bias + sum(weights[p] * np.log1p(c) for p, c in found.items())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def vocabulary(labelled: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The words whose document shares differ most between the classes, and the identity terms that occur."""
+_NONE: list[int] = []
+_COUNTS = "y int, at array<int>, n array<int>, swaps array<struct<at:array<int>,d:array<double>>>"
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def counts(labelled: DataFrame) -> DataFrame:
+    """The hash places of labelled texts with their counts, and what each swap of identity terms changes (in log counts)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, int(y)) for t, y in zip(b["text"], b["toxic"], strict=True) for w in set(tokens(t))]
-            yield pd.DataFrame(rows, columns=["word", "toxic"])
+            rows = []
+            for text, y in zip(b["text"], b["toxic"], strict=True):
+                words = Counter(tokens(text))
+                own, swaps = counted(words), []
+                for by in range(1, SWAPS + 1) if any(w in ROW for w in words) else ():
+                    other = swapped(words, by)
+                    if other is not None:
+                        new = counted(other)
+                        change = {p: np.log1p(max(0, new[p])) - np.log1p(own[p]) for p in set(own) | set(new) if new[p] != own[p]}
+                        swaps.append({"at": list(change), "d": list(change.values())})
+                rows.append((int(y), list(own), list(own.values()), swaps))
+            yield pd.DataFrame(rows, columns=["y", "at", "n", "swaps"])
+
+    return labelled.select("text", "toxic").mapInPandas(run, _COUNTS)
 
-    n, p = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < p < n:
-        return []
-    counts = labelled.select("text", "toxic").mapInPandas(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("k")).where(F.col("k") >= LEAST)
-    share = F.col("k") / n
-    z = (F.col("a") - F.col("k") * (p / n)) / F.sqrt(F.col("k") * (p / n) * (1 - p / n) * F.greatest(1 - share, F.lit(1e-6)))
-    known = counts.withColumn("z", F.abs(z)).where((F.col("z") >= SIGNIFICANT) | F.col("word").isin(*SWAP))
-    return [r["word"] for r in known.orderBy(F.desc("z"), "word").limit(size).collect()]
+
+def telling(rows: DataFrame, n: int, toxic: int) -> list[int]:
+    """The hash places whose documents differ most from the classes' shares, and those that swaps change; at most WIDTH."""
+    at = rows.select("y", F.explode("at").alias("p")).groupBy("p").agg(F.sum("y").alias("a"), F.count("*").alias("k"))
+    share, p = F.col("k") / n, toxic / n
+    z = (F.col("a") - F.col("k") * p) / F.sqrt(F.col("k") * p * (1 - p) * F.greatest(1 - share, F.lit(1e-6)))
+    swaps = rows.select(F.explode("swaps").alias("s")).select(F.explode("s.at").alias("p")).distinct()
+    return sorted(r[0] for r in at.where(F.abs(z) >= SIGNIFICANT).select("p").unionByName(swaps).distinct().collect())
 
 
 def fit(labelled: DataFrame, penalty: float = PENALTY, ridge: float = RIDGE) -> Model:
     """labelled: text, toxic (0 or 1)."""
-    words = vocabulary(labelled)
-    n = labelled.count()
-    if not words:
-        p = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
-        return Model(float(np.log((p + 1) / (n - p + 1))))
-    index = {w: i for i, w in enumerate(words)}
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bounded_batches(labelled.sparkSession)
+    rows = materialise(counts(labelled), "toxic-counts")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    places_ = telling(rows, n, toxic) if 0 < toxic < n else []
+    if not places_:
+        return Model(float(np.log((toxic + 1) / (n - toxic + 1))))
+    index = {p: i for i, p in enumerate(places_)}
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text, y in zip(b["text"], b["toxic"], strict=True):
-                found = tokens(text)
-                seen = Counter(index[w] for w in found if w in index)
-                swapped = Counter(index[v] for w in found if (v := SWAP.get(w, w)) in index)
-                rows.append((int(y), list(seen), list(seen.values()), list(swapped), list(swapped.values())))
-            yield pd.DataFrame(rows, columns=["y", "i", "c", "j", "d"])
-
-    rows = labelled.select("text", "toxic").mapInPandas(counted, "y int, i array<int>, c array<int>, j array<int>, d array<int>").collect()
-
-    def sparse(idx: str, cnt: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r = np.repeat(np.arange(len(rows)), [len(x[idx]) for x in rows])
-        cat = lambda k: np.concatenate([np.asarray(x[k], float) for x in rows]) if rows else np.zeros(0)
-        return r, cat(idx).astype(int), np.log1p(cat(cnt))
-
-    y, m = np.array([x["y"] for x in rows], float), max(1, len(rows))
-    a, b = sparse("i", "c"), sparse("j", "d")
-    times = lambda x, w: np.bincount(x[0], x[2] * w[x[1]], m)[: len(y)]
-    back = lambda x, g: np.bincount(x[1], x[2] * g[x[0]], len(words))
-    w, bias = np.zeros(len(words)), float(np.log((y.sum() + 1) / (m - y.sum() + 1)))
+            out = []
+            for y, at, n, swaps in zip(b["y"], b["at"], b["n"], b["swaps"], strict=True):
+                own = [(index[p], np.log1p(c)) for p, c in zip(at, n, strict=True) if p in index]
+                other = [(k, index[p], d) for k, s in enumerate(swaps) for p, d in zip(s["at"], s["d"], strict=True)]
+                out.append((y, _packed(own, 0), _packed(own, 1), len(swaps), _packed(other, 0), _packed(other, 1), _packed(other, 2)))
+            yield pd.DataFrame(out, columns=["y", "i", "x", "m", "k", "j", "d"])
+
+    found = rows.mapInPandas(kept, "y int, i binary, x binary, m int, k binary, j binary, d binary").collect()
+    join = lambda c: np.concatenate([np.frombuffer(r[c], float) for r in found])
+    size = lambda c: [len(r[c]) // 8 for r in found]
+    y = np.array([r["y"] for r in found], float)
+    doc, at, x = np.repeat(np.arange(n), size("i")), join("i").astype(int), join("x")
+    # Each swapped copy is a row of changes; the copies of a document share its weight.
+    m = np.array([r["m"] for r in found])
+    first = np.concatenate([[0], np.cumsum(m)])
+    copy = np.repeat(first[:-1], size("k")) + join("k").astype(int)
+    to, change, share = join("j").astype(int), join("d"), np.repeat(1 / np.maximum(m, 1), m)
+    weight = np.where(y == 1, n / (2 * toxic), n / (2 * (n - toxic))) / n
+    w, bias = np.zeros(len(places_)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):  # Adam on the whole sample
-        za, zb = times(a, w), times(b, w)
-        g = (1 / (1 + np.exp(-np.clip(za + bias, -30, 30))) - y) / m
-        gap = 2 * penalty * (za - zb) / m
-        gw, gb = back(a, g + gap) - back(b, gap) + ridge * w, g.sum()
+        z = np.bincount(doc, x * w[at], n) + bias
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        gap = 2 * penalty / n * share * np.bincount(copy, change * w[to], first[-1]) if first[-1] else np.zeros(0)
+        gw, gb = np.bincount(at, x * g[doc], len(w)) + ridge * w, g.sum()
+        if first[-1]:
+            gw += np.bincount(to, change * gap[copy], len(w))
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         step = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w, bias = w - step * mw / (np.sqrt(vw) + 1e-8), bias - step * mb / (np.sqrt(vb) + 1e-8)
-    return Model(float(bias), {x: float(v) for x, v in zip(words, w, strict=True) if v})
+    return Model(float(bias), {p: float(v) for p, v in zip(places_, w, strict=True) if v})
+
+
+def _packed(rows: list[tuple], c: int) -> bytes:
+    """One column of rows as doubles."""
+    return np.array([r[c] for r in rows], float).tobytes()
 
 
 def scored(model: Model, text: Column) -> Column:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import shared_dir
+from tallyloom.session import bounded_batches, shared_dir
 
 LEAST, CHUNK, SEGMENT, PER_FILE = 100, 4096, 16384, 2000
 _SEPARATOR = "\r\n\r\n"
@@ -154,19 +154,22 @@ def reassembled(records: DataFrame) -> DataFrame:
     whole = records.where(F.col("number").isNull() & F.col("origin").isNull()).select(*kept, "block")
     part = records.where(F.col("number").isNotNull())
     by = part.groupBy(F.coalesce("origin", "record_id").alias("origin")).agg(
-        F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"),
+        F.expr("listagg(block) within group (order by number)").alias("block"),
+        F.count("*").alias("n"),
+        F.size(F.collect_set("number")).alias("numbers"),
+        F.min("number").alias("low"),
+        F.max("number").alias("high"),
         F.max("total").alias("total"),
         *[F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in kept],
     )
-    block = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    numbered = F.forall(F.transform("parts", lambda x, i: x["number"] == i + 1), lambda ok: ok)
-    joined = by.withColumn("block", block).where(F.col("record_id").isNotNull())
+    numbered = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("numbers") == F.col("n"))
+    joined = by.where(F.col("record_id").isNotNull())
     good = numbered & (F.octet_length("block") == F.col("total"))
     return whole.unionByName(joined.select(*kept, F.when(good, F.col("block")).alias("block")))
 
 
 def payloads(whole: DataFrame) -> DataFrame:
-    """type, record_id, refers_to, payload_bytes, payload_digest, valid: of responses from the decoded block, of others null."""
+    """type, record_id, refers_to, named (the digest that a record names), payload_bytes, payload_digest, valid: of responses from the decoded block, of others null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -180,20 +183,22 @@ def payloads(whole: DataFrame) -> DataFrame:
                         size, got = len(body), hashlib.sha256(body).hexdigest()
                     except ValueError:
                         pass
-                rows.append((kind, rid, refers, size, got, kind != "response" or f"sha256:{got}" == digest))
-            yield pd.DataFrame(rows, columns=["type", "record_id", "refers_to", "payload_bytes", "payload_digest", "valid"]).astype({"payload_bytes": "Int64"})
+                rows.append((kind, rid, refers, digest, size, got, kind != "response" or f"sha256:{got}" == digest))
+            yield pd.DataFrame(rows, columns=["type", "record_id", "refers_to", "named", "payload_bytes", "payload_digest", "valid"]).astype({"payload_bytes": "Int64"})
 
-    return whole.mapInPandas(run, "type string, record_id string, refers_to string, payload_bytes long, payload_digest string, valid boolean")
+    return whole.mapInPandas(run, "type string, record_id string, refers_to string, named string, payload_bytes long, payload_digest string, valid boolean")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write archives into the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, valid."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(-?\d*)", 1), F.lit("")).cast("long")
-    got = payloads(reassembled(read(spark, path))).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), "valid")
+    got = payloads(reassembled(read(spark, path))).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), "named", "valid")
     first = got.where("record_type = 'response'").select(F.col("page_id").alias("__first"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest")).distinct()
-    seen = got.where("record_type = 'revisit'").join(first, F.col("refers_to") == F.col("__first"), "left")
+    # A page may have several records: the digest that a revisit names tells which of them it repeats.
+    seen = got.where("record_type = 'revisit'").join(first, (F.col("refers_to") == F.col("__first")) & (F.col("named") == F.concat(F.lit("sha256:"), "__digest")), "left")
     seen = seen.select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), "record_type", "refers_to", (F.col("valid") & F.col("__digest").isNotNull()).alias("valid"))
-    return got.where("record_type = 'response'").unionByName(seen)
+    return got.where("record_type = 'response'").drop("named").unionByName(seen)
