@@ -27,7 +27,8 @@ def agreement(votes: DataFrame, vote: str, group: str, member: str, choice: str,
 
 def without_conflicts(votes: DataFrame, keys: list[str], choice: str, group: str, unknown: str = "unknown") -> DataFrame:
     """One row for each key; differing choices become unknown, differing groups null."""
-    one = lambda c: F.when(F.count_distinct(F.coalesce(c, F.lit(""))) == 1, F.max(c))
+    # One value: the least is the greatest, null counting as a value of its own. One exchange, and it combines before it.
+    one = lambda c: F.when(F.min(F.coalesce(c, F.lit(""))) == F.max(F.coalesce(c, F.lit(""))), F.max(c))
     return votes.groupBy(*keys).agg(F.coalesce(one(F.col(choice)), F.lit(unknown)).alias(choice), one(F.col(group)).alias(group), F.count("*").alias("rows"))
 
 

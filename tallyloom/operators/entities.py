@@ -7,24 +7,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import names_match
-from tallyloom.session import discard, materialise
+from tallyloom.session import discard, materialise, sweep, written
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component), the smallest id that an id is linked with. Every round takes the least label around and follows it once more; files cut the lineage."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    label = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("component")), "labels")
-    while True:
-        around = both.join(label.select(F.col("u").alias("v"), F.col("component").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
-        low = label.join(around, "u").select("u", "component", F.least("component", "c").alias("low"))
-        jump = label.select(F.col("u").alias("low"), F.col("component").alias("far"))
-        new = materialise(low.join(jump, "low", "left").select("u", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("component")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
-        discard(label)
-        label = new.drop("moved")
-        if not moved:
-            return label.withColumnRenamed("u", "id")
+    """(id, component), the smallest id that an id is linked with, for the ends of edges between different ids.
+
+    Contraction: each id is replaced by one of its closed neighbourhood, in turn the smallest and one that a hash of the round picks, until no edge
+    is left; the hash keeps long chains from shrinking by one end at a time. The replacements are then followed back. Files cut the lineage, and go when read.
+    """
+    spark, before = edges.sparkSession, written()
+    now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
+    levels: list[DataFrame] = []
+    while not now.isEmpty():
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if len(levels) % 2:
+            rank = lambda c, turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("x"))
+            to = F.least(F.min(rank("v", len(levels))), F.min(rank("u", len(levels))))["x"]
+        else:
+            to = F.least(F.min("v"), F.min("u"))
+        level = materialise(both.groupBy("u").agg(to.alias("to")), "level")
+        levels.append(level)
+        moved = now.join(level, "u").select(F.col("to").alias("u"), "v").join(level.select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
+        last = now
+        now = materialise(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+        discard(last)
+    if not levels:
+        return spark.createDataFrame([], f"id {edges.schema[a].dataType.simpleString()}, component {edges.schema[a].dataType.simpleString()}")
+    root = levels[-1]
+    for level in reversed(levels[:-1]):
+        root = level.join(root.select(F.col("u").alias("to"), F.col("to").alias("far")), "to", "left").select("u", F.coalesce("far", "to").alias("to"))
+    root = materialise(root, "roots")
+    least = root.groupBy("to").agg(F.least(F.min("u"), F.min("to")).alias("component"))
+    out = materialise(root.join(least, "to").select(F.col("u").alias("id"), "component"), "components")
+    sweep(spark, before, keep=out)
+    return out
 
 
 def resolve_voters(voters: DataFrame, sitting: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -59,41 +76,145 @@ def veto_shared(mapping: DataFrame, votes: DataFrame, vote: str, member: str) ->
     return mapping.join(clash, "old", "left_anti")
 
 
-_ROLES = "block string, person string, post string, interim boolean, starts_on date, ends_on date, reason string"
-
-
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of events in order: a seat has one holder; acting holders leave when a holder is named."""
-    open_: list[dict] = []
-    done: list[dict] = []
+def merge_plan(ghosts: DataFrame, votes: DataFrame, sitting: DataFrame) -> DataFrame:
+    """Which voters without a seat are which sitting members: old, survivor, votes.
 
-    def close(role: dict, day, reason: str) -> None:
-        role.update(ends_on=day, reason=reason)
-        open_.remove(role)
-        if role["starts_on"] != day or reason not in ("replaced", "interim_ended"):
-            done.append(role)
-
-    for e in rows.sort_values(["day", "seq"]).to_dict("records"):
-        mine = [r for r in open_ if r["person"] == e["person"] and e["post"] in (None, r["post"])]
-        if e["type"] in ("appoint", "interim"):
-            acting = e["type"] == "interim"
-            if not acting and any(not r["interim"] for r in mine):
+    ghosts: ghost, name; votes: vote, day, member; sitting: member, name, starts_on, ends_on. On each day of a ghost's votes the members who sat and bear the
+    name are looked up; a ghost is merged only if every day has one and all agree, and not if both ids voted in one vote.
+    """
+    token = lambda df, name: df.withColumn("token", F.explode(F.array_distinct(F.split(F.lower("name"), "[^\\p{L}]+")))).withColumnRenamed("name", name)
+    named = token(ghosts.select("ghost", "name"), "x").join(token(sitting, "y"), "token").where(names_match(F.col("x"), F.col("y"))).select("ghost", "member", "starts_on", "ends_on").distinct()
+    days = ghosts.select("ghost").join(votes.select(F.col("member").alias("ghost"), "day", "vote"), "ghost")
+    sat = (F.col("starts_on") <= F.col("day")) & (F.coalesce("ends_on", F.lit("9999-12-31").cast("date")) >= F.col("day"))
+    on_day = days.select("ghost", "day").distinct().join(named, "ghost", "left").groupBy("ghost", "day").agg(F.min(F.when(sat, F.col("member"))).alias("lo"), F.max(F.when(sat, F.col("member"))).alias("hi"))
+    agreed = on_day.groupBy("ghost").agg(F.min("lo").alias("survivor"), F.max("hi").alias("most"), F.count_if(F.col("lo").isNull() | (F.col("lo") != F.col("hi"))).alias("open")).where("open = 0 and survivor = most and survivor <> ghost")
+    n = days.groupBy("ghost").agg(F.count_distinct("vote").alias("votes"))
+    plan = agreed.join(n, "ghost").select(F.col("ghost").alias("old"), "survivor", "votes")
+    return veto_shared(plan, votes, "vote", "member").select("old", "survivor", "votes")
+
+
+_ROLES = "block string, government string, person string, post string, interim boolean, starts_on date, ends_on date, reason string, carried boolean, kind string"
+#: Endings on the day of the beginning that tell of no period at all.
+_NO_PERIOD = ("replaced", "interim_ended", "new_cabinet")
+
+
+class _Cabinets:
+    """The fold of one block: its governments and its decrees' events, in order."""
+
+    def __init__(self, block, governments: list[dict]):
+        self.block, self.governments = block, sorted(governments, key=lambda g: g["starts_on"])
+        self.open: list[dict] = []
+        self.roles: list[dict] = []
+        self.notes: list[tuple] = []
+        self.started: set = set()
+
+    def at(self, day):
+        held = [g for g in self.governments if g["starts_on"] <= day]
+        return held[-1] if held else None
+
+    def end_of(self, g: dict):
+        """A cabinet stays until the next real government where an acting one stood in between."""
+        if g["ends_on"] is None or g["acting"]:
+            return g["ends_on"]
+        later = [x for x in self.governments if x["starts_on"] >= g["ends_on"]]
+        real = [x["starts_on"] for x in later if not x["acting"]]
+        return real[0] if real and any(x["acting"] and x["starts_on"] < real[0] for x in later) else g["ends_on"]
+
+    def begin(self, g: dict, person, post, day, interim: bool, carried_from: dict | None = None) -> None:
+        role = {"government": g["government"], "person": person, "post": post, "interim": interim, "starts_on": max(day, g["starts_on"]), "ends_on": None, "reason": None, "carried": carried_from is not None, "origin": carried_from}
+        self.roles.append(role)
+        self.open.append(role)
+
+    def close(self, role: dict, day, reason: str) -> None:
+        self.open = [r for r in self.open if r is not role]
+        if role["origin"] is not None and day == role["starts_on"]:  # carried over and gone the same day: the first period is the one that ended
+            self.roles = [r for r in self.roles if r is not role]
+            role["origin"]["reason"] = reason
+        else:
+            role |= {"ends_on": day, "reason": reason}
+
+    def advance(self, day) -> None:
+        """Governments that have begun by a day, with the cabinets that they carry over, and cabinets that have ended before it."""
+        for g in self.governments:
+            if g["starts_on"] > day or g["government"] in self.started:
                 continue
-            for r in [r for r in open_ if r["post"] == e["post"] and (r["interim"] or not acting)]:
-                close(r, e["day"], "interim_ended" if r["interim"] else "replaced")
-            open_.append({"block": e["block"], "person": e["person"], "post": e["post"], "interim": acting, "starts_on": e["day"], "ends_on": None, "reason": None})
-        elif e["type"] == "interim_end":
-            for r in [r for r in mine if r["interim"]]:
-                close(r, e["day"], "interim_ended")
-        elif e["type"] in ("dismiss", "resign"):
-            for r in mine or [r for r in open_ if r["person"] == e["person"]]:
-                close(r, e["day"], "dismissed" if e["type"] == "dismiss" else "resigned")
-    return pd.DataFrame(done + open_, columns=[c.split()[0] for c in _ROLES.split(", ")])
-
-
-def replay(events: DataFrame) -> DataFrame:
-    """Holder periods from ordered events (block, day, seq, type, person, post): appoint, interim, interim_end, dismiss, resign.
-
-    A block is one government's events, a few hundred rows; the fold is order-dependent, so each block is folded on its own.
+            self.started.add(g["government"])
+            earlier = [x for x in self.governments if not x["acting"] and x["starts_on"] < g["starts_on"]]
+            if g["carry_over"] and not g["acting"] and not g["skip"] and earlier and not earlier[-1]["skip"]:
+                for role in [r for r in self.open if r["government"] == earlier[-1]["government"]]:
+                    self.close(role, g["starts_on"], "government_ended")
+                    self.begin(g, role["person"], role["post"], g["starts_on"], role["interim"], role)
+        ends = {g["government"]: self.end_of(g) for g in self.governments}
+        for role in list(self.open):
+            if ends[role["government"]] is not None and ends[role["government"]] < day:
+                self.close(role, ends[role["government"]], "government_ended")
+
+    def apply(self, e: dict) -> None:
+        day, kind, post = e["day"], e["type"], e["post"]
+        g = self.at(day)
+        if g is None or g["skip"] or (kind == "roster" and g["acting"]):
+            return self.note(e, "outside")
+        seat = lambda r: post is None or r["post"] == post
+        mine = [r for r in self.open if r["person"] == e["person"]]
+        if kind == "roster":
+            named = [(m["person"], m["post"]) for m in e["members"]]
+            for r in [r for r in self.open if r["government"] == g["government"]]:
+                if not r["interim"] and (r["person"], r["post"]) not in named:
+                    self.close(r, day, "new_cabinet")
+                elif r["interim"] and r["post"] in [p for _, p in named]:
+                    self.close(r, day, "interim_ended")
+            for person, seat_ in named:
+                if not any(r["government"] == g["government"] and not r["interim"] and (r["person"], r["post"]) == (person, seat_) for r in self.open):
+                    self.begin(g, person, seat_, day, False)
+        elif kind == "appoint":
+            for r in [r for r in self.open if r["post"] == post]:
+                self.close(r, day, "interim_ended" if r["interim"] else "replaced")
+            self.begin(g, e["person"], post, day, False)
+        elif kind == "interim":
+            for r in [r for r in self.open if r["interim"] and r["post"] == post]:
+                self.close(r, day, "interim_ended")
+            self.begin(g, e["person"], post, day, True)
+        elif kind == "suspend":
+            self.note(e, "suspension")
+        else:
+            found = [r for r in mine if r["interim"] and seat(r)] if kind == "interim_end" else [r for r in mine if seat(r)] or mine
+            if not found:
+                self.note(e, "without_open_role")
+            for r in found:
+                self.close(r, day, {"interim_end": "interim_ended", "dismiss": "dismissed", "resign": "resigned"}[kind])
+
+    def note(self, e: dict, kind: str) -> None:
+        self.notes.append((self.block, None, e["person"], e["post"], None, e["day"], None, e["type"], None, kind))
+
+    def result(self) -> list[tuple]:
+        for role in list(self.open):
+            end = next(self.end_of(g) for g in self.governments if g["government"] == role["government"])
+            if end is not None:
+                self.close(role, end, "government_ended")
+        lasted = [r for r in self.roles if not (r["starts_on"] == r["ends_on"] and r["reason"] in _NO_PERIOD)]
+        return [(self.block, r["government"], r["person"], r["post"], r["interim"], r["starts_on"], r["ends_on"], r["reason"], r["carried"], "role") for r in lasted] + self.notes
+
+
+def replay(events: DataFrame, governments: DataFrame) -> DataFrame:
+    """Who held which post of which government from when to when, from decrees in order; what can't be placed is a row of another kind.
+
+    events: block, day, seq, type (roster, appoint, interim, interim_end, dismiss, resign, suspend), person, post, members array<struct<person, post>> (of a roster);
+    governments: block, government, starts_on, ends_on, acting, skip, carry_over. A seat has one holder: who is named replaces who sat there, and an acting
+    holder leaves when a holder is named. A roster ends the old cabinet's other members. A government's end closes what its decrees left open, and
+    a government formed anew by the same head carries its cabinet over.
+
+    The fold depends on the order of decrees, so a block (one country's) is folded as a whole: some thousand decrees in all its years.
     """
-    return events.groupBy("block").applyInPandas(_replay, _ROLES)
+    g = governments.groupBy("block").agg(F.collect_list(F.struct(*[c for c in governments.columns if c != "block"])).alias("governments"))
+    rows = events.join(g, "block", "left").select("block", "day", "seq", "type", "person", "post", "members", "governments")
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        known = part["governments"].iloc[0]
+        cabinets = _Cabinets(part["block"].iloc[0], [] if known is None else [dict(x) for x in known])
+        for e in part.drop(columns="governments").sort_values(["day", "seq"]).astype(object).to_dict("records"):
+            e = {k: None if not isinstance(v, (list, tuple)) and not hasattr(v, "__len__") and pd.isna(v) else v for k, v in e.items()}
+            cabinets.advance(e["day"])
+            cabinets.apply(e)
+        return pd.DataFrame(cabinets.result(), columns=[c.split()[0] for c in _ROLES.split(", ")])
+
+    return rows.groupBy("block").applyInPandas(fold, _ROLES)

@@ -12,6 +12,7 @@ from tallyloom.functions import text as X
 from tallyloom.operators import entities as E
 from tallyloom.operators import relational as R
 from tallyloom.operators import temporal as T
+from tallyloom.session import materialise
 
 #: Days that two seats may overlap at a hand-over; years after which a post without news counts as lapsed.
 HAND_OVER, LAPSE_YEARS = 31, 8
@@ -31,17 +32,202 @@ def seats_at_once(pairs: DataFrame, mandates: DataFrame) -> DataFrame:
     return both.where((days > HAND_OVER) & ~F.coalesce(same, F.lit(False))).select("a", "b").distinct()
 
 
-def match_by_name(probe: DataFrame, members: DataFrame, name: str, target: str) -> DataFrame:
-    """probe with the only member of the same tokens in order, else of the same tokens in any order; null when none or several match."""
-    in_order, any_order = F.array_join(X.name_tokens(F.col(name)), " "), F.array_join(F.sort_array(X.name_tokens(F.col(name))), " ")
-    out = probe.withColumns({"__o": in_order, "__a": any_order})
-    known = members.select(target, in_order.alias("__o"), any_order.alias("__a"))
-    out = R.unique_match(out, known.select("__o", target), ["__o"], target).withColumnRenamed(target, "__first")
-    # Several members of the same order settle it: the name is ambiguous and no later stage may guess.
-    several = known.groupBy("__o").agg(F.count_distinct(target).alias("__n")).where("__n > 1").select("__o", F.lit(True).alias("__many"))
-    out = R.unique_match(out.join(several, "__o", "left"), known.select("__a", target), ["__a"], target)
-    found = F.when(F.col("__many").isNull(), F.coalesce("__first", target))
-    return out.withColumn(target, found).select(*probe.columns, target)
+def _words(c: Column) -> Column:
+    """The words of a name as printed: folded, of more than one letter, in order."""
+    return F.filter(F.split(F.regexp_replace(X.fold_ro(F.coalesce(c, F.lit(""))), "[()]", " "), r"[\s\-.,]+"), lambda t: F.length(t) > 1)
+
+
+def _near_keys(words: Column) -> Column:
+    """Each word, and each long word short of one letter: two words within one letter of each other have one of these in common."""
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    return F.array_distinct(F.flatten(F.transform(words, lambda t: F.when(F.length(t) >= 6, F.concat(F.array(t), cut(t))).otherwise(F.array(t)))))
+
+
+def match_by_name(probe: DataFrame, members: DataFrame, name: str, target: str, on: str | None = None) -> DataFrame:
+    """probe with the only member that fits its name, and `ambiguous` where several do; of two words at least.
+
+    In turn: the same words in any order (of several, the one whose words are the printed ones turned round); every word of the shorter name among the
+    longer's; the same number of words, each at most one letter off in a long word. Several at a step settle it: nobody is chosen. With `on`, a day of the
+    probe, only members sitting then (starts_on, ends_on) count.
+    """
+    words = _words(F.col(name))
+    known = ["starts_on", "ends_on"] if on else []
+    p = probe.withColumns({"__id": F.monotonically_increasing_id(), "__w": words, "__s": F.array_sort(F.array_distinct(words))})
+    p = materialise(p, "names")  # the row numbers are written, so that all steps speak of the same rows
+    m = members.select(F.col(target).alias("__t"), words.alias("__mw"), F.array_sort(F.array_distinct(words)).alias("__ms"), *known).distinct()
+    long = p.where(F.size("__s") >= 2).select("__id", "__w", "__s", *([F.col(on).alias("__on")] if on else []))
+    sits = T.active_on(F.col("starts_on"), F.col("ends_on"), F.col("__on")) | F.col("__on").isNull() if on else F.lit(True)
+    pick = lambda pairs, step: pairs.groupBy("__id").agg(F.min("__t").alias("t"), F.count_distinct("__t").alias("n")).withColumn("step", F.lit(step))
+
+    same = long.join(m, F.col("__s") == F.col("__ms")).where(sits)
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    turned = (F.size("__w") == F.size("__mw")) & F.contains(F.concat(joined("__mw"), F.array_join("__mw", " "), F.lit(" ")), joined("__w"))
+    exact = pick(same, 1).where("n = 1").unionByName(pick(same.where(turned), 1).where("n = 1").join(pick(same, 1).where("n > 1").select("__id"), "__id", "left_semi"))
+    several = pick(same, 1).where("n > 1").join(exact.select("__id"), "__id", "left_anti")
+
+    # The two first words of the shorter name are a pair of words of the longer one: pairs of words are the key.
+    rest = long.join(same.select("__id").distinct(), "__id", "left_anti")
+    pairs = lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.concat(x, F.lit(" "), y))))
+    first = lambda c: F.concat_ws(" ", F.get(c, F.lit(0)), F.get(c, F.lit(1)))
+    all_of, of_all = rest.withColumn("__k", F.explode(pairs(F.col("__s")))), m.where(F.size("__ms") >= 2).withColumn("__k", first(F.col("__ms")))
+    longer = all_of.join(of_all, "__k").where((F.size("__ms") <= F.size("__s")) & (F.size(F.array_except("__ms", "__s")) == 0) & sits)
+    shorter = rest.withColumn("__k", first(F.col("__s"))).join(m.withColumn("__k", F.explode(pairs(F.col("__ms")))), "__k").where((F.size("__s") <= F.size("__ms")) & (F.size(F.array_except("__s", "__ms")) == 0) & sits)
+    part = longer.select("__id", "__t").unionByName(shorter.select("__id", "__t")).distinct()
+
+    last = rest.join(part.select("__id").distinct(), "__id", "left_anti")
+    longest = F.array_max(F.transform("__s", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    close = last.withColumn("__k", F.explode(_near_keys(F.array(longest)))).join(m.withColumn("__k", F.explode(_near_keys(F.col("__ms")))), "__k")
+    fits = F.forall("__s", lambda a: F.exists("__ms", lambda b: (a == b) | ((F.least(F.length(a), F.length(b)) >= 6) & (F.levenshtein(a, b) <= 1))))
+    near = close.where((F.size("__s") == F.size("__ms")) & fits & sits).select("__id", "__t").distinct()
+
+    told = exact.unionByName(several).unionByName(pick(part, 2)).unionByName(pick(near, 3))
+    found = told.select("__id", F.when(F.col("n") == 1, F.col("t")).alias(target), (F.col("n") > 1).alias("ambiguous"))
+    return p.join(found, "__id", "left").select(*probe.columns, target, F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
+def _overlapping(pairs: DataFrame, members: DataFrame, mandates: DataFrame) -> DataFrame:
+    """Pairs of members that sat in different seats at once; a seat that two sources print (one with a profile, one without, of matching names) is one seat."""
+    seats = mandates.join(members.select("member", "name", F.col("profile").isNotNull().alias("own")), "member")
+    side = lambda k: seats.select(F.col("member").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in seats.columns if c != "member"])
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    col = lambda c, k: F.col(f"{c}_{k}")
+    days = T.overlap_days(col("starts_on", "a"), col("ends_on", "a"), col("starts_on", "b"), col("ends_on", "b"))
+    place = lambda k: X.constituency_key(col("constituency", k))
+    across = (col("own", "a") != col("own", "b")) & X.names_match(col("name", "a"), col("name", "b"))
+    same = (col("legislature", "a") == col("legislature", "b")) & (col("chamber", "a") == col("chamber", "b")) & (((place("a") == place("b")) & (place("a") != "")) | across)
+    return both.where((days > HAND_OVER) & ~F.coalesce(same, F.lit(False))).select("a", "b").distinct()
+
+
+def _joined_groups(rows: pd.DataFrame) -> pd.DataFrame:
+    """The groups of one person in order, each joined to the first that nothing separates it from: pairs (a, b) of members to link, undecided: kept together or
+    parted without a decision on every pair."""
+    apart = {frozenset(p) for pairs in rows["apart"] if pairs is not None for p in pairs}
+    decided = {frozenset(p) for pairs in rows["decided"] if pairs is not None for p in pairs}
+    groups = [list(g["member"]) for _, g in rows.sort_values("member").groupby("component", sort=False)]
+    between = lambda x, y, known: any(frozenset((m, n)) in known for m in x for n in y)
+    joined: list[list] = []
+    out = []
+    for group in groups:
+        target = next((t for t in joined if not between(t, group, apart)), None)
+        if target is None:
+            joined.append(list(group))
+        else:
+            out.append((target[0], group[0]))
+            target += group
+    open_ = len(joined) < len(groups) and not all(between(x, y, decided) for i, x in enumerate(groups) for y in groups[i + 1 :])
+    out.append((None, None)) if open_ else None
+    return pd.DataFrame([(rows["person"].iloc[0], a, b, a is None) for a, b in out], columns=["person", "a", "b", "review"])
+
+
+def resolve_people(members: DataFrame, mandates: DataFrame, same: DataFrame, different: DataFrame, protected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which member records are one person, by official evidence and decisions alone, and what a human should look at.
+
+    members: member, person (null: none), name, profile (null: the other source), careers array<string> (profiles of other terms); mandates: member, legislature,
+    chamber, constituency, starts_on, ends_on; same: decision, member, person (pinned, or null); different: a, b; protected: person (referred to elsewhere).
+
+    Joined: linked careers; one seat seen by two sources under matching names, if only one fits; decisions. Kept together: records that share a person already,
+    unless seats at once or a decision part them. Names alone never join. Returns (member, person_was, person, reason: null, unassigned, split or merged) and
+    the review list (kind, subject): unlinked_careers_one_person, possible_same_person, ambiguous_same_seat, conflict.
+    """
+    own = members.where("profile is not null").select("profile", F.col("member").alias("b"))
+    careers = members.select(F.col("member").alias("a"), F.explode("careers").alias("profile")).join(own, "profile").select("a", "b")
+
+    seat = mandates.select("member", "legislature", "chamber", X.constituency_key(F.col("constituency")).alias("place")).where("place <> ''")
+    named = lambda df, k: df.join(seat, "member").select(F.col("member").alias(k), F.col("name").alias(f"name_{k}"), "legislature", "chamber", "place")
+    fits = named(members.where("profile is null"), "a").join(named(members.where("profile is not null"), "b"), ["legislature", "chamber", "place"]).where(X.names_match(F.col("name_a"), F.col("name_b")))
+    one = fits.groupBy("a").agg(F.min("b").alias("b"), F.count_distinct("b").alias("n"))
+
+    held = same.join(members.select("member"), "member", "left_semi")
+    lead = held.groupBy("decision").agg(F.min("member").alias("a"))
+    decided = held.join(lead, "decision").select("a", F.col("member").alias("b"))
+    evidence = materialise(careers.unionByName(one.where("n = 1").select("a", "b")).unionByName(decided), "evidence")
+    label = E.connected(evidence)
+    known = materialise(members.join(label.withColumnRenamed("id", "member"), "member", "left").withColumn("component", F.coalesce("component", "member")), "known")
+
+    both_ways = different.select("a", "b").unionByName(different.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    comp = known.select("member", "component")
+    against = different.join(comp.select(F.col("member").alias("a"), F.col("component").alias("ca")), "a").join(comp.select(F.col("member").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb")
+
+    # Records of one person in several groups: a person has few, so they are settled person by person.
+    shared = known.where("person is not null").groupBy("person").agg(F.count_distinct("component").alias("n")).where("n > 1").select("person")
+    some = known.join(shared, "person")
+    pair = some.select("person", F.col("member").alias("a"), F.col("component").alias("ca")).join(some.select("person", F.col("member").alias("b"), F.col("component").alias("cb")), "person").where("a < b and ca <> cb")
+    apart = _overlapping(pair, members, mandates).unionByName(both_ways.join(pair.select("a", "b"), ["a", "b"], "left_semi")).distinct()
+    mates = held.select("decision", F.col("member").alias("a")).join(held.select("decision", F.col("member").alias("b")), "decision").select("a", "b")
+    settled = both_ways.unionByName(mates).distinct()
+    of = lambda pairs, name: pairs.groupBy("a").agg(F.collect_set(F.array("a", "b")).alias(name)).withColumnRenamed("a", "member")
+    rows = some.select("person", "member", "component").join(of(apart, "apart"), "member", "left").join(of(settled, "decided"), "member", "left")
+    kept = materialise(rows.groupBy("person").applyInPandas(_joined_groups, "person string, a string, b string, review boolean"), "kept")
+
+    final = E.connected(evidence.unionByName(kept.where("not review").select("a", "b")))
+    grouped = members.join(final.withColumnRenamed("id", "member"), "member", "left").withColumn("group", F.coalesce("component", "member")).drop("component")
+    pinned = same.where("person is not null").select("member", F.col("person").alias("pinned"))
+    grouped = materialise(grouped.join(pinned, "member", "left"), "grouped")
+
+    # A group and the persons that it may keep: what hangs together by shared persons is settled in order of pins, size and id.
+    latest = mandates.groupBy("member").agg(F.max("starts_on").alias("latest"))
+    best = grouped.join(latest, "member", "left").groupBy("group").agg(
+        F.max(F.struct(F.col("profile").isNotNull().alias("own"), F.coalesce(F.col("latest").cast("string"), F.lit("")).alias("day"), F.col("name").alias("name")))["name"].alias("name"),
+        F.count("*").alias("size"), F.min("member").alias("first"), F.max("pinned").alias("pinned"),
+    )
+    votes = grouped.where("person is not null").groupBy("group", "person").agg(F.count("*").alias("n")).join(protected.select("person", F.lit(1).alias("kept")).distinct(), "person", "left")
+    wishes = best.join(votes.groupBy("group").agg(F.collect_list(F.struct("person", "n", F.coalesce("kept", F.lit(0)).alias("kept"))).alias("wishes")), "group", "left")
+    ties = votes.select("group", "person").unionByName(best.where("pinned is not null").select("group", F.col("pinned").alias("person")))
+    links = ties.select(F.concat(F.lit("g:"), "group").alias("a"), F.concat(F.lit("p:"), "person").alias("b"))
+    blocks = E.connected(links).where("id like 'g:%'").select(F.substring("id", 3, 1 << 20).alias("group"), F.col("component").alias("block"))
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for g in sorted(part.to_dict("records"), key=lambda g: (g["pinned"] is None, -g["size"], g["first"])):
+            mine = sorted((w for w in (g["wishes"] if g["wishes"] is not None else [])), key=lambda w: (-w["kept"], -w["n"], w["person"]))
+            free = [w["person"] for w in mine if w["person"] not in taken]
+            person = g["pinned"] if g["pinned"] is not None and g["pinned"] not in taken else free[0] if free else None
+            taken.add(person)
+            out.append((g["group"], person, g["name"]))
+        return pd.DataFrame(out, columns=["group", "person", "name"])
+
+    chosen = wishes.join(blocks, "group", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("g:"), "group"))).groupBy("block").applyInPandas(choose, "group string, person string, name string")
+    chosen = materialise(chosen, "chosen")
+    # New people get a name of their own: the slug, numbered from 2 where it is taken already.
+    fresh = chosen.where("person is null").withColumn("base", F.concat(F.lit("person-"), X.slug(F.col("name"))))
+    used = members.where("person is not null").select("person").unionByName(chosen.where("person is not null").select("person")).distinct()
+    used = used.withColumn("base", F.regexp_replace("person", r"-\d+$", "")).unionByName(used.withColumn("base", F.col("person"))).groupBy("base").agg(F.collect_set("person").alias("used"))
+
+    def number(part: pd.DataFrame) -> pd.DataFrame:
+        base, taken, out = part["base"].iloc[0], set(part["used"].iloc[0] if part["used"].iloc[0] is not None else ()), []
+        for group in sorted(part["group"]):
+            name, n = base, 1
+            while name in taken:
+                n += 1
+                name = f"{base}-{n}"
+            taken.add(name)
+            out.append((group, name))
+        return pd.DataFrame(out, columns=["group", "person"])
+
+    new = fresh.join(used, "base", "left").groupBy("base").applyInPandas(number, "group string, person string")
+    people = materialise(chosen.where("person is not null").select("group", "person", F.lit(False).alias("new")).unionByName(new.withColumn("new", F.lit(True))), "people")
+    moved = F.when(F.col("was").isNull(), "unassigned").when(F.col("new"), "split").otherwise("merged")
+    result = grouped.select("member", F.col("person").alias("was"), "group").join(people, "group").select("member", F.col("was").alias("person_was"), "person", F.when(~F.col("was").eqNullSafe(F.col("person")), moved).alias("reason"))
+
+    # Groups under one name key that nothing parts: listed, never merged.
+    key = F.array_join(F.array_sort(X.name_tokens(F.col("name"))), " ")
+    firsts = grouped.groupBy("group").agg(F.min_by("name", "member").alias("name")).select("group", key.alias("key"))
+    alike = firsts.select("key", F.col("group").alias("ga")).join(firsts.select("key", F.col("group").alias("gb")), "key").where("ga < gb")
+    side = lambda k: grouped.select(F.col("group").alias(f"g{k}"), F.col("member").alias(k))
+    across = alike.join(side("a"), "ga").join(side("b"), "gb")
+    clash = across.join(_overlapping(across, members, mandates), ["a", "b"], "left_semi").select("ga", "gb").distinct().withColumn("clash", F.lit(True))
+    told = across.join(both_ways, ["a", "b"], "left_semi").select("ga", "gb").distinct().withColumn("told", F.lit(True))
+    possible = alike.join(clash, ["ga", "gb"], "left").join(told, ["ga", "gb"], "left").groupBy("key").agg(F.max(F.col("clash").isNull()).alias("free"), F.min(F.col("told").isNotNull()).alias("all"))
+    review = [
+        kept.where("review").select(F.lit("unlinked_careers_one_person").alias("kind"), F.col("person").alias("subject")),
+        possible.where(F.col("free") & ~F.col("all")).select(F.lit("possible_same_person").alias("kind"), F.col("key").alias("subject")),
+        one.where("n > 1").select(F.lit("ambiguous_same_seat").alias("kind"), F.col("a").alias("subject")),
+        against.select(F.lit("conflict").alias("kind"), F.concat_ws(",", F.least("a", "b"), F.greatest("a", "b")).alias("subject")),
+    ]
+    listed = review[0]
+    for more in review[1:]:
+        listed = listed.unionByName(more)
+    return result, listed
 
 
 def merge_evidence(rows: DataFrame, organisation: str, member: str, party: str, least: int = 5, share: float = 0.9) -> DataFrame:
@@ -134,35 +320,33 @@ def fill_from_roster(rows: DataFrame, roster: DataFrame, groups: DataFrame, memb
     return found.select(member, "group_id", status.alias("status"))
 
 
-_HOLDERS = "place string, holder string, started_on date, ended_on date, ended string"
-
-
 def timelines(events: DataFrame, today: str) -> DataFrame:
-    """Holder periods of posts with one seat from appointments and recalls (place, day, seq, kind, holder).
+    """Holder periods of posts with one seat from appointments and recalls (place, day, seq, kind, holder): place, holder, started_on, ended_on, ended.
 
     On one day recalls come first. A second appointment of the holder goes on; another's replaces the holder; a recall of somebody else is a
-    period without a start. A post whose last appointment is over `LAPSE_YEARS` old is lapsed. The fold depends on the order, and a post
-    has a few decrees in all its years, so each is folded on its own.
+    period without a start. A post whose last period began over `LAPSE_YEARS` ago is lapsed. Appointments number the stretches between them, and
+    stretches of one holder that no recall has ended are one period: a window of each post, no fold.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        place, out, now = rows["place"].iloc[0], [], None
-        rows = rows.assign(late=(rows["kind"] == "appointed").astype(int)).sort_values(["day", "late", "seq"])
-        for day, kind, holder in zip(rows["day"], rows["kind"], rows["holder"], strict=True):
-            same = now is not None and now[0] == holder
-            if kind == "appointed" and not same:
-                if now:
-                    out.append((place, *now, day, "replaced"))
-                now = (holder, day)
-            elif kind == "recalled":
-                out.append((place, holder, now[1] if same else None, day, "recalled"))
-                now = None if same else now
-        if now:
-            years = (pd.Timestamp(today) - pd.Timestamp(now[1])).days / 365.25
-            out.append((place, *now, None, "lapsed" if years > LAPSE_YEARS else "open"))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _HOLDERS.split(", ")])
-
-    return events.groupBy("place").applyInPandas(fold, _HOLDERS)
+    named = F.col("kind") == "appointed"
+    order = [F.col("day"), named.cast("int"), F.col("seq")]
+    w = W.partitionBy("place").orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = events.where(F.col("kind").isin("appointed", "recalled")).withColumns({"g": F.sum(named.cast("int")).over(upto), "now": F.last(F.when(named, F.col("holder")), ignorenulls=True).over(upto)})
+    # Within a stretch the first recall of its holder ends it; every other recall is of somebody who did not hold the post.
+    own = (~named & (F.col("holder") == F.col("now"))).cast("int")
+    rows = rows.withColumn("n", F.sum(F.coalesce(own, F.lit(0))).over(W.partitionBy("place", "g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    ends = F.coalesce(own, F.lit(0)) * (F.col("n") == 1).cast("int") == 1
+    strangers = rows.where(~named & ~ends).select("place", "holder", F.lit(None).cast("date").alias("started_on"), F.col("day").alias("ended_on"), F.lit("recalled").alias("ended"))
+    stretch = rows.where("g > 0").groupBy("place", "g").agg(F.max("now").alias("holder"), F.min(F.when(named, F.col("day"))).alias("day"), F.min(F.when(ends, F.col("day"))).alias("over"))
+    by = W.partitionBy("place").orderBy("g")
+    goes_on = (F.lag("holder").over(by) == F.col("holder")) & F.lag("over").over(by).isNull()
+    period = stretch.withColumn("fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("p", F.sum("fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    held = period.groupBy("place", "p").agg(F.max("holder").alias("holder"), F.min("day").alias("started_on"), F.max_by("over", "g").alias("over"))
+    after = F.lead("started_on").over(W.partitionBy("place").orderBy("p"))
+    lapsed = F.datediff(F.lit(today).cast("date"), "started_on") / 365.25 > LAPSE_YEARS
+    ended = F.when(F.col("over").isNotNull(), "recalled").when(F.col("after").isNotNull(), "replaced").when(lapsed, "lapsed").otherwise("open")
+    told = held.withColumn("after", after).select("place", "holder", "started_on", F.coalesce("over", "after").alias("ended_on"), ended.alias("ended"))
+    return told.unionByName(strangers)
 
 
 def grouped_pages(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -39,6 +40,18 @@ def clamp_limit(raw: str | None, default: int = 10, most: int = 30) -> int:
         return default
 
 
+def parse_filters(given: dict[str, str | list[str] | None], allowed: dict[str, tuple[str, ...]], free: tuple[str, ...] = ("q", "group", "legislature")) -> dict[str, str]:
+    """Filters from a request, as far as they are valid: a year of four digits, a month from 1 to 12, values of a list, free text that isn't blank."""
+    one = {k: v[0] if isinstance(v, list) and v else v for k, v in given.items() if v}
+    out = {}
+    if re.fullmatch(r"[0-9]{4}", one.get("year") or ""):
+        out["year"] = one["year"]
+    if re.fullmatch(r"0*([1-9]|1[0-2])", one.get("month") or ""):
+        out["month"] = str(int(one["month"]))
+    out |= {k: one[k] for k, values in allowed.items() if one.get(k) in values}
+    return out | {k: one[k].strip() for k in free if (one.get(k) or "").strip()}
+
+
 def encode_cursor(day: str, key: str | int) -> str:
     return base64.urlsafe_b64encode(json.dumps([day, key]).encode()).decode().rstrip("=")
 
@@ -158,3 +171,20 @@ def priority_pick(sources: list[DataFrame], key: str, most: int) -> DataFrame:
     """Keys from sources of falling priority, each once, up to a number."""
     ranked = reduce(DataFrame.unionByName, [s.select(key, F.lit(i).alias("priority")) for i, s in enumerate(sources)])
     return ranked.groupBy(key).agg(F.min("priority").alias("priority")).orderBy("priority", key).limit(most)
+
+
+def holding(texts: DataFrame, names: DataFrame, text: str, name: str, most: int = 2000, gram: int = 3) -> DataFrame:
+    """Pairs of texts and the names that they contain, anywhere in a word too.
+
+    A short list of names, at most `most` as counted, goes to every text. A longer one meets the texts by a run of `gram` characters: the first of the name is
+    one of the text's, and the rest is compared only there. Names shorter than a run are in the first way if they are few, which they are.
+    """
+    few = names.limit(most + 1).count() <= most
+    if few:
+        return texts.join(F.broadcast(names), F.contains(text, name))
+    short = F.length(name) < gram
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(gram))))
+    keyed = texts.withColumn("__run", F.explode(runs)).join(names.where(~short).withColumn("__run", F.left(F.col(name), F.lit(gram))), "__run").where(F.contains(text, name)).drop("__run")
+    tiny = names.where(short)
+    assert tiny.limit(most + 1).count() <= most, "too many names of one or two letters"
+    return keyed.unionByName(texts.join(F.broadcast(tiny), F.contains(text, name)))

@@ -16,39 +16,76 @@ class Rule:
     value: str
     pattern: str
     needs_bill: bool = False
+    sure: str = "high"
 
 
-def first_match(text: Column, rules: tuple[Rule, ...], default: str, has_bill: Column | None = None) -> Column:
-    """Compile rules to a column. The text is folded once by the caller, so that patterns are plain ASCII."""
+def first_match(text: Column, rules: tuple[Rule, ...], default: str, has_bill: Column | None = None, give: str = "value") -> Column:
+    """Compile rules to a column: the value (or another field) of the first that matches. The text is folded once by the caller, so
+    that patterns are plain ASCII."""
     bill = F.lit(True) if has_bill is None else has_bill
-    conditions = [(F.rlike(text, F.lit(r.pattern)) & bill if r.needs_bill else F.rlike(text, F.lit(r.pattern)), r.value) for r in rules]
+    conditions = [(F.rlike(text, F.lit(r.pattern)) & bill if r.needs_bill else F.rlike(text, F.lit(r.pattern)), getattr(r, give)) for r in rules]
     first, *rest = conditions
     return reduce(lambda acc, c: acc.when(*c), rest, F.when(*first)).otherwise(default)
 
 
-# The kinds of votes and the wording that tells them, in order of precedence.
+# The kinds of votes and the wording that tells them, in order of precedence: procedural wording comes before
+# anything that looks like a final vote. Some rules count only for votes that are linked to a bill; `medium` ones are less sure.
 VOTE_KINDS = (
-    Rule("quorum_or_presence", r"\b(verificare(a)? prezent(ei|a)|prezenta electronica|apel nominal|intrunirea cvorumului|cvorum)\b"),
-    Rule("agenda_or_schedule", r"\b(ordinea? de zi|program(ul)? de lucru|prelungirea programului|modificare(a)? (programului|ordinii? de zi)|suspendarea sedintei)\b"),
-    Rule("procedural_timing", r"\b(timp(i|ul)? (de )?dezbater(e|i)|prelungirea termenului|termen(ul)? constitutional|durata dezbaterilor)\b"),
-    Rule("internal_procedure", r"\b(procedura de vot|modalitatea de vot|reluarea votului|vot (secret|prin bile|test|control)|regulament(ul)? (camerei|senatului))\b"),
-    Rule("amendment", r"\b(amendament(ul|e|ele)?|articol(ul)? amendat|am[ar]\.?\s*\d+|titlul legii)\b"),
-    Rule("committee_referral", r"\b(retrimitere(a)? la comisi\w*|trimitere(a)? la comisi\w*|sesizarea comisi\w*)\b"),
-    Rule("reconsideration", r"\b(reexaminare(a)?|repunere(a)? pe ordinea de zi|reconsiderare(a)?)\b"),
-    Rule("no_confidence", r"\bmotiun(e|ea|ii) de cenzura\b"),
+    Rule("quorum_or_presence", r"\b(verificare(?:a)? prezent(?:ei|a)|prezenta electronica|apel nominal|intrunirea cvorumului|cvorum)\b"),
+    Rule("agenda_or_schedule", r"\b(ordinea? de zi|program(?:ul)? de lucru|lucreze (?:in )?paralel|in paralel cu plenul|prelungirea programului|modificare(?:a)? (?:programului|ordinii? de zi)|suspendarea sedintei)\b"),
+    Rule("procedural_timing", r"\b(timp(?:i|ul)? (?:de )?dezbater(?:e|i)|prelungirea termenului|termen(?:ul)? constitutional|limitarea timpului|durata dezbaterilor)\b"),
+    Rule("internal_procedure", r"\b(procedura de vot|modalitatea de vot|reluarea votului|vot (?:secret|prin bile|test|control)|regulament(?:ul)? (?:camerei|senatului))\b"),
+    Rule("amendment", r"\b(amendament(?:ul|e|ele)?|articol(?:ul)? amendat|am[ar]\.?\s*\d+|titlul legii)\b"),
+    Rule("committee_referral", r"\b(retrimitere(?:a)? la comisi\w*|trimitere(?:a)? la comisi\w*|sesizarea comisi\w*)\b"),
+    Rule("reconsideration", r"\b(reexaminare(?:a)?|repunere(?:a)? pe ordinea de zi|reconsiderare(?:a)?)\b"),
+    Rule("institutional_resolution", r"\b(ph\s*(?:(?:cd|s)\s*\d+|-\s*(?:com|ancheta)\b)|proiect(?:ul)? de hotarare|raport de activitate|declaratia (?:senatului|parlamentului))\b"),
+    Rule("no_confidence", r"\b(motiune(?:a)? de cenzura|motiunii de cenzura)\b"),
     Rule("confidence", r"\b(angajarea raspunderii|vot de incredere|investirea guvernului|acordarea increderii)\b"),
-    Rule("rejection_report", r"\b(raport(ul)? de respingere|propunere(a)? de respingere)\b"),
-    Rule("final_adoption", r"\bproiect de lege (privind|pentru|de) aprobare(a)?\b", True),
+    Rule("rejection_report", r"\b(raport(?:ul)? de respingere|propunere(?:a)? de respingere)\b"),
+    Rule("final_adoption", r"\bproiect de lege (?:privind|pentru|de) aprobare(?:a)?\b", True),
     Rule("final_rejection", r"\bvot final\b.*\b(respingere|respins)\b|\b(respingere|respins)\b.*\bvot final\b"),
     Rule("final_adoption", r"\bvot final\b.*\b(adoptare|adoptat)\b|\b(adoptare|adoptat)\b.*\bvot final\b"),
-    Rule("final_adoption", r"\bvot final\b|\bvf\b", True),
-    Rule("final_adoption", r"\b(pl-?x?|l)\s*\d+/\d{4}\b.*\bvot final\b"),
-    Rule("institutional_resolution", r"\b(proiect(ul)? de hotarare|hotarare(a)? (camerei|senatului|parlamentului)|numire(a)?|revocare(a)?|validare(a)?|biroul permanent)\b"),
+    Rule("final_adoption", r"\bvot final\b", True, "medium"),
+    Rule("final_adoption", r"\b(?:pl-?x?|l)\s*\d+\/\d{4}\b.*\bvot final\b", False, "medium"),
+    Rule("final_adoption", r"\bvf\b", True, "medium"),
+    Rule("institutional_resolution", r"\b(hotarare(?:a)? (?:camerei|senatului|parlamentului)|numire(?:a)?|revocare(?:a)?|validare(?:a)?|alegerea vicepresedintilor|biroul permanent)\b"),
 )
 
-
-def vote_kind(title: Column, has_bill: Column) -> Column:
-    return first_match(fold_ro(title), VOTE_KINDS, "unknown", has_bill)
+# How prominent a kind of vote is, and what a vote for it supports.
+KIND_FACTS = {
+    "quorum_or_presence": ("routine", "confirms_presence"),
+    "agenda_or_schedule": ("routine", "supports_procedure"),
+    "procedural_timing": ("routine", "supports_procedure"),
+    "internal_procedure": ("routine", "supports_procedure"),
+    "amendment": ("standard", "supports_amendment"),
+    "committee_referral": ("standard", "supports_referral"),
+    "reconsideration": ("standard", "supports_reconsideration"),
+    "institutional_resolution": ("standard", "supports_resolution"),
+    "no_confidence": ("major", "supports_no_confidence"),
+    "confidence": ("major", "supports_confidence"),
+    "rejection_report": ("major", "supports_rejection"),
+    "final_adoption": ("major", "supports_adoption"),
+    "final_rejection": ("major", "supports_rejection"),
+    "unknown": ("unclassified", "unknown"),
+}
+
+
+def wording(title: Column, vote_type: Column | None = None) -> Column:
+    """What the rules read: title and type of a vote, folded. The bill's own title says nothing of the question put."""
+    parts = [F.nullif(c, F.lit("")) for c in ([title] if vote_type is None else [title, vote_type])]
+    return fold_ro(F.concat_ws(" | ", *parts))
+
+
+def vote_kind(title: Column, has_bill: Column, vote_type: Column | None = None) -> Column:
+    return first_match(wording(title, vote_type), VOTE_KINDS, "unknown", has_bill)
+
+
+def vote_facts(title: Column, has_bill: Column, vote_type: Column | None = None) -> dict[str, Column]:
+    """kind, prominence, meaning (of a yes) and confidence."""
+    kind = vote_kind(title, has_bill, vote_type)
+    fact = lambda i: F.create_map(*[F.lit(x) for k, v in KIND_FACTS.items() for x in (k, v[i])])[kind]
+    sure = first_match(wording(title, vote_type), VOTE_KINDS, "low", has_bill, "sure")
+    return {"kind": kind, "prominence": fact(0), "meaning": fact(1), "confidence": sure}
 
 
 def law_type(title: Column) -> Column:

@@ -66,6 +66,39 @@ def _number(text: Column, pattern: str) -> Column:
     return _part(text, pattern).cast("int")
 
 
+# Where the wording of a step names a committee or a body.
+_TOPIC = r"^trimis pentru (?:raport suplimentar|raport|aviz) privind .*?,? la (comisia .*)$"
+_SENT = r"^-?\s*trimis pentru (?:raport suplimentar|raport|aviz) la:?\s*(.*)$"
+_VIEW_ASKED = r"^(?:solicitare punct de vedere de la|trimis pentru punct de vedere la) (.+)$"
+_ASKED = r"^solicitare aviz de la (.+)$"
+_VIEW_GIVEN = r"^primire punct de vedere de la (.+?)(?:\s+-\s+cu nr\.?\s*.+?)?\s*$"
+_GIVEN = r"^primire (?:aviz|opinie|hotarare) de la (.+?[^:])(?:\s+-\s+cu nr\.?\s*\S+)?(?:\s*\((?:favorabil|negativ|nefavorabil)\))?\s*$"
+_GIVES = r"^(.+?)\s+(?:transmite avizul|depune raportul)"
+_COMMITTEE = r"(Comisia\s+[^()]{6,200}?)(?:\s+nr\.|\s+a solicitat|\s*\(|\s*,|\s*$)"
+#: Kinds of steps whose wording names somebody.
+NAMING = ("sent_to_committee", "committee_opinion_requested", "opinion_requested", "opinion_received", "committee_opinion_received", "committee_report_received")
+
+
+def _name(kind: Column, f: Column, printed: Column) -> Column:
+    """Whom a step names, as printed. The folded text is as long as the printed one, so places carry over."""
+
+    def found(pattern: str) -> Column:
+        part = F.regexp_extract(f, pattern, 1)
+        return F.nullif(F.btrim(F.substr(printed, F.position(part, f), F.length(part))), F.lit(""))
+
+    name = F.coalesce(*[found(p) for p in (_TOPIC, _SENT, _VIEW_ASKED, _ASKED, _VIEW_GIVEN, _GIVEN, _GIVES)])
+    name = F.nullif(F.btrim(F.regexp_replace(name, r"(?i)\s*\(termen:[^)]*\)\s*$", "")), F.lit(""))
+    return F.when(kind.isin(*NAMING), name)
+
+
+def _named_bodies(kind: Column, f: Column, printed: Column, name: Column) -> tuple[Column, Column]:
+    """The committee and the body that a step names."""
+    committee = F.rlike(folded(name), F.lit(r"^comisia\b")) | ((kind == "committee_report_received") & F.rlike(f, F.lit(_GIVES)))
+    decided = F.when(kind == "competence_decision", F.nullif(F.btrim(F.regexp_extract(printed, _COMMITTEE, 1)), F.lit("")))
+    body = F.when(kind.isin("government_view_requested", "government_view_received"), "Guvernul României").when(~committee, name)
+    return F.coalesce(decided, F.when(committee, name)), body
+
+
 def _chamber(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit("camer(a|ei) deputat")), "deputies").when(F.contains(text, F.lit("senat")), "senate")
 
@@ -77,13 +110,15 @@ def _iso(text: Column, before: str) -> Column:
 
 
 def typed(steps: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with type, recognised, chamber, verdict, deadline_on, document_number and the counts that the wording states.
+    """The rows with type, recognised, chamber, committee, institution, verdict, deadline_on, document_number and the counts that the wording states.
 
     The first rule that matches decides; wording that no rule knows is `other` and not recognised. All in one projection.
     """
     f = F.col("__f")
     kind = F.col("__kind")
+    printed = F.col("__printed")
     out = steps.withColumn("__f", folded(F.col(text))).withColumn("__kind", first_match(f, STEP_KINDS, UNKNOWN))
+    out = out.withColumn("__printed", F.btrim(F.regexp_replace(display(F.coalesce(F.col(text), F.lit(""))), r"\s+", " "))).withColumn("__name", _name(kind, f, printed))
     decided = kind.isin("adopted", "rejected")
     after = F.when(kind == "rejected", F.regexp_replace(f, r"^.*?respinsa? (de catre|de) ", "")).otherwise(F.regexp_replace(f, r"^.*?adoptata? de (catre )?", ""))
     chamber = (
@@ -102,16 +137,17 @@ def typed(steps: DataFrame, text: str = "text") -> DataFrame:
         F.when(kind == "government_view_received", told).when((kind == "committee_report_received") & F.startswith(f, F.lit("primire raport")), F.coalesce(told, F.lit("favorable")))
         .when(kind.isin("committee_report_received", "committee_opinion_received", "opinion_received"), worded)
     )
+    committee, institution = _named_bodies(kind, f, printed, F.col("__name"))
     votes = lambda word: F.when(decided | (kind == "final_vote"), _number(f, rf"{word}\s*=\s*(\d+)"))
     return out.withColumns(
         {
-            "type": F.when(kind == UNKNOWN, "other").otherwise(kind), "recognised": kind != UNKNOWN, "chamber": chamber, "verdict": verdict,
+            "type": F.when(kind == UNKNOWN, "other").otherwise(kind), "recognised": kind != UNKNOWN, "chamber": chamber, "committee": committee, "institution": institution, "verdict": verdict,
             "deadline_on": _iso(f, r"\(?termen:?\s*"),
             "document_number": F.when(kind.isin("government_view_received", "opinion_received", "committee_opinion_received", "committee_report_received"), _part(f, r"cu nr\.?\s*([^\s(-]+)")),
             "amendments_admitted": _number(f, r"\((\d+) amend\. admise\)"), "amendments_rejected": _number(f, r"\((\d+) amend\. respinse\)"),
             "votes_for": votes("pentru"), "votes_against": votes("contra"), "abstentions": votes("abtineri"), "not_voting": votes("nu au votat"),
         }
-    ).drop("__f", "__kind")
+    ).drop("__f", "__kind", "__printed", "__name")
 
 
 def fates(steps: DataFrame, bills: DataFrame) -> DataFrame:
@@ -160,6 +196,33 @@ GARBLED = r"[~^|`{}<>]|[A-Za-z]\d[A-Za-z]"
 ANNEX = r"^(?:anexa\s*(?:nr\.?\s*\d+)?\s*[-–:.]?\s*)?amendament(?:e|ul)?\s+(admis[ae]?|respins[ae]?)\b"
 
 
+# How an annex names an author of an amendment, and what may stand before the name.
+_CAPITAL = "A-ZĂÂÎȘȚŞŢ"
+AUTHOR = (
+    rf"((?:[{_CAPITAL}][\p{{L}}'’.]*(?:\s*[–-]\s*|\s+)){{1,5}}[{_CAPITAL}][\p{{L}}'’.]*)\s*[,–-]?\s*(deputat|senator)\s+"
+    rf"((?:[{_CAPITAL}][A-Za-zĂÂÎȘȚăâîșțşţ]*|neafiliat|minorit[a-zăț]+)(?:\s*\([^)]{{1,40}}\))?)"
+)
+_BEFORE_AUTHOR = r"(?i)^(?:(?:domnul|doamna|domnii|doamnele|dl\.?|d-na|senator|deputat|autori|autor|amendament\s+propus\s+de)\s*:?\s*)+"
+
+
+def authors(text: Column) -> Column:
+    """Authors that a text names, in order: array<struct<name, role, party>>; one of each name."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    part = lambda i: F.regexp_extract_all(t, F.lit(AUTHOR), F.lit(i))
+    clean = lambda n: F.btrim(F.regexp_replace(F.regexp_replace(n, _BEFORE_AUTHOR, ""), r"\s*[–-]\s*$", ""))
+    rows = F.transform(F.arrays_zip(part(1).alias("n"), part(2).alias("r"), part(3).alias("g")), lambda x: F.struct(clean(x["n"]).alias("name"), F.when(x["r"] == "deputat", "deputy").otherwise("senator").alias("role"), F.btrim(x["g"]).alias("party")))
+    return F.filter(rows, lambda x: (F.length(x["name"]) >= 5) & (F.size(F.split(x["name"], " ")) >= 2) & ~F.rlike(x["name"], F.lit("[0-9]")))
+
+
+def report_authors(pages: DataFrame) -> DataFrame:
+    """report_id, place, name, role, party: the authors that the annexes of cleanly read reports name, from the first annex's page on; each once."""
+    read = report_readings(pages).where("quality = 'clean'").select("report_id", F.least("admitted_page", "rejected_page").alias("from")).where(F.col("from").isNotNull())
+    rows = pages.join(read, "report_id").where("page >= from").select("report_id", "page", F.posexplode(authors(F.col("text"))).alias("at", "a"))
+    key = F.btrim(F.regexp_replace(folded(F.col("a.name")), r"[\s–-]+", " "))
+    first = rows.groupBy("report_id", key.alias("key")).agg(F.min(F.struct("page", "at", "a")).alias("f"))
+    return first.select("report_id", (F.col("f.page") * 1000 + F.col("f.at")).alias("place"), "f.a.name", "f.a.role", "f.a.party")
+
+
 def report_readings(pages: DataFrame) -> DataFrame:
     """report_id, pages, garbled_percent, quality, admitted_page, rejected_page: of reports read by page (report_id, page, text).
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
@@ -47,15 +48,28 @@ def clip(df: DataFrame, starts: list[str], ends: list[str], into: tuple[str, str
 
 
 def asof_latest(facts: DataFrame, periods: DataFrame, owner: str, day: str, starts: str, ends: str, tie: str, key: list[str], how: str = "left") -> DataFrame:
-    """To each fact the latest period of its owner that covers its day (ties: greatest `tie`), or nulls.
+    """To each fact (one row for each key) the latest period of its owner that covers its day (ties: greatest `tie`), or nulls.
 
-    The equi-join on the owner keeps it a hash or merge join; the choice is an aggregate that combines before the shuffle.
+    Facts and periods lie in one sorted stream of their owner: the last period to start before a fact answers it where it is still open, and
+    where no earlier period reaches the day nothing does. Only facts whose last period has closed while an earlier one goes on are left for a
+    join, so a busy owner doesn't pair all facts with all periods.
     """
     theirs = [c for c in periods.columns if c != owner]
-    hit = facts.join(periods, owner).where(active_on(F.col(starts), F.col(ends), F.col(day)))
-    best = hit.groupBy(*key).agg(F.max_by(F.struct(*theirs), F.struct(starts, tie)).alias("__p"))
-    out = facts.join(best, key, how)
-    return out.select(*facts.columns, *[F.col("__p")[c].alias(c) for c in theirs])
+    period = F.struct(*theirs)
+    none = F.lit(None)
+    left = periods.select(F.col(owner).alias("__o"), F.col(starts).alias("__d"), F.lit(0).alias("__k"), F.col(tie).alias("__t"), period.alias("__p"), none.cast(T.StructType(facts.schema.fields)).alias("__f"))
+    right = facts.select(F.col(owner).alias("__o"), F.col(day).alias("__d"), F.lit(1).alias("__k"), none.cast(periods.schema[tie].dataType).alias("__t"), none.cast(periods.select(period.alias("p")).schema["p"].dataType).alias("__p"), F.struct(*facts.columns).alias("__f"))
+    w = W.partitionBy("__o").orderBy("__d", "__k", "__t").rowsBetween(W.unboundedPreceding, 0)
+    seen = left.unionByName(right).withColumns({"__last": F.last("__p", ignorenulls=True).over(w), "__reach": F.max(F.when(F.col("__k") == 0, end(F.col("__p")[ends]))).over(w)})
+    told = seen.where("__k = 1").select("__f", "__last", (F.col("__reach") >= F.col("__d")).alias("__any"), (F.col("__last").isNotNull() & (end(F.col("__last")[ends]) >= F.col("__d"))).alias("__open"))
+    answer = lambda df, p: df.select(*[F.col("__f")[c].alias(c) for c in facts.columns], *[p[c].alias(c) for c in theirs])
+    settled = F.coalesce("__open", F.lit(False)) | ~F.coalesce("__any", F.lit(False))
+    done = answer(told.where(settled), F.when(F.col("__open"), F.col("__last")))
+    rest = told.where(~settled).select("__f", F.col("__f")[owner].alias("__o"), F.col("__f")[day].alias("__d"))
+    hit = rest.join(periods.select(F.col(owner).alias("__o"), F.col(starts).alias("__s"), F.col(tie).alias("__t"), F.col(ends).alias("__e"), period.alias("__p")), "__o").where(active_on(F.col("__s"), F.col("__e"), F.col("__d")))
+    late = answer(hit.groupBy("__f").agg(F.max_by("__p", F.struct("__s", "__t")).alias("__p")), F.col("__p"))
+    out = done.unionByName(late)
+    return out if how == "left" else out.where(F.col(starts).isNotNull())
 
 
 def asof_in_stream(events: DataFrame, owner: str, order: list[str], value: Column, into: str) -> DataFrame:

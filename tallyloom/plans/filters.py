@@ -119,9 +119,9 @@ def e05(spark, sf):
 
 @query(
     "e06_coalesce_touching",
-    f"""with {PERIODS}, p as (select l_suppkey, s, least(e, s + cast(l_orderkey % 20 as integer)) as e from periods),
-    a as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) as seen from p),
-    b as (select *, sum(case when seen is null or s - seen > 1 then 1 else 0 end) over (partition by l_suppkey order by s, e rows unbounded preceding) as i from a)
+    f"""with {PERIODS}, p as (select l_suppkey, s, least(e, s + cast(l_orderkey % 20 as integer)) as e, row_number() over () as r from periods),
+    a as (select *, max(e) over (partition by l_suppkey order by s, e, r rows between unbounded preceding and 1 preceding) as seen from p),
+    b as (select *, sum(case when seen is null or s - seen > 1 then 1 else 0 end) over (partition by l_suppkey order by s, e, r rows unbounded preceding) as i from a)
     select l_suppkey, min(s) as s, max(e) as e, count(*) as merged from b group by l_suppkey, i""",
 )
 def e06(spark, sf):

@@ -214,8 +214,7 @@ def c22(spark, sf):
 def c23(spark, sf):
     names = table(spark, sf, "part").select(F.lower("p_brand").alias("n_name")).distinct().unionByName(spark.createDataFrame([("que",), ("the",), ("und",)], "n_name string"))
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    # Names are a short reference list; the texts stay where they are.
-    return docs.join(F.broadcast(names), F.contains("t", "n_name")).groupBy("doc_id").agg(F.min("n_name").alias("n_name"))
+    return R.holding(docs, names, "t", "n_name").groupBy("doc_id").agg(F.min("n_name").alias("n_name"))
 
 
 @query("c24_repoint_children", "with m as (select s_suppkey, min(s_suppkey) over (partition by s_nationkey) as keep from supplier) select coalesce(keep, l_suppkey) as l_suppkey, count(*) as n from lineitem left join m on l_suppkey = s_suppkey group by 1")

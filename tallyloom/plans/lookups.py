@@ -180,9 +180,9 @@ def d36(spark, sf):
 
 @query(
     "e07_continuations",
-    f"""with {PERIODS}, p as (select l_suppkey, o_orderstatus, s, least(e, s + 4) as e from periods),
-    a as (select *, max(e) over (partition by l_suppkey, o_orderstatus order by s, e rows between unbounded preceding and 1 preceding) as seen from p),
-    b as (select *, sum(case when seen is null or s - seen > 0 then 1 else 0 end) over (partition by l_suppkey, o_orderstatus order by s, e rows unbounded preceding) as i from a)
+    f"""with {PERIODS}, p as (select l_suppkey, o_orderstatus, s, least(e, s + 4) as e, row_number() over () as r from periods),
+    a as (select *, max(e) over (partition by l_suppkey, o_orderstatus order by s, e, r rows between unbounded preceding and 1 preceding) as seen from p),
+    b as (select *, sum(case when seen is null or s - seen > 0 then 1 else 0 end) over (partition by l_suppkey, o_orderstatus order by s, e, r rows unbounded preceding) as i from a)
     select l_suppkey, o_orderstatus, min(s) as s, max(e) as e, count(*) as merged from b group by l_suppkey, o_orderstatus, i""",
 )
 def e07(spark, sf):
@@ -228,10 +228,19 @@ def h18(spark, sf):
     return table(spark, sf, "region").join(n, "r_regionkey").select("r_regionkey", F.to_json(F.struct(F.col("r_name").alias("name"), "nations")).alias("doc"))
 
 
-@query("h19_snippets")
+@query(
+    "h19_snippets",
+    r"""with d as (select doc_id, text, string_split(lower(text), 'the') as p from documents where contains(lower(text), 'the')),
+    h as (select doc_id, text, p, unnest(range(1, least(len(p), 6))) as k from d),
+    a as (select doc_id, text, k, cast(list_sum([length(x) for x in p[1:k]]) as bigint) + (k - 1) * 3 as pos from h),
+    s as (select doc_id, k, case when pos > 120 then '…' else '' end || trim(regexp_replace(substring(text, greatest(pos - 120, 0) + 1, least(pos + 163, length(text)) - greatest(pos - 120, 0)), '\s+', ' ', 'g'))
+      || case when pos + 163 < length(text) then '…' else '' end as part from a)
+    select doc_id, string_agg(part, ' || ' order by k) as snippets from s group by doc_id""",
+)
 def h19(spark, sf):
     """Up to five surroundings of a term in every text that holds it."""
-    return table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("the"))).select("doc_id", X.found_snippets(F.col("text"), "the").alias("snippets"))
+    found = table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("the"))).select("doc_id", X.found_snippets(F.col("text"), "the").alias("snippets"))
+    return found.withColumn("snippets", F.array_join("snippets", " || "))
 
 
 @query(

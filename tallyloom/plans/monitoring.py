@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import areas
 from tallyloom.operators import documents as D
 from tallyloom.operators import relational as R
+from tallyloom.plans.people import cases, given
 from tallyloom.plans.registry import query
 from tallyloom.session import shared_dir, table
 from tallyloom.streaming import engagement
@@ -28,36 +30,57 @@ def j14(spark, sf):
     return table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("votes"), F.count_if(F.col("o_orderpriority").rlike("(?i)urgent|high")).alias("joint"))
 
 
+#: Stations as the minutes print them: constituency, code, place, and the key of the area that they belong to.
+STATIONS = (
+    (10, "1017", "Alba Iulia", "1017"), (42, "179132", "Bucureşti Sectorul 3", "179169"), (45, "179132", "MUNICIPIUL BUCUREŞTI SECTORUL 2", "179150"), (42, "179196", "Sectorul 6", "179196"),
+    (43, "0", "Republica Moldova", "abroad:republica-moldova"), (43, None, "", "abroad:unknown"), (14, "63171", "Băneasa", "61069"), (15, "63171", "Băneasa", "63171"), (7, "0", "?", "unknown:7"), (7, "", "", "unknown:7"), (0, "1", "Nicăieri", None),
+)
+
+
 @query(
     "j16_area_totals",
-    "select case when s_nationkey between 20 and 24 then 'capital' when s_nationkey = 0 then 'abroad' else 'c' || s_nationkey end as area, count(*) as n, sum(cast(l_quantity as bigint))::bigint as votes from lineitem join supplier on s_suppkey = l_suppkey group by 1",
+    f"""with s as (select o_orderkey, key, c, coalesce(code, '') as code, o_orderkey // 50 as station, o_custkey % 3 as version, o_orderkey % 7 as present, o_orderkey % 5 as valid
+      from orders join {cases([(i, *r[:2], r[3]) for i, r in enumerate(STATIONS)], 'i', 'c', 'code', 'key')} on i = o_orderkey % {len(STATIONS)} where c <> 0),
+    l as (select * from s qualify row_number() over (partition by c, code, station order by version desc, o_orderkey desc) = 1)
+    select key, count(*) as sections, cast(sum(present) as bigint) as present, cast(sum(valid) as bigint) as valid from l group by 1""",
 )
 def j16(spark, sf):
-    """Results by area: the sectors of the capital are one, places abroad another."""
-    k = F.col("s_nationkey")
-    area = F.when(k.between(20, 24), "capital").when(k == 0, "abroad").otherwise(F.concat(F.lit("c"), k.cast("string")))
-    by = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("votes"))
-    return by.join(table(spark, sf, "supplier"), "s_suppkey").groupBy(area.alias("area")).agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
+    """Results by commune: the latest report of each station; the capital by sector, places abroad by country, codes of an old register as in the new."""
+    rows = given(spark, sf, [r[:3] for r in STATIONS], ["number", "code", "name"]).join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    k = F.col("o_orderkey")
+    stations = rows.select("number", F.coalesce("code", F.lit("")).alias("code"), "name", F.floor(k / 50).alias("station"), F.lit(1).alias("kind"), (F.col("o_custkey") % 3).alias("version"), k.alias("row"), (k % 7).alias("present"), (k % 5).alias("valid"))
+    return areas.area_totals(stations, ["present", "valid"]).drop("number")
+
+
+#: Where somebody is sent, in words, and the places (by spelling) that the words name.
+SPELLINGS = (("franța", "FR"), ("franta", "FR"), ("bosnia și herțegovina", "BA"), ("republica moldova", "MD"), ("italia", "IT"), ("malta", "MT"), ("san marino", "SM"), ("trinidad și tobago", "TT"))
+SENT = (
+    ("Republica Franța", ("FR",)), ("Bosnia și Herțegovina", ("BA",)), ("Italia, Malta și San Marino", ("IT", "MT", "SM")), ("Republica Moldova", ("MD",)), ("Republica Italia și în Republica Malta", ("IT", "MT")),
+    ("Regatul Atlantida", (None,)), ("Franța și Atlantida", ("FR", None)), ("", (None,)),
+)
 
 
-@query("j18_gazetteer", "select c_custkey, r_name as place from customer left join nation on n_nationkey = c_nationkey and n_nationkey % 4 <> 0 left join region on r_regionkey = n_regionkey")
+@query("j18_gazetteer", f"select o_orderkey, place from orders join {cases([(i, p) for i, s in enumerate(SENT) for p in s[1]], 'i', 'place')} on i = o_orderkey % {len(SENT)}")
 def j18(spark, sf):
-    """Names to places through aliases; what no alias knows stays, without a place."""
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    aliases = n.where("n_nationkey % 4 <> 0").join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("place"))
-    return table(spark, sf, "customer").join(aliases, "c_nationkey", "left").select("c_custkey", "place")
+    """Phrases to places through spellings, whole or in parts; what no spelling knows stays, without a place."""
+    phrases = given(spark, sf, [(s[0],) for s in SENT], ["phrase"])
+    return areas.placed(phrases, "phrase", spark.createDataFrame(SPELLINGS, "spelling string, place string")).select("o_orderkey", "place")
 
 
 @query(
     "j19_reports_asked_and_given",
-    """select o_orderkey, count(l_linenumber) as asked, count(l_linenumber) filter (where l_returnflag = 'R') as answered,
-    count(l_linenumber) - count(l_linenumber) filter (where l_returnflag = 'R') as open from orders left join lineitem on l_orderkey = o_orderkey group by 1""",
+    """with s as (select l_orderkey as bill, case l_linenumber % 4 when 0 then 'ask' when 1 then 'give' when 2 then 'ask2' else 'other' end as t, 'com ' || l_suppkey % 2 as who, cast(l_shipdate as date) as day from lineitem),
+    a as (select bill, t, who, min(day) as asked_on from s where t in ('ask', 'ask2') group by all), g as (select bill, who, min(day) as answered_on from s where t = 'give' group by all)
+    select a.bill, case t when 'ask' then 'committee_opinion' else 'body_opinion' end as kind, a.who as issuer, asked_on, case when t = 'ask' then answered_on end as answered_on from a left join g on g.bill = a.bill and g.who = a.who""",
 )
 def j19(spark, sf):
-    """Opinions that a bill's steps asked for, those that came, and those still open."""
-    by = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("asked"), F.count_if(F.col("l_returnflag") == "R").alias("answered"))
-    out = table(spark, sf, "orders").select("o_orderkey").join(by, "o_orderkey", "left").fillna(0)
-    return out.withColumn("open", F.col("asked") - F.col("answered"))
+    """Opinions that a bill's steps asked for: when, of whom, and when the answer came, if it did."""
+    n = F.col("l_linenumber") % 4
+    kind = F.when(n == 0, "committee_opinion_requested").when(n == 1, "committee_opinion_received").when(n == 2, "opinion_requested").otherwise("registered")
+    steps = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("bill"), kind.alias("type"), F.concat(F.lit("com "), (F.col("l_suppkey") % 2).cast("string")).alias("issuer"), F.to_date("l_shipdate").alias("day"))
+    asks = {"committee_opinion_requested": "committee_opinion", "opinion_requested": "body_opinion", "government_view_requested": "government_view"}
+    gives = {"committee_opinion_received": "committee_opinion", "committee_report_received": "committee_opinion", "opinion_received": "body_opinion", "government_view_received": "government_view"}
+    return areas.asked_and_given(steps, asks, gives)
 
 
 def _both(spark, sf):
@@ -122,14 +145,24 @@ def l01(spark, sf):
 def l04(spark, sf):
     """Visitors with more than three events in a day, by hourly sliding windows."""
     _, day = engagement.flooding(engagement.stream(spark, sf).select("ts", "user_id"), 2, 3)
-    return engagement.collected(day, f"flood_{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
+    return engagement.collected(day, ["start", "user_id"], "flood").select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
-@query("l05_late_lookback", "select count(*) as n from events where cast(ts as date) >= date '2024-01-06' and cast(ts as date) <= date '2024-01-12'")
+#: Last success, today, days held back, and the window that must come out: three days back, or to a held day, at most sixty days.
+_RUNS = (("2024-01-09", "2024-01-12", (), "2024-01-06"), (None, "2024-01-12", (), "2023-11-13"), ("2024-01-09", "2024-01-12", ("2024-01-02",), "2024-01-02"), ("2023-06-01", "2024-01-20", (), "2023-11-21"), ("2024-01-09", "2024-01-12", ("2024-01-11",), "2024-01-06"))
+
+
+@query(
+    "l05_late_lookback",
+    "select run, day, count(*) as n from (values " + ", ".join(f"({i}, date '{r[3]}', date '{r[1]}')" for i, r in enumerate(_RUNS)) + ") w(run, lo, hi) join (select cast(ts as date) as day from events) on day between lo and hi group by 1, 2",
+)
 def l05(spark, sf):
-    """A run on the 12th after a success on the 9th reads from three days before it."""
-    first, last = engagement.catch_up_window(dt.date(2024, 1, 9), dt.date(2024, 1, 12))
-    return table(spark, sf, "events").where(F.to_date("ts").between(F.lit(first), F.lit(last))).agg(F.count("*").alias("n"))
+    """What each of several runs reads: the days from before its last success, and those that were held back."""
+    day = dt.date.fromisoformat
+    windows = [(i, *engagement.catch_up_window(r[0] and day(r[0]), day(r[1]), list(map(day, r[2])))) for i, r in enumerate(_RUNS)]
+    w = spark.createDataFrame(windows, "run int, lo date, hi date")
+    by = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return by.join(F.broadcast(w), F.col("day").between(F.col("lo"), F.col("hi"))).select("run", "day", "n")
 
 
 @query("l06_catch_up", "select user_id, count(*) as n from events group by 1")

@@ -18,12 +18,36 @@ def _day(text: str):
     return F.lit(text).cast("date")
 
 
-@query("i02_names_match", "select a.p_partkey, list_sort(string_split(a.p_name, ' ')) = list_sort(string_split(b.p_name, ' ')) as same from part a join part b on b.p_partkey = a.p_partkey + 1")
+def cases(rows, *columns) -> str:
+    """Rows of constants as SQL."""
+    told = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(values {', '.join('(' + ', '.join(map(told, r)) + ')' for r in rows)}) as t({', '.join(columns)})"
+
+
+def given(spark, sf, rows, columns, table_="orders", key="o_orderkey"):
+    """Every row of a table with the constants of its number modulo their count."""
+    at = F.pmod(F.col(key), F.lit(len(rows))).cast("int")
+    types = ", ".join(f"{c}:{'boolean' if isinstance(rows[0][i], bool) else 'int' if isinstance(rows[0][i], int) else 'string'}" for i, c in enumerate(columns))
+    constants = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=False)]).cast(f"struct<{types}>") for r in rows])
+    return table(spark, sf, table_).select(key, F.get(constants, at).alias("c")).select(key, "c.*")
+
+
+@query(
+    "i02_names_match",
+    """with p as (select p_partkey, p_name, p_type, case p_partkey % 5 when 0 then lower(p_type) || '-' || p_name when 1 then p_name || ' ' || p_name || ' ' || p_type when 2 then split_part(p_name, ' ', 1)
+      when 3 then upper(split_part(p_name, ' ', 2)) || ', ' || split_part(p_name, ' ', 1) else p_type || ' nimeni ' || p_name end as other from part),
+    t as (select p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) as a, list_distinct(list_filter(string_split(regexp_replace(lower(other), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '')) as b from p)
+    select p_partkey, least(len(a), len(b)) >= 2 and (list_has_all(a, b) or list_has_all(b, a)) as same from t""",
+)
 def i02(spark, sf):
-    p = table(spark, sf, "part")
-    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
-    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), turned.alias("other"))
-    return p.join(after, "p_partkey").select("p_partkey", X.names_match(F.col("p_name"), F.col("other")).alias("same"))
+    """A name against one turned round, longer, too short, with accents and signs, or with a word of its own."""
+    k, name, kind = F.col("p_partkey") % 5, F.col("p_name"), F.col("p_type")
+    word = lambda n: F.split_part(name, F.lit(" "), F.lit(n))
+    other = (
+        F.when(k == 0, F.concat(F.translate(F.lower(kind), "ai", "ăî"), F.lit("-"), name)).when(k == 1, F.concat_ws(" ", name, name, kind)).when(k == 2, word(1))
+        .when(k == 3, F.concat(F.upper(word(2)), F.lit(", "), word(1))).otherwise(F.concat(kind, F.lit(" nimeni "), name))
+    )
+    return table(spark, sf, "part").select("p_partkey", X.names_match(F.concat_ws(" ", name, kind), other).alias("same"))
 
 
 @query("i03_constituency_key", "select n_nationkey, case when n_nationkey % 5 = 0 then 'diaspora' else 'dimbovita nation' end as k from nation")
@@ -51,15 +75,34 @@ def i04(spark, sf):
 
 @query(
     "i08_match_by_name",
-    """with k as (select list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', ' ') as k, p_partkey, p_name from part where p_partkey < 40),
-    o as (select p_name, count(*) as n, min(p_partkey) as p from k group by 1), a as (select k, count(*) as n, min(p_partkey) as p from k group by 1)
-    select q.p_partkey, case when o.n > 1 then null when o.n = 1 then o.p when a.n = 1 then a.p end as member
-    from part q left join o on o.p_name = q.p_name left join a on a.k = list_aggregate(list_sort(string_split(q.p_name, ' ')), 'string_agg', ' ')""",
+    "with k as (select p_name, count(*) as n, min(p_partkey) as p from part group by 1) select p_partkey, case when n = 1 then p end as member, n > 1 as ambiguous from part join k using (p_name)",
 )
 def i08(spark, sf):
-    p = table(spark, sf, "part")
-    members = p.where("p_partkey < 40").select(F.col("p_partkey").alias("member"), "p_name")
-    return I.match_by_name(p.select("p_partkey", "p_name"), members, "p_name", "member").select("p_partkey", "member")
+    """Every part's name against those of all parts."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    return I.match_by_name(p, p.withColumnRenamed("p_partkey", "member"), "p_name", "member").select("p_partkey", "member", "ambiguous")
+
+
+#: Names as a page prints them, a day, who they are, and whether several fit; and the members that there are, with their time in the chamber.
+MEMBERS = (
+    ("m1", "Alin-Bogdan Stoica", "2020-12-21", "2024-12-20"), ("m2", "Bogdan-Alin Stoica", "2020-12-21", None), ("m3", "Alexandra Presură", "2016-12-21", None),
+    ("m4", "Aurora-Adela Geamănu", "2016-12-21", None), ("m5", "Gabriela Ionescu", "2020-12-21", None), ("m6", "Ion Popescu", "2004-12-13", "2008-12-14"), ("m7", "Ion Popescu", "2020-12-21", None),
+    ("m8", "Maria Elena Radu", "2020-12-21", None), ("m9", "Maria Ioana Radu", "2020-12-21", None),
+)
+PRINTED = (
+    ("Stoica Alin-Bogdan", "2022-01-01", "m1", False), ("Stoica Bogdan-Alin", "2022-01-01", "m2", False), ("Stoica Bogdan-Alin", "2025-01-01", "m2", False), ("Alin Stoica Bogdan", "2022-01-01", "m2", False),
+    ("PRESURĂ Alexandra", "2022-01-01", "m3", False), ("Cotea (Geamănu) Aurora-Adela", "2022-01-01", "m4", False), ("Ionescu Gabriella", "2022-01-01", "m5", False), ("Ion Popescu", "2022-01-01", "m7", False),
+    ("Ion Popescu", "2006-01-01", "m6", False), ("Ion Popescu", None, None, True), ("Maria Radu", "2022-01-01", None, True), ("Popescu", "2022-01-01", None, False), ("Ion Nimeni", "2022-01-01", None, False),
+    ("Ion Popesc", "2022-01-01", "m7", False), ("", "2022-01-01", None, False),
+)
+
+
+@query("i08_match_by_name_in_steps", f"select o_orderkey, member, ambiguous from orders join {cases([(i, *p[2:]) for i, p in enumerate(PRINTED)], 'i', 'member', 'ambiguous')} on i = o_orderkey % {len(PRINTED)}")
+def i08_steps(spark, sf):
+    """Each of the four ways to know a name, on the day that it was printed."""
+    probe = given(spark, sf, [p[:2] for p in PRINTED], ["name", "day"]).withColumn("day", F.col("day").cast("date"))
+    members = spark.createDataFrame(MEMBERS, "member string, name string, starts_on string, ends_on string").withColumns({c: F.col(c).cast("date") for c in ("starts_on", "ends_on")})
+    return I.match_by_name(probe, members, "name", "member", on="day").select("o_orderkey", "member", "ambiguous")
 
 
 @query(
@@ -74,7 +117,22 @@ def i09(spark, sf):
     return I.merge_evidence(rows, "org", "member", "party", share=0.8)
 
 
-@query("i12_timelines")
+@query(
+    "i12_timelines",
+    """with e as (select cast(user_id as varchar) as place, cast(ts as date) as day, event_id as seq, case when event_type = 'view' then 1 else 0 end as named, cast(event_id % 5 as varchar) as holder
+      from events where event_type in ('view', 'purchase')),
+    a as (select *, sum(named) over w as g, last_value(case when named = 1 then holder end ignore nulls) over w as who from e window w as (partition by place order by day, named, seq rows unbounded preceding)),
+    b as (select *, named = 0 and holder is not distinct from who as own from a),
+    c as (select *, own and sum(case when own then 1 else 0 end) over (partition by place, g order by day, named, seq rows unbounded preceding) = 1 as final from b),
+    s as (select place, g, max(who) as who, min(case when named = 1 then day end) as day, min(case when final then day end) as over_on from c where g > 0 group by 1, 2),
+    f as (select *, case when lag(who) over w is not distinct from who and lag(over_on) over w is null and lag(g) over w is not null then 0 else 1 end as fresh from s window w as (partition by place order by g)),
+    p as (select *, sum(fresh) over (partition by place order by g rows unbounded preceding) as p from f),
+    h as (select place, p, max(who) as holder, min(day) as started_on, max_by(coalesce(over_on, date '1000-01-01'), g) as over_on from p group by 1, 2),
+    n as (select *, lead(started_on) over (partition by place order by p) as after from h)
+    select place, holder, started_on, case when over_on > date '1000-01-01' then over_on else after end as ended_on,
+      case when over_on > date '1000-01-01' then 'recalled' when after is not null then 'replaced' when date '2024-02-01' - started_on > 8 * 365.25 then 'lapsed' else 'open' end as ended from n
+    union all select place, holder, null, day, 'recalled' from c where named = 0 and not final""",
+)
 def i12(spark, sf):
     """Holders of posts, from the first kinds of events as appointments and recalls."""
     e = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase"))
@@ -97,7 +155,7 @@ def i13(spark, sf):
 
 @query(
     "i14_governance_gaps",
-    """with c as (select o_orderkey as id, cast(o_orderdate as date) as s, cast(o_orderdate as date) + 400 as e from orders where o_orderstatus = 'F'),
+    """with c as (select o_orderkey as id, cast(o_orderdate as date) as s, cast(o_orderdate as date) + 400 as e from orders),
     g as (select date '1995-03-01' as gs, date '1996-02-10' as ge union all select date '1996-07-01', date '1997-01-31'),
     d as (select id, unnest(generate_series(s, e, interval 1 day))::date as d from c), f as (select id, d, exists (select 1 from g where d between gs and ge) as inside from d)
     select id, cast(count(*) filter (where inside) as bigint) as governing, cast(count(*) filter (where not inside) as bigint) as opposing from f group by 1""",
@@ -105,7 +163,7 @@ def i13(spark, sf):
 def i14(spark, sf):
     """Days of each career on either side."""
     d = F.to_date("o_orderdate")
-    careers = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("x").alias("party"), d.alias("starts_on"), F.date_add(d, 400).alias("ends_on"))
+    careers = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("x").alias("party"), d.alias("starts_on"), F.date_add(d, 400).alias("ends_on"))
     governments = spark.sql("select 'x' as party, date '1995-03-01' as starts_on, date '1996-02-10' as ends_on union all select 'x', date '1996-07-01', date '1997-01-31'")
     days = F.datediff("ends_on", "starts_on") + 1
     on = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, days)), F.lit(0)).cast("long")
@@ -195,10 +253,10 @@ def i26(spark, sf):
     return I.fill_from_roster(rows, roster, groups, "member")
 
 
-@query("i27_single_candidate", "with k as (select p_name, min(p_partkey) as person from part where p_partkey < 60 group by 1 having count(distinct p_partkey) = 1) select p_partkey, person from part left join k using (p_name)")
+@query("i27_single_candidate", "with k as (select p_name, p_brand, min(p_partkey) as person from part group by 1, 2 having count(distinct p_partkey) = 1) select p_partkey, person from part left join k using (p_name, p_brand)")
 def i27(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name")
-    return R.unique_match(p, p.where("p_partkey < 60").withColumnRenamed("p_partkey", "person"), ["p_name"], "person").select("p_partkey", "person")
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    return R.unique_match(p, p.withColumnRenamed("p_partkey", "person"), ["p_name", "p_brand"], "person").select("p_partkey", "person")
 
 
 #: A name of a part in letters alone, of attributes that tell most parts apart.
@@ -209,8 +267,9 @@ _LONG_NAME = "concat_ws(' ', p_name, lower(p_type), translate(concat(p_brand, 'x
     "i08_match_by_name_whole",
     f"""with k as (select p_partkey, lower({_LONG_NAME}) as name from part), s as (select *, list_aggregate(list_sort(string_split(name, ' ')), 'string_agg', ' ') as k from k),
     q as (select p_partkey, k, case when p_partkey % 2 = 1 then list_aggregate(list_reverse(string_split(name, ' ')), 'string_agg', ' ') else name end as name from s),
-    o as (select name, count(*) as n, min(p_partkey) as p from s group by 1), a as (select k, count(*) as n, min(p_partkey) as p from s group by 1)
-    select q.p_partkey, case when o.n > 1 then null when o.n = 1 then o.p when a.n = 1 then a.p end as member from q left join o using (name) left join a using (k)""",
+    j as (select q.p_partkey, o.p_partkey as p, contains(' ' || o.name || ' ' || o.name || ' ', ' ' || q.name || ' ') as turned from q join s o using (k)),
+    c as (select p_partkey, count(distinct p) as n, min(p) as p, count(distinct p) filter (where turned) as m, min(p) filter (where turned) as t from j group by 1)
+    select p_partkey, case when n = 1 then p when m = 1 then t end as member from c""",
 )
 def i08_whole(spark, sf):
     """All parts against all parts; odd ones have their names turned round."""
@@ -230,13 +289,49 @@ def i27_whole(spark, sf):
     return R.unique_match(p, p.withColumnRenamed("p_partkey", "person"), on, "person").select("p_partkey", "person")
 
 
-_TITLES = ("Vot final: adoptare proiect", "Amendament admis art. 3", "Verificare prezență", "Moțiune de cenzură", "Raport de respingere", "Cu totul altceva")
+#: Votes as the official lists word them (title, type, linked to a bill), with kind, prominence, meaning and confidence.
+VOTES = (
+    ("Verificarea prezenței", None, False, "quorum_or_presence", "routine", "confirms_presence", "high"),
+    ("Comisiile de specialitate să lucreze în paralel cu plenul", None, False, "agenda_or_schedule", "routine", "supports_procedure", "high"),
+    ("PL-x 196/2026 - Timp dezbatere", None, True, "procedural_timing", "routine", "supports_procedure", "high"),
+    ("Prelungirea termenului constituțional de dezbatere și vot final - PL-x 298/2026", None, True, "procedural_timing", "routine", "supports_procedure", "high"),
+    ("Verificare prezenta", None, False, "quorum_or_presence", "routine", "confirms_presence", "high"),
+    ("Amendamentul nr. 3 la PL-x 12/2026", None, True, "amendment", "standard", "supports_amendment", "high"),
+    ("Retrimitere la comisie PL-x 14/2026", None, True, "committee_referral", "standard", "supports_referral", "high"),
+    ("L339/2026 — raport de respingere", None, True, "rejection_report", "major", "supports_rejection", "high"),
+    ("Vot final - PL-x 159/2026 - Vot final adoptare - Adoptare", None, True, "final_adoption", "major", "supports_adoption", "high"),
+    ("Moțiune de cenzură împotriva Guvernului", None, False, "no_confidence", "major", "supports_no_confidence", "high"),
+    ("Vot final - PH CD 53/2026 - Vot final adoptare", None, False, "institutional_resolution", "standard", "supports_resolution", "high"),
+    ("Senate vote", "raport de activitate", False, "institutional_resolution", "standard", "supports_resolution", "high"),
+    ("PL 530/2026 - AMA.87", None, True, "amendment", "standard", "supports_amendment", "high"),
+    ("PL 529/2026 - amr.2", None, True, "amendment", "standard", "supports_amendment", "high"),
+    ("Modificare ordine de zi", None, False, "agenda_or_schedule", "routine", "supports_procedure", "high"),
+    ("vot test", None, False, "internal_procedure", "routine", "supports_procedure", "high"),
+    ("L289/2026 — vf", "vf", True, "final_adoption", "major", "supports_adoption", "medium"),
+    ("PL 532/2026 - vot final", None, False, "final_adoption", "major", "supports_adoption", "medium"),
+    ("Senate vote", "PH - COM (2026) 113 final", False, "institutional_resolution", "standard", "supports_resolution", "high"),
+    ("L495/2025 — proiect de lege de aprobare", "proiect de lege de aprobare", True, "final_adoption", "major", "supports_adoption", "high"),
+    ("Încuviințarea Comisiei pentru apărare să își desfășoare activitatea în paralel cu plenul", None, False, "agenda_or_schedule", "routine", "supports_procedure", "high"),
+    ("Vot final", None, False, "unknown", "unclassified", "unknown", "low"),
+    ("Vot final", None, True, "final_adoption", "major", "supports_adoption", "medium"),
+    ("Raport de respingere L1/2026", "", True, "rejection_report", "major", "supports_rejection", "high"),
+    ("Vot final asupra legii: respingere", None, False, "final_rejection", "major", "supports_rejection", "high"),
+    ("Vot de încredere", None, False, "confidence", "major", "supports_confidence", "high"),
+    ("Reexaminarea legii, la cererea Președintelui", None, True, "reconsideration", "standard", "supports_reconsideration", "high"),
+    ("Alegerea vicepreședinților", None, False, "institutional_resolution", "standard", "supports_resolution", "high"),
+    ("Declarația Senatului", None, False, "institutional_resolution", "standard", "supports_resolution", "high"),
+    ("Cu totul altceva", None, True, "unknown", "unclassified", "unknown", "low"),
+)
 
 
-@query("j01_classify_vote", "select o_orderkey, case o_orderkey % 6 when 0 then 'final_adoption' when 1 then 'amendment' when 2 then 'quorum_or_presence' when 3 then 'no_confidence' when 4 then 'rejection_report' else 'unknown' end as kind from orders")
+@query(
+    "j01_classify_vote",
+    f"select o_orderkey, kind, prominence, meaning, confidence from orders join {cases([(i, *v[3:]) for i, v in enumerate(VOTES)], 'i', 'kind', 'prominence', 'meaning', 'confidence')} on i = o_orderkey % {len(VOTES)}",
+)
 def j01(spark, sf):
-    title = F.get(F.array(*map(F.lit, _TITLES)), (F.col("o_orderkey") % 6).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", rules.vote_kind(title, F.lit(False)).alias("kind"))
+    votes = given(spark, sf, [v[:3] for v in VOTES], ["title", "vote_type", "linked"])
+    facts = rules.vote_facts(F.col("title"), F.col("linked"), F.col("vote_type"))
+    return votes.select("o_orderkey", *[c.alias(k) for k, c in facts.items()])
 
 
 @query(
@@ -249,3 +344,95 @@ def k30(spark, sf):
     severity = F.when(F.col("check") == "P", "warning").otherwise("error")
     count = lambda df: df.groupBy(F.col("o_orderstatus").alias("check")).agg(F.count("*").alias("n")).withColumn("severity", severity)
     return Q.verdict(count(o.where("o_orderkey % 2 = 0")), count(o), ["F"])
+
+
+#: Who a registry of two sources knows: record, person held, name, profile, profiles of other terms, legislature, chamber, constituency, from, to; and what must come out.
+RECORDS = (
+    ("a1", "p-kondor-agota", "Kondor Ágota", "L:1", (), "2024", "senate", "COVASNA", "2024-12-21", None, "p-agota-kondor"),
+    ("a2", "p-agota-kondor", "Ágota Kondor", None, (), "2024", "senate", "Covasna în data de 01.12.2024", "2024-12-21", None, "p-agota-kondor"),
+    ("b1", "p-ilie-gavril", "Ilie-Gavril Bolojan", "L:2", (), "2024", "senate", "BIHOR", "2024-12-21", None, "p-ilie"),
+    ("b2", "p-ilie", "Ilie Bolojan", None, (), "2024", "senate", "Bihor", "2024-12-21", None, "p-ilie"),
+    ("c1", "p-alin", "Alin-Bogdan Stoica", "L:3", (), "2024", "deputies", "BUCUREŞTI", "2024-12-21", None, "p-alin"),
+    ("c2", "p-bogdan", "Bogdan-Alin Stoica", "L:4", (), "2024", "deputies", "la nivel national", "2024-12-21", None, "p-bogdan"),
+    ("d1", "p-gianina", "Gianina Şerban", "K:5", (), "2020", "deputies", "ARGEŞ", "2020-12-21", "2024-12-20", "p-gianina"),
+    ("d2", "p-gianina-vp", "Gianina Şerban, Vicepreşedinte", "L:6", ("K:5",), "2024", "deputies", "ARGEŞ", "2024-12-21", None, "p-gianina"),
+    ("e1", "p-ion", "Ion Iliescu", "G:7", ("H:8",), "1990", "deputies", "?", "1990-06-18", "1992-10-15", "p-ion"),
+    ("e2", "p-ion", "Ion Iliescu", "H:8", (), "2000", "senate", "BUCUREŞTI", "2000-12-11", "2004-12-12", "p-ion"),
+    ("e3", "p-ion", "Ion Iliescu", "I:9", (), "1996", "senate", "BUCUREŞTI", "1996-11-22", "2000-11-30", "p-ion"),
+    ("f1", "p-two", "Dan Marin", "L:10", (), "2024", "deputies", "IAȘI", "2024-12-21", None, "p-two"),
+    ("f2", "p-two", "Dan Marin", "L:11", (), "2024", "deputies", "CLUJ", "2024-12-21", None, "person-dan-marin"),
+    ("g1", None, "Ana Pop", "L:12", (), "2024", "deputies", "DOLJ", "2024-12-21", None, "person-ana-pop"),
+    ("h1", "p-h1", "Radu Oprea", "M:13", (), "2016", "senate", "PRAHOVA", "2016-12-21", "2020-12-20", "p-h"),
+    ("h2", "p-h2", "Radu Oprea", "L:14", (), "2024", "senate", "PRAHOVA", "2024-12-21", None, "p-h"),
+)
+#: What the two decisions of an owner are, and whom other records refer to.
+SAME, DIFFERENT, PROTECTED = (("x", "h1", "p-h"), ("x", "h2", "p-h")), (("e2", "g1"),), ("p-ilie",)
+
+
+def _registries(spark, sf):
+    """The registry once for each supplier, its ids, names and profiles with the supplier's letters."""
+    letters = F.translate(F.col("s_suppkey").cast("string"), "0123456789", "abcdefghij")
+    k = table(spark, sf, "supplier").select(letters.alias("k"))
+    rows = spark.createDataFrame([r[:10] for r in RECORDS], "member string, person string, name string, profile string, careers array<string>, legislature string, chamber string, constituency string, starts_on string, ends_on string")
+    own = lambda c: F.concat(c, F.lit("-"), F.col("k"))
+    all_ = k.join(F.broadcast(rows)).withColumns({"member": own(F.col("member")), "person": own(F.col("person")), "name": F.concat_ws(" ", "name", F.concat(F.lit("Z"), "k")), "profile": own(F.col("profile")), "careers": F.transform("careers", own)})
+    members = all_.select("member", "person", "name", "profile", "careers")
+    mandates = all_.select("member", "legislature", "chamber", "constituency", F.col("starts_on").cast("date").alias("starts_on"), F.col("ends_on").cast("date").alias("ends_on"))
+    of = lambda rows, schema: k.join(F.broadcast(spark.createDataFrame(rows, schema))).select(*[own(F.col(c.split()[0])).alias(c.split()[0]) for c in schema.split(", ")])
+    return members, mandates, of(SAME, "decision string, member string, person string"), of(DIFFERENT, "a string, b string"), of([(p,) for p in PROTECTED], "person string")
+
+
+_LETTERS = "translate(cast(s_suppkey as varchar), '0123456789', 'abcdefghij')"
+
+
+@query(
+    "i01_resolve_people",
+    f"""select member || '-' || {_LETTERS} as member, case when person like 'person-%' then person || '-z' || {_LETTERS} else person || '-' || {_LETTERS} end as person,
+    case when was is null then 'unassigned' when was = person then null when person like 'person-%' then 'split' else 'merged' end as reason
+    from supplier cross join {cases([(r[0], r[1], r[10]) for r in RECORDS], 'member', 'was', 'person')}""",
+)
+def i01_people(spark, sf):
+    return I.resolve_people(*_registries(spark, sf))[0].select("member", "person", "reason")
+
+
+@query(
+    "i01_review_list",
+    f"select 'unlinked_careers_one_person' as kind, 'p-ion-' || {_LETTERS} as subject from supplier",
+)
+def i01_review(spark, sf):
+    """Careers that one person holds and that are kept together without evidence."""
+    return I.resolve_people(*_registries(spark, sf))[1].where("kind = 'unlinked_careers_one_person'")
+
+
+@query(
+    "i07_group_pages",
+    """select p.o_orderkey as page, case when p.o_orderkey % 3 = 0 then p.o_orderkey when p.o_orderkey % 3 = 1 and (p.o_orderkey // 3) % 5 = 0 then p.o_orderkey
+    when p.o_orderkey % 3 = 2 and (p.o_orderkey // 3) % 2 = 1 then p.o_orderkey else p.o_orderkey // 3 * 3 end as "group" from orders p""",
+)
+def i07(spark, sf):
+    """Three pages share a key: the second names another law in every fifth dossier, the third is a main page beside the first in every other."""
+    k, block = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 3)
+    main = (k % 3 == 0) | ((k % 3 == 2) & (block % 2 == 1))
+    law = F.when(k % 3 == 0, "law 1").when((k % 3 == 1) & (block % 5 == 0), "law 2")
+    return I.grouped_pages(table(spark, sf, "orders").select(k.alias("page"), main.alias("main"), law.alias("law"), F.array(F.concat(F.lit("key "), block.cast("string")), F.concat(F.lit("own "), k.cast("string"))).alias("keys")))
+
+
+@query(
+    "i24_merge_plan",
+    """with v as (select o_custkey as member, o_orderkey as vote, cast(o_orderdate as date) as day from orders),
+    g as (select c_custkey as ghost, c_custkey // 10 * 10 as target from customer where c_custkey % 10 in (1, 2)),
+    s as (select c_custkey as member, case when c_custkey % 20 = 0 then date '1990-01-01' else date '1997-01-01' end as s, case when c_custkey % 30 = 0 then date '1998-06-01' else date '9999-01-01' end as e from customer where c_custkey % 10 = 0),
+    d as (select ghost, target, day, exists (select 1 from s where member = target and s <= day and e >= day) as sat, vote from g join v on member = ghost)
+    select ghost as old, target as survivor, count(distinct vote) as votes from d group by 1, 2 having bool_and(sat)""",
+)
+def i24_plan(spark, sf):
+    """Voters without a seat that bear the name of a member: merged if the member sat on every day of their votes."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    word = lambda n: F.translate(F.lpad(n.cast("string"), 9, "0"), "0123456789", "abcdefghij")
+    name = lambda n: F.concat_ws(" ", F.concat(F.lit("x"), word(n)), F.concat(F.lit("y"), word(n)))
+    ten = F.floor(k / 10) * 10
+    ghosts = c.where(k % 10 <= 2).where(k % 10 > 0).select(k.alias("ghost"), name(ten).alias("name"))
+    sitting = c.where(k % 10 == 0).select(k.alias("member"), F.concat_ws(" ", name(k), F.lit("Maria")).alias("name"), F.when(k % 20 == 0, _day("1990-01-01")).otherwise(_day("1997-01-01")).alias("starts_on"), F.when(k % 30 == 0, _day("1998-06-01")).alias("ends_on"))
+    votes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("vote"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("member"))
+    return E.merge_plan(ghosts, votes, sitting)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,20 +17,21 @@ from tallyloom.streaming import engagement
 
 @query(
     "i01_components",
-    """with recursive e as (select l_orderkey as a, min(l_orderkey) over (partition by l_partkey % 97, l_suppkey) as b from lineitem where l_orderkey % 5 = 0),
-    g as (select a as u, b as v from e union select b, a from e), r(id, c) as (select u, u from g union select r.id, g.v from r join g on g.u = r.c)
+    """with recursive e as (select distinct l_orderkey as a, min(l_orderkey) over (partition by l_partkey, l_suppkey % 3) as b from lineitem),
+    g as (select a as u, b as v from e union select b, a from e), r(id, c) using key (id) as (select u, min(v) from g group by 1
+      union select g.u, min(r.c) from r join g on g.v = r.id join recurring.r as old on old.id = g.u where r.c < old.c group by 1)
     select id, min(c) as component from r where id in (select u from g where u <> v) group by 1""",
 )
 def i01(spark, sf):
-    """People linked by shared evidence, labelled by the smallest id."""
-    line = table(spark, sf, "lineitem").where("l_orderkey % 5 = 0")
-    edges = line.select(F.col("l_orderkey").alias("a"), F.min("l_orderkey").over(W.partitionBy(F.col("l_partkey") % 97, "l_suppkey")).alias("b"))
+    """Records linked by shared evidence, over every row of lineitem, labelled by the smallest id."""
+    line = table(spark, sf, "lineitem")
+    edges = line.select(F.col("l_orderkey").alias("a"), F.min("l_orderkey").over(W.partitionBy("l_partkey", F.col("l_suppkey") % 3)).alias("b"))
     return E.connected(edges)
 
 
 @query("i01_components_whole")
 def i01_whole(spark, sf):
-    """As i01_components, over every row of lineitem; recursive SQL is too slow for it."""
+    """As i01_components with other evidence; tested against union-find."""
     line = table(spark, sf, "lineitem")
     edges = line.select(F.col("l_orderkey").alias("a"), F.min("l_orderkey").over(W.partitionBy(F.col("l_partkey") % 97, "l_suppkey")).alias("b"))
     return E.connected(edges)
@@ -59,11 +58,20 @@ def i06(spark, sf):
 
 @query("i11_replay")
 def i11(spark, sf):
-    """Holder periods of posts from the event stream of each user."""
+    """Holder periods of posts from the events of each user as decrees, under three governments, one acting and one formed anew by the same head."""
     e = table(spark, sf, "events")
     kind = F.create_map(*[F.lit(x) for pair in (("view", "appoint"), ("click", "interim"), ("purchase", "dismiss"), ("signup", "interim_end"), ("error", "resign")) for x in pair])
-    events = e.select(F.col("user_id").cast("string").alias("block"), F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), kind[F.col("event_type")].alias("type"), (F.col("event_id") % 7).cast("string").alias("person"), (F.col("event_id") % 3).cast("string").alias("post"))
-    return E.replay(events)
+    post, person = (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 7).cast("string")
+    members = F.array(F.struct(person.alias("person"), F.lit("0").alias("post")), F.struct(F.lit("9").alias("person"), F.lit("1").alias("post")))
+    roster = F.col("event_id") % 40 == 0
+    type_ = F.when(roster, "roster").when(F.col("event_id") % 41 == 0, "suspend").otherwise(kind[F.col("event_type")])
+    block = F.col("user_id").cast("string").alias("block")
+    events = e.select(block, F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), type_.alias("type"), person.alias("person"), post.alias("post"), F.when(roster, members).alias("members"))
+    g = spark.sql(
+        "select 'A' as government, date '2024-01-03' as starts_on, date '2024-01-12' as ends_on, false as acting, false as skip, false as carry_over"
+        " union all select 'B', date '2024-01-12', date '2024-01-14', true, false, false union all select 'C', date '2024-01-14', null, false, false, true"
+    )
+    return E.replay(events, e.select(block).distinct().join(F.broadcast(g)))
 
 
 @query(
@@ -99,9 +107,11 @@ def e06_gaps(spark, sf):
     return T.gaps(periods(spark, sf).select("l_suppkey", "s", F.least("e", F.date_add("s", 5)).alias("e")), ["l_suppkey"], "s", "e")
 
 
-@query("i22_single_value_veto", "select user_id, case when count(distinct event_type) = 1 then min(event_type) end as only_type from events where event_id % 40 = 1 group by 1")
+@query("i22_single_value_veto", "select user_id, date_trunc('hour', ts) as hour, case when count(distinct event_type) = 1 then min(event_type) end as only_type from events group by 1, 2")
 def i22(spark, sf):
-    return table(spark, sf, "events").where("event_id % 40 = 1").groupBy("user_id").agg(F.when(F.count_distinct("event_type") == 1, F.min("event_type")).alias("only_type"))
+    """The only type of a user's events of an hour; one that disagrees is a veto. One value: the least is the greatest."""
+    by = table(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
+    return by.agg(F.when(F.min("event_type") == F.max("event_type"), F.min("event_type")).alias("only_type"))
 
 
 @query("i22_single_value_veto_whole", "select user_id, cast(ts as date) as day, case when count(distinct event_type) = 1 then min(event_type) end as only_type from events group by 1, 2")
@@ -156,16 +166,21 @@ def k38(spark, sf):
 @query("l02_windowed_counts", "select cast(date_trunc('day', ts) as timestamp) as start, event_type, count(*) as n from events group by 1, 2")
 def l02(spark, sf):
     counts = engagement.windowed_counts(engagement.stream(spark, sf))
-    return engagement.collected(counts, f"counts_{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return engagement.collected(counts, ["start", "event_type"], "counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("l03_once_per_visitor", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by 1, 2")
 def l03(spark, sf):
     first = engagement.once(engagement.stream(spark, sf).select("ts", "user_id", "event_type"), ["user_id", "event_type"], "40 days")
-    return engagement.collected(first, f"once_{uuid.uuid4().hex}", "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return engagement.appended(first, "once").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("a08_page_outline")
+@query(
+    "a08_page_outline",
+    r"""with p as (select page_id, regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g') as html from pages)
+    select page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title,
+    len(regexp_extract_all(html, '(?i)<a\s[^>]*href="[^"]+"')) as links, len(regexp_extract_all(html, '(?i)<tr[\s>]')) as table_rows from p""",
+)
 def a08(spark, sf):
     """Title, number of links and of table rows of every saved page."""
     return readers.pages(table(spark, sf, "pages")).select("page_id", "title", F.size("links").alias("links"), F.size("rows").alias("table_rows"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.operators import areas
 from tallyloom.operators import documents as D
 from tallyloom.operators import relational as R
 from tallyloom.operators import rules
 from tallyloom.operators import temporal as T
 from tallyloom.plans.registry import query
 from tallyloom.session import table
+from tallyloom.sources import readers
 
 FOLD = "lower(translate({}, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT'))"
 
@@ -148,10 +150,15 @@ def a16(spark, sf):
     return R.insert_ignore(*_old_new(spark, sf), ["k"])
 
 
-@query("a17_replace_by_owner", f"with {OLD}, {NEW}, few as (select * from new where o < 12) select * from old where o not in (select o from few) union all select * from few")
+@query(
+    "a17_replace_by_owner",
+    """with c as (select c_custkey as k, c_acctbal as v, c_custkey // 4 as o, c_mktsegment as s from customer), new as (select k, -v as v, o from c where s = 'BUILDING')
+    select k, v, o from c where o not in (select o from new) union all select * from new""",
+)
 def a17(spark, sf):
-    old, new = _old_new(spark, sf)
-    return R.replace_by_owner(old, new.where("o < 12"), "o")
+    """Every owner with new rows is replaced; the others keep theirs."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.floor(F.col("c_custkey") / 4).alias("o"), "c_mktsegment")
+    return R.replace_by_owner(c.drop("c_mktsegment"), c.where("c_mktsegment = 'BUILDING'").select("k", (-F.col("v")).alias("v"), "o"), "o")
 
 
 @query("a22_reading_interval", "with r as (select user_id, cast(ts as date) as d, event_id % 2 as age, case when event_id % 5 = 0 then event_type end as p, event_id from events) select user_id, min(d) as first_seen, max(d) as last_seen from r group by 1")
@@ -193,6 +200,41 @@ def j06(spark, sf):
     return s.select("doc_id", "section", F.length("body").cast("long").alias("chars"))
 
 
+_BILL = """concat('Proiect de lege ', o_orderkey, chr(10), chr(10), '  Expunere', chr(13), 'Art. ', o_orderkey % 9 + 1, '.', chr(10), repeat('Cuvânt nou. ', cast(o_orderkey % 9 as int)), chr(10),
+    'Punctul ', o_orderkey % 4 + 1, ') se modifică', chr(10), 'text', chr(10), case when o_orderkey % 3 = 0 then 'ANEXA nr. 2 la lege' else 'fără anexă' end)"""
+
+
+@query(
+    "j06_bill_parts",
+    f"""with b as (select o_orderkey, {_BILL} as t, 'Proiect de lege ' || o_orderkey || chr(10) || 'Expunere' as a, 'Art. ' || (o_orderkey % 9 + 1) || '.' as h1, 'Punctul ' || (o_orderkey % 4 + 1) || ') se modifică' as h2 from orders),
+    c as (select *, instr(t, h1) - 1 as s1, instr(t, h2) - 1 as s2, instr(t, 'ANEXA') - 1 as s3, trim(repeat('Cuvânt nou. ', cast(o_orderkey % 9 as int))) as w from b)
+    select o_orderkey, 1 as place, 'document-1' as id, 'preamble' as part, null as number, a as body, 0 as starts, s1 as ends from c
+    union all select o_orderkey, 2, 'art-' || (o_orderkey % 9 + 1) || '-2', 'article', cast(o_orderkey % 9 + 1 as varchar), h1 || case when w = '' then '' else chr(10) || w end, s1, s2 from c
+    union all select o_orderkey, 3, 'punctul-' || (o_orderkey % 4 + 1) || '-se-modifica-3', 'point', cast(o_orderkey % 4 + 1 as varchar), h2 || chr(10) || 'text' || case when o_orderkey % 3 = 0 then '' else chr(10) || 'fără anexă' end, s2,
+      case when s3 >= 0 then s3 else length(t) end from c
+    union all select o_orderkey, 4, 'anexa-nr-2-la-lege-4', 'annex', '2', 'ANEXA nr. 2 la lege', s3, length(t) from c where s3 >= 0""",
+)
+def j06_parts(spark, sf):
+    """A bill for each order: preamble, article, point and some annexes, with blank lines, carriage returns and spaces before lines."""
+    parts = D.bill_parts(table(spark, sf, "orders").select("o_orderkey", F.expr(_BILL.replace("chr(13)", "char(13)").replace("chr(10)", "char(10)")).alias("text")), "o_orderkey")
+    return parts.select("o_orderkey", "place", "id", "part", "number", "body", F.col("starts").cast("int").alias("starts"), F.col("ends").cast("int").alias("ends"))
+
+
+_READ = """case o_orderkey % 7 when 0 then '  ' when 1 then repeat('cuvânt ', 120) when 2 then concat('Punctul 1', char(10), 'se modifică') when 3 then concat('Art. 1', char(10), repeat('x', 8001))
+    when 4 then concat('Art. 1', char(10), 'a', char(10), 'art. 1', char(10), 'b') when 5 then repeat(concat('Articolul 2)', char(10), 'scurt', char(10)), 9) else 'Legea se completează astfel' end"""
+
+
+@query(
+    "j06_reading_quality",
+    """select o_orderkey, case o_orderkey % 7 when 0 then 0 when 1 then 1 when 2 then 1 when 3 then 1 when 4 then 2 when 5 then 9 else 1 end as parts,
+    case when o_orderkey % 7 in (0, 1, 6) then 'weak' else 'partial' end as quality,
+    case o_orderkey % 7 when 0 then 'empty_text' when 1 then 'no_structural_headings' when 2 then 'amendment_only_document' when 3 then 'huge_section' when 4 then 'duplicate_section_heading'
+      when 5 then 'duplicate_section_heading,too_many_short_sections' else 'amendment_only_document' end as warnings from orders""",
+)
+def j06_quality(spark, sf):
+    return D.bill_reading(table(spark, sf, "orders").select("o_orderkey", F.expr(_READ).alias("text")), "o_orderkey").withColumn("warnings", F.array_join("warnings", ","))
+
+
 @query("j07_compare_versions", "with o as (select conv_id, role as h, max_by(text, turn) as b from conversations where turn < 2 group by 1, 2), n as (select conv_id, role as h, max_by(text, turn) as a from conversations where turn >= 1 group by 1, 2) select coalesce(o.conv_id, n.conv_id) as conv_id, coalesce(o.h, n.h) as heading, case when b is null then 'added' when a is null then 'removed' when a <> b then 'changed' else 'unchanged' end as status from o full join n on o.conv_id = n.conv_id and o.h = n.h")
 def j07(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("section"), F.col("role").alias("heading"), F.col("text").alias("body"))
@@ -205,16 +247,25 @@ def j09(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_contains(reasons, "very_short_text").alias("short"))
 
 
-@query("j15_unpivot", "select s_suppkey, 'balance' as list, cast(s_acctbal as bigint) as votes from supplier union all select s_suppkey, 'nation', s_nationkey from supplier")
+@query(
+    "j15_unpivot",
+    """select s_suppkey, list, votes from (select s_suppkey, 'Lista A' as list, s_suppkey % 4 as votes from supplier union all select s_suppkey, 'Lista B', s_nationkey from supplier
+    union all select s_suppkey, 'Lista C', cast(floor(s_acctbal) as bigint) from supplier) where votes > 0""",
+)
 def j15(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") >= 0, F.floor(F.col("s_acctbal") + 0.5)).otherwise(F.ceil(F.col("s_acctbal") - 0.5)).alias("balance"), F.col("s_nationkey").cast("long").alias("nation"))
-    return s.unpivot("s_suppkey", ["balance", "nation"], "list", "votes")
+    """The lists are the columns after the last statistics; cells that are empty, zero or no number go."""
+    k, text = F.col("s_suppkey"), lambda c: c.cast("long").cast("string")
+    wide = table(spark, sf, "supplier").select(k, text(k * 7).alias("present"), F.lit("9").alias("f"), text(k % 4).alias("Lista A"), text(F.col("s_nationkey")).alias("Lista B"), text(F.floor("s_acctbal")).alias("Lista C"), F.lit("-").alias("Lista D"), F.lit("").alias("Lista E"))
+    return readers.unpivot_lists(wide, ["s_suppkey"], "f")
 
 
-@query("j17_list_codes", "select l_suppkey, cast(case when l_suppkey % 10 = 0 then 0 else row_number() over (partition by l_suppkey % 10 = 0 order by count(*) desc, l_suppkey) end as integer) as code from lineitem group by 1")
+@query(
+    "j17_list_codes",
+    """with n as (select case when p_size % 7 = 0 then '' else p_brand end as list, count(*) as votes from lineitem join part on p_partkey = l_partkey group by 1)
+    select list, votes, cast(case when list = '' then 0 else row_number() over (partition by list = '' order by votes desc, list) end as integer) as code from n""",
+)
 def j17(spark, sf):
-    from pyspark.sql import Window as W
-
-    alone = F.col("l_suppkey") % 10 == 0
-    n = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    return n.select("l_suppkey", F.when(alone, 0).otherwise(F.row_number().over(W.partitionBy(alone).orderBy(F.desc("n"), "l_suppkey"))).alias("code"))
+    """Brands are lists; some parts stand alone."""
+    name = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("Candidat Independent "), "p_name")).otherwise(F.col("p_brand"))
+    lists = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), name.alias("list"))
+    return areas.coded_lists(table(spark, sf, "lineitem").select("l_partkey").join(lists, "l_partkey").groupBy("list").agg(F.count("*").alias("votes")))

@@ -37,6 +37,22 @@ def test_asof_ties_open_ends_and_misses(spark):
     assert got == {("a", "2019-12-31"): None, ("a", "2020-01-01"): 1, ("a", "2021-06-30"): 3, ("b", "2021-01-02"): None, ("c", "2021-01-01"): None}
 
 
+def test_asof_matches_brute_force(spark):
+    """Nested, closed and open periods, ties, and facts before, in and after them."""
+    rng = random.Random(3)
+    start = day("2020-01-01")
+    at = lambda n: start + dt.timedelta(n)
+    rows = [(str(rng.randrange(4)), i, at(a := rng.randrange(200)), None if rng.random() < 0.05 else at(a + rng.choice([0, 3, 20, 120]))) for i in range(150)]
+    p = spark.createDataFrame(rows, "owner string, id long, s date, e date")
+    asked = {(str(rng.randrange(6)), at(rng.randrange(-10, 260))) for _ in range(300)}
+    facts = spark.createDataFrame([(o, d) for o, d in asked], "owner string, on date")
+    want = {(o, d): max(((s, i) for oo, i, s, e in rows if oo == o and s <= d and (e is None or e >= d)), default=(None, None))[1] for o, d in asked}
+    got = {(r.owner, r.on): r.id for r in T.asof_latest(facts, p, "owner", "on", "s", "e", "id", ["owner", "on"]).collect()}
+    assert got == want and None in want.values()
+    inner = T.asof_latest(facts, p, "owner", "on", "s", "e", "id", ["owner", "on"], "inner")
+    assert inner.count() == sum(v is not None for v in want.values())
+
+
 def test_merging_gaps_and_coverage(spark):
     p = periods(spark, [("a", 1, "2020-01-01", "2020-01-10"), ("a", 2, "2020-01-11", "2020-01-20"), ("a", 3, "2020-01-05", "2020-01-06"), ("a", 4, "2020-02-01", None)])
     got = [(str(r.s), r.e and str(r.e), r.merged) for r in T.coalesce_touching(p, ["owner"], "s", "e").orderBy("s").collect()]
@@ -144,10 +160,49 @@ def test_components_and_vetoed_merges(spark):
     assert [r.old for r in E.veto_shared(mapping, votes, "vote", "member").collect()] == ["g2"]
 
 
+EVENTS = "block string, day date, seq int, type string, person string, post string, members array<struct<person:string,post:string>>"
+GOVERNMENTS = "block string, government string, starts_on date, ends_on date, acting boolean, skip boolean, carry_over boolean"
+
+
+def test_replay_over_governments(spark):
+    """A roster, a carried cabinet, an acting government between two, what nobody can place, and a second roster."""
+    rows = [
+        ("2020-01-02", 1, "roster", None, None, [("A", "x"), ("B", "y"), ("C", "z")]),
+        ("2020-03-01", 2, "resign", "A", "x", None),
+        ("2020-03-01", 3, "interim", "B", "x", None),
+        ("2020-04-01", 4, "appoint", "D", "x", None),  # ends the interim
+        ("2020-05-01", 5, "suspend", "B", None, None),
+        ("2020-05-02", 6, "dismiss", "Q", "y", None),  # nobody's post
+        ("2021-03-01", 7, "roster", None, None, [("Q", "y")]),  # inside the acting government
+        ("2021-06-01", 8, "dismiss", "B", "y", None),  # the day that the cabinet was carried over: the first period ends
+        ("2022-01-10", 9, "roster", None, None, [("D", "x"), ("E", "y")]),
+        ("2023-01-01", 10, "appoint", "F", "y", None),  # curated
+    ]
+    events = spark.createDataFrame([("ro", day(d), s, t, p, o, m) for d, s, t, p, o, m in rows], EVENTS)
+    g = lambda name, a, b, acting=False, skip=False, carry=False: ("ro", name, day(a), b and day(b), acting, skip, carry)
+    governments = spark.createDataFrame([g("G1", "2020-01-01", "2021-01-01"), g("G2", "2021-01-01", "2021-06-01", acting=True), g("G3", "2021-06-01", "2022-12-01", carry=True), g("G4", "2022-12-01", None, skip=True)], GOVERNMENTS)
+    got = E.replay(events, governments).collect()
+    roles = sorted((r.government, r.person, r.post, r.interim, str(r.starts_on), r.ends_on and str(r.ends_on), r.reason, r.carried) for r in got if r.kind == "role")
+    assert roles == [
+        ("G1", "A", "x", False, "2020-01-02", "2020-03-01", "resigned", False),
+        ("G1", "B", "x", True, "2020-03-01", "2020-04-01", "interim_ended", False),
+        ("G1", "B", "y", False, "2020-01-02", "2021-06-01", "dismissed", False),
+        ("G1", "C", "z", False, "2020-01-02", "2021-06-01", "government_ended", False),
+        ("G1", "D", "x", False, "2020-04-01", "2021-06-01", "government_ended", False),
+        ("G3", "C", "z", False, "2021-06-01", "2022-01-10", "new_cabinet", True),
+        ("G3", "D", "x", False, "2021-06-01", "2022-12-01", "government_ended", True),
+        ("G3", "E", "y", False, "2022-01-10", "2022-12-01", "government_ended", False),
+    ]
+    assert sorted((r.kind, r.reason) for r in got if r.kind != "role") == [("outside", "appoint"), ("outside", "roster"), ("suspension", "suspend"), ("without_open_role", "dismiss")]
+
+
 def test_replay_of_a_cabinet(spark):
-    rows = [("g", "2020-01-01", 1, "appoint", "A", "x"), ("g", "2020-02-01", 2, "interim", "B", "x"), ("g", "2020-03-01", 3, "appoint", "C", "x"), ("g", "2020-04-01", 4, "dismiss", "C", None), ("g", "2020-05-01", 5, "appoint", "D", "y"), ("g", "2020-05-01", 6, "appoint", "E", "y")]
-    events = spark.createDataFrame([(b, day(d), s, t, p, o) for b, d, s, t, p, o in rows], "block string, day date, seq int, type string, person string, post string")
-    got = sorted((r.person, str(r.starts_on), r.ends_on and str(r.ends_on), r.reason, r.interim) for r in E.replay(events).collect())
+    rows = [("g", "2019-01-01", 0, "appoint", "Z", "x"), ("g", "2020-01-01", 1, "appoint", "A", "x"), ("g", "2020-02-01", 2, "interim", "B", "x"), ("g", "2020-03-01", 3, "appoint", "C", "x"), ("g", "2020-04-01", 4, "dismiss", "C", None), ("g", "2020-05-01", 5, "appoint", "D", "y"), ("g", "2020-05-01", 6, "appoint", "E", "y")]
+    events = spark.createDataFrame([(b, day(d), s, t, p, o, None) for b, d, s, t, p, o in rows], EVENTS)
+    one = spark.createDataFrame([("g", "G", day("2020-01-01"), None, False, False, False)], GOVERNMENTS)
+    rows = E.replay(events, one).collect()
+    assert [(r.kind, r.person, str(r.starts_on)) for r in rows if r.kind != "role"] == [("outside", "Z", "2019-01-01")]
+    got = sorted((r.person, str(r.starts_on), r.ends_on and str(r.ends_on), r.reason, r.interim) for r in rows if r.kind == "role")
     assert got == [("A", "2020-01-01", "2020-03-01", "replaced", False), ("B", "2020-02-01", "2020-03-01", "interim_ended", True), ("C", "2020-03-01", "2020-04-01", "dismissed", False), ("E", "2020-05-01", None, None, False)]
 
 
@@ -236,6 +291,7 @@ def test_late_events_and_catch_up(spark, tmp_path):
     engagement.catch_up(stream, lambda df, i: seen.append(df.count()), f"file://{tmp_path}/cp")
     assert sum(seen) == base.count()
     a, b = engagement.flooding(stream, 0, 0)
-    assert engagement.collected(a, "flood_short", "append").columns == engagement.collected(b, "flood_long", "append").columns
+    short, long = engagement.collected(a, ["start", "user_id"], "flood_short"), engagement.collected(b, ["start", "user_id"], "flood_long")
+    assert short.columns == long.columns and long.count() > short.count() > 0
     assert engagement.catch_up_window(day("2024-05-10"), day("2024-05-20")) == (day("2024-05-07"), day("2024-05-20"))
     assert engagement.catch_up_window(day("2024-05-10"), day("2024-05-20"), [day("2024-01-01")]) == (day("2024-03-21"), day("2024-05-20"))
