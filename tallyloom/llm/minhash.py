@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.hashing import Words, mix, runs
-from tallyloom.session import bounded_batches, discard, materialise, sweep, written
+from tallyloom.operators.entities import connected
+from tallyloom.session import bounded_batches, materialise, sweep, written
 
 BANDS, ROWS, SKETCH_BITS, MARGIN = 40, 5, 1024, 0.2
 #: Rows of a common shingle that one task takes.
@@ -147,28 +148,6 @@ def by_prefix(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return crossing(rows, "token", threshold, alike, early, enough)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(doc, component) for every end of an edge (a, b): the smallest id reachable. Large-star and small-star until nothing changes."""
-    spark = edges.sparkSession
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: the smaller neighbours of a node, and the node, hang on the smallest of them.
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        new = materialise(small.where("u <> v").distinct(), "edges")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(now)
-        now = new
-        if state == seen:
-            break
-        seen = state
-    return now.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("doc"), F.col("v").alias("component"))).distinct() if seen[0] else spark.createDataFrame([], "doc long, component long")
-
-
 def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     spark, before = docs.sparkSession, written()
@@ -192,20 +171,21 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
             yield pd.DataFrame({"doc": b["doc"], "set": [shingles(t, k, words).view(np.int64) for t in b["text"]]})
 
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where(F.col("text").isNotNull())
-    sets = materialise(texts.join(wanted, "doc").mapInPandas(full, "doc long, set array<long>").dropDuplicates(["doc"]), "sets")
+    # The same plan at every size: texts meet ids by a sorted merge, whether the ids are few or many.
+    sets = materialise(texts.join(wanted.hint("merge"), "doc").mapInPandas(full, "doc long, set array<long>").dropDuplicates(["doc"]), "sets")
 
     # Every member of a bucket against its most central one.
     pivot = buckets.groupBy("key").agg(F.min_by("doc", F.struct(-F.col("near"), "doc")).alias("pivot"))
     pairs = buckets.join(pivot, "key").where("doc <> pivot").select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct()
     links = materialise(confirmed(pairs, odd, sets, threshold), "links")
-    found = materialise(components(links), "components")
+    found = connected(links).withColumnRenamed("id", "doc")
     # A bucket of two has been compared; one of a single component can't change anything.
     now = buckets.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi")
     left = materialise(now.join(open_.select("key"), "key", "left_semi").select("doc", "component").distinct(), "left")
     more = materialise(confirmed(by_prefix(left, sets, threshold), odd, sets, threshold), "links")
     if not more.isEmpty():
-        found = materialise(components(links.unionByName(more)), "components")
+        found = connected(links.unionByName(more)).withColumnRenamed("id", "doc")
     named = some.select("doc_id", "same").join(classes, "same").select("doc_id", "same", "rep")
     named = named.join(found.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "same", F.coalesce("component", "rep").alias("component_id")).distinct()
     alone = all_.where(F.col("same").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -218,4 +198,4 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """docs without the documents that another of their group stands for; all rows of the smallest id of a group stay."""
     gone = link(docs, k, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -82,8 +82,15 @@ def _runs(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "anchor long, content long, start int, n int, again boolean, doc_id long")
 
 
+PIECES = "doc_id long, start int, shard int, words binary, runs array<struct<anchor:long,content:long,n:int,c:long>>"
+REPORT = "anchor long, content long, n int, doc_id long, at int, to int"
+
+
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The word hashes of wanted runs (anchor, content, n, c, doc_id, start, shard), fetched from the texts."""
+    """Wanted runs (anchor, content, n, c, doc_id, start, alone, shard) as PIECES with the word hashes, fetched from the texts.
+
+    Runs that are alone with their anchor meet no other text, so neighbours among them are one piece: their common words are indexed once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -91,14 +98,19 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, parts in zip(b["doc_id"], b["text"], b["parts"], strict=True):
                 h = words(text.encode().split())
-                rows += [(p["anchor"], p["content"], p["n"], p["c"], doc_id, p["start"], p["shard"], h[p["start"] : p["start"] + p["n"] + WINDOW - 1].tobytes()) for p in parts]
-            yield pd.DataFrame(rows, columns=["anchor", "content", "n", "c", "doc_id", "start", "shard", "words"])
-
-    by = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "c", "start", "shard")).alias("parts"))
-    return docs.join(by, "doc_id").mapInPandas(run, "anchor long, content long, n int, c long, doc_id long, start int, shard int, words binary")
+                pieces: list[list] = []
+                for p in sorted(parts, key=lambda p: p["start"]):
+                    told = {k: p[k] for k in ("anchor", "content", "n", "c")}
+                    if p["alone"] and pieces and pieces[-1][3] and pieces[-1][1] == p["start"]:
+                        pieces[-1][1] += p["n"]
+                        pieces[-1][4].append(told)
+                    else:
+                        pieces.append([p["start"], p["start"] + p["n"], p["shard"], p["alone"], [told]])
+                rows += [(doc_id, a, shard, h[a : z + WINDOW - 1].tobytes(), runs_) for a, z, shard, _, runs_ in pieces]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "shard", "words", "runs"])
 
-
-REPORT = "anchor long, content long, n int, doc_id long, at int, to int"
+    by = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "c", "start", "alone", "shard")).alias("parts"))
+    return docs.join(by.hint("merge"), "doc_id").mapInPandas(run, PIECES)
 
 
 def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -112,7 +124,7 @@ def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
 def _searched(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: build the index of its runs, stream them, and report stretches that start earlier, for the first run of each text by its
     document, and for later ones (doc_id null) relative to the run."""
-    rows = rows.sort_values(["doc_id", "start", "n"], ignore_index=True)
+    rows = rows.assign(size=rows["words"].map(len)).sort_values(["doc_id", "start", "size"], ignore_index=True)
     parts = [np.frombuffer(w, np.uint64) for w in rows["words"]]
     flat, ids = np.unique(np.concatenate(parts), return_inverse=True)
     edges = np.cumsum([0, *map(len, parts)])
@@ -121,10 +133,13 @@ def _searched(rows: pd.DataFrame) -> pd.DataFrame:
     order = [(d << 32) + s + np.arange(len(p) + 1) for d, s, p in zip(document, rows["start"], parts, strict=True)]
     index = FMIndex(np.concatenate([np.append(s, 0) for s in symbols]), np.concatenate(order), WINDOW)
     out = []
-    for anchor, content, n, c, doc_id, start, own, first in zip(rows["anchor"], rows["content"], rows["n"], rows["c"], rows["doc_id"], rows["start"], order, index.stream(symbols), strict=True):
-        out += [(anchor, content, n, doc_id, start + a, start + b) for a, b in _stretches(np.flatnonzero((first >= 0) & (first < own[:-1])))]
-        if c > 1:
-            out += [(anchor, content, n, None, a, b) for a, b in _stretches(np.flatnonzero((first >= 0) & (first <= own[:-1])))]
+    for doc_id, start, texts, own, first in zip(rows["doc_id"], rows["start"], rows["runs"], order, index.stream(symbols), strict=True):
+        out += [(0, 0, 0, doc_id, start + a, start + b) for a, b in _stretches(np.flatnonzero((first >= 0) & (first < own[:-1])))]
+        at, deep = 0, (first >= 0) & (first <= own[:-1])
+        for r in texts:
+            if r["c"] > 1:
+                out += [(r["anchor"], r["content"], r["n"], None, a, b) for a, b in _stretches(np.flatnonzero(deep[at : at + r["n"]]))]
+            at += r["n"]
     return pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")]).astype({"doc_id": "Int64"})
 
 
@@ -150,18 +165,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     text = ["anchor", "content", "n"]
     first = materialise(some.groupBy(*text).agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")), "distinct")
     kinds = first.groupBy("anchor").agg(F.count("*").alias("k"))
-    # Words to index: all texts of an ordinary anchor; of a hot one those that come again. Shards hold whole anchors, or the texts of hot ones.
-    known = first.join(kinds, "anchor").withColumn("hot", F.col("k") > HOT)
-    at = F.when(F.col("hot"), F.xxhash64("anchor", "content")).otherwise(F.xxhash64("anchor"))
-    total = known.agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0))).first()[0]
+    # Words to index: all texts of an ordinary anchor; of a hot one those that come again. Shards hold whole anchors, documents of lone runs, or the texts of hot anchors.
+    known = first.join(kinds, "anchor").withColumns({"hot": F.col("k") > HOT, "alone": F.col("k") == 1})
+    at = F.when(F.col("hot"), F.xxhash64("anchor", "content")).when(F.col("alone"), F.xxhash64("f.doc_id")).otherwise(F.xxhash64("anchor"))
+    total = known.agg(F.coalesce(F.sum(F.col("n") + F.when(F.col("alone"), 2).otherwise(WINDOW)), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_WORDS))
-    cut = materialise(_cut(docs, known.select(*text, "c", "f.doc_id", "f.start", F.when(F.col("hot"), -1 - F.pmod(at, F.lit(shards))).otherwise(F.pmod(at, F.lit(shards))).cast("int").alias("shard"))), "cut")
-    by_run = cut.where("shard >= 0 or c > 1").groupBy("shard").applyInPandas(_searched, REPORT)
+    shard = F.pmod(at, F.lit(shards)).cast("int")
+    cut = materialise(_cut(docs, known.select(*text, "c", "f.doc_id", "f.start", "alone", F.when(F.col("hot"), -1 - shard).otherwise(shard).alias("shard"))), "cut")
+    by_run = cut.where((F.col("shard") >= 0) | (F.get("runs", F.lit(0))["c"] > 1)).groupBy("shard").applyInPandas(_searched, REPORT)
 
     single = cut.where("shard < 0").mapInPandas(_windows, "anchor long, content long, start int, n int, doc_id long, words binary")
     single = materialise(single, "windows")
     more = single.groupBy(*text).agg(F.min(F.struct("doc_id", "start", "words")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    windows = more.select(*text, "c", "f.doc_id", "f.start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "f.words")
+    windows = more.select("f.doc_id", "f.start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "f.words", F.array(F.struct(*text, "c")).alias("runs"))
     found = materialise(by_run.unionByName(windows.groupBy("shard").applyInPandas(_searched, REPORT)), "found")
 
     later = found.where("doc_id is null").select(*text, F.col("at").alias("from"), F.col("to").alias("upto"))
@@ -193,4 +209,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return docs.select("doc_id", "text").join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -120,12 +120,6 @@ def test_prefix_filter_loses_no_link(spark):
                 assert (i, j) in got
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
-    got = {r.doc: r.component for r in minhash.components(edges).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
-
-
 def test_odd_sketch_estimates_high_similarity():
     words = minhash.Words()
     a = [f"w{i}" for i in range(400)]
