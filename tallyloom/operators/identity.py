@@ -81,7 +81,7 @@ def match_by_name(probe: DataFrame, members: DataFrame, name: str, target: str,
     near = close.where((F.size("__s") == F.size("__ms")) & fits & sits).select("__id", "__t").distinct()
 
     told = exact.unionByName(several).unionByName(pick(part, 2)).unionByName(pick(near, 3))
-    found = told.select("__id", F.when(F.col("n") == 1, F.col("t")).alias(target), (F.col("n") > 1).alias("ambiguous"))
+    found = materialise(told.select("__id", F.when(F.col("n") == 1, F.col("t")).alias(target), (F.col("n") > 1).alias("ambiguous")), "matched")
     return p.join(found, "__id", "left").select(*probe.columns, target, F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 

@@ -188,7 +188,7 @@ def _workbook(rows: list[list]) -> bytes:
     return out.getvalue()
 
 
-@query("a07_workbooks", "select s_nationkey as file, s_suppkey as key, s_name as name, cast(round(s_acctbal) as bigint) as votes from supplier")
+@query("a07_workbooks", "select s_nationkey as file, s_suppkey as key, s_name as name, cast(floor(s_acctbal) as bigint) as votes from supplier")
 def a07(spark, sf):
     """A workbook for each nation's suppliers, read back."""
     import pandas as pd
@@ -197,7 +197,7 @@ def a07(spark, sf):
         rows = [["key", "name", None, "votes"], *([int(k), n, None, float(v)] for k, n, v in zip(part["s_suppkey"], part["s_name"], part["v"], strict=True))]
         return pd.DataFrame({"path": part["s_nationkey"].iloc[:1].astype(str), "content": [_workbook(rows)]})
 
-    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.rint("s_acctbal").alias("v"))
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.floor("s_acctbal").cast("double").alias("v"))
     cells = archive.workbooks(s.groupBy("s_nationkey").applyInPandas(made, "path string, content binary")).where("row > 0")
     at = lambda i: F.get("cells", F.lit(i))
     return cells.select(F.col("file").cast("int").alias("file"), at(0).cast("long").alias("key"), at(1).alias("name"), at(3).cast("double").cast("long").alias("votes"))
