@@ -61,38 +61,40 @@ def template(word: str) -> tuple[str, str] | None:
     return low, ""
 
 
-class Templates:
-    """Template hashes of texts, with the slot values. Words are remembered up to a bound, their hashes in arrays."""
+class Templates(dict):
+    """Numbers of words (-1: none), learnt when first asked for; hashes and slot values lie in arrays by number. Forgotten beyond a bound."""
 
-    def __init__(self, most: int = 1 << 17):
+    def __init__(self, most: int = 1 << 18):
+        super().__init__()
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.clear()
         self.slots: list[str] = []
-        self.hashes, self.exact, self.filled = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        while len(self.slots) + len(words) > len(self.hashes):
+        self.hashes, self.exact, self.filled = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        found = template(word)
+        if not found:
+            self[word] = -1
+            return -1
+        k = self[word] = len(self.slots)
+        if k == len(self.hashes):
             self.hashes, self.exact, self.filled = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.exact, self.filled))
-        for w in words:
-            found = template(w)
-            if not found:
-                self.at[w] = -1
-                continue
-            k = self.at[w] = len(self.slots)
-            self.slots.append(found[1])
-            self.hashes[k], self.exact[k], self.filled[k] = xxhash.xxh64_intdigest(found[0]), xxhash.xxh64_intdigest("\0".join(found)), bool(found[1])
+        what, value = found
+        self.slots.append(value)
+        self.hashes[k] = xxhash.xxh64_intdigest(what)
+        self.exact[k] = xxhash.xxh64_intdigest(f"{what}\0{value}") if value else self.hashes[k]
+        self.filled[k] = bool(value)
+        return k
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Template hash, whether it is a slot, exact hash and number of each word of a text; slots has the value of a number."""
-        words = _WORD.findall(text or "")
-        if len(self.at) > self.most:
+        if len(self) > self.most:
             self.forget()
-        if new := set(words).difference(self.at):
-            self.learn(new)
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        words = _WORD.findall(text or "")
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         at = at[at >= 0]
         return self.hashes[at], self.filled[at], self.exact[at], at
 
@@ -104,7 +106,10 @@ def windows(h: np.ndarray, slot: np.ndarray, exact: np.ndarray, width: int) -> t
         return got, np.zeros(0, bool)
     total = np.concatenate([[0], np.cumsum(slot)])
     plain = (width - (total[width:] - total[:-width]) >= min(PLAIN, width - 1)) & (width >= SHORTEST)
-    return (got if plain.all() else np.where(plain, got, runs(exact, width) ^ EXACT)), plain
+    few = np.flatnonzero(~plain)
+    if len(few):
+        got[few] = runs(exact[few[:, None] + np.arange(width)], width, 1)[:, 0] ^ EXACT
+    return got, plain
 
 
 def _emit(key: str, widths: list[int] | None, bits: np.ndarray | None):

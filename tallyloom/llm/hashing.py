@@ -34,13 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k neighbours: Horner's rule with mixed inputs, then mixed."""
+def runs(h: np.ndarray, k: int, axis: int = 0) -> np.ndarray:
+    """Hashes of all runs of k neighbours along an axis: Horner's rule with mixed inputs, then mixed."""
+    h = np.moveaxis(h, axis, 0)
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, k, np.uint64)
+    out = np.full((n, *h.shape[1:]), k, np.uint64)
     base = np.uint64(_M[0])
     for j in range(k):
         out = out * base + h[j : j + n]
-    return mix(out)
+    return np.moveaxis(mix(out), 0, axis)
