@@ -40,7 +40,6 @@ UNITS = frozenset(
     "kilometers kilometres grams kilograms pounds dollars euros cents percent % $ € £ °c °f kmh mph w kw v".split()
 )
 _EDGE = re.compile(r"^\W+|\W+$")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMBER = re.compile(r"\d")
 
 
@@ -48,11 +47,13 @@ def template(word: str) -> tuple[str, str] | None:
     """(template, slot value or ''); None for bare punctuation other than a unit sign."""
     if word in UNITS:
         return "<unit>", word
-    w = _EDGE.sub("", word)
-    if not w:
-        return None
-    if _NUMBER.search(w):
-        return "<number>", w
+    w = word
+    if not word.isalpha():  # letters alone have no edges to strip and no digits
+        w = _EDGE.sub("", word)
+        if not w:
+            return None
+        if _NUMBER.search(w):
+            return "<number>", w
     low = w.lower()
     if low in UNITS and len(low) > 1:
         return "<unit>", low
@@ -74,8 +75,8 @@ class Templates(dict):
         self.slots: list[str] = []
         self.hashes, self.exact, self.filled = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)
 
-    def __missing__(self, word: str) -> int:
-        found = template(word)
+    def __missing__(self, word: bytes) -> int:
+        found = template(word.decode())
         if not found:
             self[word] = -1
             return -1
@@ -93,7 +94,7 @@ class Templates(dict):
         """Template hash, whether it is a slot, exact hash and number of each word of a text; slots has the value of a number."""
         if len(self) > self.most:
             self.forget()
-        words = _WORD.findall(text or "")
+        words = (text or "").encode().split()  # bytes split at the six ASCII white-space characters alone
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         at = at[at >= 0]
         return self.hashes[at], self.filled[at], self.exact[at], at
