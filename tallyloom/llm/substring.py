@@ -82,7 +82,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "anchor long, content long, start int, n int, again boolean, doc_id long")
 
 
-PIECES = "doc_id long, start int, shard int, words binary, runs array<struct<anchor:long,content:long,n:int,c:long>>"
+PIECES = "doc_id long, start int, shard int, words binary, anchor array<long>, content array<long>, n array<long>, c array<long>"
 REPORT = "anchor long, content long, n int, doc_id long, at int, to int"
 
 
@@ -100,25 +100,26 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h = words(text.encode().split())
                 pieces: list[list] = []
                 for p in sorted(parts, key=lambda p: p["start"]):
-                    told = {k: p[k] for k in ("anchor", "content", "n", "c")}
+                    told = (p["anchor"], p["content"], p["n"], p["c"])
                     if p["alone"] and pieces and pieces[-1][3] and pieces[-1][1] == p["start"]:
                         pieces[-1][1] += p["n"]
                         pieces[-1][4].append(told)
                     else:
                         pieces.append([p["start"], p["start"] + p["n"], p["shard"], p["alone"], [told]])
-                rows += [(doc_id, a, shard, h[a : z + WINDOW - 1].tobytes(), runs_) for a, z, shard, _, runs_ in pieces]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "shard", "words", "runs"])
+                rows += [(doc_id, a, shard, h[a : z + WINDOW - 1].tobytes(), *map(list, zip(*told, strict=True))) for a, z, shard, _, told in pieces]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
     by = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "c", "start", "alone", "shard")).alias("parts"))
     return docs.join(by.hint("merge"), "doc_id").mapInPandas(run, PIECES)
 
 
-def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
-    """First position and end of the words of each stretch of neighbouring windows."""
-    if not len(hit):
-        return []
-    new = np.concatenate([[True], np.diff(hit) > 1])
-    return [(int(a), int(b) + WINDOW) for a, b in zip(hit[new], hit[np.append(new[1:], True)], strict=True)]
+def _stretches(hit: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each stretch of neighbouring hits that lie in one part; part numbers the places."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return at, at
+    new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(part[at]) != 0)])
+    return at[new], at[np.append(new[1:], True)]
 
 
 def _searched(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,20 +128,32 @@ def _searched(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.assign(size=rows["words"].map(len)).sort_values(["doc_id", "start", "size"], ignore_index=True)
     parts = [np.frombuffer(w, np.uint64) for w in rows["words"]]
     flat, ids = np.unique(np.concatenate(parts), return_inverse=True)
-    edges = np.cumsum([0, *map(len, parts)])
+    size = np.array([len(p) for p in parts])
+    edges = np.concatenate([[0], np.cumsum(size)])
     symbols = [ids[a:b] + 1 for a, b in zip(edges, edges[1:], strict=False)]
     document = pd.factorize(rows["doc_id"], sort=True)[0].astype(np.int64)
-    order = [(d << 32) + s + np.arange(len(p) + 1) for d, s, p in zip(document, rows["start"], parts, strict=True)]
-    index = FMIndex(np.concatenate([np.append(s, 0) for s in symbols]), np.concatenate(order), WINDOW)
-    out = []
-    for doc_id, start, texts, own, first in zip(rows["doc_id"], rows["start"], rows["runs"], order, index.stream(symbols), strict=True):
-        out += [(0, 0, 0, doc_id, start + a, start + b) for a, b in _stretches(np.flatnonzero((first >= 0) & (first < own[:-1])))]
-        at, deep = 0, (first >= 0) & (first <= own[:-1])
-        for r in texts:
-            if r["c"] > 1:
-                out += [(r["anchor"], r["content"], r["n"], None, a, b) for a, b in _stretches(np.flatnonzero(deep[at : at + r["n"]]))]
-            at += r["n"]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")]).astype({"doc_id": "Int64"})
+    base = (document << 32) + rows["start"].to_numpy()
+    order = np.concatenate([x + np.arange(n + 1) for x, n in zip(base, size, strict=True)])
+    index = FMIndex(np.concatenate([np.append(s, 0) for s in symbols]), order, WINDOW)
+    first = np.concatenate(index.stream(symbols))
+
+    # All places of the shard at once: the piece that each lies in, its order, and the run whose window starts there (-1 behind the last).
+    piece = np.repeat(np.arange(len(parts)), size)
+    within = np.arange(len(first)) - edges[piece]
+    own = base[piece] + within
+    anchor, content, n, c = (np.concatenate([np.asarray(x, np.int64) for x in rows[k]]) for k in ("anchor", "content", "n", "c"))
+    owner = np.repeat(np.arange(len(parts)), rows["n"].map(len).to_numpy())
+    before = np.concatenate([[0], np.cumsum(n)])[:-1]
+    start = edges[owner] + before - before[np.searchsorted(owner, owner)]
+    run = np.full(len(first), -1)
+    run[np.repeat(start - before, n) + np.arange(n.sum())] = np.repeat(np.arange(len(n)), n)
+
+    a, z = _stretches((first >= 0) & (first < own), piece)
+    mine = pd.DataFrame({"anchor": 0, "content": 0, "n": 0, "doc_id": rows["doc_id"].to_numpy()[piece[a]], "at": own[a] & 0xFFFFFFFF, "to": (own[z] & 0xFFFFFFFF) + WINDOW})
+    a, z = _stretches((first >= 0) & (first <= own) & (run >= 0) & (np.append(c, 0)[run] > 1), run)
+    r = run[a]
+    later = pd.DataFrame({"anchor": anchor[r], "content": content[r], "n": n[r], "doc_id": None, "at": a - start[r], "to": z - start[r] + WINDOW})
+    return pd.concat([mine.astype({"doc_id": "Int64"}), later.astype({"doc_id": "Int64"})])
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,12 +185,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-total // SHARD_WORDS))
     shard = F.pmod(at, F.lit(shards)).cast("int")
     cut = materialise(_cut(docs, known.select(*text, "c", "f.doc_id", "f.start", "alone", F.when(F.col("hot"), -1 - shard).otherwise(shard).alias("shard"))), "cut")
-    by_run = cut.where((F.col("shard") >= 0) | (F.get("runs", F.lit(0))["c"] > 1)).groupBy("shard").applyInPandas(_searched, REPORT)
+    by_run = cut.where((F.col("shard") >= 0) | (F.get("c", F.lit(0)) > 1)).groupBy("shard").applyInPandas(_searched, REPORT)
 
     single = cut.where("shard < 0").mapInPandas(_windows, "anchor long, content long, start int, n int, doc_id long, words binary")
     single = materialise(single, "windows")
     more = single.groupBy(*text).agg(F.min(F.struct("doc_id", "start", "words")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    windows = more.select("f.doc_id", "f.start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "f.words", F.array(F.struct(*text, "c")).alias("runs"))
+    windows = more.select("f.doc_id", "f.start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "f.words", *[F.array(F.col(c).cast("long")).alias(c) for c in (*text, "c")])
     found = materialise(by_run.unionByName(windows.groupBy("shard").applyInPandas(_searched, REPORT)), "found")
 
     later = found.where("doc_id is null").select(*text, F.col("at").alias("from"), F.col("to").alias("upto"))
