@@ -97,8 +97,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(documents(spark, sf_dir), k=2, threshold=80)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import filter_audit
+
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring, op3_quality_rules, op4_warc, op5_chat, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash)}
+    ops = (op1_toxicity, op2_substring, op3_quality_rules, op4_warc, op5_chat, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash, op11_filter_audit)
+    return {f.__name__: f for f in ops}
 
 
 _SAID = "<|im_end|><|im_start|>assistant ok"
@@ -123,6 +130,21 @@ ORACLES = {
     cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
     cast(sum(length(head) + length(escaped) + 24) as bigint) as formatted_chars from e group by conv_id""",
+    "op11_filter_audit": f"""with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, {_WORDS} as w from documents),
+    l as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1),
+    f as (select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as bad,
+      [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+       regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) over (partition by text), false)] as fails from d left join l on l.doc_id = d.doc_id),
+    g as (select *, list_sum(list_transform(fails, lambda x: x::int)) as n_fails from f),
+    c as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+    o as (select [a.c, b.c, e.c, h.c, i.c] as o from c a, c b, c e, c h, c i where len(list_distinct([a.c, b.c, e.c, h.c, i.c])) = 5),
+    s as (select o, step, ascii(o[step]) - 64 as pos, list_transform(o[1:step - 1], lambda x: ascii(x) - 64) as before from o, range(1, 6) r(step)),
+    j as (select part, array_to_string(o, '') as filter_order, step::int as step, o[step] as f, good, bad, n_fails, fails[pos] as failing,
+      len(list_filter(before, lambda b: fails[b])) > 0 as gone from g, s),
+    r as (select part, filter_order, step, f, count(*) filter (where not gone and not failing) as kept, count(*) filter (where not gone and failing) as removed,
+      count(*) filter (where gone and failing) as redundant, count(*) filter (where failing and n_fails = 1) as unique_fails,
+      count(*) filter (where not gone and failing and good) as good_lost, count(*) filter (where not gone and failing and bad) as toxic_lost from j group by all)
+    select * exclude (f), cast(sum(removed) over (partition by part, f) as bigint) as shapley from r""",
     "op10_minhash": f"""with recursive d as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
     s as (select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as sh from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from d where len(w) > 0)),
     n as (select doc_id, count(*) as n from s group by 1),
