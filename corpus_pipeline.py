@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontamination, minhash, packing, pii, toxicity
-from tallyloom.session import materialise, sweep, written
+from tallyloom.session import materialise, scratch
 
 #: The stages train, link and tokenise; no SQL gives their rows. tests/llm tests them against brute force.
 ORACLE_SQL = None
@@ -53,8 +53,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage wrote on the way, and what it read, is deleted as soon as its result is written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        sweep(spark, before, keep=docs)
-    return docs
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch(spark) as whole:
+        for name, stage in STAGES:
+            before = docs
+            with scratch(spark) as own:
+                docs = own.keep(materialise(stage(spark, before, sf_dir), name))
+            whole.drop(before)
+        return whole.keep(docs)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import names_match
-from tallyloom.session import discard, materialise, sweep, written
+from tallyloom.session import materialise, scratch
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,32 +16,30 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Contraction: each id is replaced by one of its closed neighbourhood, in turn the smallest and one that a hash of the round picks, until no edge
     is left; the hash keeps long chains from shrinking by one end at a time. The replacements are then followed back. Files cut the lineage, and go when read.
     """
-    spark, before = edges.sparkSession, written()
-    now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
-    levels: list[DataFrame] = []
-    while not now.isEmpty():
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        if len(levels) % 2:
-            rank = lambda c, turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("x"))
-            to = F.least(F.min(rank("v", len(levels))), F.min(rank("u", len(levels))))["x"]
-        else:
-            to = F.least(F.min("v"), F.min("u"))
-        level = materialise(both.groupBy("u").agg(to.alias("to")), "level")
-        levels.append(level)
-        moved = now.join(level, "u").select(F.col("to").alias("u"), "v").join(level.select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
-        last = now
-        now = materialise(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-        discard(last)
-    if not levels:
-        return spark.createDataFrame([], f"id {edges.schema[a].dataType.simpleString()}, component {edges.schema[a].dataType.simpleString()}")
-    root = levels[-1]
-    for level in reversed(levels[:-1]):
-        root = level.join(root.select(F.col("u").alias("to"), F.col("to").alias("far")), "to", "left").select("u", F.coalesce("far", "to").alias("to"))
-    root = materialise(root, "roots")
-    least = root.groupBy("to").agg(F.least(F.min("u"), F.min("to")).alias("component"))
-    out = materialise(root.join(least, "to").select(F.col("u").alias("id"), "component"), "components")
-    sweep(spark, before, keep=out)
-    return out
+    with scratch(edges.sparkSession) as own:
+        now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
+        levels: list[DataFrame] = []
+        while not now.isEmpty():
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            if len(levels) % 2:
+                rank = lambda c, turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("x"))
+                to = F.least(F.min(rank("v", len(levels))), F.min(rank("u", len(levels))))["x"]
+            else:
+                to = F.least(F.min("v"), F.min("u"))
+            level = materialise(both.groupBy("u").agg(to.alias("to")), "level")
+            levels.append(level)
+            moved = now.join(level, "u").select(F.col("to").alias("u"), "v").join(level.select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
+            last = now
+            now = materialise(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+            own.drop(last)
+        if not levels:
+            return edges.sparkSession.createDataFrame([], f"id {edges.schema[a].dataType.simpleString()}, component {edges.schema[a].dataType.simpleString()}")
+        root = levels[-1]
+        for level in reversed(levels[:-1]):
+            root = level.join(root.select(F.col("u").alias("to"), F.col("to").alias("far")), "to", "left").select("u", F.coalesce("far", "to").alias("to"))
+        root = materialise(root, "roots")
+        least = root.groupBy("to").agg(F.least(F.min("u"), F.min("to")).alias("component"))
+        return own.keep(materialise(root.join(least, "to").select(F.col("u").alias("id"), "component"), "components"))
 
 
 def resolve_voters(voters: DataFrame, sitting: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from tallyloom.operators import decrees, finance, sanctions, steps
 from tallyloom.operators import relational as R
 from tallyloom.plans.people import cases, given
 from tallyloom.plans.registry import query
-from tallyloom.session import shared_dir, table
+from tallyloom.session import scratch_folder, table
 from tallyloom.sources import archive
 
 #: Titles of decrees, with the kind and what the title says of somebody's coming or going.
@@ -231,7 +230,7 @@ def a09(spark, sf):
 )
 def a10(spark, sf):
     """Pages into the archive twice, some of them fetched again; the latest of each is read back byte for byte."""
-    at = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    at = scratch_folder(spark, "raw")
     k = F.col("page_id")
     p = table(spark, sf, "pages").select(F.when(k % 3 == 0, "list").otherwise("page").alias("kind"), F.concat(F.lit("k"), k.cast("string")).alias("key"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("body"), k.alias("n"))
     archive.keep_pages(p.withColumns({"fetched_at": F.lit("2024-01-01").cast("timestamp"), "version": F.lit(1)}).drop("n"), at)
@@ -248,7 +247,7 @@ def a10(spark, sf):
 )
 def a19(spark, sf):
     """A coverage report written as JSON and Markdown; the Markdown is read back."""
-    at = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    at = scratch_folder(spark, "report")
     by = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("chamber")).agg(F.count("*").alias("official"), F.count_if(F.col("o_orderkey") % 7 != 0).alias("held"))
     headings = {"chamber": "Chamber", "official": "Official", "held": "Held"}
     archive.write_report(by, at, headings, ["chamber"])

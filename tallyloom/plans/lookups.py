@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,12 +13,12 @@ from tallyloom.operators import relational as R
 from tallyloom.operators import temporal as T
 from tallyloom.plans.joins import PERIODS, periods
 from tallyloom.plans.registry import query
-from tallyloom.session import shared_dir, table
+from tallyloom.session import scratch_folder, table
 from tallyloom.sources import readers
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
 
 
 @query("a01_table_scan", "select r_regionkey, r_name from region")

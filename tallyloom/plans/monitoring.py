@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from tallyloom.operators import documents as D
 from tallyloom.operators import relational as R
 from tallyloom.plans.people import cases, given
 from tallyloom.plans.registry import query
-from tallyloom.session import shared_dir, table
+from tallyloom.session import scratch_folder, table
 from tallyloom.streaming import engagement
 
 
@@ -131,7 +130,7 @@ def k34(spark, sf):
 @query("l01_append_events", "select event_type, count(*) as n from events group by 1")
 def l01(spark, sf):
     """Events as they arrive, appended to a table."""
-    at = f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
+    at = scratch_folder(spark, "append")
     q = engagement.stream(spark, sf).select("event_id", "event_type").writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/log").format("parquet").start(f"{at}/rows")
     q.awaitTermination()
     return spark.read.parquet(f"{at}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -168,7 +167,7 @@ def l05(spark, sf):
 @query("l06_catch_up", "select user_id, count(*) as n from events group by 1")
 def l06(spark, sf):
     """All that is there in one run of batches; each batch writes the folder of its number, so a repeated batch replaces itself."""
-    at = f"{shared_dir(spark)}/catch-up-{uuid.uuid4().hex}"
+    at = scratch_folder(spark, "catch-up")
 
     def step(batch, number):
         batch.groupBy("user_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/batch={number}")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +17,8 @@ TABLES = (
 
 #: Working folders of sessions without a shared one, by application.
 _OWN: dict[str, str] = {}
-#: Folders that this library has written.
-_WRITTEN: list[str] = []
+#: The call whose scratch folders are being written, if any; each thread has its own.
+_CALL: ContextVar[Scratch | None] = ContextVar("call", default=None)
 
 
 def local_session(cpus: int = 8, app: str = "tallyloom", shuffle_partitions: int | None = None) -> SparkSession:
@@ -66,32 +69,58 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", wanted)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so that later jobs and lost executors restart from files."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    _WRITTEN.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+class Scratch:
+    """The folders that one call writes. What it returns is kept and becomes the outer call's to delete; all else goes when the call ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.written, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Keep the files that df reads."""
+        read = df.inputFiles()
+        self.kept |= {at for at in self.written if any(f"/{_name(at)}/" in f for f in read)}
+        return df
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the files of frames that this call has written and nothing reads any more."""
+        read = [f for df in frames for f in df.inputFiles()]
+        gone = [at for at in self.written if any(f"/{_name(at)}/" in f for f in read)]
+        _delete(self.spark, gone)
+        self.written = [at for at in self.written if at not in gone]
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete the files behind materialised frames that nothing reads any more."""
-    for df in frames:
-        _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A call that deletes what it, and the calls inside it, have written, but for what it keeps. Calls in other threads are not touched."""
+    outer, own = _CALL.get(), Scratch(spark)
+    token = _CALL.set(own)
+    try:
+        yield own
+    finally:
+        _CALL.reset(token)
+        _delete(spark, [at for at in own.written if at not in own.kept])
+        if outer is not None:
+            outer.written += [at for at in own.written if at in own.kept]
 
 
-def written() -> int:
-    """A mark for sweep: how many folders have been written so far."""
-    return len(_WRITTEN)
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; it goes with the call that is open in this thread."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (call := _CALL.get()) is not None:
+        call.written.append(at)
+    return at
+
+
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back, so that later jobs and lost executors restart from files. by: a column of
+    few values that gets a folder for each, so that reading one value opens its files only."""
+    spark, at = df.sparkSession, scratch_folder(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
-def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Delete what has been written since a mark, but for the files behind a frame."""
-    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
-    gone = [at for at in _WRITTEN[since:] if at.rsplit("/", 1)[-1] not in kept]
-    _delete(spark, gone)
-    _WRITTEN[since:] = [at for at in _WRITTEN[since:] if at not in gone]
+def _name(at: str) -> str:
+    return at.rsplit("/", 1)[-1]
 
 
 def _delete(spark: SparkSession, paths) -> None:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.session import shared_dir
+from tallyloom.session import scratch_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 LATE = "3 days"
@@ -59,7 +58,7 @@ def catch_up(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
 def collected(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run a stream of changing rows over what is there: each batch writes its changed rows under its number in the shared folder, and of a key
     the latest batch counts. A repeated batch replaces itself; nothing passes through the driver."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = scratch_folder(df.sparkSession, name)
     step = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
     q = df.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{at}/log").foreachBatch(step).start()
     q.awaitTermination()
@@ -70,7 +69,7 @@ def collected(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def appended(df: DataFrame, name: str) -> DataFrame:
     """Run a stream of rows that never change over what is there, appended to a folder of files."""
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    at = scratch_folder(df.sparkSession, name)
     q = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/log").format("parquet").start(f"{at}/rows")
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/rows")
