@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.hashing import Words, mix, runs
 from tallyloom.operators.entities import connected
-from tallyloom.session import bounded_batches, materialise, sweep, written
+from tallyloom.session import bounded_batches, materialise, scratch
 
 BANDS, ROWS, SKETCH_BITS, MARGIN = 40, 5, 1024, 0.2
 #: Rows of a common shingle that one task takes.
@@ -150,8 +150,12 @@ def by_prefix(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    spark, before = docs.sparkSession, written()
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as own:
+        return own.keep(materialise(_linked(docs, k, threshold), "linked"))
+
+
+def _linked(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     all_ = materialise(described(docs, k), "described")
     some = all_.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     classes = some.groupBy("same").agg(F.min("doc_id").alias("rep"))
@@ -190,9 +194,7 @@ def link(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     named = named.join(found.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", "same", F.coalesce("component", "rep").alias("component_id")).distinct()
     alone = all_.where(F.col("same").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = some.select("doc_id", "same", "n_shingles").join(named, ["doc_id", "same"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    out = materialise(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "linked")
-    sweep(spark, before, keep=out)
-    return out
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:

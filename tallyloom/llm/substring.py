@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.fm_index import FMIndex
 from tallyloom.llm.hashing import Words, mix, runs
-from tallyloom.session import bounded_batches, discard, materialise, sweep, written
+from tallyloom.session import Scratch, bounded_batches, materialise, scratch
 
 WINDOW, GRAM, LONGEST, HOT, SHARD_WORDS = 20, 5, 64, 1000, 150_000
 
@@ -167,14 +167,14 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"anchor": h, "content": h, "start": at, "n": 1, "doc_id": np.repeat(b["doc_id"].to_numpy(), size), "words": [w[i : i + WINDOW].tobytes() for w, n in zip(words, size, strict=True) for i in range(n)]})
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, own: Scratch) -> DataFrame:
     """(doc_id, at, to): stretches of words, end exclusive, that windows which also start earlier cover. They may overlap."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     all_ = materialise(_runs(docs), "runs")
     live = all_.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("again").alias("again")).where("k > 1 or again")
     some = materialise(all_.join(live.select("anchor"), "anchor"), "live")
-    discard(all_)
+    own.drop(all_)
     text = ["anchor", "content", "n"]
     first = materialise(some.groupBy(*text).agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")), "distinct")
     kinds = first.groupBy("anchor").agg(F.count("*").alias("k"))
@@ -203,9 +203,8 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with n_words, n_removed, kept_sha256 and kept, the words that stay joined by spaces."""
-    before = written()
-    spans = materialise(repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("spans")), "spans")
-    sweep(docs.sparkSession, before, keep=spans)
+    with scratch(docs.sparkSession) as own:
+        spans = own.keep(materialise(repeated(docs, own).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("spans")), "spans"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

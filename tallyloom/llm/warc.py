@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import bounded_batches, shared_dir
+from tallyloom.session import bounded_batches, scratch_folder
 
 LEAST, CHUNK, SEGMENT, PER_FILE = 100, 4096, 16384, 2000
 _SEPARATOR = "\r\n\r\n"
@@ -193,7 +192,7 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write archives into the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, valid."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "warc")
     write(pages, path, least)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(-?\d*)", 1), F.lit("")).cast("long")
     got = payloads(reassembled(read(spark, path))).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), "named", "valid")
