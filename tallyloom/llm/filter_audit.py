@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import SPACE
-from tallyloom.session import materialise
+from tallyloom.session import materialise, scratch
 
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
@@ -48,6 +48,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     flags = materialise(flags, "filter-flags")  # narrow rows, read twice below; the texts are not read again for them
     again = flags.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    again = materialise(again, "filter-repeated")  # so that the join below has plain shuffles on both sides, and a hot text is split over tasks
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     counts = word_counts(docs).withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
     found = flags.join(again, "digest", "left")
@@ -67,7 +68,9 @@ def _total(counts: str, keep) -> Column:
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each part, order of the filters and step in it; see the module."""
     per_set = lambda what, alias: F.array(*[F.count_if((F.col("failed") == m) & what) for m in range(SETS)]).alias(alias)
-    parts = failures(docs, labels).groupBy("part").agg(per_set(F.lit(True), "docs"), per_set(F.col("good"), "good"), per_set(F.col("toxic"), "toxic"))
+    with scratch(docs.sparkSession) as own:
+        failed = own.keep(materialise(failures(docs, labels), "filter-failures"))
+    parts = failed.groupBy("part").agg(per_set(F.lit(True), "docs"), per_set(F.col("good"), "good"), per_set(F.col("toxic"), "toxic"))
     orders = F.lit(["".join(p) for p in permutations(FILTERS)])
     steps = parts.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
     at = F.instr(F.lit(FILTERS), F.col("filter_order").substr(F.col("step"), F.lit(1)))
