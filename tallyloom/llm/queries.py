@@ -103,14 +103,38 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import prefix_trie
+
+    return prefix_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_substring, op3_quality_rules, op4_warc, op5_chat, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash, op11_filter_audit)
+    ops = (op1_toxicity, op2_substring, op3_quality_rules, op4_warc, op5_chat, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash, op11_filter_audit, op13_prefix_trie)
     return {f.__name__: f for f in ops}
 
 
 _SAID = "<|im_end|><|im_start|>assistant ok"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: CRC-32 of the decimal digits of conv_id, bit by bit; what is summed over a subtree goes by its members' paths.
+_CRC = """xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::bigint)"""
 ORACLES = {
+    "op13_prefix_trie": f"""with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+      row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i from conversations where conv_id is not null),
+    n as (select conv_id, count(*) as n, {_CRC} % 9 as h, conv_id - conv_id % 5 as base from t group by conv_id),
+    m as (select n.*, least(n.h, coalesce(b.n, 0)) as lead from n left join n b on b.conv_id = n.base),
+    r as (select m.conv_id, i as depth, role, text from m join t on t.conv_id = m.base and i <= h union all select m.conv_id, lead + i - h, role, text from m join t on t.conv_id = m.conv_id and i > h),
+    q as (select conv_id, depth, list({{'r': role, 't': text}}) over (partition by conv_id order by depth) as path, strlen(text) as size from r
+      union all select conv_id, 0, [], 0 from m),
+    x as (select conv_id, depth, size, depth = max(depth) over (partition by conv_id) as last, min(conv_id) over (partition by depth, path) as node from q),
+    y as (select x.*, p.node as parent from x left join x p on p.conv_id = x.conv_id and p.depth = x.depth - 1),
+    d as (select node, depth, max(parent) as parent, count(*) as n_convs, max(size) as size, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '') as ends from y group by 1, 2),
+    k as (select d.*, (select count(*) from d c where c.parent = d.node and c.depth = d.depth + 1) as n_children from d),
+    s as (select distinct a.node, a.depth, b.node as sub, b.depth as sub_depth from x a join x b on a.conv_id = b.conv_id and a.depth <= b.depth),
+    f as (select s.node, s.depth, sum((k.n_convs - 1) * k.size) as saved, count(*) filter (where k.n_children = 0) as leaves from s join k on k.node = s.sub and k.depth = s.sub_depth group by 1, 2)
+    select k.node as conv_id, k.depth, k.parent as parent_conv_id, n_convs, n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(ends) as ends_sha256
+    from k join f on f.node = k.node and f.depth = k.depth""",
     "op2_substring": f"""with d as (select doc_id, {_WORDS} as w from documents),
     s as (select doc_id, unnest(range(len(w) - 19)) as i, unnest([array_to_string(w[i + 1:i + 20], ' ') for i in range(len(w) - 19)]) as win from d where len(w) >= 20),
     x as (select doc_id, i, row_number() over (partition by win order by doc_id, i) > 1 as again from s),
