@@ -103,6 +103,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import html_text
+
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import prefix_trie
 
@@ -110,7 +116,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_substring, op3_quality_rules, op4_warc, op5_chat, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash, op11_filter_audit, op13_prefix_trie)
+    ops = (op1_toxicity, op2_substring, op3_quality_rules, op4_warc, op5_chat, op6_packing, op7_quality, op8_decontamination, op9_pii, op10_minhash, op11_filter_audit, op12_html_text, op13_prefix_trie)
     return {f.__name__: f for f in ops}
 
 
