@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,10 +95,10 @@ def merge_plan(ghosts: DataFrame, votes: DataFrame, sitting: DataFrame) -> DataF
 
 _ROLES = "block string, government string, person string, post string, interim boolean, starts_on date, ends_on date, reason string, carried boolean, kind string"
 #: Endings on the day of the beginning that tell of no period at all.
-_NO_PERIOD = ("replaced", "interim_ended", "new_cabinet")
+NO_PERIOD = ("replaced", "interim_ended", "new_cabinet")
 
 
-class _Cabinets:
+class Cabinets:
     """The fold of one block: its governments and its decrees' events, in order."""
 
     def __init__(self, block, governments: list[dict]):
@@ -105,6 +107,38 @@ class _Cabinets:
         self.roles: list[dict] = []
         self.notes: list[tuple] = []
         self.started: set = set()
+        self.number = 0
+
+    @classmethod
+    def restored(cls, block, governments: list[dict], saved: dict | None) -> Cabinets:
+        """A fold that goes on from what saved() has kept; governments and roles as JSON gives them, with dates as text."""
+        date = lambda d: d and dt.date.fromisoformat(d)
+        out = cls(block, [{**g, "starts_on": date(g["starts_on"]), "ends_on": date(g["ends_on"])} for g in governments])
+        if saved is not None:
+            read = lambda r: r and {**r, "starts_on": date(r["starts_on"]), "ends_on": date(r["ends_on"]), "origin": read(r["origin"])}
+            out.open = [read(r) for r in saved["open"]]
+            out.roles, out.started, out.number = list(out.open), set(saved["started"]), saved["number"]
+        return out
+
+    def saved(self) -> dict:
+        """What a later fold needs: open roles, each with the one that it was carried over from, and the governments begun."""
+        write = lambda r: r and {**r, "starts_on": str(r["starts_on"]), "ends_on": r["ends_on"] and str(r["ends_on"]), "origin": write(r["origin"] and {**r["origin"], "origin": None})}
+        return {"open": [write(r) for r in self.open], "started": sorted(self.started), "number": self.number}
+
+    def told(self) -> list[tuple[str, dict]]:
+        """Roles and notes of this fold as they stand now: an open role ends with its government where that has an end."""
+        ends = {g["government"]: self.end_of(g) for g in self.governments}
+        out = []
+        for role in self.roles + [r["origin"] for r in self.roles if r["origin"] is not None]:
+            end = ends[role["government"]] if role["ends_on"] is None else None
+            if end is not None and role["origin"] is not None and end == role["starts_on"]:
+                out += [("role", role | {"gone": True}), ("role", role["origin"] | {"reason": "government_ended"})]
+            else:
+                out.append(("role", role if end is None else role | {"ends_on": end, "reason": "government_ended"}))
+        for n in self.notes:
+            self.number += 1
+            out.append((n[-1], {"number": self.number, "government": None, "person": n[2], "post": n[3], "interim": None, "starts_on": n[5], "ends_on": None, "reason": n[7], "carried": None, "gone": False}))
+        return out
 
     def at(self, day):
         held = [g for g in self.governments if g["starts_on"] <= day]
@@ -119,14 +153,15 @@ class _Cabinets:
         return real[0] if real and any(x["acting"] and x["starts_on"] < real[0] for x in later) else g["ends_on"]
 
     def begin(self, g: dict, person, post, day, interim: bool, carried_from: dict | None = None) -> None:
-        role = {"government": g["government"], "person": person, "post": post, "interim": interim, "starts_on": max(day, g["starts_on"]), "ends_on": None, "reason": None, "carried": carried_from is not None, "origin": carried_from}
+        self.number += 1
+        role = {"number": self.number, "gone": False, "government": g["government"], "person": person, "post": post, "interim": interim, "starts_on": max(day, g["starts_on"]), "ends_on": None, "reason": None, "carried": carried_from is not None, "origin": carried_from}
         self.roles.append(role)
         self.open.append(role)
 
     def close(self, role: dict, day, reason: str) -> None:
         self.open = [r for r in self.open if r is not role]
         if role["origin"] is not None and day == role["starts_on"]:  # carried over and gone the same day: the first period is the one that ended
-            self.roles = [r for r in self.roles if r is not role]
+            role["gone"] = True
             role["origin"]["reason"] = reason
         else:
             role |= {"ends_on": day, "reason": reason}
@@ -189,7 +224,7 @@ class _Cabinets:
             end = next(self.end_of(g) for g in self.governments if g["government"] == role["government"])
             if end is not None:
                 self.close(role, end, "government_ended")
-        lasted = [r for r in self.roles if not (r["starts_on"] == r["ends_on"] and r["reason"] in _NO_PERIOD)]
+        lasted = [r for r in self.roles if not r["gone"] and not (r["starts_on"] == r["ends_on"] and r["reason"] in NO_PERIOD)]
         return [(self.block, r["government"], r["person"], r["post"], r["interim"], r["starts_on"], r["ends_on"], r["reason"], r["carried"], "role") for r in lasted] + self.notes
 
 
@@ -208,7 +243,7 @@ def replay(events: DataFrame, governments: DataFrame) -> DataFrame:
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         known = part["governments"].iloc[0]
-        cabinets = _Cabinets(part["block"].iloc[0], [] if known is None else [dict(x) for x in known])
+        cabinets = Cabinets(part["block"].iloc[0], [] if known is None else [dict(x) for x in known])
         for e in part.drop(columns="governments").sort_values(["day", "seq"]).astype(object).to_dict("records"):
             e = {k: None if not isinstance(v, (list, tuple)) and not hasattr(v, "__len__") and pd.isna(v) else v for k, v in e.items()}
             cabinets.advance(e["day"])

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from tallyloom.operators import areas
 from tallyloom.operators import documents as D
 from tallyloom.operators import relational as R
-from tallyloom.plans.people import cases, given
+from tallyloom.plans.people import I12_SQL, cases, given
+from tallyloom.plans.records import decrees
 from tallyloom.plans.registry import query
 from tallyloom.session import scratch_folder, table
-from tallyloom.streaming import engagement
+from tallyloom.streaming import engagement, replay
 
 
 @query("j08_word_diff")
@@ -174,3 +175,41 @@ def l06(spark, sf):
 
     engagement.catch_up(engagement.stream(spark, sf).select("event_id", "user_id"), step, f"{at}-log")
     return spark.read.parquet(at).groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
+#: The allowed delay of the feeds below; a tenth of the rows comes one delivery late.
+LATE, DELIVERIES = "14 days", 5
+
+
+def _delivered(rows, mark, name: str, build, schema: str, key: str):
+    """rows (event_id, ts, day, ...) delivered in parts, some late, read as a stream; then a last row that moves time on, read by a second run of the
+    same stream from its checkpoint."""
+    spark, at = rows.sparkSession, scratch_folder(rows.sparkSession, name)
+    late = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    dealt = rows.withColumn("delivery", F.floor(F.dayofmonth("day") / 7) + late)
+    for k in range(DELIVERIES + 1):
+        dealt.where(F.col("delivery") == k).drop("delivery").write.parquet(f"{at}/in/{k}")
+    feed = build(replay.stream_of(spark, f"{at}/in", rows.schema))
+    replay.follow(feed, at)
+    rows.limit(1).select(*[F.lit(mark).cast("timestamp").alias(c) if c == "ts" else F.lit(replay.MARK).alias(c) if c == "kind" else F.col(c) for c in rows.columns]).write.parquet(f"{at}/in/mark")
+    replay.follow(feed, at)
+    return replay.told(spark, at, schema, key)
+
+
+@query("l08_stateful_timelines", I12_SQL)
+def l08_timelines(spark, sf):
+    """Holders of posts from appointments and recalls that come as a stream, some of them late."""
+    e = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase"))
+    kind = F.when(F.col("event_type") == "view", "appointed").otherwise("recalled")
+    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day"), F.col("user_id").cast("string").alias("place"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 5).cast("string").alias("holder"))
+    out = _delivered(rows, "2024-02-15", "timelines", lambda s: replay.holders(s, LATE), replay.HOLDERS, "place")
+    return out.select("place", "holder", "started_on", "ended_on", "ended")
+
+
+@query("l08_stateful_replay")
+def l08_replay(spark, sf):
+    """Cabinets from decrees that come as a stream, some of them late; the same rows as i11_replay."""
+    events, governments = decrees(spark, sf)
+    rows = events.select(F.col("seq").alias("event_id"), F.col("day").cast("timestamp").alias("ts"), "day", "block", "seq", F.col("type").alias("kind"), "person", "post", "members")
+    out = _delivered(rows, "2024-02-15", "replay", lambda s: replay.roles(s, governments, LATE), replay.ROLES, "block")
+    return out.where("kind <> 'none'").drop("number")

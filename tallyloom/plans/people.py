@@ -117,22 +117,22 @@ def i09(spark, sf):
     return I.merge_evidence(rows, "org", "member", "party", share=0.8)
 
 
-@query(
-    "i12_timelines",
-    """with e as (select cast(user_id as varchar) as place, cast(ts as date) as day, event_id as seq, case when event_type = 'view' then 1 else 0 end as named, cast(event_id % 5 as varchar) as holder
-      from events where event_type in ('view', 'purchase')),
-    a as (select *, sum(named) over w as g, last_value(case when named = 1 then holder end ignore nulls) over w as who from e window w as (partition by place order by day, named, seq rows unbounded preceding)),
-    b as (select *, named = 0 and holder is not distinct from who as own from a),
-    c as (select *, own and sum(case when own then 1 else 0 end) over (partition by place, g order by day, named, seq rows unbounded preceding) = 1 as final from b),
-    s as (select place, g, max(who) as who, min(case when named = 1 then day end) as day, min(case when final then day end) as over_on from c where g > 0 group by 1, 2),
-    f as (select *, case when lag(who) over w is not distinct from who and lag(over_on) over w is null and lag(g) over w is not null then 0 else 1 end as fresh from s window w as (partition by place order by g)),
-    p as (select *, sum(fresh) over (partition by place order by g rows unbounded preceding) as p from f),
-    h as (select place, p, max(who) as holder, min(day) as started_on, max_by(coalesce(over_on, date '1000-01-01'), g) as over_on from p group by 1, 2),
-    n as (select *, lead(started_on) over (partition by place order by p) as after from h)
-    select place, holder, started_on, case when over_on > date '1000-01-01' then over_on else after end as ended_on,
-      case when over_on > date '1000-01-01' then 'recalled' when after is not null then 'replaced' when date '2024-02-01' - started_on > 8 * 365.25 then 'lapsed' else 'open' end as ended from n
-    union all select place, holder, null, day, 'recalled' from c where named = 0 and not final""",
-)
+I12_SQL = """with e as (select cast(user_id as varchar) as place, cast(ts as date) as day, event_id as seq, case when event_type = 'view' then 1 else 0 end as named, cast(event_id % 5 as varchar) as holder
+  from events where event_type in ('view', 'purchase')),
+a as (select *, sum(named) over w as g, last_value(case when named = 1 then holder end ignore nulls) over w as who from e window w as (partition by place order by day, named, seq rows unbounded preceding)),
+b as (select *, named = 0 and holder is not distinct from who as own from a),
+c as (select *, own and sum(case when own then 1 else 0 end) over (partition by place, g order by day, named, seq rows unbounded preceding) = 1 as final from b),
+s as (select place, g, max(who) as who, min(case when named = 1 then day end) as day, min(case when final then day end) as over_on from c where g > 0 group by 1, 2),
+f as (select *, case when lag(who) over w is not distinct from who and lag(over_on) over w is null and lag(g) over w is not null then 0 else 1 end as fresh from s window w as (partition by place order by g)),
+p as (select *, sum(fresh) over (partition by place order by g rows unbounded preceding) as p from f),
+h as (select place, p, max(who) as holder, min(day) as started_on, max_by(coalesce(over_on, date '1000-01-01'), g) as over_on from p group by 1, 2),
+n as (select *, lead(started_on) over (partition by place order by p) as after from h)
+select place, holder, started_on, case when over_on > date '1000-01-01' then over_on else after end as ended_on,
+  case when over_on > date '1000-01-01' then 'recalled' when after is not null then 'replaced' when date '2024-02-01' - started_on > 8 * 365.25 then 'lapsed' else 'open' end as ended from n
+union all select place, holder, null, day, 'recalled' from c where named = 0 and not final"""
+
+
+@query("i12_timelines", I12_SQL)
 def i12(spark, sf):
     """Holders of posts, from the first kinds of events as appointments and recalls."""
     e = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase"))

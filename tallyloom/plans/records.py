@@ -56,9 +56,8 @@ def i06(spark, sf):
     return E.merge_children(table(spark, sf, "lineitem").select("l_partkey"), "l_partkey", m).groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
-@query("i11_replay")
-def i11(spark, sf):
-    """Holder periods of posts from the events of each user as decrees, under three governments, one acting and one formed anew by the same head."""
+def decrees(spark, sf):
+    """The events of each user as decrees, and three governments, one acting and one formed anew by the same head."""
     e = table(spark, sf, "events")
     kind = F.create_map(*[F.lit(x) for pair in (("view", "appoint"), ("click", "interim"), ("purchase", "dismiss"), ("signup", "interim_end"), ("error", "resign")) for x in pair])
     post, person = (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 7).cast("string")
@@ -71,7 +70,13 @@ def i11(spark, sf):
         "select 'A' as government, date '2024-01-03' as starts_on, date '2024-01-12' as ends_on, false as acting, false as skip, false as carry_over"
         " union all select 'B', date '2024-01-12', date '2024-01-14', true, false, false union all select 'C', date '2024-01-14', null, false, false, true"
     )
-    return E.replay(events, e.select(block).distinct().join(F.broadcast(g)))
+    return events, e.select(block).distinct().join(F.broadcast(g))
+
+
+@query("i11_replay")
+def i11(spark, sf):
+    """Holder periods of posts from decrees."""
+    return E.replay(*decrees(spark, sf))
 
 
 @query(
