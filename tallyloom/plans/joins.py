@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators import relational as R
+from tallyloom.operators import sweep as S
 from tallyloom.operators import temporal as T
 from tallyloom.plans.registry import query
 from tallyloom.session import table
@@ -105,24 +106,40 @@ def c07(spark, sf):
 
 
 SELF = "select a.l_suppkey, count(*) as pairs from p a join p b on a.l_suppkey = b.l_suppkey and a.id < b.id and {} group by 1"
-SAMPLED = f"with {PERIODS}, p as (select l_suppkey, l_orderkey * 100 + l_linenumber as id, min(s) as s, max(e) as e from periods where o_orderstatus = 'P' group by 1, 2)"
+EACH = f"with {PERIODS}, p as (select l_suppkey, l_orderkey * 100 + l_linenumber as id, min(s) as s, max(e) as e from periods group by 1, 2) "
 
 
 def _pairs(spark, sf, condition):
-    p = periods(spark, sf).where("o_orderstatus = 'P'").groupBy("l_suppkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id")).agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    a, b = p.alias("a"), p.alias("b")
-    hit = a.join(b, (F.col("a.l_suppkey") == F.col("b.l_suppkey")) & (F.col("a.id") < F.col("b.id")) & condition(*[F.col(c) for c in ("a.s", "a.e", "b.s", "b.e")]))
-    return hit.groupBy("a.l_suppkey").agg(F.count("*").alias("pairs"))
+    """Pairs of periods of one owner that share a day, met by buckets of time, and of these the ones that a condition holds for."""
+    p = periods(spark, sf).groupBy("l_suppkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id")).agg(F.unix_date(F.min("s")).alias("s"), F.unix_date(F.max("e")).alias("e"))
+    met = S.overlapping_selves(p, "id", "s", "e", 256, ["l_suppkey"])
+    return met.where(condition(*[F.col(c) for c in ("s", "e", "other_s", "other_e")])).groupBy("l_suppkey").agg(F.count("*").alias("pairs"))
 
 
-@query("c08_overlap_strict_pairs", SAMPLED + SELF.format("a.s < b.e and b.s < a.e"))
+@query("c08_overlap_strict_pairs", EACH + SELF.format("a.s < b.e and b.s < a.e"))
 def c08(spark, sf):
-    return _pairs(spark, sf, T.overlaps_strictly)
+    return _pairs(spark, sf, lambda s1, e1, s2, e2: (s1 < e2) & (s2 < e1))
 
 
-@query("c09_overlap_over_31_days", SAMPLED + SELF.format("least(a.e, b.e) - greatest(a.s, b.s) > 31"))
+@query("c09_overlap_over_31_days", EACH + SELF.format("least(a.e, b.e) - greatest(a.s, b.s) > 31"))
 def c09(spark, sf):
-    return _pairs(spark, sf, lambda *x: T.overlap_days(*x) > 31)
+    return _pairs(spark, sf, lambda s1, e1, s2, e2: F.least(e1, e2) - F.greatest(s1, s2) > 31)
+
+
+@query(
+    "c07_overlap_without_owner",
+    """with w as (select event_id, user_id, event_type as kind, epoch(date_trunc('second', ts))::bigint as s, epoch(date_trunc('second', ts))::bigint + cast(floor(value * 60) as bigint) as e from events)
+    select a.user_id, b.kind, count(*) as n, cast(sum(least(a.e, b.e) - greatest(a.s, b.s)) as bigint) as seconds from w a join w b
+    on a.kind = 'purchase' and b.kind in ('error', 'signup') and a.s <= b.e and b.s <= a.e group by 1, 2""",
+)
+def c07_unkeyed(spark, sf):
+    """Spans of purchases against all spans of errors and sign-ups, whoever's they are: nothing but time joins them."""
+    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    w = table(spark, sf, "events").select("user_id", F.col("event_type").alias("kind"), second.alias("s"), (second + F.floor(F.col("value") * 60)).alias("e"))
+    a = w.where("kind = 'purchase'").select("user_id", "s", "e")
+    b = w.where("kind in ('error', 'signup')").select("kind", F.col("s").alias("bs"), F.col("e").alias("be"))
+    shared = F.least("e", "be") - F.greatest("s", "bs")
+    return S.overlapping(a, b, ("s", "e"), ("bs", "be"), 3600).groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.sum(shared).alias("seconds"))
 
 
 @query("c10_point_half_open", f"with {LEG_SQL} select id, o_orderstatus, count(*) as n from orders join leg on cast(o_orderdate as date) >= ls and cast(o_orderdate as date) < le group by 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import entities as E
 from tallyloom.operators import quality as Q
+from tallyloom.operators import sweep as S
 from tallyloom.operators import temporal as T
 from tallyloom.plans.joins import LEG_SQL, PERIODS, legislatures, periods
 from tallyloom.plans.registry import query
@@ -207,3 +208,22 @@ def composition(spark, sf):
     seat = p.groupBy("l_suppkey").agg(F.max_by("o_orderstatus", F.struct("s", "l_orderkey", "l_linenumber")).alias("chamber"))
     people = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("group_name"))
     return seat.join(people, "l_suppkey").groupBy("chamber", "group_name").agg(F.count("*").alias("seats"))
+
+
+@query(
+    "n_composition_timeline",
+    f"""with {PERIODS}, p as (select *, l_orderkey * 100 + l_linenumber as id from periods),
+    t as (select distinct l_suppkey, unnest([s, e + 1]) as d from p),
+    h as (select t.l_suppkey, t.d, lead(t.d) over (partition by t.l_suppkey order by t.d) as after from t),
+    w as (select h.l_suppkey, h.d, h.after, max_by(o_orderstatus, struct_pack(s := s, id := id)) as chamber from h join p on p.l_suppkey = h.l_suppkey and s <= d and e >= d group by 1, 2, 3),
+    m as (select chamber, n_name as group_name, unnest([struct_pack(d := d, n := 1), struct_pack(d := after, n := -1)], recursive := true) from w join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey),
+    c as (select chamber, group_name, d, sum(n) as n from m group by 1, 2, 3)
+    select chamber, group_name, d as day, seats from (select chamber, group_name, d, n, cast(sum(n) over (partition by chamber, group_name order by d) as bigint) as seats from c) where n <> 0""",
+)
+def composition_timeline(spark, sf):
+    """Seats of every group in every chamber, from each day on which they change; a member sits by the last period to have begun."""
+    p = periods(spark, sf).select("l_suppkey", "o_orderstatus", "s", "e", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"))
+    held = S.winners(p, "l_suppkey", "s", "e", "id")
+    people = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("group_name"))
+    seats = held.join(people, "l_suppkey").select(F.col("o_orderstatus").alias("chamber"), "group_name", "from", "to")
+    return S.seats_over_time(seats, ["chamber", "group_name"], "from", "to")
