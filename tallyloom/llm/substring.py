@@ -2,17 +2,16 @@
 
 A window is `WINDOW` consecutive words. Equal windows have the same anchor, the smallest hash of their `GRAM`-word runs,
 so documents are cut into runs of neighbouring windows with one anchor, and runs are sharded by anchor: equal windows always meet.
-Anchors of one run cannot belong to a repeated window, unless their place moves within it, and go no further. The text of equal runs
-is indexed and streamed once, for the first of them; the search tells at each position how long a match starts there (the matching
-statistics) and where the earliest one is. Stretches of full depth that start earlier than the first run does are removed from it,
-stretches of full depth are removed from the later runs of the same text: the index decides every interval.
+Equal runs are one class, by anchor, content hash and length; all but the first run of a class are removed as they stand, which needs no search.
+What the index decides is how the first runs of different classes overlap: where an anchor has several classes, or may come again within a run, the
+shard's runs are indexed and streamed, and the search tells at each position how long a match starts there (the matching statistics) and
+where the earliest one is. Stretches of full depth that start earlier than the run does are removed from it.
 
-An anchor with more than `HOT` distinct runs (an everyday phrase in ever new surroundings) would make a shard grow without
-bound. Its runs are cut into single windows, those that occur once go no further, and the others are sharded by their own hash and
-searched like runs.
+An anchor with more than `HOT` classes (an everyday phrase in ever new surroundings) would make a shard grow without bound. Its first
+runs are cut into single windows, and these are classes by two hashes of their words, without an index.
 
 Edge cases: null and empty texts have no words and keep none (the digest is that of the empty text); a null id is never
-deduplicated; rows that repeat an id are one document; ties cannot occur otherwise, since a start belongs to one document.
+deduplicated; rows that repeat an id repeat its text and are one document; ties cannot occur otherwise, since a start belongs to one document.
 """
 
 from __future__ import annotations
@@ -82,15 +81,12 @@ def _runs(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "anchor long, content long, start int, n int, again boolean, doc_id long")
 
 
-PIECES = "doc_id long, start int, shard int, words binary, anchor array<long>, content array<long>, n array<long>, c array<long>"
-REPORT = "anchor long, content long, n int, doc_id long, at int, to int"
+PIECES = "doc_id long, start int, shard int, words binary"
+REPORT = "doc_id long, at int, to int"
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Wanted runs (anchor, content, n, c, doc_id, start, alone, shard) as PIECES with the word hashes, fetched from the texts.
-
-    Runs that are alone with their anchor meet no other text, so neighbours among them are one piece: their common words are indexed once.
-    """
+    """Wanted runs (doc_id, start, n, shard) as PIECES with their word hashes, fetched from the texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -98,18 +94,10 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, parts in zip(b["doc_id"], b["text"], b["parts"], strict=True):
                 h = words(text.encode().split())
-                pieces: list[list] = []
-                for p in sorted(parts, key=lambda p: p["start"]):
-                    told = (p["anchor"], p["content"], p["n"], p["c"])
-                    if p["alone"] and pieces and pieces[-1][3] and pieces[-1][1] == p["start"]:
-                        pieces[-1][1] += p["n"]
-                        pieces[-1][4].append(told)
-                    else:
-                        pieces.append([p["start"], p["start"] + p["n"], p["shard"], p["alone"], [told]])
-                rows += [(doc_id, a, shard, h[a : z + WINDOW - 1].tobytes(), *map(list, zip(*told, strict=True))) for a, z, shard, _, told in pieces]
+                rows += [(doc_id, p["start"], p["shard"], h[p["start"] : p["start"] + p["n"] + WINDOW - 1].tobytes()) for p in parts]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    by = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "c", "start", "alone", "shard")).alias("parts"))
+    by = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "shard")).alias("parts"))
     return docs.join(by.hint("merge"), "doc_id").mapInPandas(run, PIECES)
 
 
@@ -123,8 +111,7 @@ def _stretches(hit: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _searched(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard: build the index of its runs, stream them, and report stretches that start earlier, for the first run of each text by its
-    document, and for later ones (doc_id null) relative to the run."""
+    """One shard: build the index of its runs, stream them, and report the stretches of each that also start earlier."""
     rows = rows.assign(size=rows["words"].map(len)).sort_values(["doc_id", "start", "size"], ignore_index=True)
     parts = [np.frombuffer(w, np.uint64) for w in rows["words"]]
     flat, ids = np.unique(np.concatenate(parts), return_inverse=True)
@@ -136,35 +123,21 @@ def _searched(rows: pd.DataFrame) -> pd.DataFrame:
     order = np.concatenate([x + np.arange(n + 1) for x, n in zip(base, size, strict=True)])
     index = FMIndex(np.concatenate([np.append(s, 0) for s in symbols]), order, WINDOW)
     first = np.concatenate(index.stream(symbols))
-
-    # All places of the shard at once: the piece that each lies in, its order, and the run whose window starts there (-1 behind the last).
+    # All places of the shard at once: the piece that each lies in, and its order.
     piece = np.repeat(np.arange(len(parts)), size)
-    within = np.arange(len(first)) - edges[piece]
-    own = base[piece] + within
-    anchor, content, n, c = (np.concatenate([np.asarray(x, np.int64) for x in rows[k]]) for k in ("anchor", "content", "n", "c"))
-    owner = np.repeat(np.arange(len(parts)), rows["n"].map(len).to_numpy())
-    before = np.concatenate([[0], np.cumsum(n)])[:-1]
-    start = edges[owner] + before - before[np.searchsorted(owner, owner)]
-    run = np.full(len(first), -1)
-    run[np.repeat(start - before, n) + np.arange(n.sum())] = np.repeat(np.arange(len(n)), n)
-
+    own = base[piece] + np.arange(len(first)) - edges[piece]
     a, z = _stretches((first >= 0) & (first < own), piece)
-    mine = pd.DataFrame({"anchor": 0, "content": 0, "n": 0, "doc_id": rows["doc_id"].to_numpy()[piece[a]], "at": own[a] & 0xFFFFFFFF, "to": (own[z] & 0xFFFFFFFF) + WINDOW})
-    a, z = _stretches((first >= 0) & (first <= own) & (run >= 0) & (np.append(c, 0)[run] > 1), run)
-    r = run[a]
-    later = pd.DataFrame({"anchor": anchor[r], "content": content[r], "n": n[r], "doc_id": None, "at": a - start[r], "to": z - start[r] + WINDOW})
-    return pd.concat([mine.astype({"doc_id": "Int64"}), later.astype({"doc_id": "Int64"})])
+    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[piece[a]], "at": own[a] & 0xFFFFFFFF, "to": (own[z] & 0xFFFFFFFF) + WINDOW})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The single windows of runs, as runs of their own: anchor and content are the window's hash."""
+    """The single windows of runs, known by two hashes of their words."""
     for b in batches:
         words = [np.frombuffer(w, np.uint64) for w in b["words"]]
-        hashes = [runs(w, WINDOW).view(np.int64) for w in words]
-        size = [len(x) for x in hashes]
+        size = [max(0, len(w) - WINDOW + 1) for w in words]
         at = np.repeat(b["start"].to_numpy(), size) + np.concatenate([np.arange(n) for n in size] or [np.zeros(0, np.int64)])
-        h = np.concatenate(hashes or [np.zeros(0, np.int64)])
-        yield pd.DataFrame({"anchor": h, "content": h, "start": at, "n": 1, "doc_id": np.repeat(b["doc_id"].to_numpy(), size), "words": [w[i : i + WINDOW].tobytes() for w, n in zip(words, size, strict=True) for i in range(n)]})
+        both = [np.concatenate([runs(f(w), WINDOW) for w in words] or [np.zeros(0, np.uint64)]).view(np.int64) for f in (lambda w: w, mix)]
+        yield pd.DataFrame({"a": both[0], "b": both[1], "doc_id": np.repeat(b["doc_id"].to_numpy(), size), "start": at})
 
 
 def repeated(docs: DataFrame, own: Scratch) -> DataFrame:
@@ -173,32 +146,24 @@ def repeated(docs: DataFrame, own: Scratch) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     all_ = materialise(_runs(docs), "runs")
     live = all_.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("again").alias("again")).where("k > 1 or again")
-    some = materialise(all_.join(live.select("anchor"), "anchor"), "live")
+    some = materialise(all_.join(materialise(live.select("anchor"), "anchors"), "anchor"), "live")
     own.drop(all_)
     text = ["anchor", "content", "n"]
-    first = materialise(some.groupBy(*text).agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")), "distinct")
-    kinds = first.groupBy("anchor").agg(F.count("*").alias("k"))
-    # Words to index: all texts of an ordinary anchor; of a hot one those that come again. Shards hold whole anchors, documents of lone runs, or the texts of hot anchors.
-    known = first.join(kinds, "anchor").withColumns({"hot": F.col("k") > HOT, "alone": F.col("k") == 1})
-    at = F.when(F.col("hot"), F.xxhash64("anchor", "content")).when(F.col("alone"), F.xxhash64("f.doc_id")).otherwise(F.xxhash64("anchor"))
-    total = known.agg(F.coalesce(F.sum(F.col("n") + F.when(F.col("alone"), 2).otherwise(WINDOW)), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_WORDS))
-    shard = F.pmod(at, F.lit(shards)).cast("int")
-    cut = materialise(_cut(docs, known.select(*text, "c", "f.doc_id", "f.start", "alone", F.when(F.col("hot"), -1 - shard).otherwise(shard).alias("shard"))), "cut")
-    by_run = cut.where((F.col("shard") >= 0) | (F.get("c", F.lit(0)) > 1)).groupBy("shard").applyInPandas(_searched, REPORT)
-
-    single = cut.where("shard < 0").mapInPandas(_windows, "anchor long, content long, start int, n int, doc_id long, words binary")
-    single = materialise(single, "windows")
-    more = single.groupBy(*text).agg(F.min(F.struct("doc_id", "start", "words")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    windows = more.select("f.doc_id", "f.start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "f.words", *[F.array(F.col(c).cast("long")).alias(c) for c in (*text, "c")])
-    found = materialise(by_run.unionByName(windows.groupBy("shard").applyInPandas(_searched, REPORT)), "found")
-
-    later = found.where("doc_id is null").select(*text, F.col("at").alias("from"), F.col("to").alias("upto"))
-    seen = some.select(*text, "doc_id", "start").unionByName(single.select(*text, "doc_id", "start"))
-    starts = first.select(*text, "f").unionByName(more.select(*text, F.struct("f.doc_id", "f.start").alias("f")))
-    # A run meets the stretches of its text, unless it is the first of them.
-    again = seen.join(later.join(starts, text), text).where("not (doc_id = f.doc_id and start = f.start)")
-    return found.where("doc_id is not null").select("doc_id", "at", "to").unionByName(again.select("doc_id", (F.col("start") + F.col("from")).alias("at"), (F.col("start") + F.col("upto")).alias("to")))
+    first = materialise(some.groupBy(*text).agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c"), F.bool_or("again").alias("again")), "classes")
+    kinds = materialise(first.groupBy("anchor").agg(F.count("*").alias("k"), F.bool_or("again").alias("may")).where("k > 1 or may"), "kinds")
+
+    # The runs that can meet another class, or themselves. Shards hold whole anchors.
+    known = first.join(kinds, "anchor").select("anchor", "n", "f.doc_id", "f.start", (F.col("k") > HOT).alias("hot"))
+    total = known.where("not hot").agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD_WORDS)))).cast("int")
+    cut = materialise(_cut(docs, known.select("doc_id", "start", "n", F.when(F.col("hot"), -1).otherwise(shard).alias("shard"))), "cut")
+    searched = cut.where("shard >= 0").groupBy("shard").applyInPandas(_searched, REPORT)
+
+    single = materialise(cut.where("shard < 0").mapInPandas(_windows, "a long, b long, doc_id long, start int"), "windows")
+    early = materialise(single.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1"), "windows-again")
+    later = lambda rows, classes, on, n: rows.join(classes.where("c > 1").select(*on, "f"), on).where("not (doc_id = f.doc_id and start = f.start)").select("doc_id", F.col("start").alias("at"), (F.col("start") + n).alias("to"))
+    # Of a class all runs but the first go, whole.
+    return searched.unionByName(later(single, early, ["a", "b"], F.lit(WINDOW))).unionByName(later(some, first, text, F.col("n") + WINDOW - 1))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
