@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tallyloom.plans import acts, directory, dossiers, filters, integrity, joins, lookups, monitoring, people, records, scalars, tallies, views  # noqa: F401
+    from tallyloom.plans import acts, directory, dossiers, filters, integrity, joins, lookups, monitoring, pages, people, records, scalars, tallies, views  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
