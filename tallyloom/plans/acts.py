@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from tallyloom.operators import decrees, finance, sanctions, steps
@@ -11,6 +10,7 @@ from tallyloom.plans.people import cases, given
 from tallyloom.plans.registry import query
 from tallyloom.session import scratch_folder, table
 from tallyloom.sources import archive
+from tallyloom.sources.result_files import ResultFiles, located
 
 #: Titles of decrees, with the kind and what the title says of somebody's coming or going.
 TITLES = (
@@ -202,6 +202,65 @@ def a07(spark, sf):
     return cells.select(F.col("file").cast("int").alias("file"), at(0).cast("long").alias("key"), at(1).alias("name"), at(3).cast("double").cast("long").alias("votes"))
 
 
+def _book(path: str, books) -> None:
+    """A workbook with a sheet for each of books (name, rows), texts among the shared strings."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    known: dict[str, int] = {}
+    word = lambda v: known.setdefault(str(v), len(known))
+    cell = lambda i, r, v: f'<c r="{chr(65 + i)}{r}"><v>{v}</v></c>' if isinstance(v, (int, float)) else f'<c r="{chr(65 + i)}{r}" t="s"><v>{word(v)}</v></c>'
+    main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    fs, at = located(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, (_, rows) in enumerate(books, 1):
+            body = "".join(f'<row r="{r}">{"".join(cell(i, r, v) for i, v in enumerate(row) if v is not None)}</row>' for r, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets>{"".join(f"""<sheet name="{escape(n)}" sheetId="{k}" r:id="rId{k}"/>""" for k, (n, _) in enumerate(books, 1))}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"""<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>""" for k in range(1, len(books) + 1))}</Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>{''.join(f'<si><t>{escape(w)}</t></si>' for w in known)}</sst>")
+
+
+@query(
+    "a07_result_files",
+    """select 'books' as kind, r_name || '.xlsx' as file, n_name as sheet, s_suppkey as key, s_name as name, cast(floor(s_acctbal) as bigint) as votes from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey
+    union all select 'texts', n_name || '.csv', null, c_custkey, c_name || '; "ț"', cast(floor(c_acctbal) as bigint) from customer join nation on n_nationkey = c_nationkey""",
+)
+def a07_files(spark, sf):
+    """A workbook for each region with a sheet for each nation's suppliers, and texts of customers in three encodings, all read back by one format."""
+    import codecs
+
+    import pandas as pd
+
+    at = scratch_folder(spark, "result-files")
+
+    def books(part: pd.DataFrame) -> pd.DataFrame:
+        made = [(n, [["key", "name", None, "votes"], *([int(k), s, None, float(v)] for k, s, v in zip(x["s_suppkey"], x["s_name"], x["v"], strict=True))]) for n, x in part.groupby("n_name")]
+        _book(f"{at}/books/{part['r_name'].iloc[0]}.xlsx", made)
+        return pd.DataFrame({"file": part["r_name"].iloc[:1]})
+
+    def texts(part: pd.DataFrame) -> pd.DataFrame:
+        nation, kind = part["n_name"].iloc[0], int(part["c_nationkey"].iloc[0]) % 3
+        rows = ["key;name;;votes", *(f'{k};"{n}; ""ț""";;{v}' for k, n, v in zip(part["c_custkey"], part["c_name"], part["v"], strict=True)), "", ";;;"]
+        data = "\r\n".join(rows)
+        fs, folder = located(f"{at}/texts")
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(f"{folder}/{nation}.csv") as out:
+            out.write([data.encode("utf-8-sig"), codecs.BOM_UTF16_LE + data.encode("utf-16-le"), data.replace("ț", "ţ").encode("cp1250")][kind])
+        return pd.DataFrame({"file": [nation]})
+
+    nation = table(spark, sf, "nation")
+    s = table(spark, sf, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    s.select("r_name", "n_name", "s_suppkey", "s_name", F.floor("s_acctbal").cast("double").alias("v")).groupBy("r_name").applyInPandas(books, "file string").write.format("noop").mode("overwrite").save()
+    c = table(spark, sf, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    c.select("n_name", "c_nationkey", "c_custkey", "c_name", F.floor("c_acctbal").cast("long").alias("v")).groupBy("n_name").applyInPandas(texts, "file string").write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(ResultFiles)
+    cell = lambda i: F.get("cells", F.lit(i))
+    read = lambda kind: spark.read.format("result_files").load(f"{at}/{kind}").where("row > 0").select(F.lit(kind).alias("kind"), "file", "sheet", cell(0).cast("long").alias("key"), F.replace(cell(1), F.lit("ţ"), F.lit("ț")).alias("name"), cell(3).cast("long").alias("votes"))
+    return read("books").unionByName(read("texts"))
+
+
 @query(
     "a09_day_lists",
     """with r as (select cast(o_orderdate as date) as day, o_orderkey, o_orderkey % 4 as c, o_orderkey % 7 as f, o_orderkey % 5 as g, o_orderkey % 3 as a, o_orderkey % 2 as n from orders)
