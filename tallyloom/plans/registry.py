@@ -25,8 +25,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for another that must give the same rows."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
-    from tallyloom.plans import acts, directory, dossiers, filters, integrity, joins, lookups, monitoring, pages, people, records, scalars, tallies, views  # noqa: F401
+    from tallyloom.plans import acts, directory, dossiers, filters, integrity, joins, lookups, models, monitoring, pages, people, records, scalars, tallies, views  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
