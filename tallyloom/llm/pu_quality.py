@@ -144,8 +144,9 @@ def reaching(shapes: DataFrame, net: Net, cuts: np.ndarray) -> np.ndarray:
 
 
 def cells(shapes: DataFrame, most: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """All descriptions (shape) in at most so many cells: mean and number of documents of each. The centres are descriptions by their hash."""
-    centres = np.array([r[0] for r in shapes.orderBy(F.xxhash64("shape")).select("shape").distinct().limit(most).collect()]).reshape(-1, FEATURES)
+    """All descriptions (shape) in at most so many cells: mean and number of documents of each. The centres are the
+    distinct descriptions of least hash, however the table is dealt out."""
+    centres = np.array([r[0] for r in shapes.select("shape").distinct().orderBy(F.xxhash64("shape"), "shape").limit(most).collect()]).reshape(-1, FEATURES)
     if not len(centres):
         return centres, np.zeros(0)
     scale = centres.std(0) + 1e-3

@@ -2,7 +2,9 @@
 
 A logistic regression over words and their beginnings, hashed into a fixed width, so no word is left out for its rank. Where a
 labelled text holds identity terms, each is swapped for every other of its row, and the squared change of the logit is
-penalised, so that a neutral mention of a group cannot carry a score. The classes weigh the same in the fit, however rare
+penalised, so that a neutral mention of a group cannot carry a score. A table may hold no term at all while its words share stems and
+hash places with some: so every pair of neighbours in a row is also swapped in a sentence of its own. The model tells how many swaps
+of texts there were, and the largest change of a score by any. The classes weigh the same in the fit, however rare
 toxic texts are, so 0.5 is where the evidence turns.
 
 The fit takes at most `SAMPLE` labelled documents (a bounded, documented sample: the first by hash of the id), whose ids
@@ -38,20 +40,65 @@ STEMS = (4, 6)
 REMEMBERED = 1 << 17
 _WORD = re.compile(r"[^\W\d_]+")
 
-#: Identity terms: words of one row may stand for each other. Fixed values.
-IDENTITY = (
-    ("women", "men", "girls", "boys"),
-    ("woman", "man", "girl", "boy"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrants", "refugees", "citizens", "foreigners"),
-    ("frauen", "männer", "ausländer", "muslime", "juden", "christen"),
-    ("femmes", "hommes", "étrangers", "musulmans", "juifs", "chrétiens"),
-    ("mujeres", "hombres", "extranjeros", "musulmanes", "judíos", "cristianos"),
+# Identity terms as families. A family's stems with one ending are a row, and words of one row may stand for each other; a word that
+# several families have belongs to the first.
+FAMILIES = (
+    ("woman man girl boy person", ""),
+    ("women men girls boys people", ""),
+    ("mother father", "|s"),
+    ("wife husband", ""),
+    ("muslim christian jew hindu buddhist atheist sikh", "|s"),
+    ("jewish islamic catholic protestant orthodox", ""),
+    ("black white brown", "|s"),
+    ("asian african european american indian arab latino", "|s"),
+    ("turkish polish german french spanish romanian mexican chinese", ""),
+    ("gay straight lesbian bisexual transgender queer", ""),
+    ("immigrant refugee citizen foreigner migrant", "|s"),
+    ("disabled blind deaf autistic", ""),
+    ("frau mann", ""),
+    ("frauen männer mädchen jungen", ""),
+    ("muslim christ jude hindu", ""),
+    ("muslime christen juden hindus", ""),
+    ("muslimin christin jüdin", "|nen"),
+    ("muslimisch christlich jüdisch hinduistisch buddhistisch", "|e|er|es|en|em"),
+    ("türkisch polnisch deutsch französisch spanisch arabisch afrikanisch europäisch", "|e|er|es|en|em"),
+    ("schwarz weiß", "|e|er|es|en|em"),
+    ("homosexuell heterosexuell bisexuell transsexuell", "|e|er|es|en|em"),
+    ("ausländer bürger", "|n"),
+    ("migranten flüchtlinge", ""),
+    ("femme homme fille garçon", "|s"),
+    ("musulman africain américain mexicain allemand", "|e|s|es"),
+    ("chrétien indien italien européen", "|ne|s|nes"),
+    ("juif musulman chrétien", "|s"),
+    ("juive musulmane chrétienne", "|s"),
+    ("étranger réfugié immigré", "|s"),
+    ("étrangère réfugiée immigrée", "|s"),
+    ("noir blanc", "|s"),
+    ("noire blanche", "|s"),
+    ("mujer hombre", ""),
+    ("mujeres hombres", ""),
+    ("niñ", "o|a|os|as"),
+    ("judí cristian african american mexican", "o|a|os|as"),
+    ("musulmán cristiano judío", ""),
+    ("musulmana cristiana judía", "|s"),
+    ("musulmanes cristianos judíos", ""),
+    ("negr blanc", "o|a|os|as"),
+    ("extranjer refugiad", "o|a|os|as"),
 )
-ROW = {w: row for row in IDENTITY for w in row}
+
+
+def _rows() -> list[tuple[str, ...]]:
+    """The rows of all families; what differs by gender alone in one family is one row too."""
+    out = [tuple(s + e for s in stems.split()) for stems, endings in FAMILIES for e in endings.split("|")]
+    out += [tuple(f"niñ{e}{n}" for e in "oa") for n in ("", "s")]
+    return [row for row in out if len(row) > 1]
+
+
+IDENTITY = _rows()
+ROW: dict[str, tuple[str, ...]] = {}
+for _row in IDENTITY:
+    for _w in _row:
+        ROW.setdefault(_w, _row)
 #: Where a text holds identity terms, as many swapped copies as the longest row has other terms.
 SWAPS = max(map(len, IDENTITY)) - 1
 
@@ -88,17 +135,19 @@ def swapped(words: Counter[str], by: int) -> Counter[str] | None:
 
 @dataclass
 class Model:
-    """A bias and the weights of hash places."""
+    """A bias and the weights of hash places; how many swapped copies of texts the fit had, and the largest change of a score by a swap."""
 
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
+    swaps: int = 0
+    gap: float = 0.0
     known: dict[str, list[int]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> tuple:
-        return self.bias, self.weights
+        return self.bias, self.weights, self.swaps, self.gap
 
     def __setstate__(self, state: tuple) -> None:
-        self.bias, self.weights = state
+        self.bias, self.weights, self.swaps, self.gap = state
         self.known = {}
 
     def score(self, text: str | None) -> float:
@@ -150,6 +199,18 @@ def telling(rows: DataFrame, n: int, toxic: int) -> list[int]:
     return sorted(r[0] for r in at.where(F.abs(z) >= SIGNIFICANT).select("p").unionByName(swaps).distinct().collect())
 
 
+def bare_swaps(index: dict[int, int]) -> list[tuple[list[int], list[float]]]:
+    """What it changes to put a term for its neighbour in a row, where no other word stands: places of the index and changes of log counts."""
+    out = []
+    for row in IDENTITY:
+        for a, b in zip(row, row[1:] + row[:1], strict=True):
+            own, new = counted(Counter([a])), counted(Counter([b]))
+            change = {index[p]: np.log1p(new[p]) - np.log1p(own[p]) for p in set(own) | set(new) if new[p] != own[p] and p in index}
+            if change:
+                out.append((list(change), list(change.values())))
+    return out
+
+
 def fit(labelled: DataFrame, penalty: float = PENALTY, ridge: float = RIDGE) -> Model:
     """labelled: text, toxic (0 or 1)."""
     bounded_batches(labelled.sparkSession)
@@ -179,21 +240,30 @@ def fit(labelled: DataFrame, penalty: float = PENALTY, ridge: float = RIDGE) ->
     first = np.concatenate([[0], np.cumsum(m)])
     copy = np.repeat(first[:-1], size("k")) + join("k").astype(int)
     to, change, share = join("j").astype(int), join("d"), np.repeat(1 / np.maximum(m, 1), m)
+    bare = bare_swaps(index)
+    copy = np.concatenate([copy, first[-1] + np.repeat(np.arange(len(bare)), [len(i) for i, _ in bare])]).astype(int)
+    to = np.concatenate([to, *[i for i, _ in bare]]).astype(int)
+    change = np.concatenate([change, *[d for _, d in bare]])
+    share = np.concatenate([share, np.full(len(bare), n / max(1, len(bare)))])  # all of them together weigh as much as all texts
+    copies = int(first[-1]) + len(bare)
     weight = np.where(y == 1, n / (2 * toxic), n / (2 * (n - toxic))) / n
     w, bias = np.zeros(len(places_)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):  # Adam on the whole sample
         z = np.bincount(doc, x * w[at], n) + bias
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gap = 2 * penalty / n * share * np.bincount(copy, change * w[to], first[-1]) if first[-1] else np.zeros(0)
+        gap = 2 * penalty / n * share * np.bincount(copy, change * w[to], copies) if copies else np.zeros(0)
         gw, gb = np.bincount(at, x * g[doc], len(w)) + ridge * w, g.sum()
-        if first[-1]:
+        if copies:
             gw += np.bincount(to, change * gap[copy], len(w))
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         step = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w, bias = w - step * mw / (np.sqrt(vw) + 1e-8), bias - step * mb / (np.sqrt(vb) + 1e-8)
-    return Model(float(bias), {p: float(v) for p, v in zip(places_, w, strict=True) if v})
+    z = np.concatenate([np.repeat(np.bincount(doc, x * w[at], n), m), np.zeros(len(bare))]) + bias
+    score = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    moved = np.abs(score(z + np.bincount(copy, change * w[to], copies)) - score(z)) if copies else np.zeros(1)
+    return Model(float(bias), {p: float(v) for p, v in zip(places_, w, strict=True) if v}, int(first[-1]), float(moved.max(initial=0)))
 
 
 def _packed(rows: list[tuple], c: int) -> bytes:

@@ -8,6 +8,8 @@ smallest page id is the response, the others are revisits that name it.
 
 Edge cases: a null page counts as empty; repeated rows of a page are each a record; records that miss a segment, or whose
 length or digest differs, are reported as not valid; line breaks in an address are dropped; an empty table writes and reads nothing.
+Damaged archives stop nothing: where an archive or a record ends early, a member is broken or a header says no length, a record with a problem tells the
+file and the place in what was unpacked, and reading goes on at the next record or member. Archives are unpacked piece by piece; packed, each is in memory once.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from tallyloom.session import bounded_batches, scratch_folder
 LEAST, CHUNK, SEGMENT, PER_FILE = 100, 4096, 16384, 2000
 _SEPARATOR = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-RECORDS = "type string, record_id string, origin string, number int, total long, digest string, refers_to string, block binary"
+RECORDS = "type string, record_id string, origin string, number int, total long, digest string, refers_to string, block binary, offset long, problem string"
+#: A header of more bytes is none.
+LONGEST_HEAD = 1 << 20
+_GZIP = b"\x1f\x8b\x08"
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -104,52 +109,129 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
 _EMPTY = f"sha256:{hashlib.sha256(b'').hexdigest()}"
 
 
+def unpacked(data: bytes, size: int = 1 << 18) -> Iterator[tuple[bytes, str | None]]:
+    """What an archive holds in pieces, gzip members one after the other; (b"", problem) where a member can't be read on, and then what follows it."""
+    if data[:2] != _GZIP[:2]:
+        yield from ((data[i : i + size], None) for i in range(0, len(data), size))
+        return
+    at, view = 0, memoryview(data)
+    while at >= 0 and at < len(data):
+        z, start = zlib.decompressobj(31), at
+        try:
+            while not z.eof and at < len(data):
+                piece = view[at : at + size]
+                out = z.decompress(piece)
+                at += len(piece) - len(z.unused_data)
+                if out:
+                    yield out, None
+            if not z.eof:
+                yield b"", "the archive ends within a member"
+            elif data[at : at + 3] != _GZIP:
+                at = data.find(_GZIP, at)
+        except zlib.error:
+            yield b"", "a member is broken"
+            at = data.find(_GZIP, start + 1)
+
+
 def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive, as RECORDS; gzip members are decompressed one after the other."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            z = zlib.decompressobj(31)
-            parts.append(z.decompress(data))
-            data = z.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode(errors="replace").split("\r\n")[1:])}
-        n = int(head["content-length"])
-        number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
+    """The records of an archive, as RECORDS, and what can't be read as records with a problem."""
+    source, buffer, base, stop = unpacked(data), bytearray(), 0, None
+
+    def fill() -> bool:
+        """One more piece, unless the archive is over or its next piece can't be read."""
+        nonlocal stop
+        if stop is None:
+            piece, problem = next(source, (b"", "over"))
+            stop = problem
+            buffer.extend(piece)
+        return stop is None
+
+    def broken(problem: str, head: dict | None = None) -> tuple:
+        head = head or {}
+        return (head.get("warc-type"), head.get("warc-record-id"), None, None, None, None, None, None, base, problem)
+
+    def skip(n: int) -> None:
+        nonlocal base
+        del buffer[:n]
+        base += n
+
+    while True:
+        while (i := buffer.find(b"WARC/")) < 0:
+            skip(max(0, len(buffer) - 4))
+            if not fill():
+                break
+        if i < 0:
+            if stop == "over":
+                return
+            yield broken(stop)
+            skip(len(buffer))
+            stop = None
+            continue
+        skip(i)
+        while (end := buffer.find(b"\r\n\r\n")) < 0 and len(buffer) < LONGEST_HEAD and fill():
+            pass
+        if end < 0:
+            yield broken("a header does not end")
+            skip(5)
+            continue
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in buffer[:end].decode(errors="replace").split("\r\n")[1:])}
+        n, number, total = (head.get(k) for k in ("content-length", "warc-segment-number", "warc-segment-total-length"))
+        if not (n or "").isdigit() or not all(x is None or x.isdigit() for x in (number, total)):
+            yield broken("a header has no length, or a number that is none", head)
+            skip(end + 4)
+            continue
+        size = end + 4 + int(n)
+        while len(buffer) < size and fill():
+            pass
+        if len(buffer) < size:
+            yield broken("a record ends early", head)
+            skip(len(buffer))
+            if stop == "over":
+                return
+            stop = None
+            continue
         yield (
             head.get("warc-type"), head.get("warc-record-id"), head.get("warc-segment-origin-id"), number and int(number),
-            total and int(total), head.get("warc-payload-digest"), head.get("warc-refers-to"), data[end + 4 : end + 4 + n],
+            total and int(total), head.get("warc-payload-digest"), head.get("warc-refers-to"), bytes(buffer[end + 4 : size]), base, None,
         )
-        at = end + 4 + n
+        skip(size)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in a folder, as RECORDS."""
+    """All records of the archives in a folder: file and RECORDS."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in RECORDS.split(", ")]
-        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"number": "Int32", "total": "Int64"})
+
+        def frame(name: str, rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=columns).astype({"number": "Int32", "total": "Int64"})
+            out.insert(0, "file", name)
+            return out
+
         for b in batches:
-            for data in b["content"]:
+            for name, data in zip(b["path"], b["content"], strict=True):
                 rows, size = [], 0
                 for r in parse(bytes(data)):
                     rows.append(r)
-                    size += len(r[-1])
+                    size += len(r[7] or b"")
                     if size > 1 << 23:
-                        yield frame(rows)
+                        yield frame(name, rows)
                         rows, size = [], 0
-                yield frame(rows)
+                yield frame(name, rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInPandas(run, RECORDS)
+    return files.select("path", "content").mapInPandas(run, f"file string, {RECORDS}")
+
+
+def damaged(records: DataFrame) -> DataFrame:
+    """file, offset, record_id (where it is known) and problem of what could not be read."""
+    return records.where("problem is not null").select("file", "offset", "record_id", "problem")
 
 
 def reassembled(records: DataFrame) -> DataFrame:
     """One row for each record that is not a continuation: its whole block, null where a segment or the length is wrong."""
     kept = ["type", "record_id", "digest", "refers_to"]
+    records = records.where("problem is null")
     whole = records.where(F.col("number").isNull() & F.col("origin").isNull()).select(*kept, "block")
     part = records.where(F.col("number").isNotNull())
     by = part.groupBy(F.coalesce("origin", "record_id").alias("origin")).agg(
