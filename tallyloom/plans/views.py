@@ -12,9 +12,10 @@ from tallyloom.operators import aggregates as A
 from tallyloom.operators import identity as I
 from tallyloom.operators import relational as R
 from tallyloom.operators import temporal as T
+from tallyloom.operators import text_index as X
 from tallyloom.plans.joins import LEG_SQL, PERIODS, legislatures, periods
 from tallyloom.plans.registry import query
-from tallyloom.session import table
+from tallyloom.session import scratch_folder, table
 
 CHOICES = {"n_for": "A", "n_against": "R", "n_other": "N"}
 BALLOTS = """ballots as (select l_orderkey as vote, l_suppkey as member, s_nationkey as grp, case when min(l_returnflag) = max(l_returnflag) then min(l_returnflag) else 'X' end as choice
@@ -255,3 +256,25 @@ def motions(spark, sf):
     rows = m.join(t, "motion", "left").join(F.broadcast(legislatures(spark)), T.within_half_open(F.col("ls"), F.col("le"), F.col("held_on")), "left")
     passed = F.when(F.col("kind") == "no_confidence", F.col("n_for") >= 3).otherwise(2 * F.col("n_for") > F.col("present"))
     return rows.select("motion", "held_on", "kind", F.col("id").alias("legislature"), F.coalesce("n_for", F.lit(0)).alias("n_for"), F.when(F.col("n_for").isNull(), "unknown").when(passed, "passed").otherwise("failed").alias("outcome"))
+
+
+_TOKENS = r"'[\p{L}\p{N}]+'"
+
+
+@query(
+    "n_text_search",
+    rf"""with p as (select item_id, array_to_string(list_slice(regexp_extract_all(lower(text), {_TOKENS}), 1, 1 + item_id % 3), ' ') as phrase, 1 + item_id % 3 as m from benchmark),
+    d as (select doc_id, text, regexp_extract_all(lower(text), {_TOKENS}) as w, regexp_split_to_array(text, {_TOKENS}) as g from documents),
+    s as (select doc_id, m, unnest(range(len(w) - m + 1)) as i, unnest([array_to_string(w[j + 1:j + m], ' ') for j in range(len(w) - m + 1)]) as run from d, (values (1), (2), (3)) v(m) where len(w) >= m),
+    h as (select item_id, phrase, doc_id, count(*) as n_hits, cast(min(i) as int) as at_word from s join p on p.m = s.m and p.phrase = s.run group by 1, 2, 3),
+    b as (select h.*, text, cast(coalesce(list_sum(list_transform(g[1:at_word + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:at_word], lambda x: length(x))), 0) as int) as begin from h join d using (doc_id))
+    select item_id, phrase, doc_id, n_hits, at_word, begin, substr(text, greatest(begin - 40, 0) + 1, 120) as snippet, begin > 40 as cut_before, length(text) > greatest(begin - 40, 0) + 120 as cut_after from b""",
+)
+def text_search(spark, sf):
+    """Phrases of one to three words, all at once, in all documents: hits, the first of them, and the text around it."""
+    at = scratch_folder(spark, "text-index")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    X.write(docs, "doc_id", "text", at)
+    phrase = F.array_join(F.slice(X.words(F.col("text")), F.lit(1), F.lit(1) + (F.col("item_id") % 3).cast("int")), " ")
+    found = X.search(spark, at, table(spark, sf, "benchmark").select("item_id", phrase.alias("phrase")), "phrase")
+    return X.snippets(found, docs, "doc_id", "text").withColumnsRenamed({"id": "doc_id", "at": "at_word"})
