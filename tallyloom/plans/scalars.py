@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import tabular
 from tallyloom.functions import text as X
 from tallyloom.operators import areas
 from tallyloom.operators import documents as D
 from tallyloom.operators import relational as R
 from tallyloom.operators import rules
 from tallyloom.operators import temporal as T
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import query, sql_of
 from tallyloom.session import table
 from tallyloom.sources import readers
 
@@ -220,6 +221,21 @@ def j06_parts(spark, sf):
     return parts.select("o_orderkey", "place", "id", "part", "number", "body", F.col("starts").cast("int").alias("starts"), F.col("ends").cast("int").alias("ends"))
 
 
+@query("j06_sections_in_sql", sql_of("j06_sections"))
+def j06_sections_sql(spark, sf):
+    """The same sections by a table function of SQL, once for each row of another table."""
+    tabular.register(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return spark.sql("select d.doc_id, s.section, cast(length(s.body) as bigint) as chars from {docs} d, lateral bill_text(d.text, 'sections', '^The ') s", docs=docs)
+
+
+@query("j06_bill_parts_in_sql", sql_of("j06_bill_parts"))
+def j06_parts_sql(spark, sf):
+    tabular.register(spark)
+    bills = table(spark, sf, "orders").select("o_orderkey", F.expr(_BILL.replace("chr(13)", "char(13)").replace("chr(10)", "char(10)")).alias("text"))
+    return spark.sql("select b.o_orderkey, p.place, p.id, p.part, p.number, p.body, p.starts, p.ends from {bills} b, lateral bill_text(b.text, 'parts') p", bills=bills)
+
+
 _READ = """case o_orderkey % 7 when 0 then '  ' when 1 then repeat('cuvânt ', 120) when 2 then concat('Punctul 1', char(10), 'se modifică') when 3 then concat('Art. 1', char(10), repeat('x', 8001))
     when 4 then concat('Art. 1', char(10), 'a', char(10), 'art. 1', char(10), 'b') when 5 then repeat(concat('Articolul 2)', char(10), 'scurt', char(10)), 9) else 'Legea se completează astfel' end"""
 
