@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import areas
 from tallyloom.operators import documents as D
 from tallyloom.operators import relational as R
+from tallyloom.operators.duplicates import duplicates
 from tallyloom.plans.people import I12_SQL, cases, given
 from tallyloom.plans.records import decrees
 from tallyloom.plans.registry import query
@@ -128,6 +129,35 @@ def k34(spark, sf):
     return by.agg(F.count_distinct("p_partkey").alias("records"), F.min("p_partkey").alias("first")).where("records > 1")
 
 
+_PRINTS = """[p_brand || '/' || p_size, p_type || '/' || p_name, 'price ' || cast(floor(p_retailprice) as int) || ' ' || p_brand, p_name || p_size]"""
+
+
+def _fingerprinted(spark, sf):
+    """Parts with four identifiers each, as several sources would tell them."""
+    text = lambda *c: F.concat(*[x if not isinstance(x, str) else F.col(x).cast("string") for x in c])
+    price = text(F.lit("price "), F.floor("p_retailprice").cast("int").cast("string"), F.lit(" "), "p_brand")
+    return table(spark, sf, "part"), F.array(text("p_brand", F.lit("/"), "p_size"), text("p_type", F.lit("/"), "p_name"), price, text("p_name", "p_size"))
+
+
+@query(
+    "k34_duplicate_fingerprints",
+    f"""with p as (select p_partkey as id, list_sort(list_distinct({_PRINTS})) as keys from part), c as (select keys, min(id) as rep from p group by 1),
+    e as (select rep, unnest(keys) as key from c)
+    select x.rep as a, y.rep as b, cast(count(*) as int) as shared from e x join e y on x.key = y.key and x.rep < y.rep group by 1, 2 having count(*) >= 2""",
+)
+def k34_pairs(spark, sf):
+    """Parts that share two fingerprints or more, each pair met once."""
+    parts, keys = _fingerprinted(spark, sf)
+    return duplicates(parts, "p_partkey", keys)[0]
+
+
+@query("k34_duplicate_classes", f"with p as (select p_partkey as id, list_sort(list_distinct({_PRINTS})) as keys from part) select id, min(id) over (partition by keys) as rep from p")
+def k34_classes(spark, sf):
+    """Parts whose fingerprints are all alike, by the smallest of them."""
+    parts, keys = _fingerprinted(spark, sf)
+    return duplicates(parts, "p_partkey", keys)[1]
+
+
 @query("l01_append_events", "select event_type, count(*) as n from events group by 1")
 def l01(spark, sf):
     """Events as they arrive, appended to a table."""
