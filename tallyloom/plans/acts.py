@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import MONTHS
 from tallyloom.operators import decrees, finance, sanctions, steps
 from tallyloom.operators import relational as R
 from tallyloom.plans.people import cases, given
@@ -33,60 +34,97 @@ def j11_kinds(spark, sf):
     return rows.select("o_orderkey", "kind", decrees.title_action(F.col("kind"), F.col("subject")).alias("action"))
 
 
+#: What stands in braces in the texts below, by columns of orders: people, a country, a body, a number, a year, and amounts as printed and as numbers.
+_LETTERS = "translate(cast({} as {}), '0123456789', 'abcdefghij')"
+_AMOUNT = "lpad(cast(o_custkey % 1000 as {}), 3, '0')", "lpad(cast(o_orderkey % 100 as {}), 2, '0')"
+
+
+def _slots(text: str) -> dict[str, str]:
+    """The values of the braces in the SQL of either engine; text is what it calls a string."""
+    letters = lambda c: _LETTERS.format(c, text)
+    number = lambda n: f"cast(o_orderkey % 7 + {n} as {text})"
+    h, c = (x.format(text) for x in _AMOUNT)
+    return {
+        "a": f"concat('Mira T', {letters('o_custkey')})", "b": f"concat('Horia-Dan V', {letters('o_orderkey')})", "c": f"concat('Zoe P', {letters('o_custkey % 97')})", "land": f"concat('Insula M', {letters('o_custkey % 50')})",
+        "body": f"concat('pentru t', {letters('o_custkey % 30')})", "grp": f"concat('G', upper({letters('o_custkey % 20')}))", "n": f"cast(o_orderkey % 900 + 100 as {text})", "y": f"cast(extract(year from o_orderdate) as {text})",
+        "m": f"concat({number(1)}, '.', {h}, ',', {c})", "m2": f"concat({number(3)}, '.', {h}, ',', {c})", "M": f"concat({number(1)}, {h}, '.', {c})", "M2": f"concat({number(3)}, {h}, '.', {c})",
+    }
+
+
+def _fill_sql(column: str) -> str:
+    for k, v in _slots("varchar").items():
+        column = f"replace({column}, '{{{k}}}', {v})"
+    return column
+
+
+def _filled(spark, sf, rows, columns):
+    """Every order with the texts of its number modulo their count, their braces filled from its columns."""
+    out = given(spark, sf, rows, columns).join(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    for k, v in _slots("string").items():
+        out = out.withColumns({c: F.replace(c, F.lit(f"{{{k}}}"), F.expr(v)) for c in columns})
+    return out
+
+
 _TAIL = " PREȘEDINTELE ROMÂNIEI NUME PRENUME București, 1 ianuarie 2000. Nr. 1."
 #: Kind of decree, its text, and the people that it names: name, action, office, title.
 TEXTS = (
-    ("government", "PREȘEDINTELE ROMÂNIEI În temeiul art. 85, Președintele României decretează: + ARTICOL UNIC Domnul Titus Corlățean se numește în funcția de ministru al afacerilor externe." + _TAIL, (("Titus Corlățean", "appointment", "minister", "ministru al afacerilor externe"),)),
-    ("government", "d e c r e t e a z ă : Articolul 1 Se revocă din funcția de ministru al justiției, la cerere, domnul dr. Ion Popescu. Articolul 2 Doamna Ana Maria Ionescu se desemnează ca ministru interimar al justiției." + _TAIL, (("Ion Popescu", "dismissal", "minister", "ministru al justiției"), ("Ana Maria Ionescu", "interim", "minister", None))),
-    ("diplomacy", "decretează: + ARTICOL UNIC Doamna Elena Vasile se recheamă din calitatea de ambasador extraordinar și plenipotențiar al României în Malta." + _TAIL, (("Elena Vasile", "recall", "ambassador", "ambasador extraordinar și plenipotențiar al României în Malta"),)),
-    ("diplomacy", "decretează: Domnul Ion Rus își va încheia misiunea în termen de cel mult 90 de zile." + _TAIL, (("Ion Rus", "release", "ambassador", None),)),
-    ("judiciary_leadership", "decretează: + Articolul 1 Domnul Dan Marin se numește în funcția de procuror-șef al Direcției Naționale Anticorupție, pe o perioadă de 3 ani. Articolul 2 Doamna Ioana Pop, în locul domnului Dan Marin, se numește în funcția de vicepreședinte al Înaltei Curți." + _TAIL, (("Dan Marin", "appointment", "dna-chief", "procuror-șef al Direcției Naționale Anticorupție"), ("Ioana Pop", "appointment", "iccj-vice-president", "vicepreședinte al Înaltei Curți"))),
-    ("constitutional_court", "decretează: Domnul profesor universitar dr. Ioan Deleanu se numește judecător la Curtea Constituțională." + _TAIL, (("Ioan Deleanu", "appointment", "ccr-judge", None),)),
-    ("presidential_staff", "decretează: Se ia act de demisia domnului Radu Stan din funcția de consilier prezidențial." + _TAIL, (("Radu Stan", "resignation", "presidential-adviser", "consilier prezidențial"),)),
-    ("decoration", "decretează: Domnul Vasile Nume se decorează." + _TAIL, ()),
-    ("government", "Domnul Fără Opening se numește." + _TAIL, ()),
+    ("government", "PREȘEDINTELE ROMÂNIEI În temeiul art. 85, Președintele României decretează: + ARTICOL UNIC Doamna {a} se numește în funcția de ministru al apelor." + _TAIL, (("{a}", "appointment", "minister", "ministru al apelor"),)),
+    ("government", "d e c r e t e a z ă : Articolul 1 Se revocă din funcția de ministru al energiei, la cerere, domnul dr. {b}. Articolul 2 Doamna {a} se desemnează ca ministru interimar al energiei." + _TAIL, (("{b}", "dismissal", "minister", "ministru al energiei"), ("{a}", "interim", "minister", None))),
+    ("diplomacy", "decretează: + ARTICOL UNIC Doamna {c} se recheamă din calitatea de ambasador extraordinar și plenipotențiar al României în {land}." + _TAIL, (("{c}", "recall", "ambassador", "ambasador extraordinar și plenipotențiar al României în {land}"),)),
+    ("diplomacy", "decretează: Domnul {b} își va încheia misiunea în termen de cel mult {n} de zile." + _TAIL, (("{b}", "release", "ambassador", None),)),
+    ("judiciary_leadership", "decretează: + Articolul 1 Domnul {b} se numește în funcția de procuror-șef al Direcției Naționale Anticorupție, pe o perioadă de 3 ani. Articolul 2 Doamna {c}, în locul domnului {b}, se numește în funcția de vicepreședinte al Înaltei Curți." + _TAIL, (("{b}", "appointment", "dna-chief", "procuror-șef al Direcției Naționale Anticorupție"), ("{c}", "appointment", "iccj-vice-president", "vicepreședinte al Înaltei Curți"))),
+    ("constitutional_court", "decretează: Doamna profesor universitar dr. {a} se numește judecător la Curtea Constituțională." + _TAIL, (("{a}", "appointment", "ccr-judge", None),)),
+    ("presidential_staff", "decretează: Se ia act de demisia domnului {b} din funcția de consilier prezidențial." + _TAIL, (("{b}", "resignation", "presidential-adviser", "consilier prezidențial"),)),
+    ("decoration", "decretează: Domnul {b} se decorează." + _TAIL, ()),
+    ("government", "Domnul {b} se numește." + _TAIL, ()),
 )
 
 
-@query("j11_named_people", f"select o_orderkey, name, action, office, title from orders join {cases([(i, *p) for i, t in enumerate(TEXTS) for p in t[2]], 'i', 'name', 'action', 'office', 'title')} on i = o_orderkey % {len(TEXTS)}")
+@query("j11_named_people", f"select o_orderkey, {_fill_sql('name')} as name, action, office, {_fill_sql('title')} as title from orders join {cases([(i, *p) for i, t in enumerate(TEXTS) for p in t[2]], 'i', 'name', 'action', 'office', 'title')} on i = o_orderkey % {len(TEXTS)}")
 def j11_people(spark, sf):
-    rows = given(spark, sf, [t[:2] for t in TEXTS], ["kind", "text"])
+    rows = _filled(spark, sf, [t[:2] for t in TEXTS], ["kind", "text"])
     return decrees.named_people(rows, "o_orderkey", "kind", "text").select("o_orderkey", "name", "action", "office", "title")
 
 
-_HEAD = "DECRET nr. 1.123 din 22 noiembrie 2021 privind numirea unui ministru EMITENT Președintele României PUBLICAT ÎN Monitorul Oficial nr. 1113 din 22 noiembrie 2021"
-
-
 @query(
     "j11_decree_heads",
-    """select o_orderkey, case when o_orderkey % 2 = 0 then 1000 + o_orderkey % 900 end as number, case when o_orderkey % 2 = 0 then date '2021-11-22' end as issued_on, case when o_orderkey % 2 = 0 then 'privind numirea unui ministru' end as subject,
-    case when o_orderkey % 2 = 0 then '1113' end as gazette_number, case when o_orderkey % 2 = 0 then date '2021-11-22' end as gazette_on,
-    case when o_orderkey % 3 = 0 then 'KLAUS-WERNER IOHANNIS' when o_orderkey % 3 = 1 then 'ILIE-GAVRIL BOLOJAN' end as signer, case when o_orderkey % 3 = 0 then false when o_orderkey % 3 = 1 then true end as interim from orders""",
+    f"""with h as (select *, 1000 + o_orderkey % 900 as number, cast(o_orderdate as date) as d, 'privind numirea unui ' || lower(o_orderpriority) as subject, o_custkey % 999 + 1 as gazette, {_slots("varchar")["b"]} as b from orders)
+    select o_orderkey, case when o_orderkey % 2 = 0 then number end as number, case when o_orderkey % 2 = 0 then d end as issued_on, case when o_orderkey % 2 = 0 then subject end as subject,
+    case when o_orderkey % 2 = 0 then gazette::varchar end as gazette_number, case when o_orderkey % 2 = 0 then d + 1 end as gazette_on,
+    case when o_orderkey % 3 < 2 then upper(b) end as signer, case when o_orderkey % 3 = 0 then false when o_orderkey % 3 = 1 then true end as interim from h""",
 )
 def j11_heads(spark, sf):
-    k = F.col("o_orderkey")
-    title = F.when(k % 2 == 0, F.replace(F.lit(_HEAD), F.lit("1.123"), F.concat(F.lit("1."), F.lpad((k % 900).cast("string"), 3, "0")))).otherwise("LEGE nr. 4 din 1 mai 2020 EMITENT Parlamentul")
-    signed = F.when(k % 3 == 0, "x PREȘEDINTELE ROMÂNIEI KLAUS-WERNER IOHANNIS București, 22").when(k % 3 == 1, "x PREŞEDINTELE ROMÂNIEI - interimar - ILIE-GAVRIL BOLOJAN În temeiul art. 100 alin. (2)").otherwise("fără semnătură")
+    """Heads of decrees numbered and dated by orders, of laws beside them, and signatures of presidents, acting ones and nobody."""
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    months = F.array(*[F.lit(m) for m in MONTHS])
+    on = lambda day: F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.get(months, F.month(day) - 1), F.lit(" "), F.year(day).cast("string"))
+    head = F.concat(
+        F.lit("DECRET nr. 1."), F.lpad((k % 900).cast("string"), 3, "0"), F.lit(" din "), on(d), F.lit(" privind numirea unui "), F.lower("o_orderpriority"),
+        F.lit(" EMITENT Președintele României PUBLICAT ÎN Monitorul Oficial nr. "), (F.col("o_custkey") % 999 + 1).cast("string"), F.lit(" din "), on(F.date_add(d, 1)),
+    )
+    title = F.when(k % 2 == 0, head).otherwise("LEGE nr. 4 din 1 mai 2020 EMITENT Parlamentul")
+    name = F.upper(F.expr(_slots("string")["b"]))
+    signed = F.when(k % 3 == 0, F.concat(F.lit("x PREȘEDINTELE ROMÂNIEI "), name, F.lit(" București, 22"))).when(k % 3 == 1, F.concat(F.lit("x PREŞEDINTELE ROMÂNIEI - interimar - "), name, F.lit(" În temeiul art. 100 alin. (2)"))).otherwise("fără semnătură")
     return decrees.read_heads(table(spark, sf, "orders").select(k, title.alias("title"), signed.alias("text"))).drop("title", "text")
 
 
 #: Control reports of each shape and what they say: party, year, income, number of lines, lines of dues, expenses, whether the lines add up, articles, fine.
 REPORTS = (
-    ("RAPORT privind veniturile și cheltuielile Partidului Social Democrat în anul 2020 EMITENT. Partidul Social Democrat a obținut în anul 2020 venituri aferente activității curente în sumă totală de 150,00 lei, astfel: 100,50 lei reprezentând venituri din cotizații, 40,00 lei reprezentând donații și 9,50 lei reprezentând dobânzi. Cheltuielile aferente activității curente au fost în sumă totală de 1.120,10 lei. În urma controlului au fost încălcate prevederile art. 3 alin. (2), art. 5 și ale art. 7 din Legea nr. 334/2006.",
-     (("Partidul Social Democrat", 2020, "150.00", 3, "100.50", "1120.10", True, 3, None),)),
-    ("RAPORT. În anul 2023, veniturile obținute de Partidul X au fost în valoare totală de 60,00 lei, după cum urmează: – 50,00 lei - venituri din subvenții, din care: – 20,00 lei - subvenții de la bugetul de stat; – 30,00 lei - rambursare; – 5,00 lei - venituri din cotizații; În anul 2024, veniturile obținute de Partidul X au fost în valoare totală de 7,00 lei, după cum urmează: – 7,00 lei - împrumuturi. Cheltuielile efectuate în anul 2023 de Partidul X sunt în cuantum de 12,00 lei. II. Sancțiuni: a fost sancționat cu amendă în cuantum de 15.000 lei.",
-     (("Partidul X", 2023, "60.00", 3, "5.00", "12.00", False, 0, "15000.00"), ("Partidul X", 2024, "7.00", 1, None, None, True, 0, "15000.00"))),
+    ("RAPORT privind veniturile și cheltuielile Partidului Râului {land} în anul {y} EMITENT. Partidul Râului {land} a obținut în anul {y} venituri aferente activității curente în sumă totală de {m2} lei, astfel: {m} lei reprezentând venituri din cotizații, 1.900,00 lei reprezentând donații și 100,00 lei reprezentând dobânzi. Cheltuielile aferente activității curente au fost în sumă totală de {m} lei. În urma controlului au fost încălcate prevederile art. 3 alin. (2), art. 5 și ale art. 7 din Legea nr. 334/2006.",
+     (("Partidul Râului {land}", "{y}", "{M2}", 3, "{M}", "{M}", True, 3, None),)),
+    ("RAPORT. În anul 2001, veniturile obținute de Uniunea Câmpiei {land} au fost în valoare totală de {m2} lei, după cum urmează: – 2.000,00 lei - venituri din subvenții, din care: – 1.200,00 lei - subvenții de la bugetul de stat; – 800,00 lei - rambursare; – {m} lei - venituri din cotizații; În anul 2002, veniturile obținute de Uniunea Câmpiei {land} au fost în valoare totală de {m} lei, după cum urmează: – 7,00 lei - împrumuturi. Cheltuielile efectuate în anul 2001 de Uniunea Câmpiei {land} sunt în cuantum de {m2} lei. II. Sancțiuni: a fost sancționat cu amendă în cuantum de {n} lei.",
+     (("Uniunea Câmpiei {land}", "2001", "{M2}", 3, "{M}", "{M2}", True, 0, "{n}"), ("Uniunea Câmpiei {land}", "2002", "{M}", 1, None, None, False, 0, "{n}"))),
     ("RAPORT despre altceva", ()),
 )
 
 
 @query(
     "j12_control_reports",
-    f"""select o_orderkey, party, year, cast(income as decimal(16,2)) as income, lines, cast(dues as decimal(16,2)) as dues, cast(expenses as decimal(16,2)) as expenses, adds_up, violations, cast(fine as decimal(16,2)) as fine
+    f"""select o_orderkey, {_fill_sql('party')} as party, cast({_fill_sql('year')} as int) as year, cast({_fill_sql('income')} as decimal(16,2)) as income, lines, cast({_fill_sql('dues')} as decimal(16,2)) as dues, cast({_fill_sql('expenses')} as decimal(16,2)) as expenses, adds_up, violations, cast({_fill_sql('fine')} as decimal(16,2)) as fine
     from orders join {cases([(i, *y) for i, r in enumerate(REPORTS) for y in r[1]], 'i', 'party', 'year', 'income', 'lines', 'dues', 'expenses', 'adds_up', 'violations', 'fine')} on i = o_orderkey % {len(REPORTS)}""",
 )
 def j12(spark, sf):
-    rows = given(spark, sf, [(r[0],) for r in REPORTS], ["text"])
+    rows = _filled(spark, sf, [(r[0],) for r in REPORTS], ["text"])
     told = finance.sanctions(F.col("text"))
     years = rows.select("o_orderkey", F.size(told["violations"]).alias("violations"), told["fine"].alias("fine"), F.explode(finance.annual(F.col("text"))).alias("y"))
     dues = F.get(F.filter("y.lines", lambda x: x["kind"] == "dues"), F.lit(0))["lei"]
@@ -95,43 +133,44 @@ def j12(spark, sf):
 
 #: Campaign reports: party, kind of election, year, contributions, expenses, asked for, invalidated, warned.
 CAMPAIGNS = (
-    ("privind verificarea legalității veniturilor și cheltuielilor electorale ale Partidului Verde, cu ocazia alegerilor pentru Senat și Camera Deputaților din anul 2024. Constatări: – contribuțiile electorale au fost în cuantum de 14.020,00 lei; – cheltuielile electorale au fost în cuantum de 14.010,07 lei. Suma cheltuielilor solicitate în vederea rambursării este de 9.000,00 lei. Comisia a invalidat suma de 10,50 lei.", "Partidul Verde", "parliamentary", 2024, "14020.00", "14010.07", "9000.00", "10.50", False),
-    ("veniturilor și cheltuielilor electorale ale Uniunii Salvați, aferente campaniei electorale pentru alegerea autorităților administrației publice locale din anul 2020: nu au fost înregistrate venituri și cheltuieli electorale. A fost sancționat cu avertisment.", "Uniunea Salvați", "local", 2020, "0.00", "0.00", None, None, True),
+    ("privind verificarea legalității veniturilor și cheltuielilor electorale ale Partidului Râului {land}, cu ocazia alegerilor pentru Senat și Camera Deputaților din anul {y}. Constatări: – contribuțiile electorale au fost în cuantum de {m2} lei; – cheltuielile electorale au fost în cuantum de {m} lei. Suma cheltuielilor solicitate în vederea rambursării este de {m} lei. Comisia a invalidat suma de {n},50 lei.", "Partidul Râului {land}", "parliamentary", "{y}", "{M2}", "{M}", "{M}", "{n}.50", False),
+    ("veniturilor și cheltuielilor electorale ale Uniunii Câmpiei {land}, aferente campaniei electorale pentru alegerea autorităților administrației publice locale din anul {y}: nu au fost înregistrate venituri și cheltuieli electorale. A fost sancționat cu avertisment.", "Uniunea Câmpiei {land}", "local", "{y}", "0.00", "0.00", None, None, True),
     ("un alt raport", None, None, None, None, None, None, None, None),
 )
 
 
 @query(
     "j12_campaign_reports",
-    f"""select o_orderkey, party, kind, year, cast(contributions as decimal(16,2)) as contributions, cast(expenses as decimal(16,2)) as expenses, cast(requested as decimal(16,2)) as requested, cast(invalidated as decimal(16,2)) as invalidated, warned
+    f"""select o_orderkey, {_fill_sql('party')} as party, kind, cast({_fill_sql('year')} as int) as year, cast({_fill_sql('contributions')} as decimal(16,2)) as contributions, cast({_fill_sql('expenses')} as decimal(16,2)) as expenses, cast({_fill_sql('requested')} as decimal(16,2)) as requested, cast({_fill_sql('invalidated')} as decimal(16,2)) as invalidated, warned
     from orders join {cases([(i, *c[1:]) for i, c in enumerate(CAMPAIGNS)], 'i', 'party', 'kind', 'year', 'contributions', 'expenses', 'requested', 'invalidated', 'warned')} on i = o_orderkey % {len(CAMPAIGNS)}""",
 )
 def j12_campaign(spark, sf):
-    rows = given(spark, sf, [(c[0],) for c in CAMPAIGNS], ["text"])
+    rows = _filled(spark, sf, [(c[0],) for c in CAMPAIGNS], ["text"])
     return rows.select("o_orderkey", finance.campaign(F.col("text")).alias("c")).select("o_orderkey", "c.*")
 
 
-_PAGE = """<div><p><b>12 iunie 2023 - Atenționarea domnului deputat Nini-Alexandru PASCALINI, membru al Grupului parlamentar al AUR, în conformitate cu art. 235 alin. (1) din Regulamentul Camerei</b>
-<a href="/d/1.pdf">vezi decizia Nr.4/23-03-2023</a> <a href='/c.pdf'>vezi contestația</a> <b>HCD 12/2023 privind respingerea contestației</b> <a href="/s.htm">vezi stenograma</a><hr>
-<b>3 mai 2022 - Aplicarea sancțiunii diminuării indemnizației cu 50% pe o perioadă de trei luni și retragerea cuvântului doamnei deputat Ana&nbsp;POP pentru abateri</b><hr/>
-<b>1 mai 2022 - Informare privind adoptarea unor Hotărârilor</b><hr><b>Deciziile Biroului permanent privind sancționarea domnului deputat Ion RUS</b><hr><i>nimic</i></div>"""
+_PAGE = """<div><p><b>12 iunie 2023 - Atenționarea domnului deputat {b}, membru al Grupului parlamentar al {land}, în conformitate cu art. {n} alin. (1) din Regulamentul Camerei</b>
+<a href="/d/{n}.pdf">vezi decizia Nr.{n}/23-03-2023</a> <a href='/c.pdf'>vezi contestația</a> <b>HCD 12/2023 privind respingerea contestației</b> <a href="/s{n}.htm">vezi stenograma</a><hr>
+<b>3 mai 2022 - Aplicarea sancțiunii diminuării indemnizației cu 50% pe o perioadă de trei luni și retragerea cuvântului doamnei deputat {a} pentru abateri</b><hr/>
+<b>1 mai 2022 - Informare privind adoptarea unor Hotărârilor</b><hr><b>Deciziile Biroului permanent privind sancționarea doamnei deputat {c}</b><hr><i>nimic</i></div>"""
 #: The entries of the page above.
 ENTRIES = (
-    (0, "2023-06-12", "Nini-Alexandru PASCALINI", "AUR", "warning", None, None, "art. 235 alin. (1)", False, "4", "2023-03-23", "/d/1.pdf", "rejected", "/s.htm"),
-    (1, "2022-05-03", "Ana POP", None, "combined", 50, 3, None, False, None, None, None, None, None),
+    (0, "2023-06-12", "{b}", "{land}", "warning", None, None, "art. {n} alin. (1)", False, "{n}", "2023-03-23", "/d/{n}.pdf", "rejected", "/s{n}.htm"),
+    (1, "2022-05-03", "{a}", None, "combined", 50, 3, None, False, None, None, None, None, None),
     (2, "2022-05-01", None, None, "other", None, None, None, True, None, None, None, None, None),
-    (3, None, "Ion RUS", None, "bureau_decision", None, None, None, False, None, None, None, None, None),
+    (3, None, "{c}", None, "bureau_decision", None, None, None, False, None, None, None, None, None),
 )
 
 
 @query(
     "j13_sanctions",
-    f"""select s_suppkey as legislature, "at", cast(held_on as date) as held_on, name, "group", kind, percent, months, article, informational, decision_number, cast(decision_on as date) as decision_on, decision_url, outcome, stenogram_url, true as well_named
-    from supplier cross join {cases(ENTRIES, '"at"', 'held_on', 'name', '"group"', 'kind', 'percent', 'months', 'article', 'informational', 'decision_number', 'decision_on', 'decision_url', 'outcome', 'stenogram_url')}""",
+    f"""select o_orderkey as legislature, "at", cast(held_on as date) as held_on, {_fill_sql('name')} as name, {_fill_sql('"group"')} as "group", kind, percent, months, {_fill_sql('article')} as article, informational, {_fill_sql('decision_number')} as decision_number,
+    cast(decision_on as date) as decision_on, {_fill_sql('decision_url')} as decision_url, outcome, {_fill_sql('stenogram_url')} as stenogram_url, true as well_named
+    from orders cross join {cases(ENTRIES, '"at"', 'held_on', 'name', '"group"', 'kind', 'percent', 'months', 'article', 'informational', 'decision_number', 'decision_on', 'decision_url', 'outcome', 'stenogram_url')}""",
 )
 def j13(spark, sf):
-    pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("legislature"), F.lit(_PAGE).alias("html"))
-    rows = sanctions.sanctions(pages)
+    """A page of sanctions for each order, its people, groups, articles and decisions by the order's columns."""
+    rows = sanctions.sanctions(_filled(spark, sf, [(_PAGE,)], ["html"]).withColumnRenamed("o_orderkey", "legislature"))
     cut = F.get(F.filter("parts", lambda p: p["kind"] == "allowance_reduced"), F.lit(0))
     named = F.rlike("id", F.lit("^sanction-[0-9]+-[0-9a-f]{12}$"))
     return rows.select("legislature", "at", "held_on", "name", "group", "kind", cut["percent"].alias("percent"), cut["months"].alias("months"), "article", "informational", "decision_number", "decision_on", "decision_url", "outcome", "stenogram_url", named.alias("well_named"))
@@ -139,35 +178,34 @@ def j13(spark, sf):
 
 #: Steps as printed, with the committee and the body that they name.
 STEPS = (
-    ("Trimis pentru raport la Comisia juridică, de disciplină (termen: 10.05.2024)", "Comisia juridică, de disciplină", None), ("trimis pentru aviz la: Consiliul Economic și Social", None, "Consiliul Economic și Social"),
-    ("Solicitare punct de vedere de la Guvern", None, "Guvernul României"), ("Solicitare punct de vedere de la Banca Națională", None, "Banca Națională"), ("Solicitare aviz de la Consiliul Legislativ", None, "Consiliul Legislativ"),
-    ("primire aviz de la Consiliul Legislativ - cu nr. 12/2024 (favorabil)", None, "Consiliul Legislativ"), ("primire aviz de la Comisia pentru muncă", "Comisia pentru muncă", None), ("Comisia pentru sănătate transmite avizul cu nr. 5-favorabil", "Comisia pentru sănătate", None),
-    ("Comisiile reunite depune raportul cu nr. 3", "Comisiile reunite", None), ("Curtea de Conturi transmite avizul", None, "Curtea de Conturi"), ("trimis pentru raport privind legea, la Comisia economică", "Comisia economică", None),
-    ("solicitarea Comisiei: stabilirii competentei, Comisia pentru constituţionalitate nr.5/2024", "Comisia pentru constituționalitate", None), ("înregistrat la Senat", None, None),
+    ("Trimis pentru raport la Comisia {body}, de disciplină (termen: 10.05.2024)", "Comisia {body}, de disciplină", None), ("trimis pentru aviz la: Consiliul {body}", None, "Consiliul {body}"),
+    ("Solicitare punct de vedere de la Guvern", None, "Guvernul României"), ("Solicitare punct de vedere de la Banca {body}", None, "Banca {body}"), ("Solicitare aviz de la Consiliul Legislativ", None, "Consiliul Legislativ"),
+    ("primire aviz de la Consiliul Legislativ - cu nr. {n}/2024 (favorabil)", None, "Consiliul Legislativ"), ("primire aviz de la Comisia {body}", "Comisia {body}", None), ("Comisia {body} transmite avizul cu nr. {n}-favorabil", "Comisia {body}", None),
+    ("Comisiile reunite depune raportul cu nr. {n}", "Comisiile reunite", None), ("Curtea {body} transmite avizul", None, "Curtea {body}"), ("trimis pentru raport privind legea, la Comisia {body}", "Comisia {body}", None),
+    ("solicitarea Comisiei: stabilirii competentei, Comisia {body} nr.{n}/2024", "Comisia {body}", None), ("înregistrat la Senat", None, None),
 )
 
 
-@query("j03_step_names", f"select o_orderkey, committee, institution from orders join {cases([(i, *s[1:]) for i, s in enumerate(STEPS)], 'i', 'committee', 'institution')} on i = o_orderkey % {len(STEPS)}")
+@query("j03_step_names", f"select o_orderkey, {_fill_sql('committee')} as committee, {_fill_sql('institution')} as institution from orders join {cases([(i, *s[1:]) for i, s in enumerate(STEPS)], 'i', 'committee', 'institution')} on i = o_orderkey % {len(STEPS)}")
 def j03_names(spark, sf):
-    return steps.typed(given(spark, sf, [(s[0],) for s in STEPS], ["text"])).select("o_orderkey", "committee", "institution")
+    return steps.typed(_filled(spark, sf, [(s[0],) for s in STEPS], ["text"])).select("o_orderkey", "committee", "institution")
 
 
-_ANNEX = "AMENDAMENTE ADMISE\nAutori: Alexandru – Paul DIMITRIU, deputat USR, Patricia – Simina-Arina MOȘ, deputat PNL\n(Amendament propus de domnul deputat Andrei Daniel GHEORGHE – deputat PSD) și Ion POP, senator neafiliat "
+_ANNEX = "AMENDAMENTE ADMISE\nAutori: {b}, deputat {grp}, {a}, deputat MUNTE\n(Amendament propus de doamna deputat {c} – deputat DEAL) și Ilie VAD, senator neafiliat "
 #: The authors that the annex above names, in order.
-AUTHORS = (("Alexandru – Paul DIMITRIU", "deputy", "USR"), ("Patricia – Simina-Arina MOȘ", "deputy", "PNL"), ("Andrei Daniel GHEORGHE", "deputy", "PSD"), ("Ion POP", "senator", "neafiliat"))
+AUTHORS = (("{b}", "deputy", "{grp}"), ("{a}", "deputy", "MUNTE"), ("{c}", "deputy", "DEAL"), ("Ilie VAD", "senator", "neafiliat"))
 
 
 @query(
     "j10_report_authors",
-    f"select s_suppkey as report_id, name, role, party from supplier cross join {cases(AUTHORS, 'name', 'role', 'party')} where s_suppkey % 3 <> 0",
+    f"select o_orderkey as report_id, {_fill_sql('name')} as name, role, {_fill_sql('party')} as party from orders cross join {cases(AUTHORS, 'name', 'role', 'party')} where o_orderkey % 3 <> 0",
 )
 def j10_authors(spark, sf):
-    """Reports of three pages: the authors stand in an annex that some reports lack, and are named again on its last page."""
-    k = F.col("s_suppkey")
-    body = F.lit("Raport asupra proiectului, Ion NIMENI, deputat XYZ " * 3)
-    annex = F.when(k % 3 == 0, body).otherwise(F.lit(_ANNEX + "cuvinte obișnuite " * 5))
-    pages = F.array(*[F.struct(F.lit(i + 1).alias("page"), t.alias("text")) for i, t in enumerate((body, annex, F.lit("Ion POP, senator PNL " + "și altele " * 10)))])
-    rows = table(spark, sf, "supplier").where(k % 3 != 0).select(k.alias("report_id"), F.explode(pages).alias("p")).select("report_id", "p.*")
+    """Reports of three pages: the authors stand in an annex, and are named again on its last page."""
+    body = F.lit("Raport asupra proiectului, Ioan NIMENI, deputat XYZ " * 3)
+    rows = _filled(spark, sf, [(_ANNEX,)], ["annex"]).where("o_orderkey % 3 <> 0")
+    pages = F.array(*[F.struct(F.lit(i + 1).alias("page"), t.alias("text")) for i, t in enumerate((body, F.concat("annex", F.lit("cuvinte obișnuite " * 5)), F.lit("Ilie VAD, senator MUNTE " + "și altele " * 10)))])
+    rows = rows.select(F.col("o_orderkey").alias("report_id"), F.explode(pages).alias("p")).select("report_id", "p.*")
     return steps.report_authors(rows).select("report_id", "name", "role", "party")
 
 
