@@ -15,10 +15,10 @@ def group_totals(votes: DataFrame, by: list[str], choice: str, kinds: dict[str,
 
 def agreement(votes: DataFrame, vote: str, group: str, member: str, choice: str, yes: str, no: str, other: str, least: int = 4) -> DataFrame:
     """How often a member votes as the strict plurality of the others of the group, where at least so many others voted."""
-    of = lambda v: F.count_if(F.col(choice) == v)
-    totals = votes.groupBy(vote, group).agg(of(yes).alias("f"), of(no).alias("a"), of(other).alias("s"))
-    own = lambda v: (F.col(choice) == v).cast("int")
-    rest = votes.join(totals, [vote, group]).withColumns({"f": F.col("f") - own(yes), "a": F.col("a") - own(no), "s": F.col("s") - own(other)})
+    # the others' totals stand beside each ballot in one exchange
+    together = W.partitionBy(vote, group)
+    others = lambda v: F.count_if(F.col(choice) == v).over(together) - F.coalesce((F.col(choice) == v).cast("int"), F.lit(0))
+    rest = votes.where(F.col(vote).isNotNull() & F.col(group).isNotNull()).withColumns({"f": others(yes), "a": others(no), "s": others(other)})
     f, a, s = F.col("f"), F.col("a"), F.col("s")
     line = F.when((f > a) & (f > s), yes).when((a > f) & (a > s), no).when((s > f) & (s > a), other)
     told = rest.where(f + a + s >= least).withColumn("line", line).where("line is not null")
@@ -27,8 +27,9 @@ def agreement(votes: DataFrame, vote: str, group: str, member: str, choice: str,
 
 def without_conflicts(votes: DataFrame, keys: list[str], choice: str, group: str, unknown: str = "unknown") -> DataFrame:
     """One row for each key; differing choices become unknown, differing groups null."""
-    # One value: the least is the greatest, null counting as a value of its own. One exchange, and it combines before it.
-    one = lambda c: F.when(F.min(F.coalesce(c, F.lit(""))) == F.max(F.coalesce(c, F.lit(""))), F.max(c))
+    # One value: the least is the greatest, null being a value of its own, apart from the empty string. One exchange, and it combines before it.
+    told = lambda c: F.struct(c.isNull().alias("none"), c.alias("value"))
+    one = lambda c: F.when(F.min(told(c)).eqNullSafe(F.max(told(c))), F.max(c))
     return votes.groupBy(*keys).agg(F.coalesce(one(F.col(choice)), F.lit(unknown)).alias(choice), one(F.col(group)).alias(group), F.count("*").alias("rows"))
 
 

@@ -52,6 +52,24 @@ def parse_filters(given: dict[str, str | list[str] | None], allowed: dict[str, t
     return out | {k: one[k].strip() for k in free if (one.get(k) or "").strip()}
 
 
+def request_columns(raw: dict[str, Column], allowed: dict[str, tuple[str, ...]], free: tuple[str, ...] = ("q", "group", "legislature")) -> dict[str, Column]:
+    """What parse_filters keeps of a request, for requests in columns: null where a filter is not valid."""
+    blank = lambda c: F.nullif(F.btrim(c), F.lit(""))
+    out = {}
+    if "year" in raw:
+        out["year"] = F.when(raw["year"].rlike("^[0-9]{4}$"), raw["year"])
+    if "month" in raw:
+        out["month"] = F.when(raw["month"].rlike("^0*([1-9]|1[0-2])$"), raw["month"].try_cast("int").cast("string"))
+    out |= {k: F.when(raw[k].isin(*values), raw[k]) for k, values in allowed.items() if k in raw}
+    return out | {k: blank(raw[k]) for k in free if k in raw}
+
+
+def clamped(raw: Column, default: int = 10, most: int = 30) -> Column:
+    """clamp_limit of a column."""
+    number = F.btrim(raw).try_cast("int")
+    return F.when(number.isNull(), default).otherwise(F.least(F.lit(most), F.greatest(F.lit(1), number)))  # least and greatest skip nulls
+
+
 def encode_cursor(day: str, key: str | int) -> str:
     return base64.urlsafe_b64encode(json.dumps([day, key]).encode()).decode().rstrip("=")
 
@@ -173,18 +191,14 @@ def priority_pick(sources: list[DataFrame], key: str, most: int) -> DataFrame:
     return ranked.groupBy(key).agg(F.min("priority").alias("priority")).orderBy("priority", key).limit(most)
 
 
-def holding(texts: DataFrame, names: DataFrame, text: str, name: str, most: int = 2000, gram: int = 3) -> DataFrame:
+def holding(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int = 3) -> DataFrame:
     """Pairs of texts and the names that they contain, anywhere in a word too.
 
-    A short list of names, at most `most` as counted, goes to every text. A longer one meets the texts by a run of `gram` characters: the first of the name is
-    one of the text's, and the rest is compared only there. Names shorter than a run are in the first way if they are few, which they are.
+    They meet by a run of `gram` characters, the first of the name and any of the text's, or by all of a shorter name, and the rest is compared only there:
+    one plan, whatever the names are and how many. Null and empty names are in no text.
     """
-    few = names.limit(most + 1).count() <= most
-    if few:
-        return texts.join(F.broadcast(names), F.contains(text, name))
-    short = F.length(name) < gram
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(gram))))
-    keyed = texts.withColumn("__run", F.explode(runs)).join(names.where(~short).withColumn("__run", F.left(F.col(name), F.lit(gram))), "__run").where(F.contains(text, name)).drop("__run")
-    tiny = names.where(short)
-    assert tiny.limit(most + 1).count() <= most, "too many names of one or two letters"
-    return keyed.unionByName(texts.join(F.broadcast(tiny), F.contains(text, name)))
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    parts = lambda n: F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(n)))
+    runs = F.array_distinct(F.flatten(F.array(*[parts(n) for n in range(1, gram + 1)])))
+    keyed = texts.withColumn("__run", F.explode(runs)).join(names.where(F.length(name) > 0).withColumn("__run", F.left(F.col(name), F.lit(gram))), "__run")
+    return keyed.where(F.contains(text, name)).drop("__run")

@@ -353,15 +353,22 @@ def a19(spark, sf):
     return archive.markdown(by, headings, ["chamber"]).join(told, "line", "left_semi").select("at", "line")
 
 
-#: Requests, and what is left of them: year, month, chamber, words.
-REQUESTS = (
-    ({"year": "1996", "month": "3", "chamber": "P", "q": " urgent "}, ("1996", "3", "P", "urgent")), ({"year": "96", "month": "13", "chamber": "X"}, (None, None, None, None)), ({"year": ["1997", "1998"], "month": "0", "q": "  "}, ("1997", None, None, None)),
-    ({"month": "012"}, (None, "12", None, None)), ({}, (None, None, None, None)),
-)
-
-
-@query("b04_request_filters", f"select i as request, year, month, chamber, q, least(30, greatest(1, lim)) as \"limit\" from {cases([(i, *r[1], (10, 99, 0, 7, 10)[i]) for i, r in enumerate(REQUESTS)], 'i', 'year', 'month', 'chamber', 'q', 'lim')}")
+@query(
+    "b04_request_filters",
+    """with r as (select o_orderkey as request, o_orderkey % 5 as k, year(o_orderdate) as y, month(o_orderdate) as m, o_orderstatus as s, lower(o_orderpriority) as w, o_custkey % 60 - 10 as n from orders)
+    select request, case when k in (0, 3) then y::varchar end as year, case when k in (0, 1, 4) then m::varchar when k = 2 and m <= 2 then (m + 10)::varchar end as month, case when k < 3 then s end as chamber, case when k <> 4 then w end as q,
+    case when k = 1 then 10 else least(30, greatest(1, n)) end as "limit" from r""",
+)
 def b04(spark, sf):
-    limits = ("x", "99", "0", "7", None)
-    rows = [(i, *(R.parse_filters(r[0], {"chamber": ("F", "O", "P")}).get(c) for c in ("year", "month", "chamber", "q")), R.clamp_limit(n)) for i, (r, n) in enumerate(zip(REQUESTS, limits, strict=True))]
-    return spark.createDataFrame(rows, "request int, year string, month string, chamber string, q string, limit int")
+    """A request of each order: years and months as people write them, some not valid, a chamber, words between spaces, and a limit."""
+    k, o = F.col("o_orderkey") % 5, table(spark, sf, "orders")
+    y, m = F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string")
+    raw = {
+        "year": F.when(k.isin(0, 3), y).when(k == 1, F.right(y, F.lit(2))).when(k == 2, F.concat(y, F.lit("x"))),
+        "month": F.when(k == 0, m).when(k == 1, F.lpad(m, 2, "0")).when(k == 2, (F.month("o_orderdate") + 10).cast("string")).when(k == 3, F.concat(m, F.lit(".5"))).otherwise(F.concat(F.lit("00"), m)),
+        "chamber": F.when(k < 3, F.col("o_orderstatus")).when(k == 3, F.lower("o_orderstatus")),
+        "q": F.when(k == 4, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.lower("o_orderpriority"), F.lit("  "))),
+    }
+    limit = F.when(k == 1, F.lit("many")).otherwise((F.col("o_custkey") % 60 - 10).cast("string"))
+    found = R.request_columns(raw, {"chamber": ("F", "O", "P")})
+    return o.select(F.col("o_orderkey").alias("request"), *[c.alias(n) for n, c in found.items()], R.clamped(limit).alias("limit"))

@@ -14,6 +14,7 @@ from tallyloom.operators import relational as R
 from tallyloom.operators import temporal as T
 from tallyloom.operators import text_index as X
 from tallyloom.plans.joins import LEG_SQL, PERIODS, legislatures, periods
+from tallyloom.plans.people import I12_SQL
 from tallyloom.plans.registry import query
 from tallyloom.session import scratch_folder, table
 
@@ -197,7 +198,12 @@ def ministries(spark, sf):
     return by.select("ministry", "holders", "first_on", "last_on", (-F.col("now.p")).alias("holder"), F.col("now.s").alias("since"))
 
 
-@query("n_missions")
+@query(
+    "n_missions",
+    f"""with t as ({I12_SQL}), n as (select place, max(struct_pack(s := started_on, h := holder)) filter (where ended in ('open', 'lapsed')) as now,
+      max(struct_pack(e := ended_on, s := started_on, h := holder)) filter (where ended_on is not null) as gone, count(distinct holder) as holders from t where started_on is not null group by 1)
+    select place, now.h as holder, now.s as since, gone.h as before, cast(holders as int) as holders from n""",
+)
 def missions(spark, sf):
     """Posts with one seat (each user's, from views and purchases as appointments and recalls): who holds it, since when, who before, and how many did."""
     e = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase"))

@@ -4,7 +4,6 @@ import hashlib
 import re
 from collections import defaultdict
 
-from tallyloom.operators import identity
 from tallyloom.plans import registry
 from tallyloom.session import table
 
@@ -59,9 +58,57 @@ def test_whole_pages_are_squashed(spark):
     assert {r.page_id: r.squashed for r in got(spark, "h05_squash_whole")} == {k: squash(h) for k, h in pages.items()}
 
 
-def test_ordered_lists_hold_few_rows(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(identity, "ordered_assignment", lambda items: seen.append(items) or items)
-    registry.queries()["i25_ordered_assignment"](spark, DIR.replace("0.001", "0.1"))
-    sizes = [r["count"] for r in seen[0].groupBy("block").count().collect()]
-    assert sum(sizes) == table(spark, DIR.replace("0.001", "0.1"), "supplier").count() and max(sizes) <= 50
+def test_ordered_lists_get_what_lies_on_every_cheapest_way(spark):
+    """Every choice of units for every list, by brute force."""
+    at = DIR.replace("0.001", "0.01")
+    rows = sorted((r.s_suppkey, r.s_name) for r in table(spark, at, "supplier").select("s_suppkey", "s_name").collect())
+    blocks, want = defaultdict(list), set()
+    for k, name in rows:
+        blocks[k // 100 * 2 + k % 2].append((k, name, [f"u{k // 4}", f"u{k // 7}"] if k % 3 == 0 else [f"u{k // 4}"]))
+
+    def cost(a, b):
+        return 1 if a[2] != b[2] else 0 if b[1] >= a[1] else 3
+
+    for block, items in blocks.items():
+        # a way's last unit and what it has chosen at each item with two -> its cost; of those that end alike only the cheapest go on
+        states = {(u, ()): 0 for u in items[0][2]} if len(items[0][2]) == 1 else {(u, (u,)): 0 for u in items[0][2]}
+        for a, b in zip(items, items[1:]):
+            new = {}
+            for (u, told), c in states.items():
+                for v in b[2]:
+                    key = (v, told + (v,) if len(b[2]) > 1 else told)
+                    new[key] = min(new.get(key, 10**9), c + cost((*a[:2], u), (*b[:2], v)))
+            least = {}
+            for (v, told), c in new.items():
+                least[v] = min(least.get(v, 10**9), c)
+            states = {k: c for k, c in new.items() if c == least[k[0]]}
+        best = min(states.values())
+        chosen = [told for (_, told), c in states.items() if c == best]
+        for i, (k, _, units) in enumerate([x for x in items if len(x[2]) > 1]):
+            if len({t[i] for t in chosen}) == 1 and len(set(units)) > 1:
+                want.add((block, k, chosen[0][i]))
+    got = {(r.block, r.item, r.unit) for r in registry.queries()["i25_ordered_assignment"](spark, at).collect()}
+    assert got == want and want
+
+
+def test_word_differences_are_shortest(spark):
+    """Each side reads back, and what is the same is a longest common subsequence."""
+    import json
+
+    texts = {r.item_id: r.text for r in table(spark, DIR, "benchmark").collect()}
+    got = {r.item_id: r.diff for r in registry.queries()["j08_word_diff"](spark, DIR).collect()}
+    assert set(got) == set(texts)
+    for k, text in texts.items():
+        if text is None or max(len(text), len(text) + 5) > 4000:
+            assert got[k] is None
+            continue
+        before, after = (re.findall(r"\s+|\S+", t)[:240] for t in (text, re.sub(r"^(\S+)\s", r"\1 also ", text)))
+        parts = json.loads(got[k])
+        read = lambda kinds: "".join(p["text"] for p in parts if p["kind"] in kinds)
+        assert read(("same", "removed")) == "".join(before) and read(("same", "added")) == "".join(after)
+        row = [0] * (len(after) + 1)
+        for a in before:
+            last = 0
+            for j, b in enumerate(after, 1):
+                last, row[j] = row[j], last + 1 if a == b else max(row[j], row[j - 1])
+        assert sum(len(re.findall(r"\s+|\S+", p["text"])) for p in parts if p["kind"] == "same") == row[-1]
