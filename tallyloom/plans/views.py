@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators import aggregates as A
+from tallyloom.operators import government as G
 from tallyloom.operators import identity as I
 from tallyloom.operators import relational as R
 from tallyloom.operators import temporal as T
@@ -284,3 +285,66 @@ def text_search(spark, sf):
     phrase = F.array_join(F.slice(X.words(F.col("text")), F.lit(1), F.lit(1) + (F.col("item_id") % 3).cast("int")), " ")
     found = X.search(spark, at, table(spark, sf, "benchmark").select("item_id", phrase.alias("phrase")), "phrase")
     return X.snippets(found, docs, "doc_id", "text").withColumnsRenamed({"id": "doc_id", "at": "at_word"})
+
+
+_GOVERNMENTS = """g as (select r_regionkey as government, date '1995-06-01' + cast(r_regionkey as int) * 400 as g_from, case when r_regionkey < 4 then date '1995-06-01' + cast(r_regionkey as int) * 400 + 399 end as g_to from region),
+    a as (select government, n_nationkey as party, g_from + cast(n_nationkey as int) * 3 - 10 as a_from, case when n_nationkey % 4 = 0 then g_from + 200 end as a_to from g, nation where (n_nationkey + government) % 3 < 2)"""
+
+
+@query(
+    "n_government_support",
+    f"""with {PERIODS}, {_GOVERNMENTS},
+    m as (select l_suppkey, s_nationkey as party, case o_orderstatus when 'F' then 'deputies' else 'senate' end as chamber, s, e from periods join supplier on s_suppkey = l_suppkey where o_orderstatus in ('F', 'O')),
+    o as (select l_suppkey, chamber, min(s) + 30 as o_from, max(e) - 30 as o_to from m group by 1, 2),
+    h as (select government, party, chamber, l_suppkey, g_from, greatest(a_from, g_from, s, o_from) as f, least(coalesce(a_to, date '9999-12-31'), coalesce(g_to, date '9999-12-31'), e, o_to) as t
+      from a join g using (government) join m using (party) join o using (l_suppkey, chamber)),
+    p as (select government, party, chamber, l_suppkey, bool_or(f <= g_from and t >= g_from) as at_start from h where f <= t group by 1, 2, 3, 4)
+    select government, party, count(*) filter (where at_start and chamber = 'deputies') as deputies, count(*) filter (where at_start and chamber = 'senate') as senators, count(*) as total, count(*) filter (where not at_start) as joined_later from p group by 1, 2""",
+)
+def government_support(spark, sf):
+    """Governments of each region, nations as parties that stand with some of them, suppliers as members of their groups in two chambers."""
+    start = F.date_add(F.lit("1995-06-01").cast("date"), F.col("r_regionkey") * 400)
+    g = table(spark, sf, "region").select(F.col("r_regionkey").alias("government"), start.alias("starts_on"), F.when(F.col("r_regionkey") < 4, F.date_add(start, 399)).alias("ends_on"))
+    party = table(spark, sf, "nation").select(F.col("n_nationkey").alias("party"))
+    kind = F.get(F.array(F.lit("government"), F.lit("governing_support"), F.lit("opposition")), (F.col("party") + F.col("government")) % 3)
+    aligned = g.join(F.broadcast(party)).select("government", "party", kind.alias("alignment"), F.date_add("starts_on", F.col("party") * 3 - 10).alias("starts_on"), F.when(F.col("party") % 4 == 0, F.date_add("starts_on", 200)).alias("ends_on"))
+    chambers = F.explode(F.array(F.lit("deputies"), F.lit("senate"))).alias("chamber")
+    groups = party.select("party", chambers).withColumn("group", F.concat_ws("-", "party", "chamber"))
+    sits = periods(spark, sf).where(F.col("o_orderstatus").isin("F", "O")).join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    sits = sits.withColumn("chamber", F.when(F.col("o_orderstatus") == "F", "deputies").otherwise("senate"))
+    member = F.concat_ws("-", "l_suppkey", "chamber").alias("member")
+    memberships = sits.select(member, F.col("l_suppkey").alias("person"), F.concat_ws("-", "s_nationkey", "chamber").alias("group"), F.col("s").alias("starts_on"), F.col("e").alias("ends_on"))
+    mandates = sits.groupBy(member).agg(F.date_add(F.min("s"), 30).alias("starts_on"), F.date_sub(F.max("e"), 30).alias("ends_on"))
+    return G.support(G.supporters(g, aligned, groups, memberships, mandates))
+
+
+@query(
+    "n_abroad_by_country",
+    """with v as (select o_orderstatus as election, c_nationkey as place, cast(floor(o_totalprice / 1000) as bigint) as votes from orders join customer on c_custkey = o_custkey),
+    w as (select election, case when place % 20 = 7 or (election = 'P' and place % 4 = 0) then 'place ' || place else 'country ' || place end as place, votes from v),
+    s as (select election, case when place like 'country%' then upper(place) end as country, cast(sum(votes) as bigint) as votes from w group by 1, 2),
+    t as (select election, coalesce(sum(votes) filter (where country is not null), 0) / sum(votes) as covered from s group by 1)
+    select election, country, votes, covered, covered >= 0.9 as drawn from s join t using (election)""",
+)
+def abroad_by_country(spark, sf):
+    """Votes cast abroad: of one election too many stand under places that are in no country of the list, so it has no map of countries."""
+    v = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderstatus").alias("election"), F.col("c_nationkey").alias("n"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("votes"))
+    odd = (F.col("n") % 20 == 7) | ((F.col("election") == "P") & (F.col("n") % 4 == 0))
+    v = v.select("election", F.concat(F.when(odd, "place ").otherwise("country "), F.col("n").cast("string")).alias("place"), "votes")
+    known = table(spark, sf, "nation").select(F.concat(F.lit("country "), F.col("n_nationkey").cast("string")).alias("place"))
+    return G.by_country(v, "election", "place", "votes", known.select("place", F.upper("place").alias("country")))
+
+
+@query(
+    "n_bill_explorer",
+    """with b as (select c_custkey as bill, c_name as title, c_mktsegment as status, max(cast(o_orderdate as date)) as latest_on, count(o_orderkey) as votes from customer left join orders on o_custkey = c_custkey group by 1, 2, 3),
+    f as (select *, coalesce(latest_on, date '1000-01-01') as moved_on from b where status in ('BUILDING', 'MACHINERY') and contains(lower(title), '1') and votes >= 1)
+    select bill, title, status, latest_on, votes from f where (moved_on, bill) < (date '2001-01-01', 100) order by moved_on desc, bill desc limit 11""",
+)
+def bill_explorer(spark, sf):
+    """Bills by words, status and whether they were voted on, the last to move first, from a cursor on; one row more tells of a next page."""
+    asked = R.parse_filters({"q": " 1 ", "group": "BUILDING"}, {})
+    votes = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.to_date("o_orderdate")).alias("latest_on"), F.count("*").alias("votes"))
+    bills = table(spark, sf, "customer").where(F.contains(F.lower("c_name"), F.lit(asked["q"])) & F.col("c_mktsegment").isin(asked["group"], "MACHINERY")).join(votes, "c_custkey")
+    rows = bills.select(F.col("c_custkey").alias("bill"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("status"), "latest_on", "votes")
+    return R.keyset_page(rows, "latest_on", "bill", R.clamp_limit("10"), R.decode_cursor(R.encode_cursor("2001-01-01", 100)))

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # What the official vote list of a day has in each row, and its chambers.
 DAY_ROW = "VOTID string, TIME_VOT string, DESCRIERE string, CAMERA string, PREZENTI string, NU_AU_VOTAT string, AU_VOTAT_DA string, AU_VOTAT_NU string, AU_VOTAT_AB string"
 CHAMBERS = {"0": "joint", "1": "senate", "2": "deputies"}
+#: Rows of the longest report.
+MOST_LINES = 10_000
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -138,15 +140,16 @@ def acts(answers: DataFrame, key: str, xml: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, headings: dict[str, str], order: list[Column | str]) -> DataFrame:
-    """A table as the lines of a Markdown table (at, line), in a total order; numbers are set right."""
+    """A table as the lines of a Markdown table (at, line), in a total order; numbers are set right. A report is for readers: one of more than
+    `MOST_LINES` rows is an error, and no more than that are ever in one place."""
     right = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float") or t.startswith("decimal")}
     head = "| " + " | ".join(headings.values()) + " |"
     rule = "| " + " | ".join("---:" if c in right else "---" for c in headings) + " |"
     cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in headings]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     keyed = df.select(F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order]).alias("__o"), line.alias("line"))
-    # A report is for readers: its rows are few (months, chambers), and one list puts them in order.
-    rows = keyed.agg(F.sort_array(F.collect_list(F.struct("__o", "line"))).alias("all")).select(F.concat(F.array(F.lit(head), F.lit(rule)), F.transform("all", lambda x: x["line"])).alias("all"))
+    rows = keyed.limit(MOST_LINES + 1).agg(F.sort_array(F.collect_list(F.struct("__o", "line"))).alias("all"))
+    rows = rows.withColumn("all", F.when(F.size("all") > MOST_LINES, F.raise_error(F.lit(f"a report of more than {MOST_LINES} rows is not one for readers"))).otherwise(F.col("all"))).select(F.concat(F.array(F.lit(head), F.lit(rule)), F.transform("all", lambda x: x["line"])).alias("all"))
     return rows.select(F.posexplode("all").alias("at", "line"))
 
 
