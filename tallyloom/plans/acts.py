@@ -131,6 +131,30 @@ def j12(spark, sf):
     return years.select("o_orderkey", "y.party", "y.year", "y.income", F.size("y.lines").alias("lines"), dues.alias("dues"), "y.expenses", "y.adds_up", "violations", "fine")
 
 
+#: Reports that tell in sentences, and of each year what they say: party, year, income, lines, the first line's kind and amount, expenses, whether it adds up, and the note.
+SENTENCES = (
+    ("RAPORT privind veniturile și cheltuielile Uniunii Câmpiei {land} în anii 2001 și 2002 EMITENT. Cuprins: Constatări. Constatări: Pentru anul 2001 veniturile Uniunii Câmpiei {land} au totalizat {m2} lei, fiind obținute din cotizații în sumă de {m} lei, donații în sumă de 2.000,00 lei. Cheltuielile au fost în sumă de {m} lei. Formațiunea politică nu a declarat venituri și cheltuieli pentru anul 2002. În urma controlului efectuat nu s-au aplicat sancțiuni.",
+     (("Uniunea Câmpiei {land}", "2001", "{M2}", 2, "dues", "{M}", "{M}", True, None), ("Uniunea Câmpiei {land}", "2002", None, 0, None, None, None, False, "not_declared"))),
+    ("RAPORT privind veniturile și cheltuielile Partidului Râului {land} în anul {y} EMITENT. Constatări: Partidul a avut venituri în cuantum de {m} lei și nu a avut cheltuieli. II. Sancțiuni aplicate.",
+     (("Partidul Râului {land}", "{y}", "{M}", 0, None, None, "0", False, None),)),
+    ("RAPORT privind veniturile și cheltuielile Partidului Râului {land} în anii 2003-2004 EMITENT. Constatări: Partidul nu a obținut venituri în anul 2003 și a efectuat cheltuieli în sumă de {n},50 lei. Veniturile în anul 2004 au fost în valoare totală de {m} lei. Cheltuielile totale au totalizat {m2} lei. Partidul nu a depus pentru anul 2004 toate acele documente. București, 1.",
+     (("Partidul Râului {land}", "2003", "0", 0, None, None, "{n}.50", True, "none"), ("Partidul Râului {land}", "2004", "{M}", 0, None, None, "{M2}", False, "not_submitted"))),
+    ("RAPORT despre altceva. Constatări: Nimic.", ()),
+)
+
+
+@query(
+    "j12_sentence_reports",
+    f"""select o_orderkey, {_fill_sql('party')} as party, cast({_fill_sql('year')} as int) as year, cast({_fill_sql('income')} as decimal(16,2)) as income, lines, kind, cast({_fill_sql('amount')} as decimal(16,2)) as amount,
+    cast({_fill_sql('expenses')} as decimal(16,2)) as expenses, adds_up, note from orders
+    join {cases([(i, *y) for i, r in enumerate(SENTENCES) for y in r[1]], 'i', 'party', 'year', 'income', 'lines', 'kind', 'amount', 'expenses', 'adds_up', 'note')} on i = o_orderkey % {len(SENTENCES)}""",
+)
+def j12_sentences(spark, sf):
+    rows = finance.sentence_reports(_filled(spark, sf, [(r[0],) for r in SENTENCES], ["text"]), "o_orderkey", "text")
+    first = F.get("lines", F.lit(0))
+    return rows.select("o_orderkey", "party", "year", "income", F.size("lines").alias("lines"), first["kind"].alias("kind"), first["lei"].alias("amount"), "expenses", "adds_up", "note")
+
+
 #: Campaign reports: party, kind of election, year, contributions, expenses, asked for, invalidated, warned.
 CAMPAIGNS = (
     ("privind verificarea legalității veniturilor și cheltuielilor electorale ale Partidului Râului {land}, cu ocazia alegerilor pentru Senat și Camera Deputaților din anul {y}. Constatări: – contribuțiile electorale au fost în cuantum de {m2} lei; – cheltuielile electorale au fost în cuantum de {m} lei. Suma cheltuielilor solicitate în vederea rambursării este de {m} lei. Comisia a invalidat suma de {n},50 lei.", "Partidul Râului {land}", "parliamentary", "{y}", "{M2}", "{M}", "{M}", "{n}.50", False),
