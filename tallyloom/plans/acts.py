@@ -345,6 +345,25 @@ def a09(spark, sf):
     return archive.day_votes(days.unionByName(empty), "day", "xml").select("day", "id", "held_on", "time", "chamber", "present", "for", "against", "test", "consistent")
 
 
+@query(
+    "a09_portal_acts",
+    """select o_custkey as answer, case o_orderkey % 3 when 0 then 'DECRET' when 1 then 'LEGE' else '' end as type, case when o_orderkey % 4 = 0 then 'Președintele & "alții"' else 'Parlamentul <României>' end as issuer,
+    'privind ' || lower(o_orderpriority) || ' nr. ' || o_orderkey as title, case when o_orderkey % 5 = 0 then '' else 'http://portal/' || o_orderkey || '?a=1&b=2' end as link, 'Art. 1 ' || o_orderstatus as text from orders""",
+)
+def a09_acts(spark, sf):
+    """The acts in a portal's answers, one answer for each customer's orders; between them stand other elements."""
+    k = F.col("o_orderkey")
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    tag = lambda name, c: F.concat(F.lit(f"<a:{name}>"), text(c), F.lit(f"</a:{name}>"))
+    act = F.concat(
+        F.lit("<a:Legi>\n"), tag("TipAct", F.when(k % 3 == 0, "DECRET").when(k % 3 == 1, "LEGE").otherwise("")), tag("Emitent", F.when(k % 4 == 0, 'Președintele & "alții"').otherwise("Parlamentul <României>")),
+        tag("Titlu", F.concat(F.lit("  privind\n "), F.lower("o_orderpriority"), F.lit(" nr.\t"), k.cast("string"), F.lit(" "))), tag("LinkHtml", F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("http://portal/"), k.cast("string"), F.lit("?a=1&b=2")))),
+        tag("Text", F.concat(F.lit("Art. 1\n\n"), "o_orderstatus")), F.lit("</a:Legi>"),
+    )
+    answers = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("answer")).agg(F.concat(F.lit("<s:Envelope><Pagina>1</Pagina>"), F.array_join(F.collect_list(act), "<b/>"), F.lit("</s:Envelope>")).alias("xml"))
+    return archive.acts(answers, "answer", "xml")
+
+
 @query(
     "a10_raw_pages",
     """select case when page_id % 3 = 0 then 'list' else 'page' end as kind, 'k' || page_id as key, case when page_id % 4 = 0 then 2 else 1 end as version, strlen(coalesce(html, '')) as bytes, sha256(coalesce(html, '')) as sha256 from pages""",

@@ -33,9 +33,11 @@ def h04(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.slug(F.col("p_type")).alias("slug"))
 
 
-@query("h05_squash", "select page_id, trim(regexp_replace(substr(html, 1, 200), '\\s+', ' ', 'g')) as squashed from pages")
+@query("h05_squash", "with s as (select page_id, trim(regexp_replace(html, '\\s+', ' ', 'g')) as t from pages) select page_id, length(t) as chars, left(t, 200) as head, right(t, 200) as tail from s")
 def h05(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.squash(F.substring("html", 1, 200)).alias("squashed"))
+    """Whole pages with single spaces: how long they are, and how they begin and end."""
+    t = X.squash(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("chars"), F.left(t, F.lit(200)).alias("head"), F.right(t, F.lit(200)).alias("tail"))
 
 
 @query("h05_squash_whole", "select page_id, md5(trim(regexp_replace(html, '\\s+', ' ', 'g'))) as squashed from pages")
