@@ -112,3 +112,87 @@ def test_word_differences_are_shortest(spark):
             for j, b in enumerate(after, 1):
                 last, row[j] = row[j], last + 1 if a == b else max(row[j], row[j - 1])
         assert sum(len(re.findall(r"\s+|\S+", p["text"])) for p in parts if p["kind"] == "same") == row[-1]
+
+
+def told_roles(events, governments):
+    """Who held what, told from the rules anew: a list of facts about roles, each closed once, looked through from the start at every decree."""
+    from datetime import date
+
+    govs = sorted(governments, key=lambda g: g.starts_on)
+    never = date(9999, 1, 1)
+
+    def lasts(g):
+        if g.ends_on is None or g.acting:
+            return g.ends_on
+        after = [x for x in govs if x.starts_on >= g.ends_on]
+        nxt = next((x for x in after if not x.acting), None)
+        return nxt.starts_on if nxt and [x for x in after if x.acting and x.starts_on < nxt.starts_on] else g.ends_on
+
+    by = {g.government: g for g in govs}
+    roles, notes, begun = [], [], set()  # a role: [government, person, post, interim, start, end, reason, carried, origin, dropped]
+
+    def close(r, day, why):
+        if r[8] is not None and day == r[4]:
+            r[8][6], r[5], r[9] = why, day, True
+        else:
+            r[5], r[6] = day, why
+
+    live = lambda test=lambda r: True: [r for r in roles if r[5] is None and not r[9] and test(r)]
+    for e in sorted(events, key=lambda e: (e.day, e.seq)):
+        for g in govs:
+            if g.starts_on <= e.day and g.government not in begun:
+                begun.add(g.government)
+                before = [x for x in govs if not x.acting and x.starts_on < g.starts_on][-1:]
+                if g.carry_over and not g.acting and not g.skip and before and not before[0].skip:
+                    for r in live(lambda r, b=before[0].government: r[0] == b):
+                        close(r, g.starts_on, "government_ended")
+                        roles.append([g.government, r[1], r[2], r[3], g.starts_on, None, None, True, r, False])
+        for r in live():
+            if (lasts(by[r[0]]) or never) < e.day:
+                close(r, lasts(by[r[0]]), "government_ended")
+        now = [g for g in govs if g.starts_on <= e.day][-1:]
+        if not now or now[0].skip or (e.type == "roster" and now[0].acting):
+            notes.append((None, e.person, e.post, None, e.day, None, e.type, None, "outside"))
+            continue
+        g = now[0].government
+        begin = lambda person, post, interim, e=e, g=g: roles.append([g, person, post, interim, max(e.day, by[g].starts_on), None, None, False, None, False])
+        if e.type == "roster":
+            named = [(m.person, m.post) for m in e.members]
+            for r in live(lambda r, g=g: r[0] == g):
+                if r[3] and r[2] in {p for _, p in named}:
+                    close(r, e.day, "interim_ended")
+                elif not r[3] and (r[1], r[2]) not in named:
+                    close(r, e.day, "new_cabinet")
+            for person, post in named:
+                if not live(lambda r, g=g, who=(person, post): r[0] == g and not r[3] and (r[1], r[2]) == who):
+                    begin(person, post, False)
+        elif e.type in ("appoint", "interim"):
+            for r in live(lambda r, e=e: r[2] == e.post and (r[3] or e.type == "appoint")):
+                close(r, e.day, "interim_ended" if r[3] else "replaced")
+            begin(e.person, e.post, e.type == "interim")
+        elif e.type == "suspend":
+            notes.append((None, e.person, e.post, None, e.day, None, e.type, None, "suspension"))
+        else:
+            found = live(lambda r, e=e: r[1] == e.person and e.post in (None, r[2]) and (r[3] or e.type != "interim_end"))
+            found = found or ([] if e.type == "interim_end" else live(lambda r, e=e: r[1] == e.person))
+            if not found:
+                notes.append((None, e.person, e.post, None, e.day, None, e.type, None, "without_open_role"))
+            for r in found:
+                close(r, e.day, {"interim_end": "interim_ended", "dismiss": "dismissed", "resign": "resigned"}[e.type])
+    for r in live():
+        if lasts(by[r[0]]) is not None:
+            close(r, lasts(by[r[0]]), "government_ended")
+    kept = [r for r in roles if not r[9] and not (r[4] == r[5] and r[6] in ("replaced", "interim_ended", "new_cabinet"))]
+    return [(*r[:8], "role") for r in kept] + notes
+
+
+def test_cabinets_are_what_the_rules_tell(spark):
+    from tallyloom.plans.records import decrees
+
+    events, governments = (df.collect() for df in decrees(spark, DIR))
+    want = []
+    for block in {e.block for e in events}:
+        want += [(block, *r) for r in told_roles([e for e in events if e.block == block], [g for g in governments if g.block == block])]
+    columns = ["block", "government", "person", "post", "interim", "starts_on", "ends_on", "reason", "carried", "kind"]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns)) for r in got(spark, "i11_replay"))
+    assert len({r[-1] for r in want}) == 4
