@@ -44,13 +44,15 @@ CONTENT_WORDS = {"article", "articlebody", "content", "entry", "main", "maincont
 BOILERPLATE = {"nav", "footer", "aside", "dialog", "menu", "button", "fieldset", "legend", "label"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "tablist", "toolbar"}
 BOILERPLATE_WORDS = {
-    "ad", "ads", "adv", "alert", "announcement", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "billboard", "breadcrumb", "breadcrumbs", "captcha", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
+    "ad", "adbox", "adcontainer", "ads", "adslot", "adspace", "adunit", "adv", "alert", "announcement", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "billboard", "breadcrumb", "breadcrumbs", "captcha", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
     "copyright", "discussion", "disclaimer", "disqus", "dropdown", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "paywall",
     "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "shoutbox", "sidebar", "signup", "skip", "social",
     "sponsor", "sponsored", "subscribe", "subscription", "taboola", "tagcloud", "toc", "toolbar", "topbar", "widget", "widgets",
 }
-#: Marks that a main or article element inside takes back: pages put all they hold into one form, or name the layout by its sidebar.
-WEAK = {"form", "sidebar", "banner", "search", "widget", "header"}
+#: Marks that a main or article element inside takes back: pages put all they hold into one form, or a search around its results.
+WEAK = {"form", "search", "header"}
+#: Beside these, "sidebar" names a layout and not a part of the page.
+LAYOUT_WORDS = {"container", "has", "layout", "no", "page", "with", "without", "wrapper"}
 
 #: Of a block's log-odds: constant, for each word up to MOST, sentence end, share of link text, by element, and by what is around it.
 WEIGHTS = {"bias": -1.5, "word": 0.1, "sentence": 1.0, "links": -5.0, "p": 0.5, "h1": 1.5, "li": -0.4, "td": -0.4, "inside": 4.0, "outside": -3.0, "boilerplate": -14.0}
@@ -93,6 +95,8 @@ def opened(name: str, attributes: str, parent: Element) -> Element:
     found = {k.lower(): a or b or c for k, a, b, c in _ONE.findall(attributes)} if attributes else {}
     role = found.get("role", "").lower()
     words = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")} if found and name not in ("body", "html") else set()
+    if "sidebar" in words and words & LAYOUT_WORDS:
+        words.discard("sidebar")
     mark = None
     if name in BOILERPLATE:
         mark = name

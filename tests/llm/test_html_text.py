@@ -29,8 +29,9 @@ def test_whole_table(spark):
 
 MARKED = """<!DOCTYPE html><html><body class="has-sidebar single"><header class="page-header"><h1>The Site</h1><a href=/>Home</a></header><nav><ul><li><a href="/a">A</a></ul></nav>
 <div id="cookie-notice" class="visible">We use cookies to make this site better, and you may accept all of them, please.</div>
-<div class="content overflow-hidden"><h1>The&nbsp;story</h1><p>First part of it, long enough to look like one &amp; more.</p><div class="ad">Buy now! The best offers of this year are all here.</div>
-<p>Second<br>part.<ul><li>one item<li>two items</ul><blockquote>Words of <i>some</i>body.</blockquote><h2>Why</h2><p>It ends here.</p><p hidden>Not to be seen by anybody at all.</p></div>
+<div class="layout-with-sidebar"><div class="content overflow-hidden"><h1>The&nbsp;story</h1><p>First part of it, long enough to look like one &amp; more.</p><div class="ad">Buy now! The best offers of this year are all here.</div>
+<p>Second<br>part.<ul><li>one item<li>two items</ul><blockquote>Words of <i>some</i>body.</blockquote><h2>Why</h2><p>It ends here.</p><p hidden>Not to be seen by anybody at all.</p></div></div>
+<div class="left-sidebar"><article class="teaser"><p>A teaser in an article element, which is long enough to look like content as well.</p></article></div>
 <aside><h3>Popular</h3><p>A teaser that is long enough to look like content to any classifier of texts.</p></aside>
 <section id="comments"><h3>Comments</h3><article class="comment"><p>I disagree with all of it, and have many words to say why it is so.</p></article></section>
 <form action="/s"><p>Type here what you are looking for.</p></form><footer><p>&copy; The Site. All rights reserved.</p></footer></body></html>"""
