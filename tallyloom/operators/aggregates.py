@@ -27,9 +27,8 @@ def agreement(votes: DataFrame, vote: str, group: str, member: str, choice: str,
 
 def without_conflicts(votes: DataFrame, keys: list[str], choice: str, group: str, unknown: str = "unknown") -> DataFrame:
     """One row for each key; differing choices become unknown, differing groups null."""
-    # One value: the least is the greatest, null being a value of its own, apart from the empty string. One exchange, and it combines before it.
-    told = lambda c: F.struct(c.isNull().alias("none"), c.alias("value"))
-    one = lambda c: F.when(F.min(told(c)).eqNullSafe(F.max(told(c))), F.max(c))
+    # One value: no null among others, and the least is the greatest; the empty string is a value like others. One exchange, and it combines before it.
+    one = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.max(c))
     return votes.groupBy(*keys).agg(F.coalesce(one(F.col(choice)), F.lit(unknown)).alias(choice), one(F.col(group)).alias(group), F.count("*").alias("rows"))
 
 
