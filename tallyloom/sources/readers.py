@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import uuid
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -95,23 +97,41 @@ class _Outline(HTMLParser):
             self.rows[-1][-1] += data
 
 
-def outline(html: str | None) -> tuple[str, list[str], list[list[str]]]:
+#: A whole character reference: where a text was cut inside one, what is left of it stays as it stands.
+_REFERENCE = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);")
+
+
+def _address(text: str) -> str:
+    return _REFERENCE.sub(lambda m: unescape(m[0]), text)
+
+
+def _written_out(text: str) -> str:
+    return " ".join(_address(text).split())
+
+
+def _outline(html: str | None) -> _Outline:
     p = _Outline()
-    p.feed(html or "")
+    p.feed((html or "").replace("&", "&amp;"))  # references come through as they are printed
     p.close()
-    clean = lambda s: " ".join(s.split())
-    return clean(p.title), p.links, [[clean(c) for c in r] for r in p.rows if r]
+    return p
+
+
+def outline(html: str | None) -> tuple[str, list[str], list[list[str]]]:
+    p = _outline(html)
+    return _written_out(p.title), [_address(x) for x in p.links], [[_written_out(c) for c in r] for r in p.rows if r]
 
 
 def pages(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, title, links, rows of saved pages."""
+    """key, title, links, rows of saved pages, and printed_title, in which no character reference is written out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [outline(h) for h in b[html]]
-            yield pd.DataFrame({key: b[key], "title": [f[0] for f in found], "links": [f[1] for f in found], "rows": [f[2] for f in found]})
+            read = [_outline(h) for h in b[html]]
+            cells = [[[_written_out(c) for c in r] for r in p.rows if r] for p in read]
+            links = [[_address(x) for x in p.links] for p in read]
+            yield pd.DataFrame({key: b[key], "title": [_written_out(p.title) for p in read], "links": links, "rows": cells, "printed_title": [" ".join(p.title.split()) for p in read]})
 
-    return df.select(key, html).mapInPandas(run, f"{key} long, title string, links array<string>, rows array<array<string>>")
+    return df.select(key, html).mapInPandas(run, f"{key} long, title string, links array<string>, rows array<array<string>>, printed_title string")
 
 
 def xml_records(df: DataFrame, column: str, schema: str) -> DataFrame:
