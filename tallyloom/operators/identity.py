@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,39 +52,56 @@ def match_by_name(probe: DataFrame, members: DataFrame, name: str, target: str,
     longer's; the same number of words, each at most one letter off in a long word. Several at a step settle it: nobody is chosen. With `on`, a day of the
     probe, only members sitting then (starts_on, ends_on) count.
     """
-    words = _words(F.col(name))
+    words, day = _words(F.col(name)), [on] if on else []
     known = ["starts_on", "ends_on"] if on else []
-    p = probe.withColumns({"__id": F.monotonically_increasing_id(), "__w": words, "__s": F.array_sort(F.array_distinct(words))})
-    p = materialise(p, "names")  # the row numbers are written, so that all steps speak of the same rows
-    m = members.select(F.col(target).alias("__t"), words.alias("__mw"), F.array_sort(F.array_distinct(words)).alias("__ms"), *known).distinct()
-    long = p.where(F.size("__s") >= 2).select("__id", "__w", "__s", *([F.col(on).alias("__on")] if on else []))
+    # Records of one name and day ask the same question, and members of one name and time give the same answer: each is asked and kept once.
+    p = probe.withColumn("__w", words)
+    q = p.select("__w", *[F.col(c).alias("__on") for c in day]).where(F.size(F.array_distinct("__w")) >= 2).distinct()
+    q = q.withColumns({"__id": F.sha2(F.to_json(F.struct(*q.columns), {"ignoreNullFields": "false"}), 256), "__s": F.array_sort(F.array_distinct("__w"))})
+    long = materialise(q, "names")
+    m = members.select(F.col(target).alias("__t"), words.alias("__mw"), *known).groupBy("__mw", *known).agg(F.min("__t").alias("__t"), F.max("__t").alias("__u"))
+    m = materialise(m.withColumn("__ms", F.array_sort(F.array_distinct("__mw"))), "members")
     sits = T.active_on(F.col("starts_on"), F.col("ends_on"), F.col("__on")) | F.col("__on").isNull() if on else F.lit(True)
-    pick = lambda pairs, step: pairs.groupBy("__id").agg(F.min("__t").alias("t"), F.count_distinct("__t").alias("n")).withColumn("step", F.lit(step))
+    # Files of long names look small to the planner; met by shuffles, nothing of them goes through the driver.
+    meet = lambda x, y, key: x.hint("merge").join(y.hint("merge"), key)
+    pick = lambda pairs, step: pairs.groupBy("__id").agg(F.min("__t").alias("t"), F.max("__u").alias("u")).select("__id", "t", (F.col("t") != F.col("u")).alias("several"), F.lit(step).alias("step"))
 
-    same = long.join(m, F.col("__s") == F.col("__ms")).where(sits)
     joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     turned = (F.size("__w") == F.size("__mw")) & F.contains(F.concat(joined("__mw"), F.array_join("__mw", " "), F.lit(" ")), joined("__w"))
-    exact = pick(same, 1).where("n = 1").unionByName(pick(same.where(turned), 1).where("n = 1").join(pick(same, 1).where("n > 1").select("__id"), "__id", "left_semi"))
-    several = pick(same, 1).where("n > 1").join(exact.select("__id"), "__id", "left_anti")
-
-    # The two first words of the shorter name are a pair of words of the longer one: pairs of words are the key.
-    rest = long.join(same.select("__id").distinct(), "__id", "left_anti")
-    pairs = lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.concat(x, F.lit(" "), y))))
-    first = lambda c: F.concat_ws(" ", F.get(c, F.lit(0)), F.get(c, F.lit(1)))
-    all_of, of_all = rest.withColumn("__k", F.explode(pairs(F.col("__s")))), m.where(F.size("__ms") >= 2).withColumn("__k", first(F.col("__ms")))
-    longer = all_of.join(of_all, "__k").where((F.size("__ms") <= F.size("__s")) & (F.size(F.array_except("__ms", "__s")) == 0) & sits)
-    shorter = rest.withColumn("__k", first(F.col("__s"))).join(m.withColumn("__k", F.explode(pairs(F.col("__ms")))), "__k").where((F.size("__s") <= F.size("__ms")) & (F.size(F.array_except("__s", "__ms")) == 0) & sits)
-    part = longer.select("__id", "__t").unionByName(shorter.select("__id", "__t")).distinct()
-
-    last = rest.join(part.select("__id").distinct(), "__id", "left_anti")
+    same = meet(long, m, F.col("__s") == F.col("__ms")).where(sits).withColumn("__turned", turned)
+    of_turned = lambda f, c: f(F.when(F.col("__turned"), F.col(c)))
+    same = same.groupBy("__id").agg(F.min("__t").alias("t"), F.max("__u").alias("u"), of_turned(F.min, "__t").alias("tt"), of_turned(F.max, "__u").alias("tu"))
+    by_turn = (F.col("t") != F.col("u")) & (F.col("tt") == F.col("tu"))
+    exact = materialise(same.select("__id", F.when(F.coalesce(by_turn, F.lit(False)), F.col("tt")).otherwise(F.col("t")).alias("t"), (F.col("t") != F.col("u")) & ~F.coalesce(by_turn, F.lit(False)), F.lit(1).alias("step")).toDF("__id", "t", "several", "step"), "exact")
+
+    # Of two names one of which holds the other, the longer has the word of the shorter that the fewest members bear.
+    rest = long.join(exact.select("__id").hint("merge"), "__id", "left_anti")
+    each = m.select("__ms").distinct().select(F.explode("__ms").alias("__k")).groupBy("__k").agg(F.count("*").alias("__n"))
+    rest_words = rest.select("__id", F.explode("__s").alias("__k"))
+    rest_rare = meet(rest_words, each, "__k").groupBy("__id").agg(F.min(F.struct("__n", "__k")).alias("r"), F.count("*").alias("__known"))
+    rest_rare = rest_rare.select("__id", F.col("r.__k").alias("__k"), "__known")
+    names = m.select("__ms").distinct().where(F.size("__ms") >= 2)
+    names_rare = meet(names.withColumn("__k", F.explode("__ms")), each, "__k").groupBy("__ms").agg(F.min(F.struct("__n", "__k"))["__k"].alias("__k"))
+    asked = rest.select("__id", "__s")
+    longer = meet(meet(asked, rest_words, "__id"), names_rare, "__k").where((F.size("__ms") <= F.size("__s")) & (F.size(F.array_except("__ms", "__s")) == 0))
+    whole = meet(asked, rest_rare, "__id").where(F.col("__known") == F.size("__s"))  # a word that no member has: no name holds this one
+    shorter = meet(whole, names.withColumn("__k", F.explode("__ms")), "__k").where((F.size("__s") <= F.size("__ms")) & (F.size(F.array_except("__s", "__ms")) == 0))
+    held = longer.select("__id", "__ms").unionByName(shorter.select("__id", "__ms")).distinct()
+    timed = lambda pairs: meet(meet(pairs, m, "__ms"), rest.select("__id", "__on"), "__id").where(sits) if on else meet(pairs, m, "__ms")
+    part = materialise(pick(timed(held), 2), "part")
+
+    last = rest.join(part.select("__id").hint("merge"), "__id", "left_anti")
     longest = F.array_max(F.transform("__s", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    close = last.withColumn("__k", F.explode(_near_keys(F.array(longest)))).join(m.withColumn("__k", F.explode(_near_keys(F.col("__ms")))), "__k")
     fits = F.forall("__s", lambda a: F.exists("__ms", lambda b: (a == b) | ((F.least(F.length(a), F.length(b)) >= 6) & (F.levenshtein(a, b) <= 1))))
-    near = close.where((F.size("__s") == F.size("__ms")) & fits & sits).select("__id", "__t").distinct()
-
-    told = exact.unionByName(several).unionByName(pick(part, 2)).unionByName(pick(near, 3))
-    found = materialise(told.select("__id", F.when(F.col("n") == 1, F.col("t")).alias(target), (F.col("n") > 1).alias("ambiguous")), "matched")
-    return p.join(found, "__id", "left").select(*probe.columns, target, F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    close = meet(last.select("__id", "__s", F.explode(_near_keys(F.array(longest))).alias("__k")), m.select("__ms").distinct().withColumn("__k", F.explode(_near_keys(F.col("__ms")))), "__k")
+    near = pick(timed(close.where((F.size("__s") == F.size("__ms")) & fits).select("__id", "__ms").distinct()), 3)
+
+    told = exact.unionByName(part).unionByName(near).select("__id", F.when(~F.col("several"), F.col("t")).alias(target), F.col("several").alias("ambiguous"))
+    found = materialise(meet(long.drop("__s"), told, "__id").drop("__id"), "matched")
+    back = F.col("__w") == F.col("__fw")
+    if on:
+        back &= F.col(on).eqNullSafe(F.col("__on"))
+    return p.join(found.withColumnRenamed("__w", "__fw").hint("merge"), back, "left").select(*probe.columns, target, F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def _overlapping(pairs: DataFrame, members: DataFrame, mandates: DataFrame) -> DataFrame:
