@@ -117,12 +117,47 @@ def _overlapping(pairs: DataFrame, members: DataFrame, mandates: DataFrame) -> D
     return both.where((days > HAND_OVER) & ~F.coalesce(same, F.lit(False))).select("a", "b").distinct()
 
 
-def _joined_groups(rows: pd.DataFrame) -> pd.DataFrame:
+def _names_held(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs (a, b) of left (a, wa, on) and right (b, wb, on) where the words of one name are all among the other's.
+
+    They meet by the word of the shorter name that is rarest within `on`: words that many bear, and places that many hold, pair nobody.
+    """
+    left, right = materialise(left.distinct(), "left-names"), materialise(right.distinct(), "right-names")
+    words = lambda df, w: df.withColumn("word", F.explode(w))
+    count = words(left, "wa").select(*on, "word").unionByName(words(right, "wb").select(*on, "word")).groupBy(*on, "word").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, k: str) -> DataFrame:
+        best = words(df, f"w{k}").join(count.hint("merge"), [*on, "word"]).groupBy(*on, k, f"w{k}").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+        return best.hint("merge")
+
+    of_b = F.size(F.array_except("wa", "wb")) == 0
+    of_a = F.size(F.array_except("wb", "wa")) == 0
+    return rarest(left, "a").join(words(right, "wb").hint("merge"), [*on, "word"]).where(of_b).select("a", "b").unionByName(rarest(right, "b").join(words(left, "wa").hint("merge"), [*on, "word"]).where(of_a).select("a", "b")).distinct()
+
+
+def _folded(rows: DataFrame, key: str, fold, schema: str) -> DataFrame:
+    """fold(key, rows as mappings) gives tuples of schema, for each key; its rows are few. A key is a row for Python, as one group each costs more than most
+    folds, and keys are dealt over all partitions: their bytes are few, their work is not."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.repartition(n, key).groupBy(key).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != key])).alias("rows"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([t for k, mine in zip(b[key], b["rows"], strict=True) for t in fold(k, mine)], columns=names)
+
+    return packed.mapInPandas(run, schema)
+
+
+def _joined_groups(person, rows) -> list[tuple]:
     """The groups of one person in order, each joined to the first that nothing separates it from: pairs (a, b) of members to link, undecided: kept together or
     parted without a decision on every pair."""
-    apart = {frozenset(p) for pairs in rows["apart"] if pairs is not None for p in pairs}
-    decided = {frozenset(p) for pairs in rows["decided"] if pairs is not None for p in pairs}
-    groups = [list(g["member"]) for _, g in rows.sort_values("member").groupby("component", sort=False)]
+    apart = {frozenset(p) for r in rows if r["apart"] is not None for p in r["apart"]}
+    decided = {frozenset(p) for r in rows if r["decided"] is not None for p in r["decided"]}
+    by: dict = {}
+    for r in sorted(rows, key=lambda r: r["member"]):
+        by.setdefault(r["component"], []).append(r["member"])
+    groups = list(by.values())
     between = lambda x, y, known: any(frozenset((m, n)) in known for m in x for n in y)
     joined: list[list] = []
     out = []
@@ -135,7 +170,7 @@ def _joined_groups(rows: pd.DataFrame) -> pd.DataFrame:
             target += group
     open_ = len(joined) < len(groups) and not all(between(x, y, decided) for i, x in enumerate(groups) for y in groups[i + 1 :])
     out.append((None, None)) if open_ else None
-    return pd.DataFrame([(rows["person"].iloc[0], a, b, a is None) for a, b in out], columns=["person", "a", "b", "review"])
+    return [(person, a, b, a is None) for a, b in out]
 
 
 def resolve_people(members: DataFrame, mandates: DataFrame, same: DataFrame, different: DataFrame, protected: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,8 +187,8 @@ def resolve_people(members: DataFrame, mandates: DataFrame, same: DataFrame, dif
     careers = members.select(F.col("member").alias("a"), F.explode("careers").alias("profile")).join(own, "profile").select("a", "b")
 
     seat = mandates.select("member", "legislature", "chamber", X.constituency_key(F.col("constituency")).alias("place")).where("place <> ''")
-    named = lambda df, k: df.join(seat, "member").select(F.col("member").alias(k), F.col("name").alias(f"name_{k}"), "legislature", "chamber", "place")
-    fits = named(members.where("profile is null"), "a").join(named(members.where("profile is not null"), "b"), ["legislature", "chamber", "place"]).where(X.names_match(F.col("name_a"), F.col("name_b")))
+    named = lambda df, k: df.join(seat, "member").select(F.col("member").alias(k), X.name_tokens(F.col("name")).alias(f"w{k}"), "legislature", "chamber", "place").where(F.size(f"w{k}") >= 2)
+    fits = _names_held(named(members.where("profile is null"), "a"), named(members.where("profile is not null"), "b"), ["legislature", "chamber", "place"])
     one = fits.groupBy("a").agg(F.min("b").alias("b"), F.count_distinct("b").alias("n"))
 
     held = same.join(members.select("member"), "member", "left_semi")
@@ -176,7 +211,7 @@ def resolve_people(members: DataFrame, mandates: DataFrame, same: DataFrame, dif
     settled = both_ways.unionByName(mates).distinct()
     of = lambda pairs, name: pairs.groupBy("a").agg(F.collect_set(F.array("a", "b")).alias(name)).withColumnRenamed("a", "member")
     rows = some.select("person", "member", "component").join(of(apart, "apart"), "member", "left").join(of(settled, "decided"), "member", "left")
-    kept = materialise(rows.groupBy("person").applyInPandas(_joined_groups, "person string, a string, b string, review boolean"), "kept")
+    kept = materialise(_folded(rows, "person", _joined_groups, "person string, a string, b string, review boolean"), "kept")
 
     final = E.connected(evidence.unionByName(kept.where("not review").select("a", "b")))
     grouped = members.join(final.withColumnRenamed("id", "member"), "member", "left").withColumn("group", F.coalesce("component", "member")).drop("component")
@@ -195,35 +230,40 @@ def resolve_people(members: DataFrame, mandates: DataFrame, same: DataFrame, dif
     links = ties.select(F.concat(F.lit("g:"), "group").alias("a"), F.concat(F.lit("p:"), "person").alias("b"))
     blocks = E.connected(links).where("id like 'g:%'").select(F.substring("id", 3, 1 << 20).alias("group"), F.col("component").alias("block"))
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
+    def choose(block, part) -> list[tuple]:
         taken, out = set(), []
-        for g in sorted(part.to_dict("records"), key=lambda g: (g["pinned"] is None, -g["size"], g["first"])):
+        for g in sorted(part, key=lambda g: (g["pinned"] is None, -g["size"], g["first"])):
             mine = sorted((w for w in (g["wishes"] if g["wishes"] is not None else [])), key=lambda w: (-w["kept"], -w["n"], w["person"]))
             free = [w["person"] for w in mine if w["person"] not in taken]
             person = g["pinned"] if g["pinned"] is not None and g["pinned"] not in taken else free[0] if free else None
             taken.add(person)
             out.append((g["group"], person, g["name"]))
-        return pd.DataFrame(out, columns=["group", "person", "name"])
+        return out
 
-    chosen = wishes.join(blocks, "group", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("g:"), "group"))).groupBy("block").applyInPandas(choose, "group string, person string, name string")
-    chosen = materialise(chosen, "chosen")
+    placed = wishes.join(blocks, "group", "left").withColumn("block", F.coalesce("block", F.concat(F.lit("g:"), "group")))
+    placed = materialise(placed.withColumn("groups", F.count("*").over(W.partitionBy("block"))), "placed")
+    first = F.get(F.array_sort(F.transform("wishes", lambda w: F.struct((-w["kept"]).alias("kept"), (-w["n"]).alias("n"), w["person"].alias("person")))), F.lit(0))["person"]
+    alone = placed.where("groups = 1").select("group", F.coalesce("pinned", first).alias("person"), "name")  # nobody else asks for its persons
+    chosen = materialise(alone.unionByName(_folded(placed.where("groups > 1"), "block", choose, "group string, person string, name string")), "chosen")
     # New people get a name of their own: the slug, numbered from 2 where it is taken already.
     fresh = chosen.where("person is null").withColumn("base", F.concat(F.lit("person-"), X.slug(F.col("name"))))
     used = members.where("person is not null").select("person").unionByName(chosen.where("person is not null").select("person")).distinct()
     used = used.withColumn("base", F.regexp_replace("person", r"-\d+$", "")).unionByName(used.withColumn("base", F.col("person"))).groupBy("base").agg(F.collect_set("person").alias("used"))
 
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        base, taken, out = part["base"].iloc[0], set(part["used"].iloc[0] if part["used"].iloc[0] is not None else ()), []
-        for group in sorted(part["group"]):
+    def number(base, part) -> list[tuple]:
+        taken, out = set(part[0]["used"] if part[0]["used"] is not None else ()), []
+        for group in sorted(r["group"] for r in part):
             name, n = base, 1
             while name in taken:
                 n += 1
                 name = f"{base}-{n}"
             taken.add(name)
             out.append((group, name))
-        return pd.DataFrame(out, columns=["group", "person"])
+        return out
 
-    new = fresh.join(used, "base", "left").groupBy("base").applyInPandas(number, "group string, person string")
+    fresh = materialise(fresh.join(used, "base", "left").withColumn("groups", F.count("*").over(W.partitionBy("base"))), "fresh")
+    free = (F.col("groups") == 1) & ~F.coalesce(F.array_contains("used", F.col("base")), F.lit(False))
+    new = fresh.where(free).select("group", F.col("base").alias("person")).unionByName(_folded(fresh.where(~free).select("base", "group", "used"), "base", number, "group string, person string"))
     people = materialise(chosen.where("person is not null").select("group", "person", F.lit(False).alias("new")).unionByName(new.withColumn("new", F.lit(True))), "people")
     moved = F.when(F.col("was").isNull(), "unassigned").when(F.col("new"), "split").otherwise("merged")
     result = grouped.select("member", F.col("person").alias("was"), "group").join(people, "group").select("member", F.col("was").alias("person_was"), "person", F.when(~F.col("was").eqNullSafe(F.col("person")), moved).alias("reason"))
