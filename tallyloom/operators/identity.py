@@ -416,25 +416,30 @@ def grouped_pages(pages: DataFrame) -> DataFrame:
     """
     keyed = pages.select("page", F.explode("keys").alias("key"))
     edges = keyed.join(keyed.groupBy("key").agg(F.min("page").alias("first")), "key").where("page <> first").select(F.col("first").alias("a"), F.col("page").alias("b"))
-    blocks = pages.join(E.connected(edges).select(F.col("id").alias("page"), "component"), "page", "left").withColumn("block", F.coalesce("component", "page"))
+    blocks = materialise(pages.select("page", "main", "law", "keys").join(E.connected(edges).select(F.col("id").alias("page"), F.col("component").alias("block")), "page", "left"), "blocks")
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(block, rows) -> list[tuple]:
         group, owner = {}, {}
         members: dict[int, list] = {}
-        for r in rows.sort_values("page").itertuples():
-            group[r.page], members[r.page] = r.page, [r]
-            for key in sorted(r.keys):
-                other = owner.setdefault(key, r.page)
-                a, b = group[other], group[r.page]
-                laws = {x.law for x in members[a] + members[b] if x.law}
-                if a == b or sum(x.main for x in members[a] + members[b]) > 1 or len(laws) > 1:
+        mains, laws = {}, {}
+        for r in sorted(rows, key=lambda r: r["page"]):
+            page = r["page"]
+            group[page], members[page], mains[page], laws[page] = page, [page], int(r["main"]), {r["law"]} if r["law"] else set()
+            for key in sorted(r["keys"]):
+                other = owner.setdefault(key, page)
+                a, b = group[other], group[page]
+                if a == b or mains[a] + mains[b] > 1 or len(laws[a] | laws[b]) > 1:
                     continue
                 low, high = min(a, b), max(a, b)
-                members[low] += members.pop(high)
-                group |= {x.page: low for x in members[low]}
-        return pd.DataFrame(sorted(group.items()), columns=["page", "group"])
-
-    return blocks.select("block", "page", "main", "law", "keys").groupBy("block").applyInPandas(settle, "page long, group long")
+                moved = members.pop(high)
+                members[low] += moved
+                mains[low] += mains.pop(high)
+                laws[low] |= laws.pop(high)
+                group |= {x: low for x in moved}
+        return sorted(group.items())
+
+    alone = blocks.where("block is null").select("page", F.col("page").alias("group"))
+    return alone.unionByName(_folded(blocks.where("block is not null"), "block", settle, "page long, group long"))
 
 
 def ordered_assignment(items: DataFrame) -> DataFrame:
