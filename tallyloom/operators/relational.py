@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.session import materialise
+
 
 def all_of(*conditions: Column | None) -> Column:
     """AND of the conditions that are given; none gives true."""
@@ -195,10 +197,16 @@ def holding(texts: DataFrame, names: DataFrame, text: str, name: str, gram: int
     """Pairs of texts and the names that they contain, anywhere in a word too.
 
     They meet by a run of `gram` characters, the first of the name and any of the text's, or by all of a shorter name, and the rest is compared only there:
-    one plan, whatever the names are and how many. Null and empty names are in no text.
+    one plan, whatever the names are and how many. Runs carry a digest of the text, not the text, and each text is cut into runs once over in time with
+    its length, only at lengths that some name begins with. Null and empty names are in no text.
     """
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    parts = lambda n: F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(n)))
-    runs = F.array_distinct(F.flatten(F.array(*[parts(n) for n in range(1, gram + 1)])))
-    keyed = texts.withColumn("__run", F.explode(runs)).join(names.where(F.length(name) > 0).withColumn("__run", F.left(F.col(name), F.lit(gram))), "__run")
-    return keyed.where(F.contains(text, name)).drop("__run")
+    start = F.left(F.col(name), F.lit(gram))
+    named = materialise(names.where(F.length(name) > 0).withColumn("__run", start), "named")  # from files its size is known: few names go to the texts
+    lengths = named.select(F.length("__run").alias("__n")).distinct()
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digested = texts.where(F.col(text).isNotNull()).withColumn("__text", F.sha2(F.col(text), 256)).repartition(tasks, "__text")
+    cut = lambda n: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    by_length = F.coalesce(*[F.when(F.col("__n") == n, cut(n)) for n in range(1, gram + 1)])
+    runs = digested.join(F.broadcast(lengths)).select("__text", F.explode(F.array_distinct(by_length)).alias("__run"))
+    met = runs.join(named, "__run").drop("__run").distinct()
+    return digested.join(met, "__text").where(F.contains(text, name)).drop("__text")
