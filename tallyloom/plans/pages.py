@@ -56,18 +56,17 @@ def a08_cells(spark, sf):
 @query("a08_ballots", f"""with {LINES} select page_id, 'member-deputies-' || l_suppkey as member_id, name, grp as "group", choice from b""")
 def a08_ballots(spark, sf):
     """Ballots read back from the written vote pages."""
-    return tables.ballots(tables.cells(vote_pages(spark, sf)))
+    return tables.page_ballots(vote_pages(spark, sf))
 
 
 @query("a08_records", f"""with {LINES} select page_id, cast(number as int) as "row", name, grp as "group", vote from b""")
 def a08_records(spark, sf):
     """The rows of the ballots' tables by their headers."""
-    found = tables.records(tables.cells(vote_pages(spark, sf)))
+    found = tables.page_records(vote_pages(spark, sf))
     return found.select("page_id", "row", F.col("record")["Nume si prenume"].alias("name"), F.col("record")["Grup"].alias("group"), F.col("record")["Vot"].alias("vote"))
 
 
 @query("a08_ballot_gaps", f"""with {LINES}, {TOTALS_SQL} select page_id, 'for' as choice, yes - 1 as read, yes as announced from t where page_id % 50 = 0""")
 def a08_gaps(spark, sf):
     """Pages whose ballots do not add up to what they announce."""
-    pages = vote_pages(spark, sf)
-    return tables.gaps(tables.ballots(tables.cells(pages)), tables.announced(pages))
+    return tables.page_gaps(vote_pages(spark, sf))

@@ -1,18 +1,23 @@
 """Tables of saved pages: a grid of cells with spans and nesting, records by header, and the ballots of nominal vote pages.
 
-A page is read once, in Python; what comes out is a relation of cells, and all else is joins and aggregations of it. A cell takes the first free
-column of its row, and with its spans it occupies a rectangle: cells of later rows move to the right of it. Spans end with the group of rows (head, body, foot)
-that they began in. A table inside a cell is a table of its own, numbered after the one around it, and its text is not the outer cell's.
+A page is read once, in Python: `cells` gives what stands where, `lines` the rows of its grids, `page_records` its records. A page lies in one row, so that none of them,
+nor ballots, shuffles anything; `records` and `ballots` do the same from a relation of cells. A cell takes the first free column of its row, and with its spans it occupies a
+rectangle: cells of later rows move to the right of it. Spans end with the group of rows (head, body, foot) that they began in. A table inside a cell is a table of its own,
+numbered after the one around it, and its text is not the outer cell's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tallyloom.functions.text import fold_ro
 from tallyloom.session import bounded_batches
@@ -20,6 +25,10 @@ from tallyloom.session import bounded_batches
 CELLS = "table int, parent int, row int, column int, row_span int, col_span int, header boolean, text string, links array<string>"
 #: Limits of HTML for spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: A tag as nearly all are written, and an attribute of it. A page with anything else after a `<`, or with an element whose text is no markup, is the parser's.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z-]+(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'=<>`/]+))?)*)>""", re.ASCII)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""", re.ASCII)
+_RAW = re.compile(r"<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)", re.IGNORECASE)
 
 
 def _span(attributes: dict, name: str, most: int) -> int:
@@ -56,7 +65,7 @@ class _Grid(HTMLParser):
             self.n += 1
         if not self.open:
             return
-        t, at = self.open[-1], dict(attrs)
+        t, at = self.open[-1], dict(attrs) if attrs else {}
         if tag in ("thead", "tbody", "tfoot"):
             self.end_group(t)
             t.head = tag == "thead"
@@ -113,6 +122,22 @@ class _Grid(HTMLParser):
         self.done += t.group
         t.group, t.taken, t.cell = [], {}, None
 
+    def read(self, html: str) -> None:
+        """The events of a whole page: of a plain one straight from its tags, of any other from the parser."""
+        parts = _TAG.split(html)
+        if _RAW.search(html) or any("<" in text for text in parts[::4]):
+            self.feed(html)
+            return self.close()
+        for text, end, tag, attributes in zip(parts[::4], ["", *parts[1::4]], ["", *parts[2::4]], ["", *parts[3::4]], strict=True):
+            if end:
+                self.handle_endtag(tag.lower())
+            elif tag:
+                found = [(n.lower(), unescape(a or b or c) if a or b or c else None) for n, a, b, c in _ATTRIBUTE.findall(attributes)] if attributes else ()
+                self.handle_starttag(tag.lower(), found)
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+        self.close()
+
     def close(self):
         super().close()
         while self.open:
@@ -122,24 +147,99 @@ class _Grid(HTMLParser):
 def grid(html: str | None) -> list[dict]:
     """The cells of a page, table by table, each with the place it has on the grid."""
     g = _Grid()
-    g.feed(html or "")
-    g.close()
+    g.read(html or "")
     for c in g.done:
         c["text"] = " ".join("".join(c.pop("parts")).split())
     return sorted(g.done, key=lambda c: (c["table"], c["row"], c["column"]))
 
 
-def cells(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and CELLS of every cell of every table of saved pages; a page without tables has no rows."""
+def _each_page(df: DataFrame, keep: list[str], html: str, told: Callable[[str | None], list[tuple]], schema: str) -> DataFrame:
+    """keep, and a row of schema for each tuple that is told of a page."""
     bounded_batches(df.sparkSession)
-    names = [c.split()[0] for c in CELLS.split(", ")]
+    out = StructType([*df.select(keep).schema, *StructType.fromDDL(schema)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(out)
         for b in batches:
-            found = [(k, *[c[n] for n in names]) for k, page in zip(b[key], b[html], strict=True) for c in grid(page)]
-            yield pd.DataFrame(found, columns=[key, *names]).astype({"parent": "Int32"})
+            at, found = [], []
+            for i, page in enumerate(b.column(len(keep)).to_pylist()):
+                rows = told(page)
+                at += [i] * len(rows)
+                found += rows
+            columns = zip(*found, strict=True) if found else [()] * (len(out) - len(keep))
+            kept = [b.column(i).take(pa.array(at, "int64")) for i in range(len(keep))]
+            made = [pa.array(c, f.type) for c, f in zip(columns, list(types)[len(keep) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=out.names)
 
-    return df.select(key, html).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {CELLS}")
+    return df.select(*keep, html).mapInArrow(run, out)
+
+
+def cells(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and CELLS of every cell of every table of saved pages; a page without tables has no rows."""
+    names = [c.split()[0] for c in CELLS.split(", ")]
+    return _each_page(df, [key], html, lambda page: [tuple(c[n] for n in names) for c in grid(page)], CELLS)
+
+
+def _rows(found: list[dict]) -> dict[tuple[int, int], list[dict]]:
+    """The cells that cover each row of the grids of a page, by column, by (table, row)."""
+    rows: dict[tuple[int, int], list[dict]] = {}
+    for c in found:
+        for r in range(c["row"], c["row"] + c["row_span"]):
+            rows.setdefault((c["table"], r), []).append(c)
+    for row in rows.values():
+        row.sort(key=lambda c: c["column"])
+    return rows
+
+
+def _texts(row: list[dict]) -> list[str | None]:
+    """What stands in each column of a row, of two cells in one place the first."""
+    out: list[str | None] = []
+    for c in row:
+        out += [None] * (c["column"] - len(out))
+        out += [c["text"]] * (c["column"] + c["col_span"] - len(out))
+    return out
+
+
+def lines(df: DataFrame, key: str = "page_id", html: str = "html", says: tuple[str, ...] = (), keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """key, keep, table, row, texts (by column), links and says of every row of the grids of saved pages, spans filled; says is whether some cell of the
+    page holds each of the given patterns. With outer a page without tables has one row."""
+    wanted = [re.compile(p) for p in says]
+
+    def told(page: str | None) -> list[tuple]:
+        found = grid(page)
+        text = "\n".join(c["text"] for c in found)
+        said = [p.search(text) is not None for p in wanted]
+        rows = [(*at, _texts(row), [link for c in row for link in c["links"]], said) for at, row in _rows(found).items()]
+        return rows or ([(None, None, [], [], said)] if outer else [])
+
+    return _each_page(df, [key, *keep], html, told, "table int, row int, texts array<string>, links array<string>, says array<boolean>")
+
+
+def _recorded(page: str | None) -> list[tuple]:
+    """table, row and record of a page's rows below headers, as `records` tells them."""
+    rows = _rows(grid(page))
+    names: dict[tuple[int, int], list[str]] = {}
+    for (table, _), row in sorted(rows.items()):
+        if all(c["header"] for c in row):
+            for at, text in sorted((x, c["text"]) for c in row for x in range(c["column"], c["column"] + c["col_span"])):
+                names.setdefault((table, at), []).append(text)
+    named = {at: " ".join(dict.fromkeys(texts)) for at, texts in names.items()}
+    out = []
+    for (table, r), row in rows.items():
+        if not all(c["header"] for c in row):
+            record: dict[str, str] = {}
+            for c in row:
+                for x in range(c["column"], c["column"] + c["col_span"]):
+                    if (table, x) in named:
+                        record.setdefault(named[table, x], c["text"])
+            if record:
+                out.append((table, r, list(record.items())))
+    return out
+
+
+def page_records(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """`records` straight from saved pages."""
+    return _each_page(df, [key], html, _recorded, "table int, row int, record map<string,string>")
 
 
 def filled(found: DataFrame) -> DataFrame:
@@ -175,32 +275,52 @@ def choice(text: Column) -> Column:
     return told
 
 
-def ballots(found: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, member_id, name, group, choice from the cells of nominal vote pages of either house or both: rows that are numbered, link to a
-    profile and have a choice, or, on the upper house's pages, name a member and mark one column. Rows of other tables are no ballots."""
-    rows = [key, "table", "row"]
-    says = lambda pattern: F.bool_or(F.col("text").rlike(pattern))
-    joint = says(r"(?i)\bParlamentar\b") & says("(?i)Camera Deputat") & says(r"(?i)\bSenat\b")
-    line = filled(found).groupBy(*rows).agg(F.collect_list(F.struct("column", "text")).alias("c"), F.flatten(F.collect_list("links")).alias("links"))
-    line = line.join(found.groupBy(key).agg(joint.alias("joint")), key)
-    cell = lambda n: F.get(F.filter("c", lambda x: x["column"] == n), F.lit(0))["text"]
+def _marked(line: DataFrame) -> Column:
+    """The ballots of a row of texts, links and joint: an array of member_id, name, group and choice."""
+    cell = lambda n: F.get("texts", F.lit(n))
     profile = F.get(F.filter("links", lambda x: x.rlike(r"structura(2015)?\.mp")), F.lit(0))
     idm, cam = F.regexp_extract(profile, r"[?&]idm=(\d+)", 1), F.regexp_extract(profile, r"[?&]cam=(\d)", 1)
     numbered = cell(0).rlike(r"^\d+\.$") & (idm != "") & (cell(1) != "")
     role = F.lower(cell(2))
     house = F.when(~F.col("joint"), "deputies").when((role == "senator") | (cam == "1"), "senate").when((role == "deputat") | (cam == "2"), "deputies")
     pick = lambda k: F.when(F.col("joint"), cell(SHAPES["joint"][k])).otherwise(cell(SHAPES["deputies"][k]))
-    lower = line.where(numbered).select(key, F.concat(F.lit("member-"), house, F.lit("-"), idm).alias("member_id"), cell(1).alias("name"), F.trim(F.regexp_replace(pick(1), r"(?i)\(afiliat\)", "")).alias("group"), choice(pick(2)).alias("choice"))
+    told = lambda member, name, group, said: F.struct(member.alias("member_id"), name.alias("name"), group.alias("group"), said.alias("choice"))
+    lower = told(F.concat(F.lit("member-"), house, F.lit("-"), idm), cell(1), F.trim(F.regexp_replace(pick(1), r"(?i)\(afiliat\)", "")), choice(pick(2)))
     senator = F.regexp_extract(F.get(F.filter("links", lambda x: x.contains("ParlamentarID=")), F.lit(0)), r"ParlamentarID=([^&']+)", 1)
     marked = F.coalesce(*[F.when(F.upper(cell(k)) == "X", v) for k, v in MARKS.items()])
-    upper = line.where(senator != "").select(key, F.concat(F.lit("member-senate-"), senator).alias("member_id"), F.concat_ws(" ", cell(1), cell(0)).alias("name"), cell(2).alias("group"), marked.alias("choice"))
-    return lower.unionByName(upper).where("member_id is not null and choice is not null")
+    upper = told(F.concat(F.lit("member-senate-"), senator), F.concat_ws(" ", cell(1), cell(0)), cell(2), marked)
+    return F.filter(F.array(F.when(numbered, lower), F.when(senator != "", upper)), lambda b: b["member_id"].isNotNull() & b["choice"].isNotNull())
+
+
+#: What some cell of a joint sitting's page says, each.
+JOINT = (r"(?i)\bParlamentar\b", "(?i)Camera Deputat", r"(?i)\bSenat\b")
+
+
+def ballots(found: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, member_id, name, group, choice from the cells of nominal vote pages of either house or both: rows that are numbered, link to a
+    profile and have a choice, or, on the upper house's pages, name a member and mark one column. Rows of other tables are no ballots."""
+    rows = [key, "table", "row"]
+    says = lambda pattern: F.bool_or(F.col("text").rlike(pattern))
+    line = filled(found).groupBy(*rows).agg(F.collect_list(F.struct("column", "text")).alias("c"), F.flatten(F.collect_list("links")).alias("links"))
+    line = line.withColumn("texts", F.transform(F.sequence(F.lit(0), F.array_max("c.column")), lambda i: F.get(F.filter("c", lambda x: x["column"] == i), F.lit(0))["text"]))
+    line = line.join(found.groupBy(key).agg((says(JOINT[0]) & says(JOINT[1]) & says(JOINT[2])).alias("joint")), key)
+    return line.select(key, F.inline(_marked(line)))
+
+
+def page_ballots(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """`ballots` straight from saved pages."""
+    line = lines(df, key, html, JOINT).withColumn("joint", F.forall("says", lambda x: x))
+    return line.select(key, F.inline(_marked(line)))
 
 
 def announced(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key and the totals that a page prints of itself, null where it prints none."""
+    return df.select(key, *_totals(html))
+
+
+def _totals(html: str) -> list[Column]:
     text = F.regexp_replace(F.col(html), "<[^>]*>", " ")
-    return df.select(key, *[F.regexp_extract(text, rf"(?i){p}:\D*?(\d+)\b", 1).try_cast("long").alias(name) for name, p in TOTALS.items()])
+    return [F.regexp_extract(text, rf"(?i){p}:\D*?(\d+)\b", 1).try_cast("long").alias(name) for name, p in TOTALS.items()]
 
 
 def gaps(found: DataFrame, totals: DataFrame, key: str = "page_id") -> DataFrame:
@@ -209,3 +329,12 @@ def gaps(found: DataFrame, totals: DataFrame, key: str = "page_id") -> DataFrame
     told = totals.unpivot([key], list(TOTALS), "choice", "announced").where("announced is not null")
     both = told.join(read, [key, "choice"], "left").fillna(0, ["read"])
     return both.where("read <> announced").select(key, "choice", "read", "announced")
+
+
+def page_gaps(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """`gaps` straight from saved pages: the totals of a page go with its rows, and its ballots are counted beside them."""
+    line = lines(df.select(key, html, *_totals(html)), key, html, JOINT, tuple(TOTALS), outer=True).withColumn("joint", F.forall("says", lambda x: x))
+    count = lambda name: F.sum(F.size(F.filter("b", lambda b: b["choice"] == name))).alias(f"read_{name}")
+    page = line.select(key, *TOTALS, _marked(line).alias("b")).groupBy(key, *TOTALS).agg(*map(count, TOTALS))
+    each = F.array(*[F.struct(F.lit(name).alias("choice"), F.col(f"read_{name}").alias("read"), F.col(name).alias("announced")) for name in TOTALS])
+    return page.select(key, F.inline(each)).where("read <> announced")
