@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold_ro, ro_date, squash
@@ -40,9 +41,9 @@ def _count(word: Column) -> Column:
     return F.coalesce(word.try_cast("int"), table[word])
 
 
-def parts(headline: Column) -> Column:
-    """What the words say plainly: array<struct<kind, percent, months, seconds>>."""
-    text, rows = fold_ro(headline), []
+def parts(text: Column) -> Column:
+    """What the words of a folded headline say plainly: array<struct<kind, percent, months, seconds>>."""
+    rows = []
     for kind, pattern in _KINDS:
         number = F.regexp_extract(text, pattern, 1).try_cast("int") if "(" in pattern else F.lit(None)
         months = _count(F.nullif(F.regexp_extract(text, pattern, 2), F.lit(""))) if "(" in pattern else F.lit(None)
@@ -56,16 +57,18 @@ def parts(headline: Column) -> Column:
     return F.filter(F.array(*rows), lambda p: p.isNotNull())
 
 
-def headline_facts(headline: Column) -> dict[str, Column]:
-    """held_on, headline (without the date), name, group, parts, kind and article."""
-    plain = fold_ro(headline)
-    day = F.when(F.rlike(plain, F.lit(_DATE)), ro_date(F.regexp_extract(plain, r"^\d{1,2}\s+[a-z]+\s+\d{4}", 0)))
-    rest = F.when(day.isNotNull(), F.btrim(F.regexp_replace(headline, r"^.*?\s-\s", ""))).otherwise(headline)
-    part = lambda p: F.nullif(squash(F.regexp_extract(rest, p, 1)), F.lit(""))
-    found = parts(rest)
-    kind = F.when(F.size(found) == 1, F.get(found, F.lit(0))["kind"]).when(F.size(found) > 1, "combined")
-    kind = kind.when(F.rlike(rest, F.lit("(?i)Deciziile? Biroului permanent")), "bureau_decision").otherwise("other")
-    return {"held_on": day, "headline": rest, "name": part(_PERSON), "group": F.coalesce(part(_GROUP), part(_GROUP_ALONE)), "parts": found, "kind": kind, "article": part(_ARTICLE)}
+def headline_facts(rows: DataFrame, headline: str) -> DataFrame:
+    """rows with held_on, headline (without the date), name, group, parts, kind and article. Each fact is a column before the next one is told by
+    it: written into one another they would be worked out once for every use."""
+    out = rows.withColumn("__plain", F.regexp_extract(fold_ro(F.col(headline)), _DATE, 0))
+    out = out.withColumn("__day", F.regexp_extract("__plain", r"^\d{1,2}\s+[a-z]+\s+\d{4}", 0))
+    out = out.withColumn("held_on", F.when(F.col("__plain") != "", ro_date(F.col("__day"))))
+    out = out.withColumn("headline", F.when(F.col("held_on").isNotNull(), F.btrim(F.regexp_replace(headline, r"^.*?\s-\s", ""))).otherwise(F.col(headline)))
+    out = out.withColumn("__folded", fold_ro(F.col("headline"))).withColumn("parts", parts(F.col("__folded")))
+    part = lambda p: F.nullif(squash(F.regexp_extract("headline", p, 1)), F.lit(""))
+    kind = F.when(F.size("parts") == 1, F.get("parts", F.lit(0))["kind"]).when(F.size("parts") > 1, "combined")
+    kind = kind.when(F.rlike("headline", F.lit("(?i)Deciziile? Biroului permanent")), "bureau_decision").otherwise("other")
+    return out.withColumns({"name": part(_PERSON), "group": F.coalesce(part(_GROUP), part(_GROUP_ALONE)), "kind": kind, "article": part(_ARTICLE)}).drop("__plain", "__day", "__folded")
 
 
 def sanctions(pages: DataFrame, legislature: str = "legislature", html: str = "html") -> DataFrame:
@@ -75,27 +78,25 @@ def sanctions(pages: DataFrame, legislature: str = "legislature", html: str = "h
     An entry about several members at once, or one that only announces decisions, is informational. Two entries of the same words on one day
     differ by their stenogram, or by their place.
     """
-    entry = pages.select(legislature, F.posexplode(F.split(html, r"(?i)<hr\b[^>]*>")).alias("at", "block"))
+    entry = pages.select(legislature, F.posexplode(F.split(html, r"(?i)<hr\b[^>]*>")).alias("at", "block")).where(F.rlike("block", F.lit(r"(?i)<b\b")))
     bold = F.filter(F.transform(F.regexp_extract_all("block", F.lit(_BOLD), F.lit(1)), _text), lambda b: b != "")
     links = F.arrays_zip(F.regexp_extract_all("block", F.lit(_LINK), F.lit(1)).alias("href"), F.transform(F.regexp_extract_all("block", F.lit(_LINK), F.lit(2)), _text).alias("label"))
-    entry = entry.withColumns({"bold": bold, "links": links}).where(F.size("bold") > 0).withColumn("first", F.get("bold", F.lit(0)))
-    facts = headline_facts(F.col("first"))
-    link = lambda p, f: F.get(F.filter("links", lambda x: F.rlike(x["label"], F.lit(p))), F.lit(0))[f]
+    entry = entry.select(legislature, "at", bold.alias("bold"), links.alias("links")).withColumn("first", F.get("bold", F.lit(0)))
+    link = lambda p: F.get(F.filter("links", lambda x: F.rlike(x["label"], F.lit(p))), F.lit(0))
     ruling = F.get(F.filter(F.slice("bold", 2, 1000), lambda b: F.rlike(b, F.lit(r"(?i)^HCD\b"))), F.lit(0))
-    label = link("(?i)vezi decizia", "label")
-    number = lambda i: F.nullif(F.regexp_extract(label, _DECISION, i), F.lit(""))
-    rest = facts["headline"]
+    entry = headline_facts(entry, "first").withColumns({"decision": link("(?i)vezi decizia"), "ruling": ruling})
+    number = lambda i: F.nullif(F.regexp_extract(F.col("decision.label"), _DECISION, i), F.lit(""))
+    rest = F.col("headline")
     told = entry.select(
-        legislature, "at", "first", *[c.alias(k) for k, c in facts.items()],
+        legislature, "at", "first", "held_on", "headline", "name", "group", "parts", "kind", "article",
         (F.rlike(rest, F.lit("(?i)^Informare privind adoptarea")) | (F.rlike(rest, F.lit("(?i)Hot[ăa]r[âa]rilor")) & ~F.rlike(rest, F.lit("(?i)deputat")))).alias("informational"),
-        number(1).alias("decision_number"), F.concat_ws("-", number(4), number(3), number(2)).try_cast("date").alias("decision_on"), link("(?i)vezi decizia", "href").alias("decision_url"),
-        link("(?i)vezi contesta", "href").alias("filed_url"),
-        F.when(F.rlike(ruling, F.lit("(?i)admiterea")), "upheld").when(F.rlike(ruling, F.lit("(?i)respingerea")), "rejected").alias("outcome"),
-        link("(?i)stenogram", "href").alias("stenogram_url"),
-    )
-    words = F.concat_ws("|", F.coalesce(F.col("held_on").cast("string"), F.lit("")), "first")
+        number(1).alias("decision_number"), F.concat_ws("-", number(4), number(3), number(2)).try_cast("date").alias("decision_on"), F.col("decision.href").alias("decision_url"),
+        link("(?i)vezi contesta")["href"].alias("filed_url"),
+        F.when(F.rlike("ruling", F.lit("(?i)admiterea")), "upheld").when(F.rlike("ruling", F.lit("(?i)respingerea")), "rejected").alias("outcome"),
+        link("(?i)stenogram")["href"].alias("stenogram_url"),
+    ).withColumn("words", F.concat_ws("|", F.coalesce(F.col("held_on").cast("string"), F.lit("")), "first"))
+    # An entry that says nothing has no first: it shares its words with none that does, and goes after the window, below which its test would work all out twice.
+    told = told.withColumn("first_at", F.min("at").over(W.partitionBy(legislature, "words"))).where(F.col("first").isNotNull())
     digest = lambda c: F.concat(F.lit("sanction-"), F.col(legislature).cast("string"), F.lit("-"), F.left(F.sha2(c, 256), F.lit(12)))
-    earlier = told.groupBy(legislature, words.alias("words")).agg(F.min("at").alias("first_at"))
-    joined = told.withColumn("words", words).join(earlier, [legislature, "words"])
     again = F.concat_ws("|", "words", F.coalesce("stenogram_url", F.col("at").cast("string")))
-    return joined.withColumn("id", F.when(F.col("at") == F.col("first_at"), digest(F.col("words"))).otherwise(digest(again))).drop("words", "first", "first_at")
+    return told.withColumn("id", F.when(F.col("at") == F.col("first_at"), digest(F.col("words"))).otherwise(digest(again))).drop("words", "first", "first_at")

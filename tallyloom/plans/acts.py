@@ -59,7 +59,7 @@ def _fill_sql(column: str) -> str:
 
 def _filled(spark, sf, rows, columns):
     """Every order with the texts of its number modulo their count, their braces filled from its columns."""
-    out = given(spark, sf, rows, columns).join(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    out = given(spark, sf, rows, columns, also=("o_custkey", "o_orderdate"))
     for k, v in _slots("string").items():
         out = out.withColumns({c: F.replace(c, F.lit(f"{{{k}}}"), F.expr(v)) for c in columns})
     return out

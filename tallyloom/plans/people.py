@@ -11,7 +11,7 @@ from tallyloom.operators import quality as Q
 from tallyloom.operators import relational as R
 from tallyloom.operators import rules
 from tallyloom.plans.registry import query
-from tallyloom.session import table
+from tallyloom.session import spread, table
 
 
 def _day(text: str):
@@ -24,12 +24,12 @@ def cases(rows, *columns) -> str:
     return f"(values {', '.join('(' + ', '.join(map(told, r)) + ')' for r in rows)}) as t({', '.join(columns)})"
 
 
-def given(spark, sf, rows, columns, table_="orders", key="o_orderkey"):
-    """Every row of a table with the constants of its number modulo their count."""
+def given(spark, sf, rows, columns, table_="orders", key="o_orderkey", also=()):
+    """Every row of a table, as its key and other columns, with the constants of its number modulo their count. Rows are dealt out before they carry texts."""
     at = F.pmod(F.col(key), F.lit(len(rows))).cast("int")
     types = ", ".join(f"{c}:{'boolean' if isinstance(rows[0][i], bool) else 'int' if isinstance(rows[0][i], int) else 'string'}" for i, c in enumerate(columns))
     constants = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=False)]).cast(f"struct<{types}>") for r in rows])
-    return table(spark, sf, table_).select(key, F.get(constants, at).alias("c")).select(key, "c.*")
+    return spread(table(spark, sf, table_).select(key, *also), key).select(key, *also, F.get(constants, at).alias("c")).select(key, *also, "c.*")
 
 
 @query(

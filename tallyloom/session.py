@@ -42,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt out by a key to as many tasks as a shuffle has, however few files or row groups they lie in: for rows that are short now and
+    on which much work follows. The number is given, as adaptive execution would join short rows to a few tasks again."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. A local master may do
     without (tests): it gets a folder of its own. On a cluster a missing setting is an error, since other machines can't see local folders."""
