@@ -43,6 +43,34 @@ def overlapping_selves(spans: DataFrame, id_: str, starts: str, ends: str, width
     return met.where((F.col(starts) < F.col(other[starts])) | (F.col(id_) < F.col(other[id_])))
 
 
+def overlap_totals(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], width: int, kind: str) -> DataFrame:
+    """The rows of a, for each kind of b that has spans in common with it, with n, how many, and shared, the sum of what they share (least end less
+    greatest start), in whole numbers, ends inclusive; a span that ends before it starts has no number.
+
+    No pair is made. Up to a moment so many spans have begun and so many are over, and what they cover of all time until then follows from these
+    counts and the sums of their ends: a span's figures are differences between its end and its start. Totals are summed within blocks of `width`, on top of sums of blocks.
+    """
+    a, b = a.where(F.col(a_span[0]) <= F.col(a_span[1])), b.where(F.col(b_span[0]) <= F.col(b_span[1]))
+    sums = ["begun", "begun_at", "over", "over_at"]
+    zero = F.lit(0).cast("long")
+    row = lambda at, *v: F.struct(at.cast("long").alias("at"), *[x.cast("long").alias(c) for c, x in zip(sums, v, strict=True)])
+    s, e = F.col(b_span[0]), F.col(b_span[1])
+    moves = b.select(F.col(kind).alias("__kind"), F.inline(F.array(row(s, F.lit(1), s, zero, zero), row(e + 1, zero, zero, F.lit(1), e)))).groupBy("__kind", "at").agg(*[F.sum(c).alias(c) for c in sums])
+    asked = a.select(F.explode(F.array(*[F.col(c).cast("long") for c in a_span])).alias("at")).distinct().crossJoin(F.broadcast(b.select(F.col(kind).alias("__kind")).distinct()))
+    each = moves.unionByName(asked.select("__kind", "at", *[zero.alias(c) for c in sums])).groupBy("__kind", "at").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("__block", F.floor(F.col("at") / width))
+    earlier = W.partitionBy("__kind").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = each.groupBy("__kind", "__block").agg(*[F.sum(c).alias(f"block_{c}") for c in sums])
+    blocks = blocks.select(F.col("__kind").alias("__of"), F.col("__block").alias("__in"), *[F.coalesce(F.sum(f"block_{c}").over(earlier), zero).alias(f"before_{c}") for c in sums])
+    inner = W.partitionBy("__kind", "__block").orderBy("at")
+    known = each.select("__kind", "__block", "at", *[F.sum(c).over(inner).alias(c) for c in sums]).join(blocks, (F.col("__block") == F.col("__in")) & F.col("__kind").eqNullSafe(F.col("__of")))
+    known = known.select("__kind", "at", *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in sums])
+    covered = F.col("at") * (F.col("begun") - F.col("over")) - F.col("begun_at") + F.col("over_at")
+    told = lambda at, *c: known.select(F.col("at").alias(f"__{at}"), F.col("__kind").alias(f"__kind_{at}"), covered.alias(f"__covered_{at}"), *[F.col(x).alias(f"__{x}") for x in c])
+    out = a.join(told("s", "over"), F.col(a_span[0]) == F.col("__s")).join(told("e", "begun"), (F.col(a_span[1]) == F.col("__e")) & F.col("__kind_s").eqNullSafe(F.col("__kind_e")))
+    out = out.select(*a.columns, F.col("__kind_e").alias(kind), (F.col("__begun") - F.col("__over")).alias("n"), (F.col("__covered_e") - F.col("__covered_s")).alias("shared"))
+    return out.where("n > 0")
+
+
 def winners(periods: DataFrame, owner: str, starts: str, ends: str, tie: str) -> DataFrame:
     """The stretches (from, to) of each owner's time in which one period holds: of those that are open on a day the last to have begun (ties:
     greatest tie). Which one holds can only change where a period begins, or on the day after one ends."""

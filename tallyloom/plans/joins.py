@@ -138,8 +138,7 @@ def c07_unkeyed(spark, sf):
     w = table(spark, sf, "events").select("user_id", F.col("event_type").alias("kind"), second.alias("s"), (second + F.floor(F.col("value") * 60)).alias("e"))
     a = w.where("kind = 'purchase'").select("user_id", "s", "e")
     b = w.where("kind in ('error', 'signup')").select("kind", F.col("s").alias("bs"), F.col("e").alias("be"))
-    shared = F.least("e", "be") - F.greatest("s", "bs")
-    return S.overlapping(a, b, ("s", "e"), ("bs", "be"), 3600).groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.sum(shared).alias("seconds"))
+    return S.overlap_totals(a, b, ("s", "e"), ("bs", "be"), 3600, "kind").groupBy("user_id", "kind").agg(F.sum("n").alias("n"), F.sum("shared").alias("seconds"))
 
 
 @query("c10_point_half_open", f"with {LEG_SQL} select id, o_orderstatus, count(*) as n from orders join leg on cast(o_orderdate as date) >= ls and cast(o_orderdate as date) < le group by 1, 2")
