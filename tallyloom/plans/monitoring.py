@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import areas
 from tallyloom.operators import documents as D
 from tallyloom.operators import relational as R
-from tallyloom.operators.duplicates import duplicates
+from tallyloom.operators.duplicates import classes, duplicates
 from tallyloom.plans.people import I12_SQL, cases, given
 from tallyloom.plans.records import decrees
 from tallyloom.plans.registry import query
@@ -155,7 +155,7 @@ def k34_pairs(spark, sf):
 def k34_classes(spark, sf):
     """Parts whose fingerprints are all alike, by the smallest of them."""
     parts, keys = _fingerprinted(spark, sf)
-    return duplicates(parts, "p_partkey", keys)[1]
+    return classes(parts, "p_partkey", keys)
 
 
 @query("l01_append_events", "select event_type, count(*) as n from events group by 1")
