@@ -12,7 +12,7 @@ from tallyloom.operators import relational as R
 from tallyloom.operators import rules
 from tallyloom.operators import temporal as T
 from tallyloom.plans.registry import query, sql_of
-from tallyloom.session import table
+from tallyloom.session import spread, table
 from tallyloom.sources import readers
 
 FOLD = "lower(translate({}, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT'))"
@@ -219,7 +219,7 @@ _BILL = """concat('Proiect de lege ', o_orderkey, chr(10), chr(10), '  Expunere'
 )
 def j06_parts(spark, sf):
     """A bill for each order: preamble, article, point and some annexes, with blank lines, carriage returns and spaces before lines."""
-    parts = D.bill_parts(table(spark, sf, "orders").select("o_orderkey", F.expr(_BILL.replace("chr(13)", "char(13)").replace("chr(10)", "char(10)")).alias("text")), "o_orderkey")
+    parts = D.bill_parts(spread(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", most=50_000).select("o_orderkey", F.expr(_BILL.replace("chr(13)", "char(13)").replace("chr(10)", "char(10)")).alias("text")), "o_orderkey")
     return parts.select("o_orderkey", "place", "id", "part", "number", "body", F.col("starts").cast("int").alias("starts"), F.col("ends").cast("int").alias("ends"))
 
 
@@ -234,7 +234,7 @@ def j06_sections_sql(spark, sf):
 @query("j06_bill_parts_in_sql", sql_of("j06_bill_parts"))
 def j06_parts_sql(spark, sf):
     tabular.register(spark)
-    bills = table(spark, sf, "orders").select("o_orderkey", F.expr(_BILL.replace("chr(13)", "char(13)").replace("chr(10)", "char(10)")).alias("text"))
+    bills = spread(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", most=50_000).select("o_orderkey", F.expr(_BILL.replace("chr(13)", "char(13)").replace("chr(10)", "char(10)")).alias("text"))
     return spark.sql("select b.o_orderkey, p.place, p.id, p.part, p.number, p.body, p.starts, p.ends from {bills} b, lateral bill_text(b.text, 'parts') p", bills=bills)
 
 
@@ -250,7 +250,7 @@ _READ = """case o_orderkey % 7 when 0 then '  ' when 1 then repeat('cuvânt ', 1
       when 5 then 'duplicate_section_heading,too_many_short_sections' else 'amendment_only_document' end as warnings from orders""",
 )
 def j06_quality(spark, sf):
-    return D.bill_reading(table(spark, sf, "orders").select("o_orderkey", F.expr(_READ).alias("text")), "o_orderkey").withColumn("warnings", F.array_join("warnings", ","))
+    return D.bill_reading(spread(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", most=50_000).select("o_orderkey", F.expr(_READ).alias("text")), "o_orderkey").withColumn("warnings", F.array_join("warnings", ","))
 
 
 @query("j07_compare_versions", "with o as (select conv_id, role as h, max_by(text, turn) as b from conversations where turn < 2 group by 1, 2), n as (select conv_id, role as h, max_by(text, turn) as a from conversations where turn >= 1 group by 1, 2) select coalesce(o.conv_id, n.conv_id) as conv_id, coalesce(o.h, n.h) as heading, case when b is null then 'added' when a is null then 'removed' when a <> b then 'changed' else 'unchanged' end as status from o full join n on o.conv_id = n.conv_id and o.h = n.h")
