@@ -50,7 +50,7 @@ TOTALS_SQL = """t as (select page_id, count(*) filter (where choice = 'for') + c
 )
 def a08_cells(spark, sf):
     """What stands at every place of the grids of all written vote pages, spans filled."""
-    return tables.filled(tables.cells(vote_pages(spark, sf))).select("page_id", "table", "row", "column", "text")
+    return tables.places(vote_pages(spark, sf))
 
 
 @query("a08_ballots", f"""with {LINES} select page_id, 'member-deputies-' || l_suppkey as member_id, name, grp as "group", choice from b""")

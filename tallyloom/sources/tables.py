@@ -25,10 +25,19 @@ from tallyloom.session import bounded_batches
 CELLS = "table int, parent int, row int, column int, row_span int, col_span int, header boolean, text string, links array<string>"
 #: Limits of HTML for spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-#: A tag as nearly all are written, and an attribute of it. A page with anything else after a `<`, or with an element whose text is no markup, is the parser's.
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z-]+(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'=<>`/]+))?)*)>""", re.ASCII)
+#: A tag as nearly all are written, without its brackets, and an attribute of it. A page with anything else after a `<`, or with an element whose text is no markup, is the parser's.
+_TAG = re.compile(r"""(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z-]+(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'=<>`/]+))?)*)""", re.ASCII)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""", re.ASCII)
-_RAW = re.compile(r"<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)", re.IGNORECASE)
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
+#: What a tag is to a grid; any other is nothing to it.
+_CELL, _HEAD, _CELL_END, _ROW, _LINK, _BREAK, _BOLD, _BOLD_END, _SILENT, _SILENT_END, _GROUP, _GROUP_HEAD, _TABLE, _TABLE_END = range(1, 15)
+_MATTERS = {
+    "td": _CELL, "th": _HEAD, "/td": _CELL_END, "/th": _CELL_END, "tr": _ROW, "a": _LINK, "br": _BREAK, "b": _BOLD, "strong": _BOLD, "/b": _BOLD_END, "/strong": _BOLD_END,
+    "script": _SILENT, "style": _SILENT, "/script": _SILENT_END, "/style": _SILENT_END, "thead": _GROUP_HEAD, "tbody": _GROUP, "tfoot": _GROUP,
+    "/thead": _GROUP, "/tbody": _GROUP, "/tfoot": _GROUP, "table": _TABLE, "/table": _TABLE_END,
+}
+#: What counts outside tables too.
+_ANYWHERE = frozenset((_BOLD, _BOLD_END, _SILENT, _SILENT_END, _TABLE))
 
 
 def _span(attributes: dict, name: str, most: int) -> int:
@@ -37,6 +46,8 @@ def _span(attributes: dict, name: str, most: int) -> int:
 
 
 class _Table:
+    __slots__ = ("number", "parent", "row", "column", "taken", "group", "cell", "head")
+
     def __init__(self, number: int, parent: int | None):
         self.number, self.parent = number, parent
         self.row, self.column = -1, 0
@@ -45,112 +56,157 @@ class _Table:
         self.cell: dict | None = None
         self.head = False
 
+    def end_group(self) -> list[dict]:
+        """Spans end here; the first row of a table without any header cell is one where all it says is bold."""
+        group, after = self.group, self.row + 1
+        for c in group:
+            if c["row_span"] > 1:
+                c["row_span"] = min(c["row_span"], after - c["row"])
+        if group and group[0]["row"] == 0 and not any(c["header"] for c in group):
+            first = [c for c in group if c["row"] == 0]
+            if len(group) > len(first) and all(c["parts"] and not c["plain"] for c in first):
+                for c in first:
+                    c["header"] = True
+        self.group, self.taken, self.cell = [], {}, None
+        return group
+
+
+class _Odd(Exception):
+    """Something in a page that only the parser can tell."""
+
 
 class _Grid(HTMLParser):
-    """The cells of all tables of a page."""
+    """The events of a page that is not plainly written, and its cells."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[_Table] = []
+        self.found: list[tuple] = []
         self.done: list[dict] = []
-        self.n, self.silent, self.bold = 0, 0, 0
+
+    def close(self):
+        super().close()
+        self.done = _fold(self.found)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.silent += 1
-        if tag in ("b", "strong"):
-            self.bold += 1
-        if tag == "table":
-            self.open.append(_Table(self.n, self.open[-1].number if self.open else None))
-            self.n += 1
-        if not self.open:
-            return
-        t, at = self.open[-1], dict(attrs) if attrs else {}
-        if tag in ("thead", "tbody", "tfoot"):
-            self.end_group(t)
-            t.head = tag == "thead"
-        elif tag == "tr":
-            t.cell, t.row, t.column = None, t.row + 1, 0
-        elif tag in ("td", "th"):
-            if t.row < 0:
-                t.row = 0
-            while t.taken.get(t.column, 0) > t.row:
-                t.column += 1
-            wide, high = max(1, _span(at, "colspan", MOST_COLUMNS)), _span(at, "rowspan", MOST_ROWS) or MOST_ROWS
-            t.cell = {"table": t.number, "parent": t.parent, "row": t.row, "column": t.column, "row_span": high, "col_span": wide, "header": tag == "th" or t.head, "plain": False, "parts": [], "links": []}
-            for c in range(t.column, t.column + wide):
-                t.taken[c] = max(t.taken.get(c, 0), t.row + high)
-            t.column += wide
-            t.group.append(t.cell)
-        elif tag == "a" and t.cell is not None and at.get("href"):
-            t.cell["links"].append(at["href"])
-        elif tag == "br" and t.cell is not None:
-            t.cell["parts"].append(" ")
+        self.found.append((_MATTERS.get(tag, 0), dict(attrs), ""))
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.silent = max(0, self.silent - 1)
-        if tag in ("b", "strong"):
-            self.bold = max(0, self.bold - 1)
-        if not self.open:
-            return
-        t = self.open[-1]
-        if tag == "table":
-            self.end_group(t)
-            self.open.pop()
-        elif tag in ("thead", "tbody", "tfoot"):
-            self.end_group(t)
-            t.head = False
-        elif tag in ("td", "th"):
-            t.cell = None
+        self.found.append((_MATTERS.get(f"/{tag}", 0), None, ""))
 
     def handle_data(self, data):
-        if self.open and self.open[-1].cell is not None and not self.silent:
-            cell = self.open[-1].cell
-            cell["parts"].append(data)
-            cell["plain"] = cell["plain"] or (not self.bold and not data.isspace())
+        self.found.append((0, None, data))
 
-    def end_group(self, t: _Table) -> None:
-        """Spans end here; the first row of a table without any header cell is one where all it says is bold."""
-        for c in t.group:
-            c["row_span"] = min(c["row_span"], t.row + 1 - c["row"])
-        if t.group and t.group[0]["row"] == 0 and not any(c["header"] for c in t.group):
-            first = [c for c in t.group if c["row"] == 0]
-            if len(t.group) > len(first) and all(c["parts"] and not c["plain"] for c in first):
-                for c in first:
-                    c["header"] = True
-        self.done += t.group
-        t.group, t.taken, t.cell = [], {}, None
-
-    def read(self, html: str) -> None:
-        """The events of a whole page: of a plain one straight from its tags, of any other from the parser."""
-        parts = _TAG.split(html)
-        if _RAW.search(html) or any("<" in text for text in parts[::4]):
-            self.feed(html)
-            return self.close()
-        for text, end, tag, attributes in zip(parts[::4], ["", *parts[1::4]], ["", *parts[2::4]], ["", *parts[3::4]], strict=True):
-            if end:
-                self.handle_endtag(tag.lower())
-            elif tag:
-                found = [(n.lower(), unescape(a or b or c) if a or b or c else None) for n, a, b, c in _ATTRIBUTE.findall(attributes)] if attributes else ()
-                self.handle_starttag(tag.lower(), found)
-            if text:
-                self.handle_data(unescape(text) if "&" in text else text)
-        self.close()
 
-    def close(self):
-        super().close()
-        while self.open:
-            self.end_group(self.open.pop())
+def _attributes(told: str | dict) -> dict:
+    """Attributes as the parser gives them, or as they are written."""
+    return told if isinstance(told, dict) else {n.lower(): unescape(a or b or c) if a or b or c else None for n, a, b, c in _ATTRIBUTE.findall(told)}
+
+
+#: Short tags that have been read before, as written between `<` and `>`.
+_KNOWN: dict[str, tuple[int, str | dict | None]] = {}
+
+
+def _tag(head: str) -> tuple[int, str | dict | None]:
+    """What a tag is to a grid, and a cell's attributes, or a link's as they are written."""
+    m = _TAG.fullmatch(head)
+    if m is None or m[2].lower() in _RAW:
+        raise _Odd
+    what = _MATTERS.get(f"{m[1]}{m[2].lower()}", 0)
+    told = what, m[3] if what == _LINK else _attributes(m[3]) if m[3] and what in (_CELL, _HEAD) else None
+    if len(head) < 32 and len(_KNOWN) < 4096:
+        _KNOWN[head] = told
+    return told
+
+
+def _events(html: str) -> list[tuple]:
+    """What a tag is, its attributes and the text behind it, in order: of a plain page straight from its tags, of any other from the parser."""
+    first, *pieces = html.split("<")
+    found, known = [(0, None, unescape(first))], _KNOWN.get
+    try:
+        for piece in pieces:
+            head, closed, text = piece.partition(">")
+            if not closed:
+                raise _Odd
+            what, at = known(head) or _tag(head)
+            found.append((what, at, unescape(text) if "&" in text else text))
+    except _Odd:
+        parser = _Grid()
+        parser.feed(html)
+        HTMLParser.close(parser)
+        return parser.found
+    return found
+
+
+def _fold(events: list[tuple], links: bool = True) -> list[dict]:
+    """The cells of all tables of a page, as their groups of rows end; without links where nobody asks for them."""
+    opened: list[_Table] = []
+    done: list[dict] = []
+    t: _Table | None = None
+    n = silent = bold = 0
+    for what, at, text in events:
+        if t is None and what not in _ANYWHERE:
+            continue
+        if what == _CELL or what == _HEAD:
+            row, column, taken = max(t.row, 0), t.column, t.taken
+            t.row = row
+            while taken and taken.get(column, 0) > row:
+                column += 1
+            wide, high = (max(1, _span(at, "colspan", MOST_COLUMNS)), _span(at, "rowspan", MOST_ROWS) or MOST_ROWS) if at else (1, 1)
+            t.cell = {"table": t.number, "parent": t.parent, "row": row, "column": column, "row_span": high, "col_span": wide, "header": what == _HEAD or t.head, "plain": False, "parts": [], "links": []}
+            t.column = column + wide
+            if high > 1:  # a row's own cells move on by themselves
+                for c in range(column, t.column):
+                    taken[c] = max(taken.get(c, 0), row + high)
+            t.group.append(t.cell)
+        elif what == _CELL_END:
+            t.cell = None
+        elif what == _ROW:
+            t.cell, t.row, t.column = None, t.row + 1, 0
+        elif what == _LINK:
+            if links and t.cell is not None and at and (href := _attributes(at).get("href")):
+                t.cell["links"].append(href)
+        elif what == _BREAK:
+            if t.cell is not None:
+                t.cell["parts"].append(" ")
+        elif what == _BOLD:
+            bold += 1
+        elif what == _BOLD_END:
+            bold = max(0, bold - 1)
+        elif what == _SILENT:
+            silent += 1
+        elif what == _SILENT_END:
+            silent = max(0, silent - 1)
+        elif what == _GROUP or what == _GROUP_HEAD:
+            done += t.end_group()
+            t.head = what == _GROUP_HEAD
+        elif what == _TABLE:
+            t = _Table(n, t.number if t is not None else None)
+            opened.append(t)
+            n += 1
+        elif what == _TABLE_END and t is not None:
+            done += t.end_group()
+            opened.pop()
+            t = opened[-1] if opened else None
+        if text and t is not None and (cell := t.cell) is not None and not silent:
+            cell["parts"].append(text)
+            if not bold and not cell["plain"]:
+                cell["plain"] = not text.isspace()
+    for t in reversed(opened):
+        done += t.end_group()
+    return done
+
+
+def _said(c: dict) -> str:
+    return " ".join("".join(c["parts"]).split())
 
 
 def grid(html: str | None) -> list[dict]:
     """The cells of a page, table by table, each with the place it has on the grid."""
-    g = _Grid()
-    g.read(html or "")
-    for c in g.done:
-        c["text"] = " ".join("".join(c.pop("parts")).split())
-    return sorted(g.done, key=lambda c: (c["table"], c["row"], c["column"]))
+    done = _fold(_events(html or ""))
+    for c in done:
+        c["text"] = _said(c)
+        del c["parts"]
+    return sorted(done, key=lambda c: (c["table"], c["row"], c["column"]))
 
 
 def _each_page(df: DataFrame, keep: list[str], html: str, told: Callable[[str | None], list[tuple]], schema: str) -> DataFrame:
@@ -161,12 +217,13 @@ def _each_page(df: DataFrame, keep: list[str], html: str, told: Callable[[str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = to_arrow_schema(out)
         for b in batches:
-            at, found = [], []
+            at, columns = [], [[] for _ in range(len(out) - len(keep))]
             for i, page in enumerate(b.column(len(keep)).to_pylist()):
                 rows = told(page)
-                at += [i] * len(rows)
-                found += rows
-            columns = zip(*found, strict=True) if found else [()] * (len(out) - len(keep))
+                if rows:
+                    at += [i] * len(rows)
+                    for column, values in zip(columns, zip(*rows, strict=True), strict=True):
+                        column += values
             kept = [b.column(i).take(pa.array(at, "int64")) for i in range(len(keep))]
             made = [pa.array(c, f.type) for c, f in zip(columns, list(types)[len(keep) :], strict=True)]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=out.names)
@@ -180,6 +237,22 @@ def cells(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     return _each_page(df, [key], html, lambda page: [tuple(c[n] for n in names) for c in grid(page)], CELLS)
 
 
+def places(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, table, row, column and text at every place of the grids of saved pages: `filled` straight from the pages, without what else a cell tells."""
+
+    def told(page: str | None) -> list[tuple]:
+        out = []
+        for c in _fold(_events(page or ""), links=False):
+            table, row, column, text = c["table"], c["row"], c["column"], _said(c)
+            if c["row_span"] == 1 and c["col_span"] == 1:
+                out.append((table, row, column, text))
+            else:
+                out += [(table, r, x, text) for r in range(row, row + c["row_span"]) for x in range(column, column + c["col_span"])]
+        return out
+
+    return _each_page(df, [key], html, told, "table int, row int, column int, text string")
+
+
 def _rows(found: list[dict]) -> dict[tuple[int, int], list[dict]]:
     """The cells that cover each row of the grids of a page, by column, by (table, row)."""
     rows: dict[tuple[int, int], list[dict]] = {}

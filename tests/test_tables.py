@@ -99,3 +99,23 @@ def test_pages_in_one_pass_tell_what_their_cells_tell(spark):
     gap = ["page_id", "choice", "read", "announced"]
     assert rows(tables.page_gaps(df), *gap) == rows(tables.gaps(tables.ballots(found), tables.announced(df)), *gap)
     assert "Join" not in tables.page_ballots(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_pages_equal_filled_cells(spark):
+    """Straight from the pages: odd and plain ones, spans that overlap, links that nobody asks for, groups, nesting."""
+    rng = random.Random(11)
+    bits = "<tr> <td> </td> <th> </TH> <td\trowspan=\"2\"> <td\tcolspan=3> <thead> </thead> <tbody> <table> </table> <b> </b> <br> <br/> <a\thref='x?a&amp;b'> </a> x &lt; <p> <script> </script> <title> </title>".split(" ")
+    pages = [(i, "<table>" + "".join(rng.choice(bits).replace("\t", " ") for _ in range(rng.randint(1, 30)))) for i in range(400)]
+    pages += [(900, None), (901, ""), (902, "no < table")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    want = tables.filled(tables.cells(df)).select("page_id", "table", "row", "column", "text")
+    got = tables.places(df)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert got.count() > 500
+
+
+def test_plain_pages_are_read_without_the_parser():
+    html = "<table><tr><td>a<td><a href='q?x&amp;y'>b</a></table>"
+    assert [(what, text) for what, _, text in tables._events(html)][-3:] == [(tables._LINK, "b"), (0, ""), (tables._TABLE_END, "")]
+    assert tables.grid(html)[1]["links"] == ["q?x&y"]
+    assert not tables._fold(tables._events(html), links=False)[1]["links"]
