@@ -1,7 +1,8 @@
 """Ordered histories on a stream: rows wait in state until the watermark has passed their day, then are folded in order, by timers.
 
-Rows may come in any order within the watermark. Each key keeps a list of the rows that wait and what its fold needs to go on; a timer at the end of
-a day of waiting rows, and one where silence itself means something (a post that nobody was named to for eight years), wake the fold. What has changed
+Rows may come in any order within the watermark. Keys are dealt into buckets: a bucket keeps the rows of its keys that wait, a piece of state for each
+batch, and what each of its keys' folds needs to go on; its timer, at the end of the earliest day of waiting rows, or where silence itself means something (a post
+that nobody was named to for eight years), wakes the folds that it concerns. State is asked a few times for a bucket and batch, however many keys and rows there are. What has changed
 is emitted as rows with a number and a version: the row of a number with the greatest version holds, so that a repeated batch changes nothing.
 Rows behind the watermark are dropped by Spark. The last days of a feed wait for a row that is later by the allowed delay; `MARK` rows are that alone.
 """
@@ -23,6 +24,8 @@ from tallyloom.operators.identity import LAPSE_YEARS
 #: The kind of a row that carries nothing but its time.
 MARK = "mark"
 DAY_MS = 86_400_000
+#: Buckets that keys are dealt into; a checkpoint is good for one number only.
+BUCKETS = 4096
 #: Days after which datediff / 365.25 exceeds LAPSE_YEARS.
 LAPSE_DAYS = int(LAPSE_YEARS * 365.25) + 1
 
@@ -32,41 +35,66 @@ def _ms(day: dt.date) -> int:
 
 
 class Ordered(StatefulProcessor):
-    """Folds the rows of a key in order of day once no row can come before them. State is kept as JSON, one value for the fold and a list of rows."""
+    """Folds the rows of each key of a bucket in order of day once no row can come before them. State is kept as JSON: one value for the bucket's folds,
+    as key -> fold and the next day to look at it again, and a list of pieces of waiting rows."""
+
+    #: The column of the keys.
+    of: str
+    #: What is the same in all rows of a key, and long: told once for each key of a piece.
+    once: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "row string")
-        self.kept = handle.getValueState("kept", "fold string")
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.kept = handle.getValueState("kept", "folds string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        days = set()
+        came: dict[Any, list[dict]] = {}
         for r in rows:
             told = r.asDict(recursive=True)
             if told["kind"] != MARK:
-                days.add(told["day"])
-                self.waiting.appendValue((json.dumps(told, default=str),))
-        for day in days:
-            self.handle.registerTimer(_ms(day) + DAY_MS)
+                mine = came.setdefault(told[self.of], [])
+                mine.append({c: v for c, v in told.items() if not (c in ("bucket", "ts") or (mine and c in self.once))})
+        if came:
+            self.waiting.appendValue((json.dumps(list(came.values()), default=str),))
+            self.handle.registerTimer(_ms(min(r["day"] for mine in came.values() for r in mine)) + DAY_MS)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], []
-        for (row,) in self.waiting.get():
-            told = json.loads(row)
-            (ready if _ms(dt.date.fromisoformat(told["day"])) + DAY_MS <= now else later).append(told)
-        fold = json.loads(self.kept.get()[0]) if self.kept.exists() else None
-        fold, changed, wake = self.advance(key[0], fold, sorted(ready, key=self.order), dt.date(1970, 1, 1) + dt.timedelta(milliseconds=now))
-        if later:
-            self.waiting.put([(json.dumps(x),) for x in later])
+        today = dt.date(1970, 1, 1) + dt.timedelta(milliseconds=now)
+        done = (today - dt.timedelta(days=1)).isoformat()  # the last day that is over
+        waits: dict[Any, list[dict]] = {}
+        for (piece,) in self.waiting.get():
+            for mine in json.loads(piece):
+                waits.setdefault(mine[0][self.of], []).extend(mine)
+        ready = {k: r for k, mine in waits.items() if (r := [x for x in mine if x["day"] <= done])}
+        folds = {k: (fold, wake) for k, fold, wake in json.loads(told[0])} if (told := self.kept.get()) else {}
+        due = {k for k, (_, wake) in folds.items() if wake and wake <= today.isoformat()}
+        for k in ready.keys() | due:
+            mine = waits.get(k, [])
+            about = {c: mine[0][c] for c in self.once} if mine else {}
+            fold, changed, wake = self.advance(k, folds.get(k, (None,))[0], [about | x for x in sorted(ready.get(k, []), key=self.order)], today)
+            folds[k] = fold, min((d.isoformat() for d in wake), default=None)
+            yield from changed
+        if ready:
+            later = [left for mine in waits.values() if (left := self._later(mine, done))]
+            if later:
+                self.waiting.put([(json.dumps(later),)])
+            else:
+                self.waiting.clear()
         else:
-            self.waiting.clear()
-        self.kept.update((json.dumps(fold),))
-        for day in wake:
-            if _ms(day) > now:
-                self.handle.registerTimer(_ms(day))
-        yield from changed
+            later = list(waits.values())
+        if ready or due:
+            self.kept.update((json.dumps([[k, *f] for k, f in folds.items()]),))
+        # one timer, for the first day that has something to say; one that is there already is not set twice
+        days = [_ms(dt.date.fromisoformat(d)) + DAY_MS for d in {x["day"] for mine in later for x in mine}] + [_ms(dt.date.fromisoformat(w)) for _, w in folds.values() if w]
+        if days := [d for d in days if d > now]:
+            self.handle.registerTimer(min(days))
+
+    def _later(self, mine: list[dict], done: str) -> list[dict]:
+        left = [x for x in mine if x["day"] > done]
+        return [{c: mine[0][c] for c in self.once} | left[0], *left[1:]] if left else left
 
     def close(self) -> None:
         pass
@@ -85,6 +113,8 @@ HOLDERS = "place string, number long, version long, holder string, started_on da
 class Holders(Ordered):
     """Holder periods of a post from appointments and recalls; what a period is stands at operators.identity.timelines."""
 
+    of = "place"
+
     def order(self, row: dict) -> tuple:
         return row["day"], row["kind"] == "appointed", row["seq"]
 
@@ -131,6 +161,8 @@ ROLES = "block string, number long, version long, government string, person stri
 class Roles(Ordered):
     """Who held which post of which government; the rules stand at operators.entities.replay. Of past roles only those that are open stay in state."""
 
+    of, once = "block", ("governments",)
+
     def order(self, row: dict) -> tuple:
         return row["day"], row["seq"]
 
@@ -150,13 +182,14 @@ class Roles(Ordered):
         return fold, out, []
 
 
-def _run(rows: DataFrame, key: str, processor: Ordered, schema: str, late: str) -> DataFrame:
-    return rows.withWatermark("ts", late).groupBy(key).transformWithState(processor, schema, "Update", "EventTime")
+def _run(rows: DataFrame, processor: Ordered, schema: str, late: str) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(processor.of), F.lit(BUCKETS)).cast("int")
+    return rows.withColumn("bucket", bucket).withWatermark("ts", late).groupBy("bucket").transformWithState(processor, schema, "Update", "EventTime")
 
 
 def holders(rows: DataFrame, late: str) -> DataFrame:
     """rows: a stream of place, ts, day, seq, kind (appointed, recalled, or mark), holder; versions of periods as they become known."""
-    return _run(rows.select("place", "ts", "day", "seq", "kind", "holder"), "place", Holders(), HOLDERS, late)
+    return _run(rows.select("place", "ts", "day", "seq", "kind", "holder"), Holders(), HOLDERS, late)
 
 
 def roles(rows: DataFrame, governments: DataFrame, late: str) -> DataFrame:
@@ -164,7 +197,7 @@ def roles(rows: DataFrame, governments: DataFrame, late: str) -> DataFrame:
     governments as there: versions of roles and notes as they become known."""
     known = governments.groupBy("block").agg(F.to_json(F.collect_list(F.struct(*[c for c in governments.columns if c != "block"])), {"ignoreNullFields": "false"}).alias("governments"))
     told = rows.join(known, "block", "left").withColumn("governments", F.coalesce("governments", F.lit("[]")))
-    return _run(told.select("block", "ts", "day", "seq", "kind", "person", "post", "members", "governments"), "block", Roles(), ROLES, late)
+    return _run(told.select("block", "ts", "day", "seq", "kind", "person", "post", "members", "governments"), Roles(), ROLES, late)
 
 
 def latest(versions: DataFrame, key: str) -> DataFrame:
