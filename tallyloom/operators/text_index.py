@@ -8,16 +8,18 @@ the hits, by the characters that the index knows: no text is scanned for words a
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import bounded_batches, spread
+
 FOLDERS = 64
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -31,50 +33,69 @@ def _folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
-def _steps(numbers: Column) -> Column:
-    """Ascending numbers as steps."""
-    return F.transform(numbers, lambda x, i: x - F.when(i == 0, 0).otherwise(F.get(numbers, i - 1)))
-
-
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _summed(steps: pd.Series) -> pd.Series:
     return steps.map(lambda s: np.cumsum(s).astype(np.int32))
 
 
-def placed(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, at, term, begin: the words of texts, with their numbers and the characters where they begin, both from 0."""
-    gaps = F.split(F.coalesce(F.col(text), F.lit("")), _WORD)  # what stands before each word, and behind the last
-    each = docs.select(F.col(id_).alias("id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"), gaps.alias("g"))
-    each = each.where(F.size("w") > 0).select("id", F.posexplode(F.arrays_zip("w", "g")).alias("at", "x"))
-    each = each.where("x.w is not null").select("id", "at", F.col("x.w").alias("term"), F.length("x.g").alias("gap"), F.length("x.w").alias("size"))
-    whole = W.partitionBy("id").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return each.select("id", "at", "term", (F.sum(F.col("gap") + F.col("size")).over(whole) - F.col("size")).cast("int").alias("begin"))
+_POSTINGS = "term string, n int, at array<int>, begin array<int>"
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, term, n, at and begin (as steps) from id, words, their sizes and the gaps before them: a document lies in one row, so that nothing is shuffled."""
+    for b in batches:
+        counts = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc, base = np.repeat(np.arange(len(counts)), counts), np.concatenate([[0], np.cumsum(counts)])
+        terms = b.column(1).flatten().dictionary_encode()
+        code = terms.indices.to_numpy(zero_copy_only=False)
+        size, gap = (b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+        reach = np.concatenate([[0], np.cumsum(size + gap)])
+        at, begin = np.arange(len(doc)) - base[doc], reach[1:] - reach[base[doc]] - size
+        order = np.lexsort((at, code, doc))
+        doc, code, at, begin = doc[order], code[order], at[order], begin[order]
+        first = np.ones(len(doc), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+        starts = np.flatnonzero(first)
+        offsets = pa.array(np.append(starts, len(doc)), "int32")
+        steps = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.where(first, x, x - np.concatenate([x[:1], x[:-1]])), "int32"))  # noqa: E731, B023
+        columns = [b.column(0).take(pa.array(doc[starts])), terms.dictionary.take(pa.array(code[starts])), pa.array(np.diff(np.append(starts, len(doc))), "int32"), steps(at), steps(begin)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "term", "n", "at", "begin"])
 
 
 def write(docs: DataFrame, id_: str, text: str, path: str) -> None:
-    """Index a table of texts; ids are unique. Null and empty texts have no postings."""
-    listed = placed(docs, id_, text).groupBy("id", "term").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("at")).alias("at"), F.sort_array(F.collect_list("begin")).alias("begin"))
-    out = listed.select("id", "term", "n", _steps(F.col("at")).alias("at"), _steps(F.col("begin")).alias("begin"), _folder(F.col("term")).alias("folder"))
-    out.write.mode("overwrite").partitionBy("folder").parquet(path)
+    """Index a table of texts; ids are unique. Null and empty texts have no postings. Whole texts are dealt out once, postings once, to a few files for each folder."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.count()
+    told = spread(docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")), "id", most=20_000, rows=rows)
+    told = told.select("id", words(F.col("t")).alias("w"), F.split("t", _WORD).alias("g")).where(F.size("w") > 0)  # g: what stands before each word, and behind the last
+    gaps = F.transform("w", lambda x, i: F.coalesce(F.length(F.get("g", i)), -F.length(x)))
+    told = told.select("id", "w", F.transform("w", lambda x: F.length(x)).alias("size"), gaps.alias("gap"))
+    listed = told.mapInArrow(_postings, T.StructType([told.schema["id"], *T.StructType.fromDDL(_POSTINGS)]))
+    out = listed.withColumn("folder", _folder(F.col("term")))
+    files = -(-rows // 100_000)
+    out.repartition(FOLDERS * max(files, 1), "folder", F.pmod(F.xxhash64("id"), F.lit(max(files, 1)))).write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 def search(spark: SparkSession, path: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """The columns of phrases with id, n_hits, at (the word number of the first hit) and begin (its character), for each document that has the
-    phrase. phrases: a few thousand rows at most, which are asked all at once; a phrase without words is in no document."""
-    keys = phrases.columns
-    asked = phrases.select(*keys, words(F.col(phrase)).alias("__w")).where(F.size("__w") > 0)
-    asked = asked.select(*keys, F.size("__w").alias("__m"), F.posexplode("__w").alias("__i", "term")).withColumn("folder", _folder(F.col("term")))
+    phrase. phrases: a few thousand rows at most, which are asked all at once, each wording once; a phrase without words is in no document.
+    A posting is the answer to a phrase of one word; the positions of others are looked at where a document has all their terms."""
+    told = F.array_join(words(F.col(phrase)), " ").alias("__phrase")
+    asked = phrases.select(told).distinct().select("__phrase", F.split("__phrase", " ").alias("__w")).where("__phrase <> ''")
+    asked = asked.select("__phrase", F.size("__w").alias("__m"), F.posexplode("__w").alias("__i", "term")).withColumn("folder", _folder(F.col("term")))
     folders = [r.folder for r in asked.select("folder").distinct().collect()]  # at most FOLDERS
     index = spark.read.parquet(path).where(F.col("folder").isin(folders))
-    met = index.join(asked, ["folder", "term"])
+    met = index.join(F.broadcast(asked), ["folder", "term"])
+    single = met.where("__m = 1").select("__phrase", "id", F.col("n").cast("long").alias("n_hits"), F.get("at", F.lit(0)).alias("at"), F.get("begin", F.lit(0)).alias("begin"))
+    several = met.where("__m > 1").select("__phrase", "id", "__m", "__i", F.col("at").alias("__at"), F.col("begin").alias("__begin"))
     # documents with all terms of the phrase
-    full = met.groupBy(*keys, "id").agg(F.count("*").alias("__n"), F.max("__m").alias("__m")).where("__n = __m")
-    full = full.select(F.col("id").alias("__id"), *[F.col(k).alias(f"__key_{k}") for k in keys])
-    here = met.join(full, reduce(and_, [F.col("id") == F.col("__id"), *[F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]]), "left_semi")
-    spots = here.select(*keys, "id", "__m", "__i", F.explode(F.arrays_zip(_summed("at").alias("at"), _summed("begin").alias("begin"))).alias("x"))
-    spots = spots.select(*keys, "id", "__m", (F.col("x.at") - F.col("__i")).alias("at"), "__i", "x.begin")
-    hits = spots.groupBy(*keys, "id", "at").agg(F.count("*").alias("__n"), F.max("__m").alias("__m"), F.min("begin").alias("begin")).where("__n = __m")
-    return hits.groupBy(*keys, "id").agg(F.count("*").alias("n_hits"), F.min(F.struct("at", "begin")).alias("f")).select(*keys, "id", "n_hits", "f.at", "f.begin")
+    full = several.groupBy("__phrase", "id").agg(F.count("*").alias("__n"), F.max("__m").alias("__m")).where("__n = __m").select("__phrase", "id")
+    here = several.join(full, ["__phrase", "id"], "left_semi")
+    spots = here.select("__phrase", "id", "__m", "__i", F.explode(F.arrays_zip(_summed("__at").alias("at"), _summed("__begin").alias("begin"))).alias("x"))
+    spots = spots.select("__phrase", "id", "__m", (F.col("x.at") - F.col("__i")).alias("at"), "x.begin")
+    hits = spots.groupBy("__phrase", "id", "at").agg(F.count("*").alias("__n"), F.max("__m").alias("__m"), F.min("begin").alias("begin")).where("__n = __m")
+    hits = hits.groupBy("__phrase", "id").agg(F.count("*").alias("n_hits"), F.min(F.struct("at", "begin")).alias("f")).select("__phrase", "id", "n_hits", "f.at", "f.begin")
+    return single.unionByName(hits).join(F.broadcast(phrases.withColumn("__phrase", told)), "__phrase").select(*phrases.columns, "id", "n_hits", "at", "begin")
 
 
 def snippets(found: DataFrame, docs: DataFrame, id_: str, text: str, before: int = 40, size: int = 120) -> DataFrame:

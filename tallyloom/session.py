@@ -42,13 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *by: str, most: int = 100_000) -> DataFrame:
+def spread(df: DataFrame, *by: str, most: int = 100_000, rows: int | None = None) -> DataFrame:
     """The rows of a table dealt out by a key to as many tasks as a shuffle has, and to more where a task would have over `most` rows on average, however
-    few files or row groups they lie in: for rows that are short now and on which long texts and sorts follow. They are counted first. The number is
+    few files or row groups they lie in: for rows that are short now and on which long texts and sorts follow. They are counted first, unless their number is known. It is
     given, as adaptive execution would join short rows to a few tasks again; what goes by the same key afterwards needs no other shuffle."""
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(tasks, spark.sparkContext.defaultParallelism, -(-df.count() // most)), *by)
+    return df.repartition(max(tasks, spark.sparkContext.defaultParallelism, -(-(df.count() if rows is None else rows) // most)), *by)
 
 
 def shared_dir(spark: SparkSession) -> str:
