@@ -173,9 +173,9 @@ def l01(spark, sf):
     select cast(start as timestamp) as start, user_id, n from w where n > 3""",
 )
 def l04(spark, sf):
-    """Visitors with more than three events in a day, by hourly sliding windows."""
-    _, day = engagement.flooding(engagement.stream(spark, sf).select("ts", "user_id"), 2, 3)
-    return engagement.collected(day, ["start", "user_id"], "flood").select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
+    """Visitors with more than three events in a day, by hourly sliding windows over the hours that a stream counts."""
+    hours = engagement.collected(engagement.hourly(engagement.stream(spark, sf).select("ts", "user_id")), ["start", "user_id"], "flood")
+    return engagement.flooding_days(hours, 3).select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
 #: Last success, today, days held back, and the window that must come out: three days back, or to a held day, at most sixty days.

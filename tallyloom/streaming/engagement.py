@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,22 @@ def flooding(events: DataFrame, short: int, long: int, late: str = LATE) -> tupl
     return over("10 minutes", "5 minutes", short), over("1 day", "1 hour", long)
 
 
+def hourly(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Events of each visitor and hour: the state of a visitor's days, an entry for each hour instead of one for each window that it lies in. An hour stays
+    open until the last day that it is part of is over."""
+    return events.withWatermark("ts", f"{late} 23 hours").groupBy(F.window("ts", "1 hour").alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
+
+
+def flooding_days(hours: DataFrame, most: int, size: int = 24) -> DataFrame:
+    """start, user_id and n of the windows of `size` hours, sliding by one, with more than `most` events, from what `hourly` has counted. Only hours with
+    more than that around them are in such a window; no other is dealt out to its windows."""
+    hour = hours.select((F.unix_seconds("start") / 3600).cast("long").alias("h"), "user_id", "n")
+    near = F.sum("n").over(W.partitionBy("user_id").orderBy("h").rangeBetween(1 - size, size - 1))
+    dealt = hour.withColumn("near", near).where(F.col("near") > most).select(F.explode(F.sequence(F.col("h") - (size - 1), F.col("h"))).alias("h"), "user_id", "n")
+    n = dealt.groupBy("h", "user_id").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return n.select(F.timestamp_seconds(F.col("h") * 3600).alias("start"), "user_id", "n")
+
+
 def catch_up_window(last_success: dt.date | None, today: dt.date, held: list[dt.date] = (), back: int = 3, most: int = 60) -> tuple[dt.date, dt.date]:
     """From a few days before the last success, or the earliest held day, but no more than `most` days, to today."""
     start = min([(last_success or today - dt.timedelta(days=most)) - dt.timedelta(days=back), *held])
