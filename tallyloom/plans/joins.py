@@ -9,10 +9,12 @@ from tallyloom.operators import relational as R
 from tallyloom.operators import sweep as S
 from tallyloom.operators import temporal as T
 from tallyloom.plans.registry import query
-from tallyloom.session import table
+from tallyloom.session import spread, table
 
 DAY = "cast({} as date)"
 #: A line is a period between its order's date and its shipping date.
+#: Rows of a task that sorts or groups lines: their bytes are few, so that adaptive execution would give it millions.
+DEALT = 500_000
 PERIODS = """periods as (
   select l_suppkey, l_orderkey, l_linenumber, o_orderstatus,
          least(cast(o_orderdate as date), cast(l_shipdate as date)) as s, greatest(cast(o_orderdate as date), cast(l_shipdate as date)) as e
@@ -20,7 +22,8 @@ PERIODS = """periods as (
 
 
 def periods(spark, sf):
-    line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    line = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate"), "l_orderkey", most=DEALT)
+    orders = table(spark, sf, "orders")
     o, s = F.to_date("o_orderdate"), F.to_date("l_shipdate")
     return line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "l_orderkey", "l_linenumber", "o_orderstatus", F.least(o, s).alias("s"), F.greatest(o, s).alias("e"))
 

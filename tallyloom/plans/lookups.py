@@ -11,9 +11,9 @@ from tallyloom.operators import aggregates as A
 from tallyloom.operators import quality as Q
 from tallyloom.operators import relational as R
 from tallyloom.operators import temporal as T
-from tallyloom.plans.joins import PERIODS, periods
+from tallyloom.plans.joins import DEALT, PERIODS, periods
 from tallyloom.plans.registry import query
-from tallyloom.session import scratch_folder, table
+from tallyloom.session import scratch_folder, spread, table
 from tallyloom.sources import readers
 
 
@@ -187,6 +187,7 @@ def d36(spark, sf):
 def e07(spark, sf):
     """Terms of one person in one capacity that follow one another without a day between."""
     p = periods(spark, sf).select("l_suppkey", "o_orderstatus", "s", F.least("e", F.date_add("s", 4)).alias("e"))
+    p = spread(p, "l_suppkey", "o_orderstatus", most=DEALT, rows=table(spark, sf, "lineitem").count())
     return T.coalesce_touching(p, ["l_suppkey", "o_orderstatus"], "s", "e", gap_days=0)
 
 
