@@ -19,8 +19,9 @@ def supporters(governments: DataFrame, alignments: DataFrame, groups: DataFrame,
     """
     span = lambda df, p: df.withColumnsRenamed({"starts_on": f"{p}_from", "ends_on": f"{p}_to"})
     aligned = span(alignments.where(F.col("alignment").isin(*SUPPORTING)), "a").drop("alignment").join(span(governments, "g"), "government")
-    rows = aligned.join(groups, "party").join(span(memberships, "m"), "group").join(span(mandates, "o"), "member")
-    hit = clip(rows, ["a_from", "g_from", "m_from", "o_from"], ["a_to", "g_to", "m_to", "o_to"], ("from_on", "to_on"))
+    # members in office first: only days that are left of them meet the governments of their group
+    seated = clip(span(memberships, "m").join(span(mandates, "o"), "member"), ["m_from", "o_from"], ["m_to", "o_to"], ("s_from", "s_to"))
+    hit = clip(seated.join(aligned.join(groups, "party"), "group"), ["a_from", "g_from", "s_from"], ["a_to", "g_to", "s_to"], ("from_on", "to_on"))
     at_start = (F.col("from_on") <= F.col("g_from")) & (F.col("to_on") >= F.col("g_from"))
     return hit.groupBy("government", "party", "chamber", "person").agg(F.min("from_on").alias("from_on"), F.max("to_on").alias("to_on"), F.bool_or(at_start).alias("at_start"))
 

@@ -14,10 +14,10 @@ from tallyloom.operators import identity as I
 from tallyloom.operators import relational as R
 from tallyloom.operators import temporal as T
 from tallyloom.operators import text_index as X
-from tallyloom.plans.joins import LEG_SQL, PERIODS, legislatures, periods
+from tallyloom.plans.joins import DEALT, LEG_SQL, PERIODS, legislatures, periods
 from tallyloom.plans.people import I12_SQL
 from tallyloom.plans.registry import query
-from tallyloom.session import scratch_folder, table
+from tallyloom.session import scratch_folder, spread, table
 
 CHOICES = {"n_for": "A", "n_against": "R", "n_other": "N"}
 BALLOTS = """ballots as (select l_orderkey as vote, l_suppkey as member, s_nationkey as grp, case when min(l_returnflag) = max(l_returnflag) then min(l_returnflag) else 'X' end as choice
@@ -26,7 +26,8 @@ BALLOTS = """ballots as (select l_orderkey as vote, l_suppkey as member, s_natio
 
 def ballots(spark, sf):
     """One ballot for each vote and member; choices that conflict count as unknown (X)."""
-    line = A.without_conflicts(table(spark, sf, "lineitem").withColumn("none", F.lit("")), ["l_orderkey", "l_suppkey"], "l_returnflag", "none", "X")
+    line = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag"), "l_orderkey", most=DEALT)  # all that goes by vote stays there
+    line = A.without_conflicts(line.withColumn("none", F.lit("")), ["l_orderkey", "l_suppkey"], "l_returnflag", "none", "X")
     seats = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("grp"))
     return line.join(seats, "l_suppkey").select(F.col("l_orderkey").alias("vote"), F.col("l_suppkey").alias("member"), "grp", F.col("l_returnflag").alias("choice"))
 
@@ -312,7 +313,8 @@ def government_support(spark, sf):
     groups = party.select("party", chambers).withColumn("group", F.concat_ws("-", "party", "chamber"))
     sits = periods(spark, sf).where(F.col("o_orderstatus").isin("F", "O")).join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     sits = sits.withColumn("chamber", F.when(F.col("o_orderstatus") == "F", "deputies").otherwise("senate"))
-    member = F.concat_ws("-", "l_suppkey", "chamber").alias("member")
+    sits = sits.select(F.concat_ws("-", "l_suppkey", "chamber").alias("member"), "l_suppkey", "s_nationkey", "chamber", "s", "e")
+    sits, member = spread(sits, "member", most=DEALT, rows=table(spark, sf, "lineitem").count()), F.col("member")
     memberships = sits.select(member, F.col("l_suppkey").alias("person"), F.concat_ws("-", "s_nationkey", "chamber").alias("group"), F.col("s").alias("starts_on"), F.col("e").alias("ends_on"))
     mandates = sits.groupBy(member).agg(F.date_add(F.min("s"), 30).alias("starts_on"), F.date_sub(F.max("e"), 30).alias("ends_on"))
     return G.support(G.supporters(g, aligned, groups, memberships, mandates))
