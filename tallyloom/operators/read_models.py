@@ -18,6 +18,8 @@ from tallyloom.session import materialise
 from tallyloom.sources import versions
 
 PARTS = 16
+#: Facts of a task that sums them up: their bytes are few, so that adaptive execution would give it millions.
+DEALT = 300_000
 
 
 @dataclass(frozen=True)
@@ -51,20 +53,36 @@ def greatest(measure: str, kind: str) -> Column:
     return F.max(F.when(F.col("measure") == measure, F.col("value").cast(kind)))
 
 
-def _summed(facts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return facts.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+def _part(keys: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
 
 
-def changed(keys: tuple[str, ...], table: str, facts: list[DataFrame]) -> Callable[[versions.Snapshot], dict[str, versions.Parts]]:
-    """What versions.publish builds from signed facts: new state of the parts that the facts' keys fall in."""
+def _name(part: Column) -> Column:
+    return F.lpad(part.cast("string"), 3, "0")
+
+
+def _summed(facts: DataFrame, keys: tuple[str, ...], n: int) -> DataFrame:
+    """Facts with their sums and their part, from about n facts that are dealt out to tasks by their number. A task has facts of one part
+    only, so that it writes one file; the facts of a busy key go to all tasks of its part."""
+    each = -(-max(n // DEALT + 1, facts.sparkSession.sparkContext.defaultParallelism) // PARTS)
+    task = _part(keys) * each + F.pmod(F.xxhash64("value", "measure", *keys), F.lit(each)).cast("int")
+    dealt = facts.withColumn("__task", task).repartitionById(PARTS * each, F.col("__task"))
+    summed = dealt.groupBy("__task", *keys, "measure", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+    return summed.withColumn("part", _name(F.floor(F.col("__task") / each))).drop("__task")
+
+
+def changed(keys: tuple[str, ...], table: str, facts: list[DataFrame], n: int | None = None) -> Callable[[versions.Snapshot], dict[str, versions.Parts]]:
+    """What versions.publish builds from signed facts: new state of the parts that the facts' keys fall in. n: about how many facts a first load has; they
+    are counted where it is not given. Later facts are written down, which counts them and tells their parts, and summed together with the state."""
 
     def build(before: versions.Snapshot) -> dict[str, versions.Parts]:
-        part = F.lpad(F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("string"), 3, "0")
-        delta = materialise(_summed(reduce(DataFrame.unionByName, facts), keys), "delta")
-        touched = sorted(r.part for r in delta.select(part.alias("part")).distinct().collect())  # at most PARTS
-        old = before.read(delta.sparkSession, table, touched)
-        new = _summed(delta if old is None else old.unionByName(delta), keys).withColumn("part", part)
-        return {table: versions.Parts(new, touched)}
+        delta = reduce(DataFrame.unionByName, facts)
+        if table not in before.tables:
+            return {table: versions.Parts(_summed(delta, keys, delta.count() if n is None else n), [])}
+        delta = materialise(delta, "delta")
+        touched = sorted(r.part for r in delta.select(_name(_part(keys)).alias("part")).distinct().collect())  # at most PARTS
+        both = delta.unionByName(before.read(delta.sparkSession, table, touched))
+        return {table: versions.Parts(_summed(both, keys, both.count()), touched)}
 
     return build
 
@@ -79,6 +97,6 @@ def negative(table: str) -> versions.Gate:
     return lambda spark, before, after: after.read(spark, table, after.own(table)).where("n < 0").select(F.concat_ws(": ", F.lit("taken away too often"), F.to_json(F.struct("*"))).alias("reason"))
 
 
-def refresh(spark: SparkSession, root: str, run: str, model: Model, table: str, facts: list[DataFrame], gates: dict[str, versions.Gate] | None = None) -> str:
-    """Publish a model's state after signed facts; see versions.publish for what comes back."""
-    return versions.publish(spark, root, run, changed(model.keys, table, facts), {"negative": negative(table), **(gates or {})})
+def refresh(spark: SparkSession, root: str, run: str, model: Model, table: str, facts: list[DataFrame], gates: dict[str, versions.Gate] | None = None, n: int | None = None) -> str:
+    """Publish a model's state after about n signed facts; see versions.publish for what comes back."""
+    return versions.publish(spark, root, run, changed(model.keys, table, facts, n), {"negative": negative(table), **(gates or {})})
