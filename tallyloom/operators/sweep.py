@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators import temporal as T
+from tallyloom.session import materialise
 
 #: Days of one block of a running total.
 BLOCK = 128
+#: Periods of one block that are looked through for one that is still open.
+RUN = 32
 
 
 def starts_within(points: DataFrame, spans: DataFrame, at: str, starts: str, ends: str, width: int, on: list[str] | None = None) -> DataFrame:
@@ -73,17 +76,38 @@ def overlap_totals(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span:
 
 def winners(periods: DataFrame, owner: str, starts: str, ends: str, tie: str) -> DataFrame:
     """The stretches (from, to) of each owner's time in which one period holds: of those that are open on a day the last to have begun (ties:
-    greatest tie). Which one holds can only change where a period begins, or on the day after one ends."""
-    turn = periods.select(F.col(owner), F.explode(F.array(F.col(starts), F.date_add(T.end(F.col(ends)), 1))).alias("from")).distinct()
-    turn = turn.withColumn("to", F.date_sub(F.lead("from").over(W.partitionBy(owner).orderBy("from")), 1))
-    held = T.asof_latest(turn, periods, owner, "from", starts, ends, tie, [owner, "from"], how="inner")
-    return held.where("to is not null")
+    greatest tie). Which one holds can only change where a period begins, or on the day after one ends.
+
+    Beginnings and ends lie in one sorted stream of their owner, where the last to have begun holds if it is open. Where it is over and an earlier one goes on,
+    periods are looked through by blocks of RUN in the order of their beginning, which know their latest end: its own block, and the last block before that reaches the day.
+    """
+    theirs = [c for c in periods.columns if c != owner]
+    period = F.struct(*theirs)
+    turn = lambda at, p: F.struct(at.alias("at"), p.alias("p"))
+    moves = periods.select(F.col(owner).alias("__o"), F.inline(F.array(turn(F.col(starts), period), turn(F.date_add(T.end(F.col(ends)), 1), F.lit(None).cast(periods.select(period.alias("p")).schema["p"].dataType)))))
+    w = W.partitionBy("__o").orderBy("at", F.col(f"p.{tie}").asc_nulls_first())
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    far = T.end(F.col("p")[ends])
+    seen = moves.where("at is not null").select("__o", "at", "p", F.last("p", ignorenulls=True).over(upto).alias("last"), F.count("p").over(upto).alias("nth"), F.max(F.when(F.col("p").isNotNull(), far)).over(upto).alias("reach"), F.lead("at").over(w).alias("next"))
+    block = F.floor((F.col("nth") - 1) / RUN).alias("block")
+    is_open, is_turn = T.end(F.col("last")[ends]) >= F.col("at"), F.col("next") > F.col("at")
+    last = F.when(is_turn & F.col("last").isNotNull() & is_open, F.col("last")).alias("last")
+    late = (is_turn & F.col("last").isNotNull() & ~is_open & (F.col("reach") >= F.col("at"))).alias("late")
+    seen = materialise(seen.select("__o", "at", "p", "nth", block, F.date_sub("next", 1).alias("to"), last, late), "turns")
+    answer = lambda df, p: df.select(F.col("__o").alias(owner), F.col("at").alias("from"), "to", *[F.col(p)[c].alias(c) for c in theirs])
+    asked = seen.where("late").select("__o", "at", "to", "nth", "block")
+    begun = seen.where("p is not null").select(F.col("__o").alias("__p"), F.col("block").alias("in"), F.col("nth").alias("n"), far.alias("far"), "p")
+    same = F.col("__o").eqNullSafe(F.col("__p"))
+    before = asked.join(begun.groupBy("__p", "in").agg(F.max("far").alias("far")), same & (F.col("in") < F.col("block")) & (F.col("far") >= F.col("at")))
+    before = before.groupBy("__o", "at", "to", "nth").agg(F.max("in").alias("block"))
+    found = asked.unionByName(before).join(begun, same & (F.col("in") == F.col("block")) & (F.col("n") < F.col("nth")) & (F.col("far") >= F.col("at")))
+    return answer(seen.where("last is not null"), "last").unionByName(answer(found.groupBy("__o", "at", "to").agg(F.max_by("p", "n").alias("p")), "p"))
 
 
 def running_total(changes: DataFrame, keys: list[str], day: str, change: Column) -> DataFrame:
     """keys, day, change and total, the sum of changes up to each day of a change: sums within blocks of days, on top of the sum of the blocks
     before. A key with changes on many days is many blocks, in as many tasks; only blocks are counted through in order."""
-    by_day = changes.groupBy(*keys, day).agg(F.sum(change).alias("change")).withColumn("__block", F.floor(F.unix_date(day) / BLOCK))
+    by_day = materialise(changes.groupBy(*keys, day).agg(F.sum(change).alias("change")), "days").withColumn("__block", F.floor(F.unix_date(day) / BLOCK))
     before = F.sum("block_change").over(W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
     blocks = by_day.groupBy(*keys, "__block").agg(F.sum("change").alias("block_change")).withColumn("before", F.coalesce(before, F.lit(0))).drop("block_change")
     inner = F.sum("change").over(W.partitionBy(*keys, "__block").orderBy(day))
