@@ -16,10 +16,12 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component), the smallest id that an id is linked with, for the ends of edges between different ids.
 
     Contraction: each id is replaced by one of its closed neighbourhood, in turn the smallest and one that a hash of the round picks, until no edge
-    is left; the hash keeps long chains from shrinking by one end at a time. The replacements are then followed back. Files cut the lineage, and go when read.
+    is left; the hash keeps long chains from shrinking by one end at a time. An id goes straight on to what its own replacement is replaced by: ranks fall along
+    the way, so it has no circle, and links, of which there are more than ids, are fewer in each round. The replacements are then followed back. Files cut the
+    lineage, and go when read. The first links need not be distinct, as the least of a neighbourhood is the same.
     """
     with scratch(edges.sparkSession) as own:
-        now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
+        now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "links")
         levels: list[DataFrame] = []
         while not now.isEmpty():
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,12 +30,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 to = F.least(F.min(rank("v", len(levels))), F.min(rank("u", len(levels))))["x"]
             else:
                 to = F.least(F.min("v"), F.min("u"))
-            level = materialise(both.groupBy("u").agg(to.alias("to")), "level")
+            near = materialise(both.groupBy("u").agg(to.alias("to")), "near")
+            level = materialise(near.join(near.select(F.col("u").alias("to"), F.col("to").alias("far")), "to").select("u", F.col("far").alias("to")), "level")
             levels.append(level)
             moved = now.join(level, "u").select(F.col("to").alias("u"), "v").join(level.select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
             last = now
             now = materialise(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-            own.drop(last)
+            own.drop(last, near)
         if not levels:
             return edges.sparkSession.createDataFrame([], f"id {edges.schema[a].dataType.simpleString()}, component {edges.schema[a].dataType.simpleString()}")
         root = levels[-1]

@@ -178,3 +178,16 @@ def test_turns_are_sorted_once_and_looked_up_by_blocks(spark, monkeypatch):
                 want.add((o, d, None if after > last else after - dt.timedelta(1), max(held)[1]))
     seen = got.select("o", "from", F.when(F.year("to") < 4000, F.col("to")).alias("to"), "id").collect()
     assert len(seen) == len(want) and {tuple(r) for r in seen} == want
+
+
+def test_chains_contract_in_few_rounds(spark, monkeypatch):
+    """F32: a round went one link on, so that a chain of 2000 took 11."""
+    from tallyloom.operators import entities
+
+    names, real = [], entities.materialise
+    monkeypatch.setattr(entities, "materialise", lambda df, name: (names.append(name), real(df, name))[1])
+    ids = list(range(2000))
+    random.Random(5).shuffle(ids)
+    links = [*zip(ids, ids[1:]), (3, 3), *zip(ids[1:50], ids)]
+    assert {r.id: r.component for r in entities.connected(spark.createDataFrame(links, "a long, b long")).collect()} == dict.fromkeys(ids, 0)
+    assert names.count("level") < 10
