@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import display, fold_ro
+from tallyloom.functions.text import RO_FROM, RO_TO, display
 from tallyloom.operators.rules import Rule, first_match
 
 # The wording of procedure steps and the kind that each tells, in order of precedence. Texts are folded and have single spaces.
@@ -53,9 +53,15 @@ STEP_KINDS = (
 UNKNOWN = "unrecognised"
 
 
+def _plain(text: Column) -> Column:
+    """Accents off, old letters' too, and lower case; null counts as empty. What is ASCII has none."""
+    t = F.coalesce(text, F.lit(""))
+    return F.lower(F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, RO_FROM + "ãÃ", RO_TO + "aA")))
+
+
 def folded(text: Column) -> Column:
     """Accents off, lower case, single spaces, trimmed; null counts as empty."""
-    return F.btrim(F.regexp_replace(fold_ro(display(F.coalesce(text, F.lit("")))), r"\s+", " "))
+    return F.btrim(F.regexp_replace(_plain(text), r"\s+", " "))
 
 
 def _part(text: Column, pattern: str, group: int = 1) -> Column:
@@ -191,34 +197,43 @@ def fates(steps: DataFrame, bills: DataFrame) -> DataFrame:
     )
 
 
-# What a Romanian word doesn't hold, and the heading of an annex.
-GARBLED = r"[~^|`{}<>]|[A-Za-z]\d[A-Za-z]"
+# What a Romanian word doesn't hold (a sign, or a digit between letters), the heading of an annex, and what of it every such heading has before it is folded.
+GARBLED = r"[~^|`{}<>0123456789](?:(?<!\d)|(?<=[A-Za-z]\d)(?=[A-Za-z]))"
 ANNEX = r"^(?:anexa\s*(?:nr\.?\s*\d+)?\s*[-–:.]?\s*)?amendament(?:e|ul)?\s+(admis[ae]?|respins[ae]?)\b"
+_ANNEX_WORD = "[mM][eE][nN][dD][aAăĂâÂãÃ][mM][eE][nN]"
 
-
-# How an annex names an author of an amendment, and what may stand before the name.
+# How an annex names an author of an amendment, and what may stand before the name. Only the first of capitals in a row can begin a name, unless
+# the last author ends before it: each word ends where its letters do, so what fails from one of them fails from the next. The commonest other letters are told off first.
 _CAPITAL = "A-ZĂÂÎȘȚŞŢ"
+_WORD, _BETWEEN = r"[\p{L}'’.]*+", r"(?:\s++(?:[–-]\s*+)?|[–-]\s*+)"
 AUTHOR = (
-    rf"((?:[{_CAPITAL}][\p{{L}}'’.]*(?:\s*[–-]\s*|\s+)){{1,5}}[{_CAPITAL}][\p{{L}}'’.]*)\s*[,–-]?\s*(deputat|senator)\s+"
+    rf"((?![a-z ,])[{_CAPITAL}](?:(?<![{_CAPITAL}].)|(?<=\G.)){_WORD}{_BETWEEN}(?:[{_CAPITAL}]{_WORD}{_BETWEEN}){{0,4}}[{_CAPITAL}][\p{{L}}'’.]*)\s*[,–-]?\s*(deputat|senator)\s+"
     rf"((?:[{_CAPITAL}][A-Za-zĂÂÎȘȚăâîșțşţ]*|neafiliat|minorit[a-zăț]+)(?:\s*\([^)]{{1,40}}\))?)"
 )
 _BEFORE_AUTHOR = r"(?i)^(?:(?:domnul|doamna|domnii|doamnele|dl\.?|d-na|senator|deputat|autori|autor|amendament\s+propus\s+de)\s*:?\s*)+"
 
 
+def _spaced(text: Column) -> Column:
+    """Single spaces for white space; null counts as empty. What is a single space already is passed over."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s(?:\s+|(?<! ))", " ")
+
+
 def authors(text: Column) -> Column:
-    """Authors that a text names, in order: array<struct<name, role, party>>; one of each name."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
-    part = lambda i: F.regexp_extract_all(t, F.lit(AUTHOR), F.lit(i))
-    clean = lambda n: F.btrim(F.regexp_replace(F.regexp_replace(n, _BEFORE_AUTHOR, ""), r"\s*[–-]\s*$", ""))
-    rows = F.transform(F.arrays_zip(part(1).alias("n"), part(2).alias("r"), part(3).alias("g")), lambda x: F.struct(clean(x["n"]).alias("name"), F.when(x["r"] == "deputat", "deputy").otherwise("senator").alias("role"), F.btrim(x["g"]).alias("party")))
-    return F.filter(rows, lambda x: (F.length(x["name"]) >= 5) & (F.size(F.split(x["name"], " ")) >= 2) & ~F.rlike(x["name"], F.lit("[0-9]")))
+    """Authors that a text names, in order: array<struct<name, role, party>>; one of each name.
+
+    The pattern goes over the text once and sets each author off as a line of three fields: with single spaces there is no other line end or tab.
+    """
+    lines = F.filter(F.split(F.regexp_replace(_spaced(text), AUTHOR, "\n$1\t$2\t$3\n"), "\n"), lambda x: F.contains(x, F.lit("\t")))
+    clean = lambda n: F.regexp_replace(n, _BEFORE_AUTHOR, "")
+    rows = F.transform(F.transform(lines, lambda x: F.split(x, "\t")), lambda p: F.struct(clean(p[0]).alias("name"), F.when(p[1] == "deputat", "deputy").otherwise("senator").alias("role"), p[2].alias("party")))
+    return F.filter(rows, lambda x: (F.length(x["name"]) >= 5) & F.contains(x["name"], F.lit(" ")))
 
 
 def report_authors(pages: DataFrame) -> DataFrame:
     """report_id, place, name, role, party: the authors that the annexes of cleanly read reports name, from the first annex's page on; each once."""
     read = report_readings(pages).where("quality = 'clean'").select("report_id", F.least("admitted_page", "rejected_page").alias("from")).where(F.col("from").isNotNull())
     rows = pages.join(read, "report_id").where("page >= from").select("report_id", "page", F.posexplode(authors(F.col("text"))).alias("at", "a"))
-    key = F.btrim(F.regexp_replace(folded(F.col("a.name")), r"[\s–-]+", " "))
+    key = F.btrim(F.regexp_replace(_plain(F.col("a.name")), r"[\s–-]+", " "))
     first = rows.groupBy("report_id", key.alias("key")).agg(F.min(F.struct("page", "at", "a")).alias("f"))
     return first.select("report_id", (F.col("f.page") * 1000 + F.col("f.at")).alias("place"), "f.a.name", "f.a.role", "f.a.party")
 
@@ -228,16 +243,19 @@ def report_readings(pages: DataFrame) -> DataFrame:
 
     Counts are made by page and added up, so no report is gathered. Under 40 characters a page there is no text; over two
     per cent of garbled words the scan is poor; a report without words is garbled throughout. An annex starts where its
-    capitalised heading is first seen. Null texts count as empty.
+    capitalised heading is first seen. Null texts count as empty. Words and lines are only parted where one can be garbled or a heading.
     """
-    text = F.coalesce("text", F.lit(""))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
-    heads = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit("^[A-ZĂÂÎȘȚŞŢ]"))), lambda x: F.regexp_extract(folded(x), ANNEX, 1))
-    page = lambda kind: F.min(F.when(F.exists(heads, lambda h: F.startswith(h, F.lit(kind))), F.col("page")))
-    by = pages.groupBy("report_id").agg(
-        F.count("*").alias("pages"), F.sum(F.length(F.regexp_replace(text, r"\s", ""))).alias("chars"), F.sum(F.size(words)).alias("words"),
-        F.sum(F.size(F.filter(words, lambda w: F.rlike(w, F.lit(GARBLED))))).alias("bad"), page("admis").alias("admitted_page"), page("respins").alias("rejected_page"),
+    text, spaced, chars = F.coalesce("text", F.lit("")), F.btrim(_spaced(F.col("text"))), F.col("chars")
+    bad = F.when(F.rlike(text, F.lit(GARBLED)), F.size(F.filter(F.split("spaced", " "), lambda w: F.rlike(w, F.lit(GARBLED))))).otherwise(0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(rf"^\s*[{_CAPITAL}]")) & F.rlike(x, F.lit(_ANNEX_WORD)))
+    heads = F.transform(lines, lambda x: F.regexp_extract(folded(x), ANNEX, 1))
+    page = lambda kind: F.when(F.exists("heads", lambda h: F.startswith(h, F.lit(kind))), F.col("page"))
+    told = pages.select("report_id", "page", text.alias("text"), spaced.alias("spaced"), F.when(F.rlike(text, F.lit(_ANNEX_WORD)), heads).alias("heads"))
+    told = told.select("report_id", F.length(F.replace("spaced", F.lit(" "))).alias("chars"), F.length("spaced").alias("size"), bad.alias("bad"), page("admis").alias("admitted"), page("respins").alias("rejected"))
+    words = F.when(chars == 0, 0).otherwise(F.col("size") - chars + 1)
+    by = told.groupBy("report_id").agg(
+        F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum(words).alias("words"), F.sum("bad").alias("bad"),
+        F.min("admitted").alias("admitted_page"), F.min("rejected").alias("rejected_page"),
     )
     share = F.when(F.col("words") == 0, 100.0).otherwise(100 * F.col("bad") / F.col("words"))
     quality = F.when(F.col("chars") < 40 * F.col("pages"), "none").when(share > 2, "poor").otherwise("clean")
